@@ -68,6 +68,23 @@ def keep_bins(col: Column | str, bins: Column) -> Column:
     return filtered(col, bins)
 
 
+def strongest_part(col: Column | str, k: int) -> Column:
+    """The part of each array in its k strongest non-constant bins, the weakest of them left out."""
+
+    def season(m: np.ndarray) -> np.ndarray:
+        spectrum = np.fft.rfft(m, axis=1)
+        strength = np.abs(spectrum)
+        strength[:, 0] = 0.0
+        limit = -np.sort(-strength, axis=1)[:, k - 1 : k]
+        return np.fft.irfft(np.where(strength > limit, spectrum, 0.0), n=m.shape[1], axis=1)
+
+    @F.pandas_udf(DOUBLES)
+    def filtered(x: pd.Series) -> pd.Series:
+        return pd.Series(by_length(x, season))
+
+    return filtered(col)
+
+
 def circular_correlation(query: Column | str, key: Column | str) -> Column:
     """c[lag] = sum_i query[(i + lag) mod L] * key[i]."""
 

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import array_sum, let, slices
 from tidemark.operators.ordering import lag_by_index, with_halo
-from tidemark.operators.scaling import array_sum
 
 KEYS = ("series_id",)
 
@@ -76,9 +76,8 @@ def decompose_window(windows: DataFrame, kernel: int, col: str = "x") -> DataFra
     padded = F.concat(
         F.array_repeat(F.element_at(a, 1), half), a, F.array_repeat(F.element_at(a, -1), half)
     )
-    out = windows.withColumn("_padded", padded)
-    trend = F.transform(a, lambda _, i: array_sum(F.slice(F.col("_padded"), i + 1, F.lit(kernel))) / F.lit(kernel))
-    out = out.withColumn("trend", trend).drop("_padded")
+    trend = F.transform(slices(padded, kernel, 1), lambda w: array_sum(w) / F.lit(kernel))
+    out = windows.withColumn("trend", trend)
     return out.withColumn("seasonal", F.zip_with(a, F.col("trend"), lambda x, t: x - t))
 
 
@@ -236,7 +235,14 @@ def _extend(a: Column, n: int, left: int, right: int, mode: str) -> Column:
         return j if j < n else 2 * n - 2 - j
 
     picks = [source(i) for i in range(-left, n + right)]
-    return F.array(*[F.lit(0.0) if p is None else F.element_at(a, p + 1) for p in picks])
+    return let(a, lambda x: F.array(*[F.lit(0.0) if p is None else F.element_at(x, p + 1) for p in picks]))
+
+
+def _analysis(source: Column, taps: Sequence[float], size: int) -> Column:
+    """Every second value of the padded window correlated with the reversed filter."""
+    weights = F.array(*[F.lit(float(v)) for v in reversed(taps)])
+    pairs = F.slice(slices(source, len(taps), 2), 1, size)
+    return F.transform(pairs, lambda part: array_sum(F.zip_with(part, weights, lambda x, w: x * w)))
 
 
 def wavelet_window(
@@ -256,7 +262,6 @@ def wavelet_window(
         raise ValueError(f"unknown pad mode {mode!r}")
     taps = len(low)
     out, current, n = windows, F.col(col), length
-    names: dict[str, Column] = {}
     for j in range(1, levels + 1):
         if mode == "periodization":
             if n % 2:
@@ -272,20 +277,30 @@ def wavelet_window(
         out = out.withColumn(f"_pad_{j}", _extend(current, n, left, right, mode))
         source = F.col(f"_pad_{j}")
 
-        def correlate(taps_in: Sequence[float], source=source, size=size) -> Column:
-            weights = F.array(*[F.lit(float(v)) for v in reversed(taps_in)])
-            return F.transform(
-                F.sequence(F.lit(0), F.lit(size - 1)),
-                lambda k: array_sum(F.zip_with(F.slice(source, 2 * k + 1, F.lit(len(taps_in))), weights, lambda x, w: x * w)),
-            )
-
-        out = out.withColumns({f"high_{j}": correlate(high), f"low_{j}": correlate(low)})
-        names[f"high_{j}"] = F.col(f"high_{j}")
+        out = out.withColumns({f"high_{j}": _analysis(source, high, size), f"low_{j}": _analysis(source, low, size)})
         current, n = F.col(f"low_{j}"), size
     drop = [f"_pad_{j}" for j in range(1, levels + 1)] + [f"low_{j}" for j in range(1, levels)]
     return out.drop(*drop)
 
 
+def _synthesis(low: Column, high: Column, g0: Column, g1: Column, taps: int):
+    """Value at output position n from both bands and their synthesis filters."""
+
+    def point(n: Column) -> Column:
+        first = F.greatest(F.lit(0), F.floor(n / 2).cast("int"))
+        last = F.least(F.size(high) - 1, F.floor((n + (taps - 2)) / 2).cast("int"))
+        at = lambda k: (n + F.lit(taps - 1) - 2 * k).cast("int")
+        return F.aggregate(
+            F.sequence(first, last),
+            F.lit(0.0),
+            lambda acc, k: acc
+            + F.element_at(low, k + 1) * F.element_at(g0, at(k))
+            + F.element_at(high, k + 1) * F.element_at(g1, at(k)),
+        )
+
+    return point
+
+
 def inverse_wavelet_window(
     windows: DataFrame,
     levels: int,
@@ -299,22 +314,10 @@ def inverse_wavelet_window(
     g1 = F.array(*[F.lit(float(v)) for v in high])
     out = windows.withColumn(name, F.col(f"low_{levels}"))
     for j in range(levels, 0, -1):
-        h = F.col(f"high_{j}")
-        out = out.withColumn(name, F.slice(F.col(name), F.lit(1), F.size(h)))
-        current = F.col(name)
-
-        def point(n: Column, current=current, h=h) -> Column:
-            first = F.greatest(F.lit(0), F.floor(n / 2).cast("int"))
-            last = F.least(F.size(h) - 1, F.floor((n + (taps - 2)) / 2).cast("int"))
-            at = lambda k: (n + F.lit(taps - 1) - 2 * k).cast("int")
-            return F.aggregate(
-                F.sequence(first, last),
-                F.lit(0.0),
-                lambda acc, k: acc
-                + F.element_at(current, k + 1) * F.element_at(g0, at(k))
-                + F.element_at(h, k + 1) * F.element_at(g1, at(k)),
-            )
-
-        total = (2 * F.size(h) - F.lit(taps - 2)).cast("int")
-        out = out.withColumn(name, F.transform(F.sequence(F.lit(0), total - 1), point))
+        both = F.struct(F.slice(F.col(name), F.lit(1), F.size(f"high_{j}")).alias("low"), F.col(f"high_{j}").alias("high"))
+        restore = lambda s: F.transform(
+            F.sequence(F.lit(0), (2 * F.size(s["high"]) - F.lit(taps - 1)).cast("int")),
+            _synthesis(s["low"], s["high"], g0, g1, taps),
+        )
+        out = out.withColumn(name, let(both, restore))
     return out

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import array_mean, array_var_pop, let
+
 STATS = ("mean", "std", "min", "max")
 METHODS = ("standard", "minmax", "minmax_square", "minmax_m1p1", "standard_eps")
 EPS = 1e-8
@@ -103,22 +105,6 @@ def scale_splits(
 # -- scaling inside a window -------------------------------------------------------------------
 
 
-def array_sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def array_mean(a: Column) -> Column:
-    return array_sum(a) / F.size(a)
-
-
-def array_var_pop(a: Column) -> Column:
-    """Population variance from deviations (two passes, so large levels do not cancel)."""
-    m = array_mean(a)
-    return F.aggregate(a, F.struct(F.lit(0.0).alias("s"), m.alias("m")), lambda acc, v: F.struct(
-        (acc["s"] + (v - acc["m"]) * (v - acc["m"])).alias("s"), acc["m"].alias("m")
-    ))["s"] / F.size(a)
-
-
 def normalize_window(
     windows: DataFrame,
     col: str,
@@ -135,7 +121,7 @@ def normalize_window(
     if non_norm:
         center, scale = F.lit(0.0), F.lit(1.0)
     kept = windows.withColumns({f"{col}_center": center, f"{col}_scale": scale})
-    unit = F.transform(a, lambda v: (v - F.col(f"{col}_center")) / F.col(f"{col}_scale"))
+    unit = let(_level(col), lambda s: F.transform(a, lambda v: (v - s["center"]) / s["scale"]))
     if weight is not None and not non_norm:
         unit = F.transform(unit, lambda v: v * F.lit(weight) + F.lit(bias or 0.0))
     return kept.withColumn(col, unit)
@@ -154,18 +140,20 @@ def denormalize_window(
     a = F.col(col)
     if weight is not None:
         a = F.transform(a, lambda v: (v - F.lit(bias or 0.0)) / F.lit(weight + eps * eps))
-    return windows.withColumn(
-        col, F.transform(a, lambda v: v * F.col(f"{ref}_scale") + F.col(f"{ref}_center"))
-    )
+    return windows.withColumn(col, let(_level(ref), lambda s: F.transform(a, lambda v: v * s["scale"] + s["center"])))
+
+
+def _level(col: str) -> Column:
+    return F.struct(F.col(f"{col}_center").alias("center"), F.col(f"{col}_scale").alias("scale"))
 
 
 def subtract_last(windows: DataFrame, col: str) -> DataFrame:
     kept = windows.withColumn(f"{col}_last", F.element_at(col, -1))
-    return kept.withColumn(col, F.transform(col, lambda v: v - F.col(f"{col}_last")))
+    return kept.withColumn(col, let(f"{col}_last", lambda last: F.transform(col, lambda v: v - last)))
 
 
 def add_last(windows: DataFrame, col: str, like: str) -> DataFrame:
-    return windows.withColumn(col, F.transform(col, lambda v: v + F.col(f"{like}_last")))
+    return windows.withColumn(col, let(f"{like}_last", lambda last: F.transform(col, lambda v: v + last)))
 
 
 def masked_stats(

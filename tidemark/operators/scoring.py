@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scaling import array_mean, array_sum
+from tidemark.functions.arrays import array_mean, array_sum, array_var_samp, dot, softmax
 
 KEYS = ("series_id",)
 
@@ -66,10 +66,6 @@ def two_decoder_score(x: str, first: str, second: str, alpha: float = 0.5) -> Co
     return F.lit(alpha) * one + F.lit(1.0 - alpha) * two
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return array_sum(F.zip_with(a, b, lambda p, q: p * q))
-
-
 def relative_distance(x: str, y: str, floor: float = 1e-10) -> Column:
     """|x - y| / |x|."""
     gap = array_sum(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)))
@@ -80,20 +76,9 @@ def cosine_similarity(x: str, y: str, floor: float = 1e-8) -> Column:
     return dot(x, y) / F.greatest(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(floor))
 
 
-def array_var_samp(a: str) -> Column:
-    """Sample variance of an array column."""
-    mean = array_mean(F.col(a))
-    total = F.aggregate(
-        F.col(a),
-        F.struct(F.lit(0.0).alias("s"), mean.alias("m")),
-        lambda acc, v: F.struct((acc["s"] + (v - acc["m"]) * (v - acc["m"])).alias("s"), acc["m"].alias("m")),
-    )["s"]
-    return total / F.nullif((F.size(a) - 1).cast("double"), F.lit(0.0))
-
-
 def prediction_variance(pred: str) -> Column:
     """Spread of a forecast over its horizon."""
-    return array_var_samp(pred)
+    return array_var_samp(F.col(pred))
 
 
 def prediction_magnitude(pred: str) -> Column:
@@ -103,7 +88,7 @@ def prediction_magnitude(pred: str) -> Column:
 
 def input_variance(x: str) -> Column:
     """Spread of the input window, the score when nothing else is available."""
-    return array_var_samp(x)
+    return array_var_samp(F.col(x))
 
 
 def forecast_error_score(
@@ -131,12 +116,6 @@ def kl_divergence(p: Column | str, q: Column | str, eps: float = 1e-4) -> Column
     )
 
 
-def softmax(a: Column) -> Column:
-    """Softmax of an array."""
-    top = F.array_max(a)
-    return F.transform(a, lambda v: F.exp(v - top) / array_sum(F.transform(a, lambda u: F.exp(u - top))))
-
-
 def discrepancy_score(errors: str, series: str, prior: str) -> Column:
     """Softmax over time of the negative symmetric divergence, times the error, per point.
 

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.fourier import amplitude, circular_correlation, keep_bins, phase, rfft
-from tidemark.operators.scaling import array_sum
+from tidemark.functions.arrays import array_sum, let
+from tidemark.functions.fourier import amplitude, circular_correlation, keep_bins, phase, rfft, strongest_part
 
 KEYS = ("series_id",)
 
@@ -71,17 +71,7 @@ def dft_split(windows: DataFrame, k: int, col: str = "x") -> DataFrame:
 
     As in the definition with a strict comparison, the weakest of the k bins is cut too.
     """
-    out = windows.withColumn("_amp", amplitude(rfft(col)))
-    ranked = F.array_sort(
-        F.filter(
-            F.transform("_amp", lambda a, i: F.struct((-a).alias("minus"), i.alias("bin"))), lambda s: s["bin"] > 0
-        )
-    )
-    limit = F.slice(ranked, 1, k)
-    least = -F.element_at(limit, -1)["minus"]
-    chosen = F.transform(F.filter(limit, lambda s: -s["minus"] > F.col("_least")), lambda s: s["bin"])
-    out = out.withColumn("_least", least).withColumn("_bins", chosen)
-    out = out.withColumn("seasonal", keep_bins(F.col(col), F.col("_bins"))).drop("_amp", "_least", "_bins")
+    out = windows.withColumn("seasonal", strongest_part(F.col(col), k))
     return out.withColumn("trend", F.zip_with(col, "seasonal", lambda x, s: x - s))
 
 
@@ -110,31 +100,38 @@ def autocorrelation(windows: DataFrame, query: str = "x", key: str | None = None
     ranked = F.slice(
         F.array_sort(F.transform("corr", lambda c, i: F.struct((-c).alias("minus"), i.alias("lag")))), F.lit(1), top
     )
-    out = out.withColumn("_top", ranked)
-    best = -F.element_at("_top", 1)["minus"]
-    total = array_sum(F.transform("_top", lambda s: F.exp(-s["minus"] - best)))
-    out = out.withColumn("_total", total)
-    lags = F.transform(
-        "_top",
-        lambda s: F.struct(
-            s["lag"].alias("lag"), (-s["minus"]).alias("corr"), (F.exp(-s["minus"] - best) / F.col("_total")).alias("weight")
-        ),
-    )
-    return out.withColumn("lags", lags).drop("_top", "_total")
+
+    def weighted(top: Column) -> Column:
+        grown = let(
+            F.element_at(top, 1)["minus"], lambda best: F.transform(top, lambda s: F.exp(best - s["minus"]))
+        )
+        return let(
+            grown,
+            lambda e: let(
+                array_sum(e),
+                lambda total: F.zip_with(
+                    top,
+                    e,
+                    lambda s, v: F.struct(s["lag"].alias("lag"), (-s["minus"]).alias("corr"), (v / total).alias("weight")),
+                ),
+            ),
+        )
+
+    return out.withColumn("lags", let(ranked, weighted))
 
 
 def delay_aggregation(windows: DataFrame, value: str = "x", lags: str = "lags", name: str = "aggregated") -> DataFrame:
     """Weighted sum of the window rolled back by each of its lags."""
-    a = F.col(value)
-    rolled = F.transform(
-        a,
-        lambda _, i: F.aggregate(
-            F.col(lags),
-            F.lit(0.0),
-            lambda acc, s: acc + s["weight"] * F.element_at(a, ((i + s["lag"]) % F.size(a) + 1).cast("int")),
-        ),
-    )
-    return windows.withColumn(name, rolled)
+
+    def rolled(s: Column) -> Column:
+        a = s["a"]
+        at = lambda i, d: F.element_at(a, ((i + d) % F.size(a) + 1).cast("int"))
+        return F.transform(
+            a, lambda _, i: F.aggregate(s["lags"], F.lit(0.0), lambda acc, d: acc + d["weight"] * at(i, d["lag"]))
+        )
+
+    both = F.struct(F.col(value).alias("a"), F.col(lags).alias("lags"))
+    return windows.withColumn(name, let(both, rolled))
 
 
 def shared_lags(windows: DataFrame, factor: float = 1.0, length: int = 24, query: str = "x") -> DataFrame:
@@ -171,14 +168,12 @@ def harmonics(windows: DataFrame, length: int, k: int, col: str = "x") -> DataFr
 def harmonic_curve(windows: DataFrame, start: int, stop: int, name: str) -> DataFrame:
     """Sum of the kept harmonics (both conjugates) at steps start..stop-1."""
 
-    def at(t: Column) -> Column:
-        return F.aggregate(
-            "harmonics",
-            F.lit(0.0),
-            lambda acc, h: acc + 2.0 * h["amp"] * F.cos(F.lit(2 * math.pi) * h["f"] * t + h["phase"]),
-        )
-
-    return windows.withColumn(name, F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), at))
+    steps = F.sequence(F.lit(start), F.lit(stop - 1))
+    wave = lambda h, t: 2.0 * h["amp"] * F.cos(F.lit(2 * math.pi) * h["f"] * t + h["phase"])
+    curve = lambda hs: F.transform(
+        steps, lambda t: F.aggregate(hs, F.lit(0.0), lambda acc, h: acc + wave(h, t))
+    )
+    return windows.withColumn(name, let("harmonics", curve))
 
 
 def harmonic_extrapolation(windows: DataFrame, length: int, pred_len: int, k: int, col: str = "x") -> DataFrame:

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let, slices
+
 KEYS = ("series_id",)
 
 
@@ -195,16 +197,11 @@ def decoder_seed(windows: DataFrame, col: str, label_len: int, pred_len: int, na
     return windows.withColumn(name, F.concat(F.slice(col, 1, label_len), F.array_repeat(F.lit(0.0), pred_len)))
 
 
-def _windows_of(a: Column, size: int, step: int) -> Column:
-    last = F.floor((F.size(a) - F.lit(size)) / F.lit(step)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(a, j * F.lit(step) + 1, F.lit(size)))
-
-
 def patches(windows: DataFrame, col: str, size: int, step: int, pad: int | None = None, name: str = "patches") -> DataFrame:
     """Patches of a window after repeating its last value ``pad`` times (default: one step)."""
     pad = step if pad is None else pad
     padded = F.concat(F.col(col), F.array_repeat(F.element_at(col, -1), pad))
-    return windows.withColumn("_padded", padded).withColumn(name, _windows_of(F.col("_padded"), size, step)).drop("_padded")
+    return windows.withColumn(name, slices(padded, size, step))
 
 
 def segments(windows: DataFrame, col: str, size: int, pad_front: bool = False, name: str = "segments") -> DataFrame:
@@ -213,20 +210,15 @@ def segments(windows: DataFrame, col: str, size: int, pad_front: bool = False, n
     if pad_front:
         missing = ((F.lit(size) - F.size(a) % F.lit(size)) % F.lit(size)).cast("int")
         a = F.concat(F.array_repeat(F.element_at(a, 1), missing), a)
-    return windows.withColumn("_padded", a).withColumn(name, _windows_of(F.col("_padded"), size, size)).drop("_padded")
+    return windows.withColumn(name, slices(a, size, size))
 
 
 def fold_period(windows: DataFrame, col: str, period: Column | int, name: str = "folded") -> DataFrame:
     """Rows of one period each, zero padded at the end."""
     p = (F.lit(period) if isinstance(period, int) else period).cast("int")
-    a = F.col(col)
-    missing = ((p - F.size(a) % p) % p).cast("int")
-    out = windows.withColumns({"_period": p, "_padded": F.concat(a, F.array_repeat(F.lit(0.0), missing))})
-    rows = (F.size("_padded") / F.col("_period")).cast("int")
-    folded = F.transform(
-        F.sequence(F.lit(0), rows - 1), lambda j: F.slice(F.col("_padded"), j * F.col("_period") + 1, F.col("_period"))
-    )
-    return out.withColumn(name, folded).drop("_period", "_padded")
+    missing = lambda x: ((p - F.size(x) % p) % p).cast("int")
+    padded = let(col, lambda x: F.concat(x, F.array_repeat(F.lit(0.0), missing(x))))
+    return windows.withColumn(name, slices(padded, p, p))
 
 
 def even_odd(windows: DataFrame, col: str) -> DataFrame:
@@ -241,14 +233,14 @@ def even_odd(windows: DataFrame, col: str) -> DataFrame:
 
 def chunked_views(windows: DataFrame, col: str, size: int) -> DataFrame:
     """Continuous chunks of ``size`` points, and interval samples that take every (n/size)-th point."""
-    a = F.col(col)
-    count = (F.size(a) / F.lit(size)).cast("int")
     steps = F.sequence(F.lit(0), F.lit(size - 1))
-    continuous = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.slice(a, j * F.lit(size) + 1, F.lit(size)))
-    interval = F.transform(
-        F.sequence(F.lit(0), count - 1), lambda j: F.transform(steps, lambda k: F.element_at(a, (k * count + j + 1).cast("int")))
-    )
-    return windows.withColumns({f"{col}_continuous": continuous, f"{col}_interval": interval})
+
+    def interval(x: Column) -> Column:
+        count = (F.size(x) / F.lit(size)).cast("int")
+        pick = lambda j: F.transform(steps, lambda k: F.element_at(x, (k * count + j + 1).cast("int")))
+        return F.transform(F.sequence(F.lit(0), count - 1), pick)
+
+    return windows.withColumns({f"{col}_continuous": slices(F.col(col), size, size), f"{col}_interval": let(col, interval)})
 
 
 def lookbacks(windows: DataFrame, col: str, pred_len: int, multiples: Sequence[int]) -> DataFrame:

@@ -103,7 +103,7 @@ daily AS (
 
 PAIRS_SQL = """
 pairs AS (
-  SELECT l_returnflag AS series_id, l_linenumber AS h, l_extendedprice AS true,
+  SELECT l_returnflag AS series_id, l_linenumber AS h, l_extendedprice AS actual,
          l_quantity * p_retailprice AS pred, CASE WHEN l_quantity > 10 THEN 1.0 ELSE 0.0 END AS mask
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 

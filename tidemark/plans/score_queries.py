@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import arrays
 from tidemark.operators import anomaly_metrics as am
 from tidemark.operators import forecast_metrics as fm
-from tidemark.operators import ordering, scaling, scoring, windows
+from tidemark.operators import ordering, scoring, windows
 from tidemark.plans.inputs import HOURLY_SQL, PAIRS_SQL, POINTS_SQL, events, hourly, pairs, points, windows_sql
 from tidemark.plans.registry import query, r, rsql
 
@@ -21,7 +22,7 @@ recon AS (
 
 def _recon(spark: SparkSession, sf: str) -> DataFrame:
     """Windows with two stand-in reconstructions: the window mean and the first value."""
-    wins = windows.sliding_windows(points(spark, sf), 24, 24).withColumn("_m", scaling.array_mean(F.col("x")))
+    wins = windows.sliding_windows(points(spark, sf), 24, 24).withColumn("_m", arrays.array_mean(F.col("x")))
     return wins.withColumns(
         {"y": F.transform("x", lambda _: F.col("_m")), "z": F.transform("x", lambda _: F.element_at("x", 1))}
     ).drop("_m")
@@ -29,13 +30,13 @@ def _recon(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "point_errors",
-    f"""WITH {RECON_SQL} SELECT series_id, w_start, CAST(pos AS INTEGER) AS pos, {rsql('(x - y) * (x - y)')} AS mse, {rsql('abs(x - y)')} AS mae,
-        {rsql('0.5 * ((x - y) * (x - y) + abs(x - y))')} AS combined FROM recon""",
+    f"""WITH {RECON_SQL} SELECT series_id, w_start, CAST(pos AS INTEGER) AS pos, {rsql('(x - z) * (x - z)')} AS mse, {rsql('abs(x - z)')} AS mae,
+        {rsql('0.5 * ((x - z) * (x - z) + abs(x - z))')} AS combined FROM recon""",
 )
 def point_errors(spark: SparkSession, sf: str) -> DataFrame:
-    df = _recon(spark, sf).withColumns({k: scoring.array_errors("x", "y", k) for k in ("mse", "mae", "combined")})
+    df = _recon(spark, sf).withColumns({k: scoring.array_errors("x", "z", k) for k in ("mse", "mae", "combined")})
     out = df.select("series_id", "w_start", F.posexplode(F.arrays_zip("mse", "mae", "combined")).alias("pos", "e"))
-    return out.select("series_id", "w_start", "pos", r("e.mse").alias("mse"), r("e.mae").alias("mae"), r("e.combined").alias("combined"))
+    return out.select("series_id", "w_start", "pos", *[r(f"e.{k}").alias(k) for k in ("mse", "mae", "combined")])
 
 
 @query(
@@ -111,9 +112,9 @@ def discrepancy_scores(spark: SparkSession, sf: str) -> DataFrame:
     df = df.withColumn("shifted", shifted)
     df = df.withColumns(
         {
-            "p": F.transform("shifted", lambda s: F.transform(s, lambda v: v / scaling.array_sum(s))),
+            "p": F.transform("shifted", lambda s: F.transform(s, lambda v: v / arrays.array_sum(s))),
             "q": F.transform("shifted", lambda s: F.transform(s, lambda _: F.lit(0.25))),
-            "errors": F.transform("segments", lambda s: scaling.array_mean(F.transform(s, lambda v: v * v))),
+            "errors": F.transform("segments", lambda s: arrays.array_mean(F.transform(s, lambda v: v * v))),
         }
     ).withColumn("score", scoring.discrepancy_score("errors", "p", "q"))
     return df.select("series_id", "w_start", F.posexplode("score").alias("pos", "score")).withColumn("score", r("score", 4))
@@ -157,13 +158,13 @@ def score_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- forecast metrics ------------------------------------------------------------------------------------
 
-E = "true - pred"
+E = "actual - pred"
 BASIC_SQL = {
     "mae": f"avg(abs({E}))",
     "mse": f"avg(({E}) * ({E}))",
     "rmse": f"sqrt(avg(({E}) * ({E})))",
-    "mape": f"avg(abs({E}) / greatest(abs(true), 1e-6))",
-    "mspe": f"avg(pow(({E}) / greatest(abs(true), 1e-6), 2))",
+    "mape": f"avg(abs({E}) / greatest(abs(actual), 1e-6))",
+    "mspe": f"avg(pow(({E}) / greatest(abs(actual), 1e-6), 2))",
 }
 DIGITS = {"mse": 1, "mae": 4, "rmse": 4}
 
@@ -174,8 +175,8 @@ def _metric_sql(items: dict[str, str]) -> str:
 
 @query(
     "forecast_metrics",
-    f"""WITH {PAIRS_SQL}, c AS (SELECT h, avg(true) AS m FROM pairs GROUP BY 1)
-SELECT p.h, {_metric_sql(BASIC_SQL)}, {rsql('sqrt(sum((true - pred) * (true - pred))) / sqrt(sum((true - m) * (true - m)))')} AS rse
+    f"""WITH {PAIRS_SQL}, c AS (SELECT h, avg(actual) AS m FROM pairs GROUP BY 1)
+SELECT p.h, {_metric_sql(BASIC_SQL)}, {rsql('sqrt(sum((actual - pred) * (actual - pred))) / sqrt(sum((actual - m) * (actual - m)))')} AS rse
 FROM pairs p JOIN c ON c.h = p.h GROUP BY 1""",
 )
 def forecast_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,7 +187,7 @@ def forecast_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "forecast_metrics_signed",
     f"WITH {PAIRS_SQL} SELECT series_id, "
-    + _metric_sql({**BASIC_SQL, "mape": "avg(abs((pred - true) / (true + 1e-5)))", "mspe": "avg(pow((pred - true) / (true + 1e-5), 2))"})
+    + _metric_sql({**BASIC_SQL, "mape": "avg(abs((pred - actual) / (actual + 1e-5)))", "mspe": "avg(pow((pred - actual) / (actual + 1e-5), 2))"})
     + " FROM pairs GROUP BY 1",
 )
 def forecast_metrics_signed(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +195,7 @@ def forecast_metrics_signed(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("series_id", *[r(c, DIGITS.get(c, 6)).alias(c) for c in out.columns if c != "series_id"])
 
 
-@query("rse_eps", f"WITH {PAIRS_SQL} SELECT {rsql('sqrt(sum((true - pred) * (true - pred))) / (sqrt(sum((true - m) * (true - m))) + 1e-5)')} AS rse FROM pairs, (SELECT avg(true) AS m FROM pairs)")
+@query("rse_eps", f"WITH {PAIRS_SQL} SELECT {rsql('sqrt(sum((actual - pred) * (actual - pred))) / (sqrt(sum((actual - m) * (actual - m))) + 1e-5)')} AS rse FROM pairs, (SELECT avg(actual) AS m FROM pairs)")
 def rse_eps(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).agg(r(fm.rse(eps=1e-5)).alias("rse"))
 
@@ -202,7 +203,7 @@ def rse_eps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "corr_cells",
     f"""WITH {PAIRS_SQL},
-d AS (SELECT series_id, h, true - avg(true) OVER w AS dt, pred - avg(pred) OVER w AS dp FROM pairs WINDOW w AS (PARTITION BY series_id, h)),
+d AS (SELECT series_id, h, actual - avg(actual) OVER w AS dt, pred - avg(pred) OVER w AS dp FROM pairs WINDOW w AS (PARTITION BY series_id, h)),
 c AS (SELECT series_id, h, sum(dt * dp) / sqrt(sum(dt * dt * dp * dp)) AS c FROM d GROUP BY 1, 2)
 SELECT h, {rsql('avg(c)', 5)} AS corr FROM c GROUP BY 1""",
 )
@@ -212,8 +213,8 @@ def corr_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "masked_percentage_errors",
-    f"""WITH {PAIRS_SQL} SELECT series_id, {rsql('avg(abs((pred - true) * CASE WHEN true = 0 THEN 0 ELSE mask / true END))')} AS mape,
-        {rsql('200 * avg(CASE WHEN abs(pred) + abs(true) = 0 THEN 0 ELSE abs(true - pred) / (abs(pred) + abs(true)) END * mask)')} AS smape FROM pairs GROUP BY 1""",
+    f"""WITH {PAIRS_SQL} SELECT series_id, {rsql('avg(abs((pred - actual) * CASE WHEN actual = 0 THEN 0 ELSE mask / actual END))')} AS mape,
+        {rsql('200 * avg(CASE WHEN abs(pred) + abs(actual) = 0 THEN 0 ELSE abs(actual - pred) / (abs(pred) + abs(actual)) END * mask)')} AS smape FROM pairs GROUP BY 1""",
 )
 def masked_percentage_errors(spark: SparkSession, sf: str) -> DataFrame:
     out = pairs(spark, sf).groupBy("series_id").agg(fm.masked_mape().alias("mape"), fm.smape().alias("smape"))
@@ -235,7 +236,7 @@ def mase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "criteria",
-    f"""WITH {PAIRS_SQL}, s AS (SELECT series_id, (true - pred) / 10000 AS e FROM pairs)
+    f"""WITH {PAIRS_SQL}, s AS (SELECT series_id, (actual - pred) / 10000 AS e FROM pairs)
 SELECT series_id, {rsql('avg(e * e)')} AS mse, {rsql('avg(abs(e))')} AS mae, {rsql('avg(CASE WHEN abs(e) <= 1 THEN e * e / 2 ELSE abs(e) - 0.5 END)')} AS huber FROM s GROUP BY 1""",
 )
 def criteria(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +303,7 @@ def _prf(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: r(c) for c in (cols or ("precision", "recall", "f1"))})
+    return df.withColumns({c: r(c, 9 if c == "threshold" else 6) for c in (cols or ("precision", "recall", "f1"))})
 
 
 @query(
@@ -386,7 +387,7 @@ agg AS (
 ratio AS (SELECT *, tp / (tp + fp + 1e-5) AS p, tp / (tp + fn + 1e-5) AS rc, 2 * (tp / (tp + fp + 1e-5)) * (tp / (tp + fn + 1e-5)) / ((tp / (tp + fp + 1e-5)) + (tp / (tp + fn + 1e-5)) + 1e-5) AS f FROM agg)"""
 
 
-GRID_COLS = f"k, {rsql('t')} AS threshold, tp, tn, fp, fn, {rsql('latency')} AS latency, {rsql('p')} AS precision, {rsql('rc')} AS recall, {rsql('f')} AS f1"
+GRID_COLS = f"k, {rsql('t', 9)} AS threshold, tp, tn, fp, fn, {rsql('latency')} AS latency, {rsql('p')} AS precision, {rsql('rc')} AS recall, {rsql('f')} AS f1"
 GRID_ROUND = ("threshold", "latency", "precision", "recall", "f1")
 
 

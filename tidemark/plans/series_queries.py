@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import calendar
+from tidemark.functions import arrays, calendar
 from tidemark.operators import cleaning, ordering, scaling, splits, windows
 from tidemark.plans.inputs import (
     DAILY_SQL,
@@ -373,7 +373,7 @@ def sliding_windows_single_series(spark: SparkSession, sf: str) -> DataFrame:
     one = ordering.add_index(events(spark, sf).select("event_id", "ts", "x"), keys=[], order=["ts", "event_id"])
     wins = windows.sliding_windows(one, 96, 48, keys=[])
     return wins.select(
-        "w_start", F.size("x").cast("long").alias("n"), r(scaling.array_sum(F.col("x")), 4).alias("total"), F.array_max("x").alias("top")
+        "w_start", F.size("x").cast("long").alias("n"), r(arrays.array_sum(F.col("x")), 4).alias("total"), F.array_max("x").alias("top")
     )
 
 
@@ -444,7 +444,7 @@ def prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
         "series_id",
         "w_start",
         F.size("given").cast("long").alias("given_n"),
-        r(scaling.array_sum(F.col("given"))).alias("given_sum"),
+        r(arrays.array_sum(F.col("given"))).alias("given_sum"),
         r("answer").alias("answer"),
         "attack",
     )
@@ -463,7 +463,7 @@ def windows_by_split(spark: SparkSession, sf: str) -> DataFrame:
     parts = _split_daily(spark, sf).drop("idx")
     dense = ordering.add_index(parts, keys=["series_id", "split"], chunk=ordering.time_chunk("ts", 365 * DAY))
     wins = windows.windows_by_split(dense, 48, cols=["orders"])
-    return wins.select("series_id", "split", "w_start", scaling.array_sum(F.col("orders")).alias("orders"))
+    return wins.select("series_id", "split", "w_start", arrays.array_sum(F.col("orders")).alias("orders"))
 
 
 @query("window_labels", f"WITH {HOURLY_SQL}, {windows_sql('hourly', 24, 24, 'label')} SELECT series_id, CAST(w_start // 24 AS BIGINT) AS w_no, w_start, CAST(pos AS INTEGER) AS pos, label FROM wins")
@@ -585,6 +585,6 @@ def lookbacks(spark: SparkSession, sf: str) -> DataFrame:
 SELECT series_id, CAST(idx AS BIGINT) AS idx, {rsql('avg(d * d)')} AS score FROM s GROUP BY 1, 2""",
 )
 def windows_to_points(spark: SparkSession, sf: str) -> DataFrame:
-    wins = _win24(spark, sf).withColumn("m", scaling.array_mean(F.col("x")))
+    wins = _win24(spark, sf).withColumn("m", arrays.array_mean(F.col("x")))
     scored = wins.withColumn("err", F.transform("x", lambda v: (v - F.col("m")) * (v - F.col("m"))))
     return windows.windows_to_points(scored, "err").withColumn("score", r("score"))
