@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,18 @@ def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pin(df: DataFrame, *cols: str) -> DataFrame:
+    """Compute columns here, below whatever follows.
+
+    A vectorized function must see plain columns: nested lambdas merged into its
+    arguments are not extracted by the planner. A one-element explode is a plan
+    node of its own, so nothing is merged across it.
+    """
+    for c in cols:
+        df = df.withColumn(c, F.explode(F.array(c)))
+    return df
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 

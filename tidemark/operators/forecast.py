@@ -11,11 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.arrays import array_mean, let
+from tidemark.functions.arrays import array_mean, let, pin
 from tidemark.functions.fourier import DOUBLES
 from tidemark.operators.decompose import decompose_window, exponential_smoothing, growth
 from tidemark.operators.spectral import harmonic_curve, harmonics
@@ -97,7 +97,7 @@ def linear_forecast(windows: DataFrame, model: LinearModel, col: str = "x", name
             return pd.Series([], dtype=object)
         return pd.Series(list(_design(np.stack(x.to_numpy()), kernel) @ weights))
 
-    return windows.withColumn(name, predict(col))
+    return pin(windows, col).withColumn(name, predict(col))
 
 
 def harmonic_forecast(windows: DataFrame, length: int, pred_len: int, k: int, col: str = "x", name: str = "pred") -> DataFrame:
@@ -144,10 +144,12 @@ MATRIX = T.ArrayType(DOUBLES)
 DYNAMICS = T.StructType([T.StructField("rec", MATRIX), T.StructField("pred", MATRIX)])
 
 
-def linear_dynamics(features: Column | str, pred_len: int, multi_step: bool = False) -> Column:
+def linear_dynamics(
+    windows: DataFrame, cols: Sequence[str], pred_len: int, multi_step: bool = False, name: str = "dynamics"
+) -> DataFrame:
     """One-step transition of each window by least squares, its reconstruction and roll-forward.
 
-    Input and outputs are arrays (feature, time). ``multi_step`` advances the last
+    The result is a struct of arrays (feature, time). ``multi_step`` advances the last
     ``pred_len`` points by the pred_len-th power of the transition instead of
     stepping from the last point. A transition with NaN is replaced by identity.
     """
@@ -174,10 +176,11 @@ def linear_dynamics(features: Column | str, pred_len: int, multi_step: bool = Fa
         return rec, np.vstack(blocks)[:pred_len]
 
     @F.pandas_udf(DYNAMICS)
-    def run(windows: pd.Series) -> pd.DataFrame:
-        solved = [solve(np.stack(w).astype(float).T) for w in windows]
+    def run(batch: pd.Series) -> pd.DataFrame:
+        solved = [solve(np.stack(w).astype(float).T) for w in batch]
         return pd.DataFrame(
             {"rec": [[row for row in rec.T] for rec, _ in solved], "pred": [[row for row in p.T] for _, p in solved]}
         )
 
-    return run(features)
+    packed = pin(windows.withColumn("_w", F.array(*cols)), "_w")
+    return packed.withColumn(name, run("_w")).drop("_w")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.arrays import pin
 from tidemark.functions.fourier import DOUBLES
 
 LIMIT = 2000  # window length up to which the covariance matrix of PCA stays small
@@ -48,7 +49,7 @@ def low_rank_reconstruction(
         gap = np.stack(x.to_numpy()) - middle
         return pd.Series(list(gap @ basis @ basis.T + middle))
 
-    return windows.withColumn(name, back(col))
+    return pin(windows, col).withColumn(name, back(col))
 
 
 def fit_mixture(windows: DataFrame, k: int, seed: int = 0, col: str = "x") -> GaussianMixtureModel:
@@ -81,7 +82,7 @@ def mixture_score(windows: DataFrame, model: GaussianMixtureModel, col: str = "x
         top = np.max(parts, axis=0)
         return pd.Series(-(top + np.log(np.sum(np.exp(np.asarray(parts) - top), axis=0))))
 
-    return windows.withColumn(name, energy(col))
+    return pin(windows, col).withColumn(name, energy(col))
 
 
 def class_weights(windows: DataFrame, label: str = "label") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import array_sum, let
+from tidemark.functions.arrays import array_sum, let, pin
 from tidemark.functions.fourier import amplitude, circular_correlation, keep_bins, phase, rfft, strongest_part
 
 KEYS = ("series_id",)
@@ -62,7 +62,7 @@ def shared_spectrum(windows: DataFrame, length: int, share: float = 0.2, cols: S
 def spectrum_split(windows: DataFrame, bins: Sequence[int], col: str = "x") -> DataFrame:
     """Invariant part (the given bins) and variant part (the rest) of each window."""
     chosen = F.array(*[F.lit(int(b)) for b in bins])
-    out = windows.withColumn("invariant", keep_bins(F.col(col), chosen))
+    out = pin(windows, col).withColumn("invariant", keep_bins(F.col(col), chosen))
     return out.withColumn("variant", F.zip_with(col, "invariant", lambda x, y: x - y))
 
 
@@ -71,7 +71,7 @@ def dft_split(windows: DataFrame, k: int, col: str = "x") -> DataFrame:
 
     As in the definition with a strict comparison, the weakest of the k bins is cut too.
     """
-    out = windows.withColumn("seasonal", strongest_part(F.col(col), k))
+    out = pin(windows, col).withColumn("seasonal", strongest_part(F.col(col), k))
     return out.withColumn("trend", F.zip_with(col, "seasonal", lambda x, s: x - s))
 
 
@@ -95,7 +95,7 @@ def autocorrelation(windows: DataFrame, query: str = "x", key: str | None = None
 
     The number of lags is int(factor * ln L). Adds ``corr`` and ``lags`` (array of ``lag, corr, weight``).
     """
-    out = windows.withColumn("corr", circular_correlation(query, key or query))
+    out = pin(windows, query, *([key] if key else [])).withColumn("corr", circular_correlation(query, key or query))
     top = F.floor(F.lit(factor) * F.log(F.size("corr").cast("double"))).cast("int")
     ranked = F.slice(
         F.array_sort(F.transform("corr", lambda c, i: F.struct((-c).alias("minus"), i.alias("lag")))), F.lit(1), top
@@ -136,7 +136,7 @@ def delay_aggregation(windows: DataFrame, value: str = "x", lags: str = "lags",
 
 def shared_lags(windows: DataFrame, factor: float = 1.0, length: int = 24, query: str = "x") -> DataFrame:
     """Lags chosen once from the correlation averaged over all windows."""
-    corr = windows.select(F.posexplode(circular_correlation(query, query)).alias("lag", "corr"))
+    corr = pin(windows, query).select(F.posexplode(circular_correlation(query, query)).alias("lag", "corr"))
     mean = corr.groupBy("lag").agg(F.avg("corr").alias("corr"))
     k = int(factor * math.log(length))
     order = Window.orderBy(F.desc("corr"), "lag")  # at most `length` rows
@@ -145,7 +145,7 @@ def shared_lags(windows: DataFrame, factor: float = 1.0, length: int = 24, query
 
 def harmonics(windows: DataFrame, length: int, k: int, col: str = "x") -> DataFrame:
     """Strongest k harmonics of each window as array of ``f, amp, phase`` (constant and Nyquist bins skipped)."""
-    out = windows.withColumn("_s", rfft(col))
+    out = pin(windows, col).withColumn("_s", rfft(col))
     last = length // 2 - 1 if length % 2 == 0 else length // 2
     parts = F.zip_with(amplitude(F.col("_s")), phase(F.col("_s")), lambda a, p: F.struct(a.alias("a"), p.alias("p")))
     indexed = F.transform(

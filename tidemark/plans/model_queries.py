@@ -6,9 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays
 from tidemark.operators import forecast, forecast_metrics, impute, learned, models, scaling, scoring, splits, stationarity, windows
-from tidemark.plans.inputs import DAILY_SQL, HOURLY_SQL, POINTS_SQL, daily, events, hourly, points, shapes, windows_sql
+from tidemark.plans.inputs import DAILY_SQL, POINTS_SQL, daily, points, shapes, windows_sql
 from tidemark.plans.registry import query, r, rsql
 
 WIN_SQL = f"{POINTS_SQL}, {windows_sql('points', 24, 12)}"
@@ -89,9 +88,8 @@ def linear_forecast_direct(spark: SparkSession, sf: str) -> DataFrame:
 def _dynamics(spark: SparkSession, sf: str, multi_step: bool) -> DataFrame:
     wins = windows.sliding_windows(daily(spark, sf), 28, 14, ["orders", "mean"])
     scaled = scaling.normalize_window(scaling.normalize_window(wins, "orders"), "mean")
-    packed = windows.pack_features(scaled, ["orders", "mean"])
-    out = packed.withColumn("d", forecast.linear_dynamics("w", 7, multi_step))
-    steps = out.select("series_id", "w_start", F.posexplode(F.col("d.pred")[0]).alias("h", "pred"))
+    out = forecast.linear_dynamics(scaled, ["orders", "mean"], 7, multi_step)
+    steps = out.select("series_id", "w_start", F.posexplode(F.col("dynamics.pred")[0]).alias("h", "pred"))
     return steps.withColumn("pred", r("pred", 4))
 
 
