@@ -76,22 +76,31 @@ def cumulate(cost: np.ndarray, steps: str, window: int | None) -> np.ndarray:
     raise ValueError(f"unknown step pattern {steps!r}")
 
 
-def trace(table: np.ndarray, steps: str) -> tuple[np.ndarray, np.ndarray]:
-    """Warping path of one pair, walked back from the last cell; ties prefer the first listed move."""
-    moves = {
-        "symmetric": ((1, 1), (1, 0), (0, 1)),
-        "asymmetric": ((1, 0), (1, 1), (1, 2)),
-    }[steps]
-    i, j = table.shape[0] - 1, table.shape[1] - 1
-    path = [(i - 1, j - 1)]
-    while i > 1 or (steps == "symmetric" and j > 1):
-        costs = [table[i - di, j - dj] if i >= di and j >= dj else np.inf for di, dj in moves]
-        di, dj = moves[int(np.argmin(costs))]
-        i, j = i - di, j - dj
-        path.append((i - 1, j - 1))
-    path.reverse()
-    rows, cols = np.array(path).T
-    return rows, cols
+# Moves (rows back, columns back) of each step pattern, in the order ties prefer.
+MOVES = {"symmetric": ((1, 1), (1, 0), (0, 1)), "asymmetric": ((1, 0), (1, 1), (1, 2))}
+
+
+def traces(tables: np.ndarray, steps: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Warping paths of a batch of tables, all walked back from their last cell together."""
+    n, rows, cols = tables.shape
+    pair = np.arange(n)
+    i, j = np.full(n, rows - 1), np.full(n, cols - 1)
+    seen, length = [(i - 1, j - 1)], np.ones(n, dtype=int)
+    moves = np.array(MOVES[steps])
+    while True:
+        active = (i > 1) | (j > 1) if steps == "symmetric" else i > 1
+        if not active.any():
+            break
+        costs = []
+        for di, dj in MOVES[steps]:
+            inside = (i >= di) & (j >= dj)
+            costs.append(np.where(inside, tables[pair, np.maximum(i - di, 0), np.maximum(j - dj, 0)], np.inf))
+        move = moves[np.argmin(costs, axis=0)]
+        i, j = np.where(active, i - move[:, 0], i), np.where(active, j - move[:, 1], j)
+        seen.append((i - 1, j - 1))
+        length += active
+    all_i, all_j = np.array([s[0] for s in seen]), np.array([s[1] for s in seen])
+    return [(all_i[:m, k][::-1], all_j[:m, k][::-1]) for k, m in enumerate(length)]
 
 
 def pair_cost(a: np.ndarray, b: np.ndarray, window: int | None, shape: bool, metric: str = "euclidean") -> np.ndarray:
@@ -121,10 +130,33 @@ def dtw_distances(a: np.ndarray, b: np.ndarray, steps: str, window: int | None,
 def dtw_paths(a: np.ndarray, b: np.ndarray, steps: str, window: int | None, shape: bool = False) -> list:
     out = []
     for _, tables in dtw_tables(a, b, steps, window, shape):
-        out += [trace(t, steps) for t in tables]
+        out += traces(tables, steps)
     return out
 
 
+def grouped(a: list, b: list, fn) -> list:
+    """Apply a batch function to pairs of any lengths, in memory-bounded batches of equal shapes."""
+    groups: dict[tuple, list[int]] = {}
+    for at, (u, v) in enumerate(zip(a, b, strict=True)):
+        groups.setdefault((u.shape, v.shape), []).append(at)
+    out: list = [None] * len(a)
+    for (left, right), members in groups.items():
+        per = max(1, CELLS // (left[0] * right[0]))
+        for begin in range(0, len(members), per):
+            rows = members[begin : begin + per]
+            for at, value in zip(rows, fn(np.stack([a[k] for k in rows]), np.stack([b[k] for k in rows])), strict=True):
+                out[at] = value
+    return out
+
+
+def distances_of(a: list, b: list, steps: str, window: int | None, shape: bool = False) -> list:
+    return grouped(a, b, lambda x, y: dtw_distances(x, y, steps, window, shape))
+
+
+def paths_of(a: list, b: list, steps: str, window: int | None, shape: bool = False) -> list:
+    return grouped(a, b, lambda x, y: dtw_paths(x, y, steps, window, shape))
+
+
 def weighted_dtw(
     a: np.ndarray, b: np.ndarray, metric: str = "euclidean", warp: int = 1, window: int | None = None, weight: float = 1.0
 ) -> np.ndarray:

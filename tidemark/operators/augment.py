@@ -21,7 +21,7 @@ from tidemark.functions import warping
 from tidemark.functions.arrays import array_sum, let, pin
 from tidemark.functions.draws import integer, normal, uniform
 from tidemark.functions.fourier import DOUBLES
-from tidemark.operators.dtw import as_matrix, sample_distances
+from tidemark.operators.dtw import as_matrix, present, sample_distances
 from tidemark.operators.mates import gather_mates, with_mates
 
 ID = "window_id"
@@ -262,6 +262,11 @@ def _default_band(length: int, use_window: bool) -> int | None:
     return int(np.ceil(length / 10.0)) if use_window else None
 
 
+def _lists(x: np.ndarray) -> list:
+    """(time, channel) as channel lists."""
+    return [list(c) for c in x.T]
+
+
 def _unpack(df: DataFrame, cols: Sequence[str], packed: str, *drop: str) -> DataFrame:
     return df.withColumns({c: F.col(packed)[i] for i, c in enumerate(cols)}).drop(packed, *drop)
 
@@ -275,21 +280,17 @@ def spawner(
     """
     window = _default_band(length, True)
 
-    def blend(own: np.ndarray, mate: np.ndarray, at: int) -> np.ndarray:
-        rows, cols_ = [], []
-        for lo, hi in ((0, at), (at, length)):
-            i, j = warping.dtw_paths(own[None, lo:hi], mate[None, lo:hi], "symmetric", window)[0]
-            rows.append(i + lo)
-            cols_.append(j + lo)
-        mean = (own[np.concatenate(rows)] + mate[np.concatenate(cols_)]) / 2
-        return warping.stretch(mean, length)
-
     @F.pandas_udf(CHANNELS)
     def run(own: pd.Series, mate: pd.Series, at: pd.Series) -> pd.Series:
-        out = []
-        for a, b, t in zip(own, mate, at, strict=True):
-            alone = b is None or any(c is None for c in b)
-            out.append([list(c) for c in a] if alone else [list(c) for c in blend(as_matrix(a), as_matrix(b), int(t)).T])
+        out = [_lists(as_matrix(a)) for a in own]
+        rows = [k for k, m in enumerate(mate) if present(m)]
+        a, b = [as_matrix(own.iloc[k]) for k in rows], [as_matrix(mate.iloc[k]) for k in rows]
+        cut = [int(at.iloc[k]) for k in rows]
+        heads = warping.paths_of([x[:t] for x, t in zip(a, cut)], [y[:t] for y, t in zip(b, cut)], "symmetric", window)
+        tails = warping.paths_of([x[t:] for x, t in zip(a, cut)], [y[t:] for y, t in zip(b, cut)], "symmetric", window)
+        for k, x, y, t, (hi, hj), (ti, tj) in zip(rows, a, b, cut, heads, tails):
+            mean = (x[np.concatenate([hi, ti + t])] + y[np.concatenate([hj, tj + t])]) / 2
+            out[k] = _lists(warping.stretch(mean, length))
         return pd.Series(out, dtype=object)
 
     pairs = with_mates(df, 1, ID, label, cols, seed)
@@ -315,14 +316,11 @@ def random_guided_warp(
 
     @F.pandas_udf(CHANNELS)
     def run(own: pd.Series, mate: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(own, mate, strict=True):
-            if b is None or any(c is None for c in b):
-                out.append([list(c) for c in a])
-                continue
-            x, proto = as_matrix(a), as_matrix(b)
-            _, j = warping.dtw_paths(proto[None], x[None], steps, window, shape)[0]
-            out.append([list(c) for c in warping.stretch(x[j], length).T])
+        out = [_lists(as_matrix(a)) for a in own]
+        rows = [k for k, m in enumerate(mate) if present(m)]
+        x, proto = [as_matrix(own.iloc[k]) for k in rows], [as_matrix(mate.iloc[k]) for k in rows]
+        for k, w, (_, j) in zip(rows, x, warping.paths_of(proto, x, steps, window, shape)):
+            out[k] = _lists(warping.stretch(w[j], length))
         return pd.Series(out, dtype=object)
 
     pairs = with_mates(df, 1, ID, label, cols, seed)
@@ -346,31 +344,37 @@ def barycenter(
     """
     window = _default_band(length, use_window)
 
-    def average(s: np.ndarray) -> np.ndarray:
-        d = sample_distances(s[None], steps, window)[0]
-        mid = int(np.argmin(d.sum(axis=1)))
-        nearest = np.sort(d[mid])[1] if len(s) > 1 else 0.0
+    def average(s: np.ndarray, d: np.ndarray, mid: int, nearest: float, paths: dict) -> np.ndarray:
         total, weights = np.zeros_like(s[mid]), np.zeros(len(s[mid]))
         for other in np.argsort(d[mid], kind="stable"):
-            if other == mid or nearest == 0.0:
+            if other not in paths:
                 total += s[mid]
                 weights += 1.0
                 continue
-            i, j = warping.dtw_paths(s[mid][None], s[other][None], steps, window)[0]
+            i, j = paths[other]
             w = np.exp(np.log(0.5) * d[mid, other] / nearest)
             # a point met several times takes the last visit, as one indexed addition does
-            last = {int(a): int(b) for a, b in zip(i, j, strict=True)}
-            rows = np.fromiter(last, int)
-            total[rows] += w * s[other][np.fromiter(last.values(), int)]
-            weights[rows] += w
+            last = dict(zip(i.tolist(), j.tolist(), strict=True))
+            at = np.fromiter(last, int)
+            total[at] += w * s[other][np.fromiter(last.values(), int)]
+            weights[at] += w
         return total / weights[:, None]
 
     @F.pandas_udf(CHANNELS)
     def run(own: pd.Series, mates: pd.Series) -> pd.Series:
-        out = []
-        for a, m in zip(own, mates, strict=True):
-            alone = m is None or not len(m)
-            out.append([list(c) for c in a] if alone else [list(c) for c in average(np.stack([as_matrix(w) for w in m])).T])
+        out = [_lists(as_matrix(a)) for a in own]
+        rows = [k for k, m in enumerate(mates) if m is not None and len(m)]
+        samples = [np.stack([as_matrix(w) for w in mates.iloc[k]]) for k in rows]
+        matrices = sample_distances(samples, steps, window)
+        middle = [int(np.argmin(d.sum(axis=1))) for d in matrices]
+        nearest = [float(d[m, np.argsort(d[m], kind="stable")[1]]) if len(d) > 1 else 0.0 for d, m in zip(matrices, middle)]
+        wanted = [(r, o) for r, s in enumerate(samples) if nearest[r] > 0 for o in range(len(s)) if o != middle[r]]
+        solved = warping.paths_of([samples[r][middle[r]] for r, _ in wanted], [samples[r][o] for r, o in wanted], steps, window)
+        paths: list[dict] = [{} for _ in samples]
+        for (r, o), path in zip(wanted, solved, strict=True):
+            paths[r][o] = path
+        for k, s, d, m, near, p in zip(rows, samples, matrices, middle, nearest, paths):
+            out[k] = _lists(average(s, d, m, near, p))
         return pd.Series(out, dtype=object)
 
     pairs = with_mates(df, batch_size, ID, label, cols, seed, include_self=True)
@@ -400,33 +404,35 @@ def discriminative_warp(
     warped relative to the largest warp of all windows.
     """
     window = _default_band(length, use_window)
-    dist = lambda a, b: warping.dtw_distances(a, b, steps, window, shape)
     grid = np.arange(length)
 
-    def choose(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-        k, m = len(pos), len(neg)
-        inner = np.zeros(k)
-        if k > 1:
-            a, b = np.nonzero(~np.eye(k, dtype=bool))
-            inner = np.bincount(a, dist(pos[a], pos[b]), k) / (k - 1.0)
-        a, b = np.repeat(np.arange(k), m), np.tile(np.arange(m), k)
-        outer = np.bincount(a, dist(pos[a], neg[b]), k) / m
-        return pos[int(np.argmax(outer - inner))]
+    def choose(pos: list[np.ndarray], neg: list[np.ndarray]) -> list[np.ndarray]:
+        """Per row the prototype with the largest (mean distance to others - mean distance to its class)."""
+        a, b, where, share = [], [], [], []
+        for r, (ps, ns) in enumerate(zip(pos, neg, strict=True)):
+            for p in range(len(ps)):
+                for q in range(len(ps)):
+                    if p != q:
+                        a.append(ps[p]), b.append(ps[q]), where.append((r, p)), share.append(-1.0 / (len(ps) - 1))
+                for q in range(len(ns)):
+                    a.append(ps[p]), b.append(ns[q]), where.append((r, p)), share.append(1.0 / len(ns))
+        gain = [np.zeros(len(ps)) for ps in pos]
+        for (r, p), s, d in zip(where, share, warping.distances_of(a, b, steps, window, shape), strict=True):
+            gain[r][p] += s * d
+        return [ps[int(np.argmax(g))] for ps, g in zip(pos, gain, strict=True)]
 
     @F.pandas_udf(WARPED)
     def run(own: pd.Series, positive: pd.Series, negative: pd.Series) -> pd.DataFrame:
-        out, amount = [], []
-        for a, p, n in zip(own, positive, negative, strict=True):
-            x = as_matrix(a)
-            if p is None or n is None or not len(p) or not len(n):
-                out.append([list(c) for c in a])
-                amount.append(0.0)
-                continue
-            proto = choose(np.stack([as_matrix(w) for w in p]), np.stack([as_matrix(w) for w in n]))
-            _, j = warping.dtw_paths(proto[None], x[None], steps, window, shape)[0]
-            out.append([list(c) for c in warping.stretch(x[j], length).T])
+        out, amount = [_lists(as_matrix(a)) for a in own], np.zeros(len(own))
+        has = lambda m: m is not None and len(m) > 0
+        rows = [k for k in range(len(own)) if has(positive.iloc[k]) and has(negative.iloc[k])]
+        stack = lambda m: np.stack([as_matrix(w) for w in m])
+        x = [as_matrix(own.iloc[k]) for k in rows]
+        proto = choose([stack(positive.iloc[k]) for k in rows], [stack(negative.iloc[k]) for k in rows])
+        for k, w, (_, j) in zip(rows, x, warping.paths_of(proto, x, steps, window, shape)):
+            out[k] = _lists(warping.stretch(w[j], length))
             axis = np.interp(grid, np.linspace(0, length - 1.0, num=len(j)), j)
-            amount.append(float(np.abs(grid - axis).sum()))
+            amount[k] = np.abs(grid - axis).sum()
         return pd.DataFrame({"w": pd.Series(out, dtype=object), "amount": amount})
 
     rest = [c for c in df.columns if c != ID]

@@ -27,21 +27,19 @@ def as_matrix(window) -> np.ndarray:
 
 def solve_pairs(a: pd.Series, b: pd.Series, fn: Callable[[np.ndarray, np.ndarray], Sequence]) -> list:
     """Apply a batch solver to pairs grouped by their lengths; null partners give None."""
+    known = [i for i, (u, v) in enumerate(zip(a, b, strict=True)) if present(u) and present(v)]
+    solved = warping.grouped([as_matrix(a.iloc[i]) for i in known], [as_matrix(b.iloc[i]) for i in known], fn)
     out: list = [None] * len(a)
-    groups: dict[tuple[int, int], list[int]] = {}
-    left, right = {}, {}
-    for i, (u, v) in enumerate(zip(a, b, strict=True)):
-        if u is None or v is None or any(c is None for c in v):
-            continue
-        left[i], right[i] = as_matrix(u), as_matrix(v)
-        groups.setdefault((len(left[i]), len(right[i])), []).append(i)
-    for rows in groups.values():
-        solved = fn(np.stack([left[i] for i in rows]), np.stack([right[i] for i in rows]))
-        for i, value in zip(rows, solved, strict=True):
-            out[i] = value
+    for i, value in zip(known, solved, strict=True):
+        out[i] = value
     return out
 
 
+def present(window) -> bool:
+    """False for a missing partner."""
+    return window is not None and all(c is not None for c in window)
+
+
 def _packed(pairs: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
     return pin(pairs.withColumns({"_a": F.array(*a), "_b": F.array(*b)}), "_a", "_b")
 
@@ -101,9 +99,9 @@ def weighted_dtw_distance(
         out = []
         for at in range(0, len(x), per):
             tables = warping.weighted_dtw(x[at : at + per], y[at : at + per], metric, warp, window, weight)
-            for t in tables:
-                steps = zip(*warping.trace(t, "symmetric"), strict=True) if path else ()
-                out.append((float(t[-1, -1]), [{"i": int(i), "j": int(j)} for i, j in steps]))
+            walked = warping.traces(tables, "symmetric") if path else [((), ())] * len(tables)
+            for t, steps in zip(tables, walked, strict=True):
+                out.append((float(t[-1, -1]), [{"i": int(i), "j": int(j)} for i, j in zip(*steps, strict=True)]))
         return out
 
     result = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("p", PATH)])
@@ -118,15 +116,13 @@ def weighted_dtw_distance(
     return out.withColumns(cols).drop("_a", "_b", "_r")
 
 
-def sample_distances(samples: np.ndarray, steps: str, window: int | None) -> np.ndarray:
-    """Distance matrices (row, k, k) of (row, k, time, channel); the diagonal is zero."""
-    n, k = samples.shape[:2]
-    first, second = np.repeat(np.arange(k), k), np.tile(np.arange(k), k)
-    off = first != second
-    a, b = samples[:, first[off]], samples[:, second[off]]
-    flat = warping.dtw_distances(a.reshape(-1, *a.shape[2:]), b.reshape(-1, *b.shape[2:]), steps, window)
-    out = np.zeros((n, k, k))
-    out[:, first[off], second[off]] = flat.reshape(n, -1)
+def sample_distances(samples: list[np.ndarray], steps: str, window: int | None) -> list[np.ndarray]:
+    """Distance matrix of each sample (k, time, channel); all pairs of all samples are solved together."""
+    where = [(r, a, b) for r, s in enumerate(samples) for a in range(len(s)) for b in range(len(s)) if a != b]
+    flat = warping.distances_of([samples[r][a] for r, a, _ in where], [samples[r][b] for r, _, b in where], steps, window)
+    out = [np.zeros((len(s), len(s))) for s in samples]
+    for (r, a, b), d in zip(where, flat, strict=True):
+        out[r][a, b] = d
     return out
 
 
@@ -146,15 +142,13 @@ def medoid(
 
     @F.pandas_udf(MEDOID)
     def run(samples: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s in samples:
-            if s is None or not len(s):
-                rows.append((None, None, None))
-                continue
-            m = sample_distances(np.stack([as_matrix(w) for w in s])[None], steps, window)[0]
+        filled = [i for i, s in enumerate(samples) if s is not None and len(s)]
+        stacks = [np.stack([as_matrix(w) for w in samples.iloc[i]]) for i in filled]
+        rows: list = [(None, None, None)] * len(samples)
+        for i, m in zip(filled, sample_distances(stacks, steps, window), strict=True):
             best = int(np.argmin(m.sum(axis=1)))
             order = np.argsort(m[best], kind="stable")
-            rows.append((best, order.astype(int).tolist(), m[best, order].tolist()))
+            rows[i] = (best, order.astype(int).tolist(), m[best, order].tolist())
         return pd.DataFrame(rows, columns=["medoid", "order", "distances"])
 
     return pin(gathered, mates).withColumn(name, run(mates))

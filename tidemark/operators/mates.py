@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import integer
-from tidemark.operators.ordering import add_index
+from tidemark.operators.ordering import add_index, shuffle_width
 
 BITS = 12  # 4096 hash ranges per class
 
@@ -79,7 +79,8 @@ def with_mates(
     offered = placed.select(
         (F.col("_start") + pos).alias("_g"), F.col(id_col).alias("mate_id"), *[F.col(c).alias(f"mate_{c}") for c in cols]
     )
-    return wanted.join(offered, "_g", "left").drop("_g")
+    # a fixed number of partitions: the solvers behind this join are bound by compute, not bytes
+    return wanted.repartition(shuffle_width(df), "_g").join(offered, "_g", "left").drop("_g")
 
 
 def gather_mates(
@@ -87,7 +88,7 @@ def gather_mates(
 ) -> DataFrame:
     """One row per window with its partners (at most k) as array of (channel, time), ordered by draw."""
     packed = F.when(F.col("mate_id").isNotNull(), F.struct("mate_no", F.array(*[f"mate_{c}" for c in cols]).alias("w")))
-    grouped = pairs.groupBy(id_col).agg(
+    grouped = pairs.repartition(shuffle_width(pairs), id_col).groupBy(id_col).agg(
         *[F.first(c).alias(c) for c in own], F.array_sort(F.collect_list(packed)).alias("_m")
     )
     return grouped.withColumn(name, F.col("_m.w")).drop("_m")
