@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
 from tidemark.operators import decompose, forecast, impute, learned, models, scaling, scoring, spectral, stationarity, windows
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @pytest.fixture(scope="module")
 def series(spark):

@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows
 from tidemark.plans import flows
 from tidemark.sources import readers, sinks, synthetic
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write(path, text):
     path.write_text(text)

@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import sys
+import time
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.operators import models, ordering, windows
 from tidemark.streaming import scoring as stream
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = "series_id string, ts timestamp, x double, reset boolean"
 
 
@@ -89,11 +95,32 @@ def test_hot_series_leaves_in_bounded_segments(spark, tmp_path, inbox):
     assert len(cut) == n - 4 and list(cut[-1].x) == [float(v) for v in range(n - 5, n)]
 
 
-def test_timer_mode_runs(spark, tmp_path, inbox):
+def test_silent_series_is_reset_by_its_timer(spark, tmp_path, inbox):
     box, put = inbox
-    put([("a", i, float(i), False) for i in range(4)])
-    run(stream.buffered_segments(source(spark, box), 3, ttl_ms=60_000), tmp_path)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    out = stream.segment_windows(stream.buffered_segments(source(spark, box), 3, ttl_ms=1500), 3)
+    query = (
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(processingTime="500 milliseconds").start()
+    )
+
+    def rows(expected):
+        for _ in range(60):
+            time.sleep(0.5)
+            assert query.isActive, query.exception()
+            got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).orderBy("ts").collect()
+            if len(got) >= expected:
+                return got
+        raise AssertionError("no output in time")
+
+    try:
+        (tmp_path / "out").mkdir(exist_ok=True)
+        put([("a", i, float(i), False) for i in range(4)])
+        rows(4)
+        time.sleep(6)
+        put([("a", 100, 100.0, False)])
+        assert [r.idx for r in rows(5)] == [0, 1, 2, 3, 0]
+    finally:
+        query.stop()
 
 
 def test_late_rows_are_dropped(spark, tmp_path, inbox):
