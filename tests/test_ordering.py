@@ -112,3 +112,28 @@ def test_schema_contract(spark):
     for bad in (dict(features=["f3"]), dict(features=["f2", "f1"]), dict(features=["f1"], width=2), dict(features=["series_id"])):
         with pytest.raises(cleaning.SchemaError):
             cleaning.validate_schema(df, **bad)
+
+
+def test_one_timestamp_with_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    ts = np.where(rng.random(900) < 0.4, 50, rng.integers(0, 100, 900))
+    pdf = pd.DataFrame({"series_id": rng.integers(0, 2, 900), "ts": ts, "n": rng.permutation(900)})
+    df = spark.createDataFrame(pdf)
+    cut = ordering.range_chunk(df, ["ts", "n"], 8)
+    largest = cut.groupBy("_chunk").count().agg(F.max("count")).first()[0]
+    assert largest < 200
+    got = ordering.add_index(df, order=["ts", "n"], chunk=8).toPandas().sort_values(["series_id", "ts", "n"])
+    assert got["idx"].tolist() == got.groupby("series_id").cumcount().tolist()
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_exact_quantiles(spark, by):
+    from tidemark.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 400), "score": np.round(rng.normal(size=400), 1)})
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = exact_quantiles(spark.createDataFrame(pdf), probs, by=by, chunks=5).toPandas()
+    for row in got.itertuples():
+        part = pdf if not by else pdf[pdf.g == row.g]
+        assert np.allclose(row.quantiles, np.quantile(part["score"], probs))

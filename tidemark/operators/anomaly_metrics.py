@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import idx_chunk, range_chunk, running_totals, with_halo
+from tidemark.operators.quantiles import exact_quantiles
 
 KEYS = ("series_id",)
-BLOCK = 4096
+BLOCK = 1 << 16
 
 # Smoothing constant of the ratios, and the default K grid in percent.
 EPS = 1e-5
@@ -74,16 +75,17 @@ def segment_table(
     )
 
 
-def _spread_back(rows: DataFrame, keys: Sequence[str], aggs: list[Column], totals: dict[str, Column]) -> DataFrame:
-    """Join per-segment totals to the rows of the segment, by (segment, block).
+def _spread_back(rows: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Join per-segment totals to the rows of the segment.
 
-    The partial table has one row per segment and block, so the window that
-    totals it sees blocks instead of rows, and the join key is never hot.
+    Each total is repeated for the blocks its segment touches, so the join runs on
+    (block, segment) and no join key is hot, however long a segment is.
     """
-    partial = rows.where("seg is not null").groupBy(*keys, "seg", "_chunk").agg(*aggs)
-    spec = Window.partitionBy(*keys, "seg")
-    total = partial.select(*keys, "seg", "_chunk", *[c.over(spec).alias(n) for n, c in totals.items()])
-    return rows.join(total, [*keys, "_chunk", "seg"], "left")
+    per_segment = rows.where("seg is not null").groupBy(*keys, "seg").agg(
+        F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to"), *[c.alias(n) for n, c in totals.items()]
+    )
+    spread = per_segment.withColumn("_chunk", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    return rows.join(spread, [*keys, "_chunk", "seg"], "left")
 
 
 def adjust_predictions(
@@ -106,12 +108,7 @@ def adjust_predictions(
     """
     keep_first = (k is None) if keep_first is None else keep_first
     rows = with_segments(df, label, keys, idx, block)
-    joined = _spread_back(
-        rows,
-        keys,
-        [F.sum(pred).alias("_h"), F.count(F.lit(1)).alias("_l")],
-        {"_hits": F.sum("_h"), "_len": F.sum("_l")},
-    )
+    joined = _spread_back(rows, keys, {"_hits": F.sum(pred), "_len": F.count(F.lit(1))})
     enough = F.col("_hits") > 0
     if k is not None:
         enough = enough & (F.col("_hits") * 100.0 >= F.lit(float(k)) * F.col("_len"))
@@ -207,39 +204,51 @@ def grid_metrics(
         "_len", F.sum("_n").over(Window.partitionBy(*keys, "seg"))
     )
     # hits stay constant between one present level and the next lower present one:
-    # a row answers for thresholds lower_level .. level - 1
+    # a row holds for thresholds lower .. level - 1, so it enters the sums at lower
+    # and leaves them at level; K enters through the number of Ks the segment passes
+    is_seg = F.col("seg").isNotNull()
+    k_sorted = sorted(float(k) for k in set(ks))
+    k_array = F.array(*[F.lit(k) for k in k_sorted])
     lower = F.coalesce(F.lead("_level").over(above), F.lit(0))
-    spans = runs.withColumn("_lower", lower).where("_level > _lower").select(
-        *keys, "seg", "_len", "_hits", F.explode(F.sequence(F.col("_lower"), F.col("_level") - 1)).alias("_t")
+    passed = F.size(F.filter(k_array, lambda k: F.col("_hits") * 100.0 >= k * F.col("_len")))
+    spans = runs.withColumns({"_lower": lower, "_passed": F.when(is_seg, passed).otherwise(0)}).where("_level > _lower")
+    edge = lambda t, sign: F.struct(F.col(t).alias("t"), F.lit(sign).alias("sign"))
+    changes = spans.select(
+        *keys, "seg", "_passed", "_len", "_hits", F.explode(F.array(edge("_lower", 1), edge("_level", -1))).alias("_e")
     )
-    table = _threshold_array(ordered)
-    k_col = F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k")
-    is_seg = F.col("seg").isNotNull()
-    per = spans.select("*", k_col)
-    marked = is_seg & (F.col("_hits") > 0) & (F.col("_hits") * 100.0 >= F.col("k") * F.col("_len"))
-    counts = per.groupBy(*keys, "k", "_t").agg(
-        F.sum(F.when(is_seg, F.when(marked, F.col("_len")).otherwise(F.col("_hits"))).otherwise(0)).alias("tp"),
-        F.sum(F.when(~is_seg, F.col("_hits")).otherwise(0)).alias("fp"),
-        F.sum(F.when(marked, F.col("_len") - F.col("_hits")).otherwise(0)).alias("_filled"),
+    amount = lambda cond, value: F.sum(F.when(cond, F.col("_e.sign") * value).otherwise(0))
+    summed = changes.groupBy(*keys, "_passed", F.col("_e.t").alias("_t")).agg(
+        amount(is_seg, F.col("_hits")).alias("_hit"),
+        amount(is_seg, F.col("_len") - F.col("_hits")).alias("_fill"),
+        amount(~is_seg, F.col("_hits")).alias("_fp"),
+    )
+    # from here on at most (thresholds x Ks) rows per key
+    each_k = F.explode(F.sequence(F.lit(1), F.lit(len(k_sorted)))).alias("_j")
+    counts = summed.select("*", each_k).groupBy(*keys, "_j", "_t").agg(
+        F.sum("_hit").alias("_hit"),
+        F.sum(F.when(F.col("_j") <= F.col("_passed"), F.col("_fill")).otherwise(0)).alias("_fill"),
+        F.sum("_fp").alias("_fp"),
     )
     totals = cells.groupBy(*keys).agg(
         F.sum(F.when(is_seg, F.col("_n")).otherwise(0)).alias("_pos"),
         F.sum(F.when(~is_seg, F.col("_n")).otherwise(0)).alias("_neg"),
         F.max("seg").alias("_segs"),
     )
-    # thresholds above every score have no span row: start from the full grid
-    full = totals.select("*", k_col, F.explode(F.sequence(F.lit(0), F.lit(len(ordered) - 1))).alias("_t")).repartition(
-        *keys, "k", "_t"
+    full = totals.select("*", each_k).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(len(ordered) - 1))))
+    upto = Window.partitionBy(*keys, "_j").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto)
+    at = full.join(counts, [*keys, "_j", "_t"], "left").withColumns(
+        {"_hits": run("_hit"), "_filled": run("_fill"), "_false": run("_fp")}
     )
-    out = full.join(counts, [*keys, "k", "_t"], "left").select(
+    out = at.select(
         *keys,
-        "k",
-        F.element_at(table, F.col("_t") + 1).alias("threshold"),
-        F.coalesce("tp", F.lit(0)).cast("double").alias("tp"),
-        (F.col("_neg") - F.coalesce("fp", F.lit(0))).cast("double").alias("tn"),
-        F.coalesce("fp", F.lit(0)).cast("double").alias("fp"),
-        (F.col("_pos") - F.coalesce("tp", F.lit(0))).cast("double").alias("fn"),
-        (F.coalesce("_filled", F.lit(0)) / (F.coalesce("_segs", F.lit(0)) + F.lit(EPS))).alias("latency"),
+        F.element_at(k_array, F.col("_j")).alias("k"),
+        F.element_at(_threshold_array(ordered), F.col("_t") + 1).alias("threshold"),
+        (F.col("_hits") + F.col("_filled")).cast("double").alias("tp"),
+        (F.col("_neg") - F.col("_false")).cast("double").alias("tn"),
+        F.col("_false").cast("double").alias("fp"),
+        (F.col("_pos") - F.col("_hits") - F.col("_filled")).cast("double").alias("fn"),
+        (F.col("_filled") / (F.coalesce("_segs", F.lit(0)) + F.lit(EPS))).alias("latency"),
     )
     return out.withColumns(ratios())
 
@@ -257,9 +266,8 @@ def best_threshold(metrics: DataFrame, keys: Sequence[str] = KEYS, descending: b
 
 
 def quantile_values(df: DataFrame, probabilities: Sequence[float], score: str = "score") -> list[float]:
-    """Exact linear quantiles on the driver: one number per probability."""
-    row = df.agg(F.percentile(score, list(probabilities)).alias("q")).first()
-    return list(row["q"])
+    """Exact linear quantiles as numbers: one per probability reaches the driver."""
+    return list(exact_quantiles(df, probabilities, score).first()["quantiles"])
 
 
 def search_thresholds(
@@ -456,7 +464,7 @@ def best_segment_f1(
     normals = rows.where("seg is null").select(
         *keys, F.col(score).alias("_score"), F.lit(1).cast("long").alias("_len"), F.lit(0).cast("long").alias("_hit"), F.col(idx).alias("_pos_idx")
     )
-    items = range_chunk(segs.unionByName(normals), "_score")
+    items = range_chunk(segs.unionByName(normals), ["_score", "_pos_idx"])
     cum = running_totals(items, keys, ["_score", "_pos_idx"], {"_predicted": F.col("_len"), "tp": F.col("_hit")})
     totals = df.groupBy(*keys).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_all"))
     cum = cum.join(totals, list(keys)) if keys else cum.crossJoin(F.broadcast(totals))  # one row
@@ -479,7 +487,7 @@ def lift_segments(
 ) -> DataFrame:
     """Replace the scores inside each true segment by the segment's maximum."""
     rows = with_segments(df, label, keys, idx)
-    joined = _spread_back(rows, keys, [F.max(score).alias("_m")], {"_max": F.max("_m")})
+    joined = _spread_back(rows, keys, {"_max": F.max(score)})
     return joined.select(*[F.coalesce("_max", score).alias(name) if c == score else F.col(c) for c in df.columns])
 
 

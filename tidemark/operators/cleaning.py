@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import CHUNK, carry_last, series_lengths, with_chunk
+from tidemark.operators.ordering import CHUNK, fill_nearest, series_lengths, with_chunk
 
 
 def discover_features(df: DataFrame, ts: str | None = "ts", keys: Sequence[str] = ("series_id",)) -> list[str]:
@@ -91,9 +91,7 @@ def fill_forward_backward(
     chunk: Column | int | None = None,
 ) -> DataFrame:
     """Forward fill, then backward fill what is still missing at the start."""
-    cut = with_chunk(df, order[0], chunk)
-    forward = carry_last(cut, keys, order, cols)
-    return carry_last(forward, keys, order, cols, backward=True).drop(CHUNK)
+    return fill_nearest(with_chunk(df, order, chunk), keys, order, cols).drop(CHUNK)
 
 
 class SchemaError(ValueError):

@@ -15,6 +15,7 @@ Three ways to cut a series into chunks, all order preserving:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -43,27 +44,57 @@ def shuffle_width(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_chunk(df: DataFrame, col: str, chunks: int | None = None, name: str = CHUNK) -> DataFrame:
-    """Add a chunk number from quantile ranges of ``col``.
-
-    The borders are a bounded set of numbers (one per chunk) taken from Spark's
-    own quantile sketch, then fixed as literals, so every use of the chunk
-    column in one plan agrees. Any borders give the same results; good borders
-    only balance the work.
-    """
-    n = chunks or shuffle_width(df)
+def _number(df: DataFrame, col: str) -> Column | None:
+    """Order-preserving number of a column, or None for types without one."""
     dtype = dict(df.dtypes)[col]
-    number = epoch_micros(col).cast("double") if dtype.startswith(("timestamp", "date")) else F.col(col).cast("double")
-    tmp = f"{name}_value"
+    if dtype.startswith(("timestamp", "date")):
+        return epoch_micros(col).cast("double")
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        return F.col(col).cast("double")
+    return None
+
+
+def _borders(df: DataFrame, number: Column, n: int) -> list[float]:
+    name = "_value"
     probabilities = [i / n for i in range(1, n)]
-    borders = df.select(number.alias(tmp)).approxQuantile(tmp, probabilities, max(1e-4, 1.0 / (8 * n)))
+    return df.select(number.alias(name)).approxQuantile(name, probabilities, max(1e-4, 1.0 / (8 * n)))
+
+
+def _bucket(df: DataFrame, number: Column, borders: Sequence[float], name: str) -> DataFrame:
     splits = [-float("inf"), *sorted(set(borders)), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol=tmp, outputCol=name, handleInvalid="keep")
-    out = bucketizer.transform(df.withColumn(tmp, number)).drop(tmp)
+    cutter = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
+    out = cutter.transform(df.withColumn("_value", number)).drop("_value")
     return out.withColumn(name, F.col(name).cast("long"))
 
 
-def with_chunk(df: DataFrame, order: str, chunk: Column | int | None, name: str = CHUNK) -> DataFrame:
+def range_chunk(df: DataFrame, order: Sequence[str] | str, chunks: int | None = None, name: str = CHUNK) -> DataFrame:
+    """Add a chunk number from quantile ranges of the order columns.
+
+    The borders are a bounded set of numbers (one per chunk) taken from Spark's
+    own quantile sketch, then fixed as literals, so every use of the chunk
+    column in one plan agrees. Any borders give the same results; good borders
+    only balance the work. A value so frequent that it spans several quantiles is
+    cut further by the second order column (the tie breaker).
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    n = chunks or shuffle_width(df)
+    first = _number(df, order[0])
+    if first is None:
+        raise ValueError(f"column {order[0]!r} has no numeric order; give a chunk expression")
+    borders = _borders(df, first, n)
+    out = _bucket(df, first, borders, name)
+    heavy = [v for v, times in Counter(borders).items() if times > 1]
+    second = _number(df, order[1]) if len(order) > 1 else None
+    if not heavy or second is None:
+        return out
+    tied = first.isin(heavy)
+    inner = _bucket(out, second, _borders(df.where(tied), second, n), "_inner")
+    # a heavy value opens its bucket: its rows come before all others of that bucket
+    place = F.when(tied, F.col("_inner")).otherwise(F.lit(n + 1))
+    return inner.withColumn(name, F.col(name) * F.lit(n + 2) + place).drop("_inner")
+
+
+def with_chunk(df: DataFrame, order: Sequence[str] | str, chunk: Column | int | None, name: str = CHUNK) -> DataFrame:
     """Add the chunk column: an expression as given, else quantile ranges."""
     if isinstance(chunk, Column):
         return df.withColumn(name, chunk)
@@ -111,45 +142,42 @@ def add_index(
 
     ``order`` must be unique within a series (add a tie breaker if it is not).
     """
-    cut = with_chunk(df, order[0], chunk)
+    cut = with_chunk(df, order, chunk)
     out = running_totals(cut, keys, list(order), {name: F.lit(1).cast("long")})
     return out.withColumn(name, F.col(name) - 1).drop(CHUNK)
 
 
-def carry_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    cols: Sequence[str],
-    chunk: str = CHUNK,
-    backward: bool = False,
+def fill_nearest(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], chunk: str = CHUNK
 ) -> DataFrame:
-    """Replace nulls by the nearest earlier (or later) non-null value of the series."""
+    """Replace nulls by the nearest earlier non-null value of the series, else by the nearest later one.
+
+    Both directions share one pass over the chunks and one join with the chunk edges.
+    """
     keys = list(keys)
-    spec_in = Window.partitionBy(*keys, chunk).orderBy(*order)
-    spec_up = Window.partitionBy(*keys).orderBy(chunk)
-    if backward:
-        inside = spec_in.rowsBetween(0, Window.unboundedFollowing)
-        across = spec_up.rowsBetween(1, Window.unboundedFollowing)
-        near, edge = F.first, F.min_by
-    else:
-        inside = spec_in.rowsBetween(Window.unboundedPreceding, 0)
-        across = spec_up.rowsBetween(Window.unboundedPreceding, -1)
-        near, edge = F.last, F.max_by
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(chunk)
     position = F.struct(*order)
-    known = df.groupBy(*keys, chunk).agg(
-        *[edge(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_edge_{c}") for c in cols]
-    )
-    carried = known.select(
-        *keys, chunk, *[near(f"_edge_{c}", ignorenulls=True).over(across).alias(f"_carry_{c}") for c in cols]
+    at = lambda c: F.when(F.col(c).isNotNull(), position)
+    edges = df.groupBy(*keys, chunk).agg(
+        *[F.max_by(c, at(c)).alias(f"_hi_{c}") for c in cols], *[F.min_by(c, at(c)).alias(f"_lo_{c}") for c in cols]
     )
-    filled = df.select(
-        *[c for c in df.columns if c not in cols],
-        *[near(c, ignorenulls=True).over(inside).alias(c) for c in cols],
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    after = across.rowsBetween(1, Window.unboundedFollowing)
+    carried = edges.select(
+        *keys,
+        chunk,
+        *[F.last(f"_hi_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in cols],
+        *[F.first(f"_lo_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in cols],
     )
-    return filled.join(carried, [*keys, chunk]).select(
-        *[F.coalesce(F.col(c), F.col(f"_carry_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
+    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    local = df.select(
+        "*",
+        *[F.last(c, ignorenulls=True).over(back).alias(f"_back_{c}") for c in cols],
+        *[F.first(c, ignorenulls=True).over(ahead).alias(f"_ahead_{c}") for c in cols],
     )
+    filled = lambda c: F.coalesce(f"_back_{c}", f"_before_{c}", f"_ahead_{c}", f"_after_{c}").alias(c)
+    return local.join(carried, [*keys, chunk]).select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def with_halo(df: DataFrame, idx: str, rows: int, before: int, after: int, block: str = "_block") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import array_mean, array_sum, array_var_samp, dot, softmax
+from tidemark.operators.quantiles import exact_quantiles
 
 KEYS = ("series_id",)
 
@@ -166,13 +167,10 @@ def sigma_threshold(df: DataFrame, score: str = "score", by: Sequence[str] = (),
 def percentile_threshold(
     df: DataFrame, p: float = 0.95, score: str = "score", by: Sequence[str] = (), approximate: bool = False
 ) -> DataFrame:
-    """Percentile of the scores, linear between neighbours.
-
-    ``percentile`` merges counts of distinct scores; where a group has very many
-    distinct scores, ``approximate`` uses the bounded quantile sketch instead.
-    """
-    fn = F.percentile_approx(score, p, 1_000_000) if approximate else F.percentile(score, p)
-    return df.groupBy(*by).agg(fn.alias("threshold"))
+    """Percentile of the scores, linear between neighbours: exact by rank, or from Spark's quantile sketch."""
+    if approximate:
+        return df.groupBy(*by).agg(F.percentile_approx(score, p, 1_000_000).alias("threshold"))
+    return exact_quantiles(df, [p], score, by).select(*by, F.col("quantiles")[0].alias("threshold"))
 
 
 def flag(df: DataFrame, threshold: DataFrame | float, by: Sequence[str] = (), score: str = "score") -> DataFrame:
