@@ -174,3 +174,15 @@ def test_youden(data):
 def test_recall_falls_with_k(data):
     out = am.grid_metrics(data, [0.5], [0, 50, 100]).toPandas().pivot(index="series_id", columns="k", values="recall")
     assert (out[0.0] >= out[50.0] - 1e-12).all() and (out[50.0] >= out[100.0] - 1e-12).all()
+
+
+def test_staging_in_a_shared_folder_changes_nothing(data, tmp_path, monkeypatch):
+    import tidemark.session as session
+
+    want = am.adjust_predictions(data, k=30).orderBy("series_id", "idx").collect()
+    best = am.best_threshold(am.grid_metrics(data, [0.2, 0.5], [0, 50])).orderBy("series_id", "k").collect()
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    assert am.adjust_predictions(data, k=30).orderBy("series_id", "idx").collect() == want
+    assert am.best_threshold(am.grid_metrics(data, [0.2, 0.5], [0, 50])).orderBy("series_id", "k").collect() == best
+    assert am.composite_metrics(data).count() == len(cases())
+    assert len(list(tmp_path.iterdir())) >= 4

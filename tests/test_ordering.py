@@ -137,3 +137,10 @@ def test_exact_quantiles(spark, by):
     for row in got.itertuples():
         part = pdf if not by else pdf[pdf.g == row.g]
         assert np.allclose(row.quantiles, np.quantile(part["score"], probs))
+
+
+def test_rows_without_a_timestamp_stay(spark):
+    df = spark.createDataFrame([(0, None, 1), (0, 5, 2), (0, None, 3), (0, 1, 4)], "series_id int, ts long, n int")
+    for chunk in (None, F.floor(F.col("ts") / 3)):
+        got = ordering.add_index(df, order=["ts", "n"], chunk=chunk).orderBy("idx").collect()
+        assert [r.n for r in got] == [1, 3, 4, 2] and [r.idx for r in got] == [0, 1, 2, 3]

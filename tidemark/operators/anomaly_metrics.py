@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import idx_chunk, range_chunk, running_totals, with_halo
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import staged
 
 KEYS = ("series_id",)
 BLOCK = 1 << 16
@@ -107,7 +108,7 @@ def adjust_predictions(
     Adds ``filled``: 1 where the adjustment changed the prediction.
     """
     keep_first = (k is None) if keep_first is None else keep_first
-    rows = with_segments(df, label, keys, idx, block)
+    rows = staged(with_segments(df, label, keys, idx, block))
     joined = _spread_back(rows, keys, {"_hits": F.sum(pred), "_len": F.count(F.lit(1))})
     enough = F.col("_hits") > 0
     if k is not None:
@@ -196,7 +197,7 @@ def grid_metrics(
         levelled = df.withColumn("_level", F.when(F.col(score) > F.lit(ordered[0]), 1).otherwise(0))
 
     rows = with_segments(levelled, label, keys, idx, block)
-    cells = rows.groupBy(*keys, "seg", "_level").agg(F.count(F.lit(1)).alias("_n"))
+    cells = staged(rows.groupBy(*keys, "seg", "_level").agg(F.count(F.lit(1)).alias("_n")))
 
     # normal points: false positives at threshold i are the points with level > i
     above = Window.partitionBy(*keys, "seg").orderBy(F.desc("_level"))
@@ -368,7 +369,7 @@ def cumulative_counts(
     Equal scores are merged before anything is ordered; the order itself is cut
     into quantile ranges of the score.
     """
-    tied = df.groupBy(*keys, score).agg(F.sum(label).alias("_pos"), F.sum(1 - F.col(label)).alias("_neg"))
+    tied = staged(df.groupBy(*keys, score).agg(F.sum(label).alias("_pos"), F.sum(1 - F.col(label)).alias("_neg")))
     cut = range_chunk(tied.withColumn("_down", -F.col(score)), "_down", chunks)
     return running_totals(cut, keys, ["_down"], {"tp": F.col("_pos"), "fp": F.col("_neg")}).drop("_chunk", "_down")
 
@@ -377,16 +378,19 @@ def ranking_metrics(
     df: DataFrame, keys: Sequence[str] = KEYS, score: str = "score", label: str = "label", chunks: int | None = None
 ) -> DataFrame:
     """ROC-AUC (ties count half) and average precision; null when only one class is present."""
-    cum = cumulative_counts(df, keys, score, label, chunks)
+    return cumulative_counts(df, keys, score, label, chunks).groupBy(*keys).agg(*_ranking_aggregates())
+
+
+def _ranking_aggregates() -> list[Column]:
     # a tied group adds a trapezoid: its negatives times the mean of the positives before and after
     area = F.sum(F.col("_neg") * (F.col("tp") - F.col("_pos") / 2.0))
     pos, neg = F.sum("_pos"), F.sum("_neg")
     both = (pos > 0) & (neg > 0)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return cum.groupBy(*keys).agg(
+    return [
         F.when(both, area / (pos * neg)).alias("roc_auc"),
         F.when(both, F.sum(F.col("_pos") * precision) / pos).alias("average_precision"),
-    )
+    ]
 
 
 def with_class_totals(cum: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -457,14 +461,14 @@ def best_segment_f1(
     Items (segments and single normal points) are ordered by score, equal scores
     in the order they end; the reported counts are those of the best step.
     """
-    rows = with_segments(df, label, keys, idx)
+    rows = staged(with_segments(df, label, keys, idx))
     segs = rows.where("seg is not null").groupBy(*keys, "seg").agg(
         F.min(score).alias("_score"), F.count(F.lit(1)).alias("_len"), F.max(idx).alias("_pos_idx")
     ).select(*keys, "_score", "_len", F.col("_len").alias("_hit"), "_pos_idx")
     normals = rows.where("seg is null").select(
         *keys, F.col(score).alias("_score"), F.lit(1).cast("long").alias("_len"), F.lit(0).cast("long").alias("_hit"), F.col(idx).alias("_pos_idx")
     )
-    items = range_chunk(segs.unionByName(normals), ["_score", "_pos_idx"])
+    items = range_chunk(staged(segs.unionByName(normals)), ["_score", "_pos_idx"])
     cum = running_totals(items, keys, ["_score", "_pos_idx"], {"_predicted": F.col("_len"), "tp": F.col("_hit")})
     totals = df.groupBy(*keys).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_all"))
     cum = cum.join(totals, list(keys)) if keys else cum.crossJoin(F.broadcast(totals))  # one row
@@ -486,7 +490,7 @@ def lift_segments(
     df: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = KEYS, idx: str = "idx", name: str = "score"
 ) -> DataFrame:
     """Replace the scores inside each true segment by the segment's maximum."""
-    rows = with_segments(df, label, keys, idx)
+    rows = staged(with_segments(df, label, keys, idx))
     joined = _spread_back(rows, keys, {"_max": F.max(score)})
     return joined.select(*[F.coalesce("_max", score).alias(name) if c == score else F.col(c) for c in df.columns])
 
@@ -496,9 +500,10 @@ def composite_metrics(
 ) -> DataFrame:
     """ROC-AUC, average precision and best F1 after negating scores and lifting true segments."""
     lifted = lift_segments(df.withColumn(score, -F.col(score)), score, label, keys, idx)
-    ranking = ranking_metrics(lifted, keys, score, label)
-    best = best_pr_f1(lifted, keys, score, label, EPS).select(*keys, "f1")
-    return ranking.join(best, list(keys)) if keys else ranking.crossJoin(F.broadcast(best))  # one row
+    cum = with_class_totals(cumulative_counts(lifted, keys, score, label), keys)
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("_p")
+    f1 = F.max(2 * precision * recall / (precision + recall + F.lit(EPS))).alias("f1")
+    return cum.groupBy(*keys).agg(*_ranking_aggregates(), f1)
 
 
 def class_guard(metrics: DataFrame, df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, label: str = "label") -> DataFrame:

@@ -64,7 +64,8 @@ def _bucket(df: DataFrame, number: Column, borders: Sequence[float], name: str)
     splits = [-float("inf"), *sorted(set(borders)), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
     out = cutter.transform(df.withColumn("_value", number)).drop("_value")
-    return out.withColumn(name, F.col(name).cast("long"))
+    # a null sorts first, so it gets the chunk before all others
+    return out.withColumn(name, F.coalesce(F.col(name).cast("long"), F.lit(-1).cast("long")))
 
 
 def range_chunk(df: DataFrame, order: Sequence[str] | str, chunks: int | None = None, name: str = CHUNK) -> DataFrame:
@@ -97,7 +98,7 @@ def range_chunk(df: DataFrame, order: Sequence[str] | str, chunks: int | None =
 def with_chunk(df: DataFrame, order: Sequence[str] | str, chunk: Column | int | None, name: str = CHUNK) -> DataFrame:
     """Add the chunk column: an expression as given, else quantile ranges."""
     if isinstance(chunk, Column):
-        return df.withColumn(name, chunk)
+        return df.withColumn(name, F.coalesce(chunk, F.lit(-(1 << 62)).cast("long")))
     return range_chunk(df, order, chunk, name)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import CHUNK, range_chunk, running_totals
+from tidemark.session import staged
 
 
 def exact_quantiles(
@@ -24,7 +25,8 @@ def exact_quantiles(
     totals over ranges of the value) tell which value sits at which rank.
     """
     by = list(by)
-    merged = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    known = df.where(F.col(col).isNotNull())
+    merged = staged(known.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_totals(range_chunk(merged, "_v", chunks), by, ["_v"], {"_upto": F.col("_c")}).drop(CHUNK)
     sizes = merged.groupBy(*by).agg(F.sum("_c").alias("_n"))
     joined = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # without groups: one row
