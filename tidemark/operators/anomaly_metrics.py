@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import idx_chunk, range_chunk, running_totals, with_halo
+from tidemark.operators.ordering import range_chunk, running_totals, with_halo
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import staged
 
@@ -59,8 +59,8 @@ def with_segments(
         with_halo(df, idx, block, 1, 0)
         .withColumn("_new", F.when((F.col(label) > 0) & (F.coalesce(F.lag(label).over(spec), F.lit(0)) == 0), 1).otherwise(0))
         .where("_own")
-        .drop("_block", "_own")
-        .withColumn("_chunk", idx_chunk(idx, block))
+        .drop("_own")
+        .withColumnRenamed("_block", "_chunk")  # an owned row's block: the running totals keep this partitioning
     )
     numbered = running_totals(starts, keys, [idx], {"_seg": F.col("_new")})
     return numbered.withColumn("seg", F.when(F.col(label) > 0, F.col("_seg"))).drop("_seg", "_new")
