@@ -135,7 +135,7 @@ sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM daily)"""
 @query(
     "split_ratio",
     f"""WITH {RATIO_SQL},
-b AS (SELECT DISTINCT series_id, n, CAST(floor(n * 0.7) AS BIGINT) AS tr, n - CAST(floor(n * 0.2) AS BIGINT) AS cut FROM sized),
+b AS (SELECT DISTINCT series_id, n, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS tr, n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS cut FROM sized),
 bounds AS (
   SELECT series_id, 'train' AS split, 0 AS lo, tr AS hi FROM b UNION ALL
   SELECT series_id, 'val', tr - 24, cut FROM b UNION ALL
@@ -146,7 +146,7 @@ def split_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_ratio(daily(spark, sf), history=24).select("series_id", "idx", "split")
 
 
-@query("split_train_valid", f"WITH {RATIO_SQL} SELECT series_id, CAST(idx AS BIGINT) AS idx, CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM sized")
+@query("split_train_valid", f"WITH {RATIO_SQL} SELECT series_id, CAST(idx AS BIGINT) AS idx, CASE WHEN idx < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM sized")
 def split_train_valid(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_train_valid(daily(spark, sf)).select("series_id", "idx", "split")
 
@@ -164,7 +164,7 @@ def row_range(spark: SparkSession, sf: str) -> DataFrame:
 # -- scaling -------------------------------------------------------------------------------------------
 
 SPLIT_SQL = f"""{RATIO_SQL},
-cut AS (SELECT *, CASE WHEN idx < CAST(floor(n * 0.7) AS BIGINT) THEN 'train' WHEN idx < n - CAST(floor(n * 0.2) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM sized),
+cut AS (SELECT *, CASE WHEN idx < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train' WHEN idx < n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM sized),
 fit AS (SELECT series_id, avg(total) AS mt, stddev_pop(total) AS st, min(total) AS lt, max(total) AS ht,
                avg(orders) AS mo, stddev_pop(orders) AS so, min(orders) AS lo, max(orders) AS ho
         FROM cut WHERE split = 'train' GROUP BY 1),

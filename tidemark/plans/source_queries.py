@@ -91,7 +91,7 @@ def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 FLAGSHIP_SQL = f"""WITH {HOURLY_SQL},
 sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM hourly),
-cut AS (SELECT *, idx < CAST(floor(n * 0.7) AS BIGINT) AS train FROM sized),
+cut AS (SELECT *, idx < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS train FROM sized),
 fit AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS s FROM cut WHERE train GROUP BY 1),
 sc AS (SELECT c.series_id, c.idx, c.n, c.train, (c.x - f.m) / f.s AS x FROM cut c JOIN fit f ON f.series_id = c.series_id),
 offs AS (SELECT unnest(range(-12, 13)) AS o),
