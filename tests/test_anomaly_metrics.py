@@ -186,3 +186,12 @@ def test_staging_in_a_shared_folder_changes_nothing(data, tmp_path, monkeypatch)
     assert am.best_threshold(am.grid_metrics(data, [0.2, 0.5], [0, 50])).orderBy("series_id", "k").collect() == best
     assert am.composite_metrics(data).count() == len(cases())
     assert len(list(tmp_path.iterdir())) >= 4
+
+
+def test_one_class_series_give_null_not_an_error(data):
+    for frame in (am.composite_metrics(data), am.best_pr_f1(data), am.roc_points(data), am.youden_metrics(data)):
+        frame.toPandas()
+    guarded = am.class_guard(am.ranking_metrics(data), data, ["roc_auc"]).toPandas().set_index("series_id")
+    for s, (label, _) in enumerate(cases()):
+        assert guarded.loc[s, "one_class"] == (len(set(label)) == 1)
+        assert not guarded.loc[s, "one_class"] or guarded.loc[s, "roc_auc"] == 0

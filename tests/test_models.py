@@ -254,3 +254,14 @@ def test_circular_correlation_definition(spark):
     df = spark.createDataFrame(pd.DataFrame({"q": [q.tolist()], "k": [k.tolist()]}))
     got = df.select(spectral.circular_correlation("q", "k").alias("c")).first().c
     assert np.allclose(got, [sum(q[(i + lag) % 7] * k[i] for i in range(7)) for lag in range(7)])
+
+
+def test_degenerate_series_give_null_statistics(spark):
+    from tidemark.operators import forecast_metrics
+
+    flat = spark.createDataFrame([(0, i, 1.0) for i in range(9)] + [(1, 0, 2.0), (2, 0, 1.0), (2, 1, 3.0)], "series_id int, idx long, x double")
+    assert all(r.stat is None for r in stationarity.adf(flat).collect())
+    pairs = flat.select("series_id", F.col("x").alias("true"), (F.col("x") + 1).alias("pred"), F.lit(1).alias("h"))
+    out = {r.series_id: r for r in forecast_metrics.basic_metrics(pairs, ["series_id"]).collect()}
+    assert out[0].mae == 1.0 and out[0].rse is None
+    assert forecast_metrics.corr(pairs.where("series_id = 0"), ["h"]).first()["corr"] is None

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,8 +187,6 @@ def grid_metrics(
     """
     ordered = sorted(set(float(t) for t in thresholds))
     if len(ordered) > 1:
-        from pyspark.ml.feature import Bucketizer
-
         # score > t  <=>  -score < -t; buckets are closed below, so cut on the negated score
         splits = [-float("inf"), *[-t for t in reversed(ordered)], float("inf")]
         cutter = Bucketizer(splits=splits, inputCol="_neg", outputCol="_bucket", handleInvalid="keep")
@@ -394,7 +393,9 @@ def _ranking_aggregates() -> list[Column]:
 
 
 def with_class_totals(cum: DataFrame, keys: Sequence[str]) -> DataFrame:
-    totals = cum.groupBy(*keys).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    # an absent class gives null rates, not a division by zero
+    size = lambda c: F.nullif(F.sum(c), F.lit(0))
+    totals = cum.groupBy(*keys).agg(size("_pos").alias("_p"), size("_neg").alias("_n"))
     return cum.join(totals, list(keys)) if keys else cum.crossJoin(F.broadcast(totals))  # one row
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import CHUNK, fill_nearest, series_lengths, with_chunk
+from tidemark.operators.ordering import CHUNK, add_index, fill_nearest, series_lengths, with_chunk
 
 
 def discover_features(df: DataFrame, ts: str | None = "ts", keys: Sequence[str] = ("series_id",)) -> list[str]:
@@ -53,8 +53,6 @@ def order_position(
     df: DataFrame, keys: Sequence[str] = ("series_id",), order: Sequence[str] = ("ts",), chunk: Column | int | None = None
 ) -> DataFrame:
     """Time order as a dense position; no global sort is needed to carry the order."""
-    from tidemark.operators.ordering import add_index
-
     return add_index(df, keys, order, chunk)
 
 

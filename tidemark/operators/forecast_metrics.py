@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import with_halo
@@ -55,7 +55,7 @@ def rse(pred: str = "pred", true: str = "true", eps: float = 0.0) -> Column:
     partial (count, mean, M2) states, so one pass is enough.
     """
     spread = F.sqrt(F.var_pop(true) * F.count(true))
-    return F.sqrt(F.sum(_square(F.col(true) - F.col(pred)))) / (spread + F.lit(eps))
+    return F.try_divide(F.sqrt(F.sum(_square(F.col(true) - F.col(pred)))), spread + F.lit(eps))
 
 
 def basic_metrics(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", true: str = "true") -> DataFrame:
@@ -96,7 +96,7 @@ def corr(
     centred = df.join(means, keys)
     dt, dp = F.col(true) - F.col("_mt"), F.col(pred) - F.col("_mp")
     per_cell = centred.groupBy(*keys).agg(
-        (F.sum(dt * dp) / (F.sqrt(F.sum(_square(dt) * _square(dp))) + F.lit(eps))).alias("_c")
+        F.try_divide(F.sum(dt * dp), F.sqrt(F.sum(_square(dt) * _square(dp))) + F.lit(eps)).alias("_c")
     )
     return per_cell.groupBy(*by).agg(F.avg("_c").alias("corr"))
 
@@ -117,8 +117,6 @@ def seasonal_naive_error(
     history: DataFrame, freq: int, col: str = "x", keys: Sequence[str] = ("series_id",), idx: str = "idx"
 ) -> DataFrame:
     """Mean absolute difference of each series to itself ``freq`` steps earlier."""
-    from pyspark.sql import Window
-
     haloed = with_halo(history, idx, max(4096, 8 * freq), freq, 0)
     spec = Window.partitionBy(*keys, "_block").orderBy(idx)
     lagged = haloed.withColumn("_lag", F.lag(col, freq).over(spec)).where("_own")

@@ -27,12 +27,16 @@ def _moments(names: Sequence[str], use: Column, prefix: str) -> list[Column]:
     return out
 
 
+# a constant or very short series has no statistic: null instead of an error
+_ratio = F.try_divide
+
+
 def _fit0(p: str) -> tuple[Column, Column]:
     """(residual sum, t value of the level) without a lagged difference."""
     s = lambda a: F.col(f"{p}{a}")
-    beta = s("yd") / s("yy")
+    beta = _ratio(s("yd"), s("yy"))
     rss = s("dd") - beta * s("yd")
-    t = beta / F.sqrt(rss / (s("n") - 2) / s("yy"))
+    t = _ratio(beta, F.sqrt(_ratio(_ratio(rss, s("n") - 2), s("yy"))))
     return rss, t
 
 
@@ -40,10 +44,10 @@ def _fit1(p: str) -> tuple[Column, Column]:
     """The same with one lagged difference."""
     s = lambda a: F.col(f"{p}{a}")
     det = s("yy") * s("ll") - s("yl") * s("yl")
-    beta = (s("ll") * s("yd") - s("yl") * s("ld")) / det
-    gamma = (s("yy") * s("ld") - s("yl") * s("yd")) / det
+    beta = _ratio(s("ll") * s("yd") - s("yl") * s("ld"), det)
+    gamma = _ratio(s("yy") * s("ld") - s("yl") * s("yd"), det)
     rss = s("dd") - beta * s("yd") - gamma * s("ld")
-    t = beta / F.sqrt(rss / (s("n") - 3) * s("ll") / det)
+    t = _ratio(beta, F.sqrt(_ratio(_ratio(rss, s("n") - 3) * s("ll"), det)))
     return rss, t
 
 
@@ -72,8 +76,8 @@ def adf(
     rss1, stat1 = _fit1("c_")
     _, stat0 = _fit0("a_")
     n = F.col("b_n")
-    aic0 = n * F.log(rss0 / n) + 2 * 2
-    aic1 = n * F.log(rss1 / n) + 2 * 3
+    aic0 = n * F.log(_ratio(rss0, n)) + 2 * 2
+    aic1 = n * F.log(_ratio(rss1, n)) + 2 * 3
     if lag == "aic":
         chosen = F.when(aic1 < aic0, 1).otherwise(0)
     elif lag in (0, 1):
