@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.models import Model, score_windows
+from tidemark.operators.ordering import shuffle_width
 
 SEGMENT = 1024
 ROWS = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -124,8 +125,8 @@ def buffered_segments(
 
 
 def segment_windows(segments: DataFrame, length: int, cols: Sequence[str] = ("x",), partitions: int | None = None) -> DataFrame:
-    """One row per new point: its position, buffer status and, when full, its window (one array per column)."""
-    spread = segments.repartition(partitions) if partitions else segments
+    """Segments spread over tasks, then one row per new point: its position, buffer status and, when full, its window (one array per column)."""
+    spread = segments.repartition(partitions or shuffle_width(segments))
     points = spread.select("series_id", "first", "before", "points", F.posexplode("ts").alias("_k", "ts"))
     end = F.col("before") + F.col("_k") + 1
     filled = F.least(end, F.lit(length))
