@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import phrase_index, secret_scan
+from tidemark.llm import chat_format, line_templates, phrase_index, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secret_scan.listing(F.col("base")), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"),
     )
+
+
+OP5_SQL = f"""WITH d AS (SELECT doc_id, text FROM documents),
+ln AS (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT doc_id, text FROM d)),
+tk AS (SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '[^ \t\r\f]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM ln),
+ms AS (SELECT doc_id, text, pos, ts, len(ts) AS n, array_to_string(ts, ' ') AS m, array_to_string(ts[1:{line_templates.LEADING}], ' ') AS lead FROM tk WHERE len(ts) >= {line_templates.MIN_TOKENS}),
+leaf AS (SELECT n, lead FROM ms GROUP BY ALL HAVING count(DISTINCT m) > 1),
+tok AS (SELECT n, lead, unnest(range(1, n + 1)) AS i, unnest(ts) AS t FROM ms JOIN leaf USING (n, lead)),
+gen AS (SELECT n, lead, 1 AS g FROM (SELECT n, lead, i, count(DISTINCT t) AS c FROM tok GROUP BY ALL) GROUP BY n, lead HAVING avg(CASE WHEN c = 1 THEN 1 ELSE 0 END) >= {line_templates.AGREEMENT}),
+tp AS (SELECT doc_id, text, pos, CASE WHEN g = 1 THEN n || '|' || lead ELSE m || '|' END AS t FROM ms LEFT JOIN gen USING (n, lead)),
+rec AS (SELECT t, min(doc_id) AS f FROM tp GROUP BY t HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
+gone AS (SELECT doc_id, text, pos FROM tp JOIN rec USING (t) WHERE doc_id <> f),
+agg AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+kept AS (SELECT ln.doc_id, string_agg(line, chr(10) ORDER BY ln.pos) AS t FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.pos = ln.pos WHERE gone.pos IS NULL GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.t, '') END AS text, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(agg.n, 0) AS BIGINT) AS n_dropped
+FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
+@query("op5_line_templates", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+
+
+HARD_CASE = r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op7_chat_format",
+    rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{HARD_CASE}'), (-7, 1, 'assistant', '{HARD_CASE}')),
+e AS (SELECT *, regexp_replace(text, '(\\*)(#{{3,}}|</turn>)', '\\\1\2', 'g') AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ') + length(role) + 2 + length(body) + 1 + length('</turn>') + 1) AS BIGINT) AS formatted_chars, true AS faithful
+FROM e GROUP BY conv_id""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2, numPartitions=1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_CASE).alias("text")
+    )
+    made = chat_format.format_conversations(rows.unionByName(hard))
+    back = made.select(
+        "conv_id",
+        chat_format.parse(F.col("formatted")).alias("turns"),
+        chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("learned"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "faithful",
+    )
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "faithful",
+    )
