@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_templates, phrase_index, secret_scan
+from tidemark.llm import chat_format, line_templates, phrase_index, secret_scan, separator_scan, token_blocks
+from tidemark.llm.shared import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +145,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "faithful",
     )
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_blocks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_blocks.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json")).write.parquet(f"{folder}-list")
+    return token_blocks.token_documents(spark, folder)
+
+
+END_OF_TEXT = 50256
+
+
+@query("op9_separator_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "flat")
+    flat = separator_scan.write_flat(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"), END_OF_TEXT)
+    named = stored(flat, "flat-names").withColumn("file", F.substring_index("path", "/", -1))
+    counts = separator_scan.count_tokens(spark, folder, END_OF_TEXT).withColumn("file", F.substring_index("path", "/", -1)).drop("path")
+    return named.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

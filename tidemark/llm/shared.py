@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +70,8 @@ def same_row(a: DataFrame, b: DataFrame, *cols: str) -> Column:
         part = a[c].eqNullSafe(b[c])
         out = part if out is None else out & part
     return out
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker. The functions of this package travel by value, so their own globals end with the task."""
+    return vars(sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state"))).setdefault("kept", {})
