@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_templates, phrase_index, secret_scan, separator_scan, token_blocks
+from tidemark.llm import chat_format, line_templates, phrase_index, secret_scan, separator_scan, token_blocks, vector_dedup
 from tidemark.llm.shared import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = stored(flat, "flat-names").withColumn("file", F.substring_index("path", "/", -1))
     counts = separator_scan.count_tokens(spark, folder, END_OF_TEXT).withColumn("file", F.substring_index("path", "/", -1)).drop("path")
     return named.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@query("op3_vector_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
