@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_templates, phrase_index, secret_scan, separator_scan, token_blocks, vector_dedup
+from tidemark.llm import chat_format, line_templates, order_minhash, phrase_index, secret_scan, separator_scan, token_blocks, vector_dedup
 from tidemark.llm.shared import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_vector_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op4_order_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))
