@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_templates, order_minhash, phrase_index, secret_scan, separator_scan, token_blocks, vector_dedup
+from tidemark.llm import chat_format, language_kernel, line_templates, order_minhash, phrase_index, secret_scan, separator_scan, token_blocks, vector_dedup
 from tidemark.llm.shared import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_order_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_kernel")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = language_kernel.identify(docs.select("doc_id", "text"), language_kernel.learn(docs))
+    return judged.select("doc_id", (language_kernel.remainder("doc_id") == 2).alias("held_out"), "lang_pred", "score")
