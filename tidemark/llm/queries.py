@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_kernel, line_templates, order_minhash, phrase_index, secret_scan, separator_scan, token_blocks, vector_dedup
+from tidemark.llm import (
+    chat_format,
+    language_kernel,
+    line_templates,
+    order_minhash,
+    phrase_index,
+    piece_sampling,
+    secret_scan,
+    separator_scan,
+    token_blocks,
+    vector_dedup,
+)
 from tidemark.llm.shared import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +198,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = language_kernel.identify(docs.select("doc_id", "text"), language_kernel.learn(docs))
     return judged.select("doc_id", (language_kernel.remainder("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_piece_sampling")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    back = piece_sampling.decode(piece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
