@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import worker_state
+from tidemark.llm.shared import carried, worker_state
 
 GRAMS = 3
 BINS = 1 << 14
@@ -179,5 +179,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, sure = predict(model, texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": sure})
 
-    out = docs.withColumn("_judged", judge("text"))
-    return out.select(*[out[c] for c in docs.columns], F.col("_judged")["lang_pred"].alias("lang_pred"), F.col("_judged")["score"].alias("score"))
+    inner, finish = carried(docs, "text")
+    out = inner.withColumn("_judged", judge("text")).withColumns({"lang_pred": F.col("_judged")["lang_pred"], "score": F.col("_judged")["score"]})
+    return finish(out, "lang_pred", "score")

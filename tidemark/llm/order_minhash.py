@@ -17,8 +17,8 @@ groups of up to SMALL representatives pairs are listed, which is at most SMALL /
 times the group. Larger groups are cut into tiles, and each pair of tiles is one
 row of work that returns a spanning forest of its links. No pair is left out.
 
-Defined cases: null and empty texts and texts without words are alone in their
-class; so are rows with null doc_id (class null, kept); rows with one doc_id are one
+Defined cases: null and empty texts are alone in their class; texts without words
+are copies of equal texts only; rows with null doc_id are not compared; rows with one doc_id are one
 document of the graph, all of them stay if it stays; other columns are carried along.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import carried, stored
 from tidemark.llm.vector_dedup import forest
 
 SHINGLE = 5
@@ -125,7 +125,7 @@ def sketches(grams: np.ndarray) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the words; null without words), n (shingles), sketch."""
+    """doc_id, key (digest of the words, or of a text without words; null for no text), n (shingles), sketch."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,7 +133,9 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 words = word_hashes(text)
                 grams = shingles(words)
-                keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).hexdigest() if len(words) else None)
+                # without words the text itself is compared
+                digest = hashlib.blake2b(words.tobytes() if len(words) else b"text" + text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                keys.append(digest if text else None)
                 sizes.append(len(grams))
                 values.append(sketches(grams).view(np.int64) if len(words) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "n": sizes, "sketch": values})
@@ -334,4 +336,5 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class; rows with null doc_id stay."""
     gone = near_classes(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    inner, finish = carried(docs, "doc_id", "text")
+    return finish(inner.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"))

@@ -10,7 +10,7 @@ nothing rarer, and a long list is spread by document. DataFrame functions only.
 
 Defined cases: null or empty text has no words and no hit; null item text gives
 no window; a null item_id counts as the item with id ''; equal rows are equally
-judged; an item repeated in the benchmark counts once. Other columns are ignored.
+judged; an item repeated in the benchmark counts once. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
-from tidemark.llm.shared import ascii_words, broadcast_if_small, stored, text_key, upto
+from tidemark.llm.shared import ascii_words, broadcast_if_small, carried, stored, text_key, upto
 
 WINDOW = 10
 RAREST = 3
@@ -108,7 +108,7 @@ def exact_matches(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         return F.struct(F.size(w).cast("long").alias("n_words"), real.alias("matches"))
 
     return joined.withColumn("_found", let(ascii_words("text"), confirm)).select(
-        *[joined[c] for c in docs.columns], F.col("_found")["n_words"].alias("n_words"), F.col("_found")["matches"].alias("matches")
+        *docs.columns, F.col("_found")["n_words"].alias("n_words"), F.col("_found")["matches"].alias("matches")
     )
 
 
@@ -145,7 +145,8 @@ def lookup_index(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """All columns of ``docs`` plus n_words, matches, n_hit (words under a match), hit_items (sorted ids)."""
     index, lookups, n = lookup_index(docs, items, window, rarest)
-    found = exact_matches(docs, phrase_candidates(index, lookups, n, rarest))
+    inner, finish = carried(docs, "doc_id", "text")
+    found = exact_matches(inner, phrase_candidates(index, lookups, n, rarest))
     spans = F.array_distinct(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))))
     ids = F.sort_array(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"]))))
-    return found.withColumns({"n_hit": covered(spans).cast("long"), "hit_items": ids})
+    return finish(found.withColumns({"n_hit": covered(spans).cast("long"), "hit_items": ids}), "n_words", "matches", "n_hit", "hit_items")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import worker_state
+from tidemark.llm.shared import carried, worker_state
 
 META = 0x2581
 ALPHA = 1.0
@@ -309,8 +309,10 @@ def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key
                 at = end
             yield pd.Series(out, dtype=object)
 
+    inner, finish = carried(docs, *dict.fromkeys(("text", key)))
     # nondeterministic for the planner, so that it is never computed twice
-    return docs.withColumn("piece_ids", draw.asNondeterministic()("text", F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    row_seed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return finish(inner.withColumn("piece_ids", draw.asNondeterministic()("text", row_seed)), "piece_ids")
 
 
 def decode_ids(p: Pieces, ids) -> str:
@@ -328,4 +330,5 @@ def decode(docs: DataFrame, model: str) -> DataFrame:
         for lists in parts:
             yield pd.Series([None if x is None else decode_ids(p, x) for x in lists], dtype=object)
 
-    return docs.withColumn("decoded", join("piece_ids"))
+    inner, finish = carried(docs, "piece_ids")
+    return finish(inner.withColumn("decoded", join("piece_ids")), "decoded")

@@ -121,7 +121,7 @@ FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.
 @query("op5_line_templates", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 HARD_CASE = r"\### Assistant: </turn> ok"

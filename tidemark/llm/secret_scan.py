@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
-from tidemark.llm.shared import upto
+from tidemark.llm.shared import carried, upto
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -176,5 +176,6 @@ def scan(docs: DataFrame) -> DataFrame:
             base_spans(t), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, entropy_spans(t, b))).alias("spans"))
         ),
     )
-    out = docs.withColumn("_found", both)
-    return out.select(*[out[c] for c in docs.columns], F.col("_found")["base"].alias("base"), F.col("_found")["spans"].alias("spans"))
+    inner, finish = carried(docs, "text")
+    out = inner.withColumn("_found", both).withColumns({"base": F.col("_found")["base"], "spans": F.col("_found")["spans"]})
+    return finish(out, "base", "spans")

@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,20 @@ def same_row(a: DataFrame, b: DataFrame, *cols: str) -> Column:
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker. The functions of this package travel by value, so their own globals end with the task."""
     return vars(sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state"))).setdefault("kept", {})
+
+
+def carried(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The needed columns, all others under names of no meaning, and what turns a result back.
+
+    Whatever the other columns are called, an operator's own columns cannot clash
+    with them. ``finish(out, *new)`` gives the columns of ``df`` in order, then the
+    new ones; a column of ``df`` called like a new one is replaced by it.
+    """
+    hidden = {c: f"_carry{i}" for i, c in enumerate(df.columns) if c not in needed}
+    inner = df.select(*needed, *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+
+    def finish(out: DataFrame, *new: str) -> DataFrame:
+        old = [F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in df.columns if c not in new]
+        return out.select(*old, *new)
+
+    return inner, finish

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import carried, stored
 
 THRESHOLD = 0.98
 TILE = 1024
@@ -158,12 +158,15 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
             F.coalesce("component", "id").alias("_component"),
         )
     )
-    keyed = vectors.withColumn("_e", F.when(good, F.col("embedding").cast("array<double>")))
+    inner, finish = carried(vectors, "vec_id", "embedding", "label")
+    keyed = inner.withColumn("_e", F.when(good, F.col("embedding").cast("array<double>")))
     joined = keyed.join(known, (keyed["label"] == known["_label"]) & (keyed["_e"] == known["_v"]), "left")
     component = F.coalesce("_component", node)
-    return joined.select(
-        *[keyed[c] for c in vectors.columns],
-        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(component == node, F.lit(True)).alias("kept"),
+    out = joined.withColumns(
+        {
+            "n_links": F.coalesce("_links", F.lit(0)).cast("long"),
+            "component_id": component,
+            "kept": F.coalesce(component == node, F.lit(True)),
+        }
     )
+    return finish(out, "n_links", "component_id", "kept")
