@@ -165,7 +165,7 @@ def test_youden(data):
             if j > best + 1e-12:
                 best, at = j, t
         if at is None:
-            assert s not in got.index
+            assert np.isnan(got.loc[s, "threshold"]) and got.loc[s, "recall"] == 0 and got.loc[s, "roc_auc"] == 0.5
         else:
             assert got.loc[s, "threshold"] == at
             assert got.loc[s, "f1_micro"] == pytest.approx(((score >= at).astype(int) == label).mean())
@@ -195,3 +195,11 @@ def test_one_class_series_give_null_not_an_error(data):
     for s, (label, _) in enumerate(cases()):
         assert guarded.loc[s, "one_class"] == (len(set(label)) == 1)
         assert not guarded.loc[s, "one_class"] or guarded.loc[s, "roc_auc"] == 0
+
+
+@pytest.mark.parametrize("thresholds", [[0.5], [0.5, 1.5, 3.0]])
+def test_nan_is_above_no_threshold(spark, thresholds):
+    rows = [(1, 0, 1, 2.0), (1, 1, 1, float("nan")), (1, 2, 1, 4.0), (1, 3, 0, float("nan")), (1, 4, 0, None)]
+    df = spark.createDataFrame(rows, "series_id long, idx long, label int, score double")
+    got = am.grid_metrics(df, thresholds, [0]).where("threshold = 0.5").first()
+    assert (got.tp, got.fn, got.fp, got.tn) == (3, 0, 0, 2)

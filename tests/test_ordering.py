@@ -144,3 +144,25 @@ def test_rows_without_a_timestamp_stay(spark):
     for chunk in (None, F.floor(F.col("ts") / 3)):
         got = ordering.add_index(df, order=["ts", "n"], chunk=chunk).orderBy("idx").collect()
         assert [r.n for r in got] == [1, 3, 4, 2] and [r.idx for r in got] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("alpha", [0.9, 0.05, 0.9999, 0.999999])
+def test_exponential_smoothing_keeps_all_history(spark, alpha):
+    n = 3000
+    x = np.zeros(n)
+    x[0], x[7], x[1500] = 1e60, -3.0, 2.0
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "series_id long, idx long, x double")
+    got = decompose.exponential_smoothing(df, alpha, 4.0).toPandas().sort_values("idx")["smoothed"].to_numpy()
+    want, state = [], 4.0
+    for v in x:
+        state = alpha * state + (1 - alpha) * v
+        want.append(state)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-300)
+
+
+def test_nulls_in_averages_and_filters(spark):
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 2.0, None, 4.0, 5.0, 6.0])], "series_id long, idx long, x double")
+    ma = decompose.moving_average(df, [3]).toPandas().sort_values("idx")["ma_3"].tolist()
+    assert np.allclose(ma, [4 / 3, 1.5, 3.0, 4.5, 5.0, 17 / 3])
+    lagged = decompose.causal_filter(df, [1.0, 0.0, 0.0]).toPandas().sort_values("idx")["filtered"].tolist()
+    assert lagged == [0, 0, 1, 2, 0, 4]

@@ -151,8 +151,8 @@ def test_magnitudes(shapes):
     warped = table(augment.magnitude_warp(shapes, 40, COLS, sigma=0.0))
     assert np.allclose(np.stack(warped["a"]), np.stack(base["a"]))
     moved = table(augment.scale_shift_jitter(shapes, COLS))
-    fit = [np.polyfit(o, s, 1, full=True)[1] for s, o in zip(moved["a"], base["a"])]
-    assert all(r < 1e-18 for f in fit for r in f)
+    rest = [np.array(s) - np.polyval(np.polyfit(o, s, 1), o) for s, o in zip(moved["a"], base["a"])]
+    assert np.std(rest) == pytest.approx(0.5, rel=0.15)  # a line per window, and noise of its own at every point
 
 
 @pytest.mark.parametrize("mode", ["equal", "random"])

@@ -160,7 +160,16 @@ def paths_of(a: list, b: list, steps: str, window: int | None, shape: bool = Fal
 def weighted_dtw(
     a: np.ndarray, b: np.ndarray, metric: str = "euclidean", warp: int = 1, window: int | None = None, weight: float = 1.0
 ) -> np.ndarray:
-    """DTW with moves of up to ``warp`` cells and a weight on off-diagonal moves; returns the tables."""
+    """DTW with moves of up to ``warp`` cells and a weight on off-diagonal moves; returns the tables.
+
+    With C the point costs and D the result, inside the band
+
+        D[i, j] = C[i, j] + min(D[i-1, j-1], weight * D[p, j-1], weight * D[i-1, q])
+
+    for p = i .. i+warp-1 and q = j .. j+warp-1, cut at the table's end; D[p, j-1] for
+    p > i is not known yet and stands for C[p, j-1]. Cells with equal warp * i + j
+    depend on earlier such fronts only, so a front of all tables is one step.
+    """
     cost = point_cost(a, b, metric)
     n, r, c = cost.shape
     if window is not None and window < abs(r - c):
@@ -168,15 +177,16 @@ def weighted_dtw(
     inside = np.ones((r, c), bool) if window is None else band(r, c, window)
     table = np.full((n, r + 1, c + 1), np.inf)
     table[:, 0, 0] = 0.0
-    # a cell not reached yet still holds its own cost, as the definition of longer moves requires
     table[:, 1:, 1:] = np.where(inside, cost, np.inf)
-    for i in range(r):
-        for j in np.flatnonzero(inside[i]):
-            best = table[:, i, j]
-            for k in range(1, warp + 1):
-                best = np.minimum(best, table[:, min(i + k, r), j] * weight)
-                best = np.minimum(best, table[:, i, min(j + k, c)] * weight)
-            table[:, i + 1, j + 1] = cost[:, i, j] + best
+    rows, cols = np.nonzero(inside)
+    front = warp * rows + cols
+    order = np.argsort(front, kind="stable")
+    reach = np.arange(1, warp + 1)[:, None]
+    for cells in np.split(order, np.flatnonzero(np.diff(front[order])) + 1):
+        i, j = rows[cells], cols[cells]
+        sideways = table[:, np.minimum(i + reach, r), j].min(axis=1)
+        downward = table[:, i, np.minimum(j + reach, c)].min(axis=1)
+        table[:, i + 1, j + 1] = cost[:, i, j] + np.minimum(table[:, i, j], weight * np.minimum(sideways, downward))
     return table
 
 

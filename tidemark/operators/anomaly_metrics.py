@@ -183,7 +183,7 @@ def grid_metrics(
     Each score is replaced by the number of thresholds below it (its level), and
     rows are counted per (segment, level). A segment then has at most one row
     per threshold, and its hits at each threshold are a running total over
-    levels. No job runs per threshold.
+    levels. No job runs per threshold. A null or NaN score is above no threshold.
     """
     ordered = sorted(set(float(t) for t in thresholds))
     if len(ordered) > 1:
@@ -194,6 +194,8 @@ def grid_metrics(
         levelled = levelled.withColumn("_level", (F.lit(len(ordered)) - F.col("_bucket")).cast("int")).drop("_neg", "_bucket")
     else:
         levelled = df.withColumn("_level", F.when(F.col(score) > F.lit(ordered[0]), 1).otherwise(0))
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    levelled = levelled.withColumn("_level", F.when(known, F.col("_level")).otherwise(0))
 
     rows = with_segments(levelled, label, keys, idx, block)
     cells = staged(rows.groupBy(*keys, "seg", "_level").agg(F.count(F.lit(1)).alias("_n")))
@@ -434,7 +436,8 @@ def youden_metrics(df: DataFrame, keys: Sequence[str] = KEYS, score: str = "scor
     """Threshold with the largest TPR - FPR (highest score first), and the metrics of ``score >= threshold``.
 
     Micro-averaged F1 of hard binary predictions is their accuracy; the ROC-AUC
-    of hard predictions is (TPR + TNR) / 2.
+    of hard predictions is (TPR + TNR) / 2. Where no threshold has a positive gap the
+    threshold is null and nothing is predicted.
     """
     cum = with_class_totals(cumulative_counts(df, keys, score, label), keys)
     # J = tp/P - fp/N compared as integers, so equal gaps tie exactly
@@ -442,12 +445,14 @@ def youden_metrics(df: DataFrame, keys: Sequence[str] = KEYS, score: str = "scor
     best = cum.withColumn("_gap", gap).groupBy(*keys).agg(
         F.max_by(F.struct(F.col(score).alias("threshold"), "tp", "fp", "_p", "_n", "_gap"), F.struct("_gap", score)).alias("_b")
     )
-    row = best.select(*keys, "_b.*").where("_gap > 0")
+    row = best.select(*keys, "_b.*")
+    some = F.col("_gap") > 0
+    row = row.withColumns({"threshold": F.when(some, F.col("threshold")), "tp": F.when(some, F.col("tp")).otherwise(0), "fp": F.when(some, F.col("fp")).otherwise(0)})
     tpr, fpr = F.col("tp") / F.col("_p"), F.col("fp") / F.col("_n")
     return row.select(
         *keys,
         "threshold",
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.lit(0.0)).alias("precision"),
         tpr.alias("recall"),
         ((F.col("tp") + F.col("_n") - F.col("fp")) / (F.col("_p") + F.col("_n"))).alias("f1_micro"),
         ((tpr + 1 - fpr) / 2).alias("roc_auc"),

@@ -12,6 +12,8 @@ from tidemark.functions.arrays import array_sum, let, slices
 from tidemark.operators.ordering import lag_by_index, with_halo
 
 KEYS = ("series_id",)
+CHUNK_ROWS = 1024
+GROUP_DIGITS = 60.0
 
 
 def _odd(kernel: int) -> int:
@@ -21,13 +23,18 @@ def _odd(kernel: int) -> int:
 
 
 def _centred_mean(col: str, kernel: int, spec, idx: str) -> Column:
-    """Mean over a centred frame; missing neighbours count as copies of the edge value."""
+    """Mean over a centred frame; rows beyond an edge count as copies of the edge value.
+
+    A null inside the frame is left out of sum and count; a frame of nulls gives null.
+    """
     half = _odd(kernel)
     frame = spec.rowsBetween(-half, half)
     before = F.greatest(F.lit(half) - F.col(idx), F.lit(0))
-    after = F.lit(kernel) - F.count(col).over(frame) - before
-    total = F.sum(col).over(frame) + before * F.first(col).over(frame) + after * F.last(col).over(frame)
-    return total / F.lit(kernel)
+    after = F.lit(kernel) - F.count(F.lit(1)).over(frame) - before
+    first, last = F.first(col).over(frame), F.last(col).over(frame)
+    total = F.coalesce(F.sum(col).over(frame), F.lit(0.0)) + F.coalesce(before * first, F.lit(0.0)) + F.coalesce(after * last, F.lit(0.0))
+    present = F.count(col).over(frame) + F.when(first.isNotNull(), before).otherwise(0) + F.when(last.isNotNull(), after).otherwise(0)
+    return total / F.nullif(present, F.lit(0))
 
 
 def moving_average(
@@ -93,13 +100,18 @@ def exponential_smoothing(
 ) -> DataFrame:
     """y_t = a^(t+1) v0 + sum_j (1-a) a^(t-j) x_j, optionally plus sum_j a^(t-j+1) aux_j.
 
-    Blocks are long enough that a^rows is far below double precision, so the
-    state entering a block is fully given by the block before it: one equi-join
-    on (series, block) replaces a sequential scan.
+    Rows are cut into chunks of bounded size and chunks into groups over which
+    the weights fall by about GROUP_DIGITS powers of ten, so sums of scaled terms
+    stay in range. A chunk's end is a sum of its rows; its start gathers the earlier
+    chunks of its group by a running sum, and the ends of earlier groups by one
+    equi-join, for as many groups as a double can hold the weight of. Nothing but
+    weights that are zero in double precision is left out.
     """
     if not 0.0 < alpha < 1.0:
         raise ValueError("alpha must lie between 0 and 1")
-    rows = max(64, math.ceil(40.0 / -math.log10(alpha)))
+    span = max(1, math.ceil(GROUP_DIGITS / -math.log10(alpha)))
+    rows = min(CHUNK_ROWS, span)
+    per = math.ceil(span / rows)
     term = F.col(col) * F.lit(1.0 - alpha)
     if aux:
         term = term + F.col(aux) * F.lit(alpha)
@@ -108,12 +120,33 @@ def exponential_smoothing(
     cut = df.withColumn("_block", F.floor(F.col(idx) / F.lit(rows)).cast("long")).withColumn(
         "_at", (F.col(idx) - F.col("_block") * F.lit(rows)).cast("double")
     )
-    ends = cut.groupBy(*keys, (F.col("_block") + 1).alias("_block")).agg(
-        F.sum(term * F.pow(a, F.lit(float(rows - 1)) - F.col("_at"))).alias("_carry")
+    ends = (
+        cut.groupBy(*keys, "_block")
+        .agg(F.sum(term * F.pow(a, F.lit(float(rows - 1)) - F.col("_at"))).alias("_end"))
+        .withColumn("_group", F.floor(F.col("_block") / F.lit(per)).cast("long"))
+        .withColumn("_k", (F.col("_block") - F.col("_group") * F.lit(per)).cast("double"))
+    )
+    # earlier chunks of the group: a ** (rows * (k - 1 - j)) each
+    decay = alpha**rows
+    before = Window.partitionBy(*keys, "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.sum(F.col("_end") * F.pow(F.lit(decay), -F.col("_k"))).over(before) * F.pow(F.lit(decay), F.col("_k") - 1.0)
+    # earlier groups: the state at a group's end, carried on while its weight is above zero
+    whole = ends.groupBy(*keys, "_group").agg(F.sum(F.col("_end") * F.pow(F.lit(decay), F.lit(float(per - 1)) - F.col("_k"))).alias("_sum"))
+    reach = [alpha ** float(rows * per * i) for i in range(8)]
+    reach = [w for w in reach if w > 0.0]
+    carried = (
+        whole.select(*keys, "_group", "_sum", F.posexplode(F.array(*[F.lit(w) for w in reach])).alias("_i", "_w"))
+        .groupBy(*keys, (F.col("_group") + F.col("_i") + 1).alias("_group"))
+        .agg(F.sum(F.col("_sum") * F.col("_w")).alias("_older"))
+    )
+    starts = (
+        ends.withColumn("_inside", F.coalesce(inside, F.lit(0.0)))
+        .join(carried, [*keys, "_group"], "left")
+        .select(*keys, "_block", (F.col("_inside") + F.coalesce("_older", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_k"))).alias("_carry"))
     )
     spec = Window.partitionBy(*keys, "_block").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("_local", F.sum(term * F.pow(a, -F.col("_at"))).over(spec) * F.pow(a, F.col("_at")))
-    joined = local.join(ends, [*keys, "_block"], "left")
+    joined = local.join(starts, [*keys, "_block"], "left")
     value = (
         F.col("_local")
         + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(a, F.col("_at") + 1.0)
@@ -146,12 +179,12 @@ def causal_filter(
     idx: str = "idx",
     name: str = "filtered",
 ) -> DataFrame:
-    """Convolution with a fixed kernel; its last weight belongs to the current point, zeros before the start."""
+    """Convolution with a fixed kernel; its last weight belongs to the current point, zeros before the start and for nulls."""
     size = len(kernel)
     haloed = with_halo(df, idx, max(4096, 8 * size), 0 + size - 1, 0)
     frame = Window.partitionBy(*keys, "_block").orderBy(idx).rowsBetween(-(size - 1), 0)
     weights = F.array(*[F.lit(float(k)) for k in kernel])
-    got = haloed.withColumn("_past", F.collect_list(col).over(frame)).where("_own")
+    got = haloed.withColumn("_past", F.collect_list(F.coalesce(F.col(col), F.lit(0.0))).over(frame)).where("_own")
     tail = F.slice(weights, F.lit(size + 1) - F.size("_past"), F.size("_past"))
     value = array_sum(F.zip_with(F.col("_past"), tail, lambda x, w: x * w))
     return got.select(*df.columns, value.alias(name))

@@ -54,8 +54,9 @@ def score_windows(
     """Run a model over all windows.
 
     ``load`` is called once per task, so weights are read once and not per batch.
-    With ``errors='column'`` a failing batch leaves null output and its message in
-    ``error``; otherwise the job fails.
+    With ``errors='column'`` the windows of a failing batch are run one by one, and
+    only those that fail have null output and a message in ``error``; otherwise the
+    job fails.
     """
     if task not in TASKS:
         raise ValueError(f"unknown task {task!r}")
@@ -66,25 +67,32 @@ def score_windows(
     if errors == "column":
         fields.append(T.StructField("error", T.StringType()))
 
+    def apply(model: Model, batch: pd.DataFrame) -> pd.DataFrame:
+        out = batch[list(keep)].copy()
+        result = np.asarray(model(stack_windows(batch, cols, length)))
+        if len(result) != len(batch):
+            raise ShapeError(f"model returned {len(result)} rows for {len(batch)} windows")
+        out[name] = [list(w.T) for w in result] if matrix else list(result.reshape(len(batch), -1))
+        if errors == "column":
+            out["error"] = None
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
             if not len(batch):
                 continue
-            out = batch[list(keep)].copy()
             try:
-                result = np.asarray(model(stack_windows(batch, cols, length)))
-                if len(result) != len(batch):
-                    raise ShapeError(f"model returned {len(result)} rows for {len(batch)} windows")
-                out[name] = [list(w.T) for w in result] if matrix else list(result.reshape(len(batch), -1))
-                if errors == "column":
-                    out["error"] = None
-            except Exception as e:
+                yield apply(model, batch)
+            except Exception:
                 if errors == "fail":
                     raise
-                out[name] = None
-                out["error"] = f"{type(e).__name__}: {e}"
-            yield out
+                for k in range(len(batch)):
+                    one = batch.iloc[k : k + 1]
+                    try:
+                        yield apply(model, one)
+                    except Exception as e:
+                        yield one[list(keep)].assign(**{name: None, "error": f"{type(e).__name__}: {e}"})
 
     return windows.select(*keep, *cols).mapInPandas(run, T.StructType(fields))
 

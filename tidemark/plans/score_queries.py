@@ -460,13 +460,13 @@ def threshold_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, *GRID_ROUND)
 
 
-PA_THRESHOLDS = "SELECT i, lo + (i + 1) * (hi - lo) / 200 AS t FROM range(0, 200) g(i), (SELECT quantile_cont(score, 0.5) AS lo, quantile_cont(score, 0.99) AS hi FROM scored)"
+PA_THRESHOLDS = "SELECT i, lo + (i + 1) * (hi - lo) / 1000 AS t FROM range(0, 1000) g(i), (SELECT quantile_cont(score, 0.5) AS lo, quantile_cont(score, 0.99) AS hi FROM scored)"
 PA_KS = ", ".join(f"{k}.0" for k in am.K_VALUES)
 
 
 @query("pa_k_table", f"WITH {ALL_SQL}, {_grid_sql(PA_THRESHOLDS, PA_KS)}, {BEST_SQL} SELECT {GRID_COLS} FROM best WHERE rk = 1")
 def pa_k_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(am.pa_k_table(all_events(spark, sf), steps=200, keys=[]), *GRID_ROUND)
+    return _rounded(am.pa_k_table(all_events(spark, sf), keys=[]), *GRID_ROUND)
 
 
 @query(
@@ -476,7 +476,7 @@ t AS (SELECT k, f, lead(k) OVER (ORDER BY k) AS k2, lead(f) OVER (ORDER BY k) AS
 SELECT {rsql('sum((f + f2) / 2 * (k2 - k)) / 100')} AS pa_auc FROM t""",
 )
 def pa_k_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return am.pa_k_auc(am.pa_k_table(all_events(spark, sf), steps=200, keys=[]), keys=[]).select(r("pa_auc").alias("pa_auc"))
+    return am.pa_k_auc(am.pa_k_table(all_events(spark, sf), keys=[]), keys=[]).select(r("pa_auc").alias("pa_auc"))
 
 
 @query(
@@ -523,8 +523,9 @@ def best_pr_f1(spark: SparkSession, sf: str) -> DataFrame:
     "youden_metrics",
     f"""WITH {ERRORS_SQL}, {PR_SQL},
 o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY tp * neg - fp * p DESC, score DESC) AS rk FROM pr)
-SELECT series_id, score AS threshold, {rsql('prec')} AS precision, {rsql('rec')} AS recall, {rsql('(tp + neg - fp) / (p + neg)')} AS f1_micro, {rsql('(tp / p + 1 - fp / neg) / 2')} AS roc_auc
-FROM o WHERE rk = 1 AND tp * neg - fp * p > 0""",
+SELECT series_id, CASE WHEN g THEN score END AS threshold, {rsql('CASE WHEN g THEN prec ELSE 0 END')} AS precision, {rsql('CASE WHEN g THEN rec ELSE 0 END')} AS recall,
+  {rsql('CASE WHEN g THEN (tp + neg - fp) / (p + neg) ELSE neg / (p + neg) END')} AS f1_micro, {rsql('CASE WHEN g THEN (tp / p + 1 - fp / neg) / 2 ELSE 0.5 END')} AS roc_auc
+FROM (SELECT *, tp * neg - fp * p > 0 AS g FROM o WHERE rk = 1 AND p > 0 AND neg > 0)""",
 )
 def youden_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(am.youden_metrics(user_errors(spark, sf)), "precision", "recall", "f1_micro", "roc_auc")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +47,10 @@ def synthetic_random_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; a temporary one only where the session names none (tests)."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="run-")
+    """A new folder under the one that driver and executors share."""
+    base = shared_folder(spark)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
