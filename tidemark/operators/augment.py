@@ -21,8 +21,9 @@ from tidemark.functions import warping
 from tidemark.functions.arrays import array_sum, let, pin
 from tidemark.functions.draws import integer, normal, uniform
 from tidemark.functions.fourier import DOUBLES
-from tidemark.operators.dtw import as_matrix, present, sample_distances
+from tidemark.operators.dtw import as_matrix, packed_distance, packed_path, present, sample_medoids
 from tidemark.operators.mates import gather_mates, with_mates
+from tidemark.session import staged
 
 ID = "window_id"
 X = ("x",)
@@ -239,22 +240,28 @@ def magnitude_warp(
 def time_warp(
     df: DataFrame, length: int, cols: Sequence[str] = X, sigma: float = 0.2, knot: int = 4, seed: int = 0
 ) -> DataFrame:
-    """Resample along a smooth random time axis."""
-    basis = spline_basis(length, knot + 2) * np.linspace(0, length - 1.0, num=knot + 2)
-    grid = np.arange(length)
+    """Resample along a smooth random time axis.
+
+    The axis is a spline through the even knots, each moved by a normal factor, and
+    scaled so that its end stays in place.
+    """
+    even = spline_basis(length, knot + 2) * np.linspace(0, length - 1.0, num=knot + 2)
+    basis = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in even])
+    end = float(length - 1)
+
+    def axis(c: str) -> Column:
+        curve = F.transform(basis, lambda row: array_sum(F.zip_with(row, f"_k_{c}", lambda b, v: b * v)))
+        return let(curve, lambda a: F.transform(a, lambda v: F.least(F.greatest(v * end / F.element_at(a, -1), F.lit(0.0)), F.lit(end))))
 
     @F.pandas_udf(DOUBLES)
-    def run(x: pd.Series, knots: pd.Series) -> pd.Series:
-        out = []
-        for values, k in zip(x, knots, strict=True):
-            axis = basis @ np.asarray(k, dtype=float)
-            axis = np.clip((length - 1) / axis[-1] * axis, 0, length - 1)
-            out.append(np.interp(grid, axis, np.asarray(values, dtype=float)))
-        return pd.Series(out, dtype=object)
+    def resample(x: pd.Series, at: pd.Series) -> pd.Series:
+        grid = np.arange(length)
+        return pd.Series([np.interp(grid, a, v) for a, v in zip(at, x, strict=True)], dtype=object)
 
     drawn = df.withColumns({f"_k_{c}": _knots(c, knot + 2, sigma, seed, "time") for c in cols})
-    drawn = pin(drawn, *cols, *[f"_k_{c}" for c in cols])
-    return drawn.withColumns({c: run(c, f"_k_{c}") for c in cols}).drop(*[f"_k_{c}" for c in cols])
+    drawn = pin(drawn, *[f"_k_{c}" for c in cols]).withColumns({f"_t_{c}": axis(c) for c in cols})
+    drawn = pin(drawn, *cols, *[f"_t_{c}" for c in cols])
+    return drawn.withColumns({c: resample.asNondeterministic()(c, f"_t_{c}") for c in cols}).drop(*[f"_{k}_{c}" for k in "kt" for c in cols])
 
 
 # -- class guided -------------------------------------------------------------------------------------------
@@ -315,19 +322,35 @@ def random_guided_warp(
 ) -> DataFrame:
     """A window re-timed along its warping path to a random class mate."""
     window = _default_band(length, use_window)
+    pairs = with_mates(df, 1, ID, label, cols, seed)
+    mate = F.array(*[f"mate_{c}" for c in cols])
+    packed = pairs.withColumns({"_a": F.array(*cols), "_b": F.when(F.col("mate_id").isNotNull(), mate)})
+    return _retimed(packed, "_b", "_a", length, cols, steps, window, shape).select(*df.columns)
 
-    @F.pandas_udf(CHANNELS)
-    def run(own: pd.Series, mate: pd.Series) -> pd.Series:
-        out = [_lists(as_matrix(a)) for a in own]
-        rows = [k for k, m in enumerate(mate) if present(m)]
-        x, proto = [as_matrix(own.iloc[k]) for k in rows], [as_matrix(mate.iloc[k]) for k in rows]
-        for k, w, (_, j) in zip(rows, x, warping.paths_of(proto, x, steps, window, shape)):
-            out[k] = _lists(warping.stretch(w[j], length))
-        return pd.Series(out, dtype=object)
 
-    pairs = with_mates(df, 1, ID, label, cols, seed)
-    packed = pin(pairs.withColumns({"_a": F.array(*cols), "_b": F.array(*[f"mate_{c}" for c in cols])}), "_a", "_b")
-    return _unpack(packed.withColumn("_o", run("_a", "_b")), cols, "_o", "_a", "_b").select(*df.columns)
+WARPED = T.StructType([T.StructField("w", CHANNELS), T.StructField("amount", T.DoubleType())])
+
+
+def _retimed(
+    df: DataFrame, proto: str, own: str, length: int, cols: Sequence[str], steps: str, window: int | None, shape: bool
+) -> DataFrame:
+    """Replace ``cols`` by the own window along its path to the prototype, stretched; adds how far it was warped.
+
+    Without a prototype the window stays.
+    """
+
+    @F.pandas_udf(WARPED)
+    def follow(p: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out, amount = [_lists(as_matrix(x)) for x in w], np.zeros(len(w))
+        rows = [k for k, x in enumerate(p) if present(x)]
+        x, y = [as_matrix(w.iloc[k]) for k in rows], [as_matrix(p.iloc[k]) for k in rows]
+        for k, v, (_, j) in zip(rows, x, warping.paths_of(y, x, steps, window, shape)):
+            out[k] = _lists(warping.stretch(v[j], length))
+            amount[k] = np.abs(np.arange(length) - warping.stretch(np.asarray(j, float)[:, None], length)[:, 0]).sum()
+        return pd.DataFrame({"w": pd.Series(out, dtype=object), "amount": amount})
+
+    got = pin(pin(df, proto, own).withColumn("_r", follow.asNondeterministic()(proto, own)), "_r")
+    return got.withColumns({**{c: F.col("_r.w")[i] for i, c in enumerate(cols)}, "warp_amount": F.col("_r.amount")}).drop("_r")
 
 
 def barycenter(
@@ -342,50 +365,32 @@ def barycenter(
 ) -> DataFrame:
     """Weighted warped average of a class sample around its medoid.
 
-    Weights halve at the distance of the medoid's nearest neighbour.
+    Weights halve at the distance of the medoid's nearest neighbour; the medoid itself has
+    weight one, and stands alone where that distance is zero. A point of the medoid
+    takes from each sample the last point its path meets there.
     """
     window = _default_band(length, use_window)
-
-    def average(s: np.ndarray, d: np.ndarray, mid: int, nearest: float, paths: dict) -> np.ndarray:
-        total, weights = np.zeros_like(s[mid]), np.zeros(len(s[mid]))
-        for other in np.argsort(d[mid], kind="stable"):
-            if other not in paths:
-                total += s[mid]
-                weights += 1.0
-                continue
-            i, j = paths[other]
-            w = np.exp(np.log(0.5) * d[mid, other] / nearest)
-            # a point met several times takes the last visit, as one indexed addition does
-            last = dict(zip(i.tolist(), j.tolist(), strict=True))
-            at = np.fromiter(last, int)
-            total[at] += w * s[other][np.fromiter(last.values(), int)]
-            weights[at] += w
-        return total / weights[:, None]
-
-    @F.pandas_udf(CHANNELS)
-    def run(own: pd.Series, mates: pd.Series) -> pd.Series:
-        out = [_lists(as_matrix(a)) for a in own]
-        rows = [k for k, m in enumerate(mates) if m is not None and len(m)]
-        samples = [np.stack([as_matrix(w) for w in mates.iloc[k]]) for k in rows]
-        matrices = sample_distances(samples, steps, window)
-        middle = [int(np.argmin(d.sum(axis=1))) for d in matrices]
-        nearest = [float(d[m, np.argsort(d[m], kind="stable")[1]]) if len(d) > 1 else 0.0 for d, m in zip(matrices, middle)]
-        wanted = [(r, o) for r, s in enumerate(samples) if nearest[r] > 0 for o in range(len(s)) if o != middle[r]]
-        solved = warping.paths_of([samples[r][middle[r]] for r, _ in wanted], [samples[r][o] for r, o in wanted], steps, window)
-        paths: list[dict] = [{} for _ in samples]
-        for (r, o), path in zip(wanted, solved, strict=True):
-            paths[r][o] = path
-        for k, s, d, m, near, p in zip(rows, samples, matrices, middle, nearest, paths):
-            out[k] = _lists(average(s, d, m, near, p))
-        return pd.Series(out, dtype=object)
-
     pairs = with_mates(df, batch_size, ID, label, cols, seed, include_self=True)
-    rows = gather_mates(pairs, ID, cols, [c for c in df.columns if c != ID]).withColumn("_a", F.array(*cols))
-    out = pin(rows, "_a", "mates").withColumn("_o", run("_a", "mates"))
-    return _unpack(out, cols, "_o", "_a", "mates").select(*df.columns)
-
-
-WARPED = T.StructType([T.StructField("w", CHANNELS), T.StructField("amount", T.DoubleType())])
+    rows = gather_mates(pairs, ID, cols, [c for c in df.columns if c != ID])
+    found = rows.select(ID, "mates").join(sample_medoids(rows, "mates", steps, window, ID), ID)
+    centred = found.withColumn("_u", F.get("mates", F.col("medoid")))
+    nearest = F.get("near", F.lit(1))["d"]
+    others = (
+        centred.where(nearest > 0)
+        .select(ID, "_u", "mates", "medoid", nearest.alias("_n"), F.explode("near").alias("_o"))
+        .where("_o.q <> medoid")
+        .select(ID, "_u", F.get("mates", F.col("_o.q")).alias("_v"), F.pow(F.lit(0.5), F.col("_o.d") / F.col("_n")).alias("weight"))
+    )
+    path = F.col("path")
+    last = F.filter(path, lambda s, k: F.coalesce(F.get(path, k + 1)["i"] != s["i"], F.lit(True)))
+    met = packed_path(others, "_u", "_v", steps, window).select(ID, "_v", "weight", F.explode(last).alias("_s"))
+    taken = met.select(ID, F.col("_s.i").alias("i"), "weight", *[(F.col("weight") * F.get(F.get("_v", F.lit(c)), F.col("_s.j"))).alias(f"v{c}") for c in range(len(cols))])
+    points = centred.select(ID, F.posexplode(F.arrays_zip(*[F.get("_u", F.lit(c)).alias(f"v{c}") for c in range(len(cols))])).alias("i", "_p"))
+    base = points.select(ID, "i", F.lit(1.0).alias("weight"), *[F.col(f"_p.v{c}").alias(f"v{c}") for c in range(len(cols))])
+    sums = base.unionByName(taken).groupBy(ID, "i").agg(*[(F.sum(f"v{c}") / F.sum("weight")).alias(f"v{c}") for c in range(len(cols))])
+    means = sums.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("i", *[f"v{c}" for c in range(len(cols))]))).alias("_m"))
+    joined = df.join(means, ID, "left")
+    return joined.withColumns({c: F.coalesce(F.col("_m")[f"v{i}"], F.col(c)) for i, c in enumerate(cols)}).select(*df.columns)
 
 
 def discriminative_warp(
@@ -402,48 +407,27 @@ def discriminative_warp(
 ) -> DataFrame:
     """A window re-timed to the class mate that is closest to its class and farthest from the others.
 
-    With ``variable_slice`` the result is sliced and stretched, less the more it was
-    warped relative to the largest warp of all windows.
+    A mate's gain is its mean distance to the drawn windows of other classes less that to
+    the other drawn mates; of equal gains the first drawn wins. With ``variable_slice``
+    the result is sliced and stretched, less the more it was warped relative to the
+    largest warp of all windows.
     """
     window = _default_band(length, use_window)
-    grid = np.arange(length)
-
-    def choose(pos: list[np.ndarray], neg: list[np.ndarray]) -> list[np.ndarray]:
-        """Per row the prototype with the largest (mean distance to others - mean distance to its class)."""
-        a, b, where, share = [], [], [], []
-        for r, (ps, ns) in enumerate(zip(pos, neg, strict=True)):
-            for p in range(len(ps)):
-                for q in range(len(ps)):
-                    if p != q:
-                        a.append(ps[p]), b.append(ps[q]), where.append((r, p)), share.append(-1.0 / (len(ps) - 1))
-                for q in range(len(ns)):
-                    a.append(ps[p]), b.append(ns[q]), where.append((r, p)), share.append(1.0 / len(ns))
-        gain = [np.zeros(len(ps)) for ps in pos]
-        for (r, p), s, d in zip(where, share, warping.distances_of(a, b, steps, window, shape), strict=True):
-            gain[r][p] += s * d
-        return [ps[int(np.argmax(g))] for ps, g in zip(pos, gain, strict=True)]
-
-    @F.pandas_udf(WARPED)
-    def run(own: pd.Series, positive: pd.Series, negative: pd.Series) -> pd.DataFrame:
-        out, amount = [_lists(as_matrix(a)) for a in own], np.zeros(len(own))
-        has = lambda m: m is not None and len(m) > 0
-        rows = [k for k in range(len(own)) if has(positive.iloc[k]) and has(negative.iloc[k])]
-        stack = lambda m: np.stack([as_matrix(w) for w in m])
-        x = [as_matrix(own.iloc[k]) for k in rows]
-        proto = choose([stack(positive.iloc[k]) for k in rows], [stack(negative.iloc[k]) for k in rows])
-        for k, w, (_, j) in zip(rows, x, warping.paths_of(proto, x, steps, window, shape)):
-            out[k] = _lists(warping.stretch(w[j], length))
-            axis = np.interp(grid, np.linspace(0, length - 1.0, num=len(j)), j)
-            amount[k] = np.abs(grid - axis).sum()
-        return pd.DataFrame({"w": pd.Series(out, dtype=object), "amount": amount})
-
     rest = [c for c in df.columns if c != ID]
     pos = gather_mates(with_mates(df, -(-batch_size // 2), ID, label, cols, seed), ID, cols, rest, "_pos")
     neg = gather_mates(with_mates(df, batch_size // 2, ID, label, cols, seed, other_class=True), ID, cols, [], "_neg")
-    rows = pos.join(neg, ID).withColumn("_a", F.array(*cols))
-    warped = pin(rows, "_a", "_pos", "_neg").withColumn("_r", run("_a", "_pos", "_neg"))
-    out = warped.withColumns({**{c: F.col("_r.w")[i] for i, c in enumerate(cols)}, "warp_amount": F.col("_r.amount")})
-    out = out.select(*df.columns, "warp_amount")
+    rows = staged(pos.join(neg, ID).withColumn("_a", F.array(*cols)))
+    marked = lambda c, same: F.transform(c, lambda w, q: F.struct(w.alias("w"), q.alias("q"), F.lit(same).alias("same")))
+    against = rows.where((F.size("_pos") > 0) & (F.size("_neg") > 0)).withColumn("_all", F.concat(marked("_pos", True), marked("_neg", False)))
+    pairs = against.select(ID, "_all", F.posexplode("_pos").alias("p", "_u")).select(ID, "p", "_u", F.explode("_all").alias("_o"))
+    pairs = pairs.where(~F.col("_o.same") | (F.col("_o.q") != F.col("p"))).withColumn("_v", F.col("_o.w"))
+    solved = packed_distance(pairs.select(ID, "p", "_u", "_v", F.col("_o.same").alias("same")), "_u", "_v", steps, window, shape, "d")
+    mean = lambda same: F.coalesce(F.avg(F.when(F.col("same") == same, F.col("d"))), F.lit(0.0))
+    gains = solved.groupBy(ID, "p").agg((mean(False) - mean(True)).alias("gain"))
+    chosen = gains.groupBy(ID).agg(F.max_by("p", F.struct("gain", -F.col("p"))).alias("_best"))
+    guided = rows.join(chosen, ID, "left").withColumn("_proto", F.get("_pos", F.col("_best")))
+    out = _retimed(guided, "_proto", "_a", length, cols, steps, window, shape).select(*df.columns, "warp_amount")
+    out = staged(out)
     if not variable_slice:
         return out.drop("warp_amount")
     # the largest warp of all windows is one row

@@ -44,6 +44,29 @@ def _packed(pairs: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
     return pin(pairs.withColumns({"_a": F.array(*a), "_b": F.array(*b)}), "_a", "_b")
 
 
+def packed_distance(
+    df: DataFrame, a: str, b: str, steps: str, window: int | None, shape: bool = False, name: str = "distance"
+) -> DataFrame:
+    """Distance of the windows (channel, time) in two columns."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(solve_pairs(u, v, lambda x, y: warping.dtw_distances(x, y, steps, window, shape)), dtype=float)
+
+    return pin(pin(df, a, b).withColumn(name, run.asNondeterministic()(a, b)), name)
+
+
+def packed_path(df: DataFrame, a: str, b: str, steps: str, window: int | None, shape: bool = False, name: str = "path") -> DataFrame:
+    """Warping path, an array of (i, j), of the windows in two columns."""
+
+    @F.pandas_udf(PATH)
+    def run(u: pd.Series, v: pd.Series) -> pd.Series:
+        paths = solve_pairs(u, v, lambda x, y: warping.dtw_paths(x, y, steps, window, shape))
+        return pd.Series([None if p is None else [{"i": int(i), "j": int(j)} for i, j in zip(*p, strict=True)] for p in paths])
+
+    return pin(pin(df, a, b).withColumn(name, run.asNondeterministic()(a, b)), name)
+
+
 def dtw_distance(
     pairs: DataFrame,
     a: Sequence[str] = ("x",),
@@ -54,12 +77,8 @@ def dtw_distance(
     name: str = "distance",
 ) -> DataFrame:
     """Distance of each pair; ``shape`` compares local neighbourhoods instead of points."""
-
-    @F.pandas_udf(T.DoubleType())
-    def run(u: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series(solve_pairs(u, v, lambda x, y: warping.dtw_distances(x, y, steps, window, shape)), dtype=float)
-
-    return _packed(pairs, a, b).withColumn(name, run("_a", "_b")).drop("_a", "_b")
+    packed = pairs.withColumns({"_a": F.array(*a), "_b": F.array(*b)})
+    return packed_distance(packed, "_a", "_b", steps, window, shape, name).drop("_a", "_b")
 
 
 def dtw_path(
@@ -72,13 +91,8 @@ def dtw_path(
     name: str = "path",
 ) -> DataFrame:
     """Warping path of each pair as array of (i, j)."""
-
-    @F.pandas_udf(PATH)
-    def run(u: pd.Series, v: pd.Series) -> pd.Series:
-        paths = solve_pairs(u, v, lambda x, y: warping.dtw_paths(x, y, steps, window, shape))
-        return pd.Series([None if p is None else [{"i": int(i), "j": int(j)} for i, j in zip(*p, strict=True)] for p in paths])
-
-    return _packed(pairs, a, b).withColumn(name, run("_a", "_b")).drop("_a", "_b")
+    packed = pairs.withColumns({"_a": F.array(*a), "_b": F.array(*b)})
+    return packed_path(packed, "_a", "_b", steps, window, shape, name).drop("_a", "_b")
 
 
 def weighted_dtw_distance(
@@ -116,39 +130,35 @@ def weighted_dtw_distance(
     return out.withColumns(cols).drop("_a", "_b", "_r")
 
 
-def sample_distances(samples: list[np.ndarray], steps: str, window: int | None) -> list[np.ndarray]:
-    """Distance matrix of each sample (k, time, channel); all pairs of all samples are solved together."""
-    where = [(r, a, b) for r, s in enumerate(samples) for a in range(len(s)) for b in range(len(s)) if a != b]
-    flat = warping.distances_of([samples[r][a] for r, a, _ in where], [samples[r][b] for r, _, b in where], steps, window)
-    out = [np.zeros((len(s), len(s))) for s in samples]
-    for (r, a, b), d in zip(where, flat, strict=True):
-        out[r][a, b] = d
-    return out
-
+def sample_medoids(
+    gathered: DataFrame, mates: str = "mates", steps: str = "symmetric", window: int | None = None, id_col: str = "window_id"
+) -> DataFrame:
+    """id, medoid, near: the sample's window with the smallest sum of distances, and (distance, place) of all from it.
 
-MEDOID = T.StructType(
-    [
-        T.StructField("medoid", T.IntegerType()),
-        T.StructField("order", T.ArrayType(T.IntegerType())),
-        T.StructField("distances", T.ArrayType(T.DoubleType())),
-    ]
-)
+    Spark lists the pairs inside each sample, at most its size squared; only
+    distances are solved on Arrow batches, and only they are shuffled.
+    """
+    first = gathered.select(id_col, mates, F.posexplode(mates).alias("p", "_u"))
+    pairs = first.select(id_col, "p", "_u", F.posexplode(mates).alias("q", "_v"))
+    solved = packed_distance(pairs, "_u", "_v", steps, window, name="d").select(id_col, "p", "q", "d")
+    each = solved.groupBy(id_col, "p").agg(F.sum("d").alias("total"), F.array_sort(F.collect_list(F.struct("d", "q"))).alias("near"))
+    best = each.groupBy(id_col).agg(F.min_by(F.struct("p", "near"), F.struct("total", "p")).alias("b"))
+    return best.select(id_col, F.col("b.p").alias("medoid"), F.col("b.near").alias("near"))
 
 
 def medoid(
-    gathered: DataFrame, mates: str = "mates", steps: str = "symmetric", window: int | None = None, name: str = "medoid"
+    gathered: DataFrame,
+    mates: str = "mates",
+    steps: str = "symmetric",
+    window: int | None = None,
+    name: str = "medoid",
+    id_col: str = "window_id",
 ) -> DataFrame:
     """Medoid of each row's sample of windows, the sample in order of distance to it, and those distances."""
-
-    @F.pandas_udf(MEDOID)
-    def run(samples: pd.Series) -> pd.DataFrame:
-        filled = [i for i, s in enumerate(samples) if s is not None and len(s)]
-        stacks = [np.stack([as_matrix(w) for w in samples.iloc[i]]) for i in filled]
-        rows: list = [(None, None, None)] * len(samples)
-        for i, m in zip(filled, sample_distances(stacks, steps, window), strict=True):
-            best = int(np.argmin(m.sum(axis=1)))
-            order = np.argsort(m[best], kind="stable")
-            rows[i] = (best, order.astype(int).tolist(), m[best, order].tolist())
-        return pd.DataFrame(rows, columns=["medoid", "order", "distances"])
-
-    return pin(gathered, mates).withColumn(name, run(mates))
+    found = sample_medoids(gathered, mates, steps, window, id_col)
+    packed = F.when(
+        F.col("near").isNotNull(),
+        F.struct(F.col("_m").alias("medoid"), F.col("near")["q"].alias("order"), F.col("near")["d"].alias("distances")),
+    )
+    joined = gathered.join(found.withColumnRenamed("medoid", "_m"), id_col, "left")
+    return joined.withColumn(name, packed).drop("_m", "near")

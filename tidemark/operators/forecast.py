@@ -11,11 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.arrays import array_mean, let, pin
+from tidemark.functions.arrays import array_mean, dot, let, pin
 from tidemark.functions.fourier import DOUBLES
 from tidemark.operators.decompose import decompose_window, exponential_smoothing, growth
 from tidemark.operators.spectral import harmonic_curve, harmonics
@@ -140,47 +140,67 @@ def named_steps(windows: DataFrame, col: str = "pred", keys: Sequence[str] = KEY
 
 # -- linear dynamics --------------------------------------------------------------------------------
 
-MATRIX = T.ArrayType(DOUBLES)
-DYNAMICS = T.StructType([T.StructField("rec", MATRIX), T.StructField("pred", MATRIX)])
+TRANSITION = T.StructType([T.StructField("k", DOUBLES), T.StructField("powers", T.ArrayType(DOUBLES))])
 
 
 def linear_dynamics(
     windows: DataFrame, cols: Sequence[str], pred_len: int, multi_step: bool = False, name: str = "dynamics"
 ) -> DataFrame:
-    """One-step transition of each window by least squares, its reconstruction and roll-forward.
+    """One-step transition K of each window by least squares, its reconstruction and roll-forward.
 
-    The result is a struct of arrays (feature, time). ``multi_step`` advances the last
-    ``pred_len`` points by the pred_len-th power of the transition instead of
-    stepping from the last point. A transition with NaN is replaced by identity.
-    """
+    The result is a struct (rec, pred) of arrays (feature, time). With Z the window's
+    rows, K solves (X'X) K = X'Y for X all rows but the last and Y all but the first; of
+    several solutions it is the smallest. ``rec`` is the first row and X K. ``pred`` is
+    the last row times K, K**2, ...; with ``multi_step`` the last pred_len rows times
+    K**pred_len, or, beyond the window's length n, all rows times K**n, K**2n, ... A
+    matrix that is not finite is replaced by identity.
 
-    def solve(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = z[:-1], z[1:]
-        k = np.linalg.lstsq(x, y, rcond=None)[0]
-        if np.isnan(k).any():
-            k = np.eye(z.shape[1])
-        rec = np.vstack([z[:1], x @ k])
-        n = len(z)
+    Sums of products and all applications of matrices are Spark expressions; only the
+    solve of the small system and its powers are done per Arrow batch.
+    """
+    size = len(cols)
+    n = F.size(cols[0])
+    rows, after = {c: F.slice(c, 1, n - 1) for c in cols}, {c: F.slice(c, 2, n - 1) for c in cols}
+    gram = F.array(*[dot(rows[a], rows[b]) for a in cols for b in cols])
+    cross = F.array(*[dot(rows[a], after[b]) for a in cols for b in cols])
+
+    @F.pandas_udf(TRANSITION)
+    def solve(g: pd.Series, x: pd.Series, length: pd.Series) -> pd.DataFrame:
+        eye = np.eye(size)
+        sound = lambda m: m if np.isfinite(m).all() else eye
+        ks, powers = [], []
+        for a, b, m in zip(g, x, length, strict=True):
+            left, right = (np.asarray(v, float).reshape(size, size) for v in (a, b))
+            k = np.linalg.pinv(left, hermitian=True) @ right if np.isfinite(left).all() and np.isfinite(right).all() else eye
+            if not multi_step:
+                steps = range(1, pred_len + 1)
+            else:
+                steps = [pred_len] if pred_len <= m else range(m, pred_len + m, m)
+            ks.append(sound(k).reshape(-1))
+            powers.append([sound(np.linalg.matrix_power(k, s)).reshape(-1) for s in steps])
+        return pd.DataFrame({"k": ks, "powers": powers})
+
+    packed = pin(windows.withColumns({"_g": gram, "_c": cross, "_n": n}), "_g", "_c")
+    solved = pin(packed.withColumn("_t", solve.asNondeterministic()("_g", "_c", "_n")), "_t")
+
+    def moved(at: Column, matrix: Column, to: int) -> Column:
+        """Feature ``to`` of row ``at`` times a matrix."""
+        return sum((F.get(c, at) * F.get(matrix, F.lit(i * size + to)) for i, c in enumerate(cols)), F.lit(0.0))
+
+    def over(first: Column, last: Column, matrix: Column, to: int) -> Column:
+        some = F.sequence(first.cast("int"), last.cast("int"))
+        return F.when(last >= first, F.transform(some, lambda t: moved(t, matrix, to))).otherwise(F.array().cast("array<double>"))
+
+    size_of = F.col("_n")
+    powers = F.col("_t.powers")
+    rec = [F.concat(F.slice(c, 1, 1), over(F.lit(0), size_of - 2, F.col("_t.k"), i)) for i, c in enumerate(cols)]
+
+    def ahead(to: int) -> Column:
         if not multi_step:
-            steps, state = [], z[-1:]
-            for _ in range(pred_len):
-                state = state @ k
-                steps.append(state)
-            return rec, np.vstack(steps)
-        if pred_len <= n:
-            return rec, z[-pred_len:] @ np.linalg.matrix_power(k, pred_len)
-        power, blocks, state = np.linalg.matrix_power(k, n), [], z
-        while sum(map(len, blocks)) < pred_len:
-            state = state @ power
-            blocks.append(state)
-        return rec, np.vstack(blocks)[:pred_len]
-
-    @F.pandas_udf(DYNAMICS)
-    def run(batch: pd.Series) -> pd.DataFrame:
-        solved = [solve(np.stack(w).astype(float).T) for w in batch]
-        return pd.DataFrame(
-            {"rec": [[row for row in rec.T] for rec, _ in solved], "pred": [[row for row in p.T] for _, p in solved]}
-        )
-
-    packed = pin(windows.withColumn("_w", F.array(*cols)), "_w")
-    return packed.withColumn(name, run("_w")).drop("_w")
+            return F.transform(powers, lambda m: moved(size_of - 1, m, to))
+        first = F.greatest(size_of - pred_len, F.lit(0))
+        return F.slice(F.flatten(F.transform(powers, lambda m: over(first, size_of - 1, m, to))), 1, pred_len)
+
+    pred = [ahead(i) for i in range(size)]
+    out = solved.withColumn(name, F.struct(F.array(*rec).alias("rec"), F.array(*pred).alias("pred")))
+    return out.drop("_g", "_c", "_n", "_t")
