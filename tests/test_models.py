@@ -93,8 +93,14 @@ def test_low_rank_and_mixture(series):
         q = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
         dens += w * np.exp(-0.5 * q) / np.sqrt(np.linalg.det(2 * np.pi * cov))
     assert np.allclose(scored["score"], -np.log(dens), atol=1e-6)
-    with pytest.raises(ValueError):
-        learned.fit_low_rank(wins, 3, 5000)
+
+
+def test_low_rank_of_long_windows(spark):
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(60, 3)) * (5, 3, 2) @ rng.normal(size=(3, 2500)) + rng.normal(size=(60, 2500)) * 0.01
+    basis, centre = learned.fit_low_rank(spark.createDataFrame([(v.tolist(),) for v in w], "x array<double>"), 3, 2500)
+    v = np.linalg.svd(w - w.mean(0), full_matrices=False)[2][:3]
+    assert np.allclose(centre, w.mean(0)) and np.allclose(basis @ (basis.T @ v.T), v.T, atol=1e-5)
 
 
 def test_classifier_separates_shapes(spark):

@@ -72,6 +72,29 @@ def test_array_files(spark, tmp_path):
     assert readers.pack(wide, ["p", "q"]).orderBy("idx").first().x == [0.0, 1.0]
 
 
+def test_array_files_in_row_ranges(spark, tmp_path):
+    a = np.arange(60, dtype=np.float32).reshape(20, 3)
+    np.save(tmp_path / "c.npy", a)
+    np.save(tmp_path / "f.npy", np.asfortranarray(a))
+    np.save(tmp_path / "e.npy", a[:0])
+    got = readers.read_arrays(spark, str(tmp_path), rows=7).toPandas().sort_values(["series_id", "idx"])
+    for sid in "cf":
+        own = got[got["series_id"] == sid]
+        assert own["idx"].tolist() == list(range(20)) and np.array_equal(np.stack(own["x"]), a)
+    assert len(got) == 40
+
+
+def test_series_of_files_in_folders(spark, tmp_path):
+    for folder in ("m1", "m2"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder / "test.csv", "date,a\n2016-07-01 00:00:00,1\n")
+    paths = [f"{tmp_path}/m1/test.csv", f"{tmp_path}/m2/test.csv"]
+    assert {r.series_id for r in readers.read_wide_csv(spark, paths).collect()} == {"m1/test", "m2/test"}
+    assert {r.series_id for r in readers.read_wide_csv(spark, f"{tmp_path}/*/test.csv").collect()} == {"m1/test", "m2/test"}
+    one = readers.read_wide_csv(spark, paths, key=F.lit("all"))
+    assert [r.series_id for r in one.collect()] == ["all", "all"]
+
+
 def test_synthetic_series(spark):
     pdf = synthetic.synthetic_series(spark, 6, 300, seed=1).toPandas().sort_values(["series_id", "idx"])
     x = {s: p["x"].to_numpy() for s, p in pdf.groupby("series_id")}

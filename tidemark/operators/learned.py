@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
-from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,39 +16,68 @@ from pyspark.sql import types as T
 from tidemark.functions.arrays import pin
 from tidemark.functions.fourier import DOUBLES
 
-LIMIT = 2000  # window length up to which the covariance matrix of PCA stays small
-
-
 def _vectors(windows: DataFrame, col: str) -> DataFrame:
     return windows.withColumn("_v", array_to_vector(F.col(col)))
 
 
-def fit_low_rank(windows: DataFrame, rank: int, length: int, col: str = "x") -> tuple[PCAModel, list[float]]:
-    """Principal components of the windows and their mean.
+def fit_low_rank(
+    windows: DataFrame, rank: int, length: int, col: str = "x", rounds: int = 60, tolerance: float = 1e-9
+) -> tuple[np.ndarray, np.ndarray]:
+    """Leading principal components (length x rank) of the windows, and their mean.
 
-    The driver holds a length x length matrix, so the length is checked.
+    Subspace iteration: a round multiplies a thin basis by the windows and by their
+    transpose, summed by task, so nothing larger than length x (rank + 8) is held
+    anywhere. Store windows that are dear to compute; each round reads them.
     """
-    if length > LIMIT:
-        raise ValueError(f"window length {length} is above {LIMIT}")
     means = windows.select(F.posexplode(col).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"))
-    centre = [row["m"] for row in means.orderBy("pos").collect()]  # one row per window position
-    model = PCA(k=rank, inputCol="_v", outputCol="_p").fit(_vectors(windows, col))
-    return model, centre
+    centre = np.zeros(length)
+    for row in means.collect():  # one row per window position
+        centre[row["pos"]] = row["m"]
+    width = min(length, rank + 8)
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(length, width)))[0]
+    previous = np.zeros(rank)
+    for _ in range(rounds):
+        product = _covariance_times(windows.select(col), basis, centre)
+        small = basis.T @ product
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        top = np.sort(values)[::-1][:rank]
+        if width == length or np.abs(top - previous).max() <= tolerance * max(top[0], 1e-300):
+            return basis @ turn[:, np.argsort(values)[::-1][:rank]], centre
+        previous, basis = top, np.linalg.qr(product)[0]
+    return basis @ turn[:, np.argsort(values)[::-1][:rank]], centre
+
+
+def _covariance_times(windows: DataFrame, basis: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Sum over windows w of (w - centre)((w - centre)' basis): a matrix per task, added up by position."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(basis.shape)
+        for batch in batches:
+            if len(batch):
+                gap = np.stack(batch.iloc[:, 0].to_numpy()) - centre
+                total += gap.T @ (gap @ basis)
+        yield pd.DataFrame({"pos": np.arange(len(total)), **{f"c{j}": total[:, j] for j in range(total.shape[1])}})
+
+    names = [f"c{j}" for j in range(basis.shape[1])]
+    parts = windows.mapInPandas(add, "pos long, " + ", ".join(f"{n} double" for n in names))
+    sums = parts.groupBy("pos").agg(*[F.sum(n).alias(n) for n in names]).collect()  # one row per window position
+    out = np.zeros(basis.shape)
+    for row in sums:
+        out[row["pos"]] = [row[n] for n in names]
+    return out
 
 
 def low_rank_reconstruction(
-    windows: DataFrame, model: PCAModel, centre: list[float], col: str = "x", name: str = "reconstructed"
+    windows: DataFrame, basis: np.ndarray, centre: np.ndarray, col: str = "x", name: str = "reconstructed"
 ) -> DataFrame:
     """Each window projected on the components and back."""
-    basis = model.pc.toArray()
-    middle = np.asarray(centre)
 
     @F.pandas_udf(DOUBLES)
     def back(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        gap = np.stack(x.to_numpy()) - middle
-        return pd.Series(list(gap @ basis @ basis.T + middle))
+        gap = np.stack(x.to_numpy()) - centre
+        return pd.Series(list(gap @ basis @ basis.T + centre))
 
     return pin(windows, col).withColumn(name, back(col))
 

@@ -5,6 +5,8 @@
 * ``daily``   order count, sum and mean per priority and day: multivariate series
 * ``pairs``   forecast pairs: catalogue price times quantity against the price paid
 * ``shapes``  fixed-length labelled windows (one embedding is one window of 64 points)
+
+Indexed series are stored once, so the steps behind them do not repeat the indexing.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import add_index, time_chunk
+from tidemark.session import staged
 
 DAY = 86_400
 
@@ -34,7 +37,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_index(events(spark, sf_dir), order=["ts", "event_id"])
+    return staged(add_index(events(spark, sf_dir), order=["ts", "event_id"]))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = df.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")).agg(
         (_exact_sum("value") / F.count(F.lit(1))).alias("x")
     )
-    indexed = add_index(means, chunk=time_chunk("ts", 10 * DAY))
+    indexed = staged(add_index(means, chunk=time_chunk("ts", 10 * DAY)))
     return indexed.withColumn("label", F.when(F.hour("ts").between(8, 11), 1).otherwise(0))
 
 
@@ -52,7 +55,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("series_id"), F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("ts")
     ).agg(F.count(F.lit(1)).cast("double").alias("orders"), _exact_sum("o_totalprice").alias("total"))
     per_day = per_day.withColumn("mean", F.col("total") / F.col("orders"))
-    return add_index(per_day, chunk=time_chunk("ts", 365 * DAY))
+    return staged(add_index(per_day, chunk=time_chunk("ts", 365 * DAY)))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import forecast, forecast_metrics, impute, learned, models, scaling, scoring, splits, stationarity, windows
 from tidemark.plans.inputs import DAILY_SQL, POINTS_SQL, daily, points, shapes, windows_sql
 from tidemark.plans.registry import query, r, rsql
+from tidemark.session import staged
 
 WIN_SQL = f"{POINTS_SQL}, {windows_sql('points', 24, 12)}"
 
@@ -108,7 +109,7 @@ def linear_dynamics_multi_step(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("low_rank_scores")
 def low_rank_scores(spark: SparkSession, sf: str) -> DataFrame:
-    wins = _wins(spark, sf)
+    wins = staged(_wins(spark, sf))
     model, centre = learned.fit_low_rank(wins, 4, 24)
     out = learned.low_rank_reconstruction(wins, model, centre)
     return out.select("series_id", "w_start", r(scoring.window_score(["x"], ["reconstructed"]), 3).alias("score"))
@@ -116,7 +117,7 @@ def low_rank_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mixture_scores")
 def mixture_scores(spark: SparkSession, sf: str) -> DataFrame:
-    wins = windows.sliding_windows(points(spark, sf), 8, 4)
+    wins = staged(windows.sliding_windows(points(spark, sf), 8, 4))
     return learned.mixture_score(wins, learned.fit_mixture(wins, 3)).select("series_id", "w_start", r("score", 3).alias("score"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.cleaning import attach_labels, binary_label, label_column
+from tidemark.operators.ordering import shuffle_width
+from tidemark.sources.ranges import read_range
 
 FILE_STEM = r"([^/]+?)(\.[A-Za-z0-9]+)?$"
 
@@ -26,6 +29,19 @@ def read_trimmed_csv(
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def series_name(path: Column, given: str | Sequence[str]) -> Column:
+    """A file's path below the shared folder of the given paths, without extension."""
+    parts = [p.rstrip("/").split("://")[-1].split("/") for p in ([given] if isinstance(given, str) else given)]
+    shared = parts[0]
+    for other in parts[1:]:
+        shared = shared[: next((i for i, (a, b) in enumerate(zip(shared, other)) if a != b), min(len(shared), len(other)))]
+    plain = [p for p in shared if p]
+    stop = next((i for i, p in enumerate(plain) if any(c in p for c in "*?[{")), len(plain))
+    root = "/".join(plain[:stop])
+    below = F.regexp_extract(path, "^.*?" + re.escape(root) + "/(.+?)(\\.[A-Za-z0-9]+)?$", 1)
+    return F.when(below == "", F.regexp_extract(path, FILE_STEM, 1)).otherwise(below)
+
+
 def read_wide_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -34,17 +50,20 @@ def read_wide_csv(
     schema: str | T.StructType | None = None,
     ts_format: str | None = None,
     drop: Sequence[str] = (),
+    key: Column | None = None,
 ) -> DataFrame:
     """Wide series: a timestamp column (the first unless named), numeric features after it.
 
-    Every file is one series; its name without extension becomes ``series_id``.
+    Every file is one series; its path below the folder that the given paths share,
+    without extension, becomes ``series_id``. Where several files make up a series,
+    give ``key``, an expression over the columns and ``_metadata.file_path``.
     """
     df = read_trimmed_csv(spark, paths, sep, schema).drop(*drop)
     ts = ts_col or df.columns[0]
     stamp = F.to_timestamp(F.col(ts).cast("string"), ts_format) if ts_format else F.to_timestamp(F.col(ts))
     features = [c for c in df.columns if c != ts]
     return df.select(
-        F.regexp_extract(F.col("_metadata.file_path"), FILE_STEM, 1).alias("series_id"),
+        (series_name(F.col("_metadata.file_path"), paths) if key is None else key).alias("series_id"),
         stamp.alias("ts"),
         *[F.col(f"`{c}`").cast("double").alias(c) for c in features],
     )
@@ -133,34 +152,63 @@ ARRAY_ROWS = T.StructType(
     ]
 )
 ROWS_PER_BATCH = 50_000
+HEADER_BYTES = 1 << 16
+LAYOUT = "path string, series_id string, offset long, n long, width long, dtype string, columns_first boolean"
 
 
-def _arrays(content: bytes) -> np.ndarray:
-    loaded = np.load(io.BytesIO(content), allow_pickle=False)
-    array = loaded[loaded.files[0]] if hasattr(loaded, "files") else loaded
-    return array.reshape(-1, 1) if array.ndim == 1 else array
+def _layout(raw: bytes) -> tuple[int, tuple[int, ...], bool, np.dtype]:
+    """Offset of the data, shape, whether columns come first, and type of an array file, from its first bytes."""
+    head = io.BytesIO(raw)
+    version = np.lib.format.read_magic(head)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, dtype = read(head)
+    return head.tell(), shape, fortran, dtype
 
 
-def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
+def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]", rows: int = ROWS_PER_BATCH) -> DataFrame:
     """Array files, one series per file: rows of ``series_id, idx, x`` (x has one element per feature).
 
-    Files are spread over tasks; within a file rows leave in batches. A file
-    is limited to what Spark's binary source reads at once (2 GB): convert
-    longer recordings to Parquet.
+    Of an array file only the header is read first; ranges of its rows are then
+    separate rows of work, so a file of any size is spread over all tasks. Zipped
+    files cannot be read in ranges: each is one task, up to Spark's 2 GB per value.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, sid in zip(batch["path"], batch["series_id"], strict=True):
+                offset, shape, fortran, dtype = _layout(read_range(path, 0, HEADER_BYTES))
+                width = int(np.prod(shape[1:], dtype=np.int64))
+                out = [path, sid, offset, shape[0], width, dtype.str, bool(fortran and len(shape) > 1)]
+                yield pd.DataFrame([out], columns=["path", "series_id", "offset", "n", "width", "dtype", "columns_first"])
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                dtype, count = np.dtype(r.dtype), min(rows, r.n - r.at)
+                get = lambda first, size, p=r.path, o=r.offset, t=dtype: np.frombuffer(read_range(p, o + first * t.itemsize, size * t.itemsize), t)
+                if r.columns_first:
+                    part = np.stack([get(c * r.n + r.at, count) for c in range(r.width)], axis=1)
+                else:
+                    part = get(r.at * r.width, count * r.width).reshape(count, r.width)
+                yield pd.DataFrame({"series_id": r.series_id, "idx": np.arange(r.at, r.at + count), "x": list(part.astype(float))})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for sid, content in zip(batch["series_id"], batch["content"], strict=True):
-                array = _arrays(content)
-                for at in range(0, len(array), ROWS_PER_BATCH):
-                    part = array[at : at + ROWS_PER_BATCH].astype(float)
-                    yield pd.DataFrame(
-                        {"series_id": sid, "idx": np.arange(at, at + len(part), dtype=np.int64), "x": list(part)}
-                    )
+                loaded = np.load(io.BytesIO(content), allow_pickle=False)
+                array = loaded[loaded.files[0]]
+                array = array.reshape(len(array), -1)
+                for at in range(0, len(array), rows):
+                    part = array[at : at + rows].astype(float)
+                    yield pd.DataFrame({"series_id": sid, "idx": np.arange(at, at + len(part), dtype=np.int64), "x": list(part)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", FILE_STEM, 1).alias("series_id"), "content").mapInPandas(rows, ARRAY_ROWS)
+    named = files.withColumn("series_id", series_name(F.col("path"), path))
+    plain = named.where(F.col("path").endswith(".npy")).select("path", "series_id").mapInPandas(layouts, LAYOUT).where("n > 0")
+    pieces = plain.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows).cast("long"))))
+    dealt = pieces.repartition(shuffle_width(files), "path", "at")
+    zipped = named.where(~F.col("path").endswith(".npy")).select("series_id", "content")
+    return dealt.mapInPandas(ranges, ARRAY_ROWS).unionByName(zipped.mapInPandas(whole, ARRAY_ROWS))
 
 
 def unpack(df: DataFrame, names: Sequence[str], col: str = "x") -> DataFrame:
