@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import augment, dtw, mates
-from tidemark.plans.inputs import shapes
-from tidemark.plans.registry import query, r
+from tidemark.operators.ordering import add_index
+from tidemark.plans.inputs import SHAPES_SQL, shapes
+from tidemark.plans.registry import query, r, rsql
+from tidemark.session import staged
 
 LENGTH = 64
 BAND = 7
@@ -17,6 +19,57 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return mates.with_mates(shapes(spark, sf), 2)
 
 
+def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window with the next one of its class by id, the last with the first: pairs that SQL can form too."""
+    placed = staged(add_index(shapes(spark, sf), keys=["label"], order=["window_id"]))
+    sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    offered = placed.select("label", F.col("idx").alias("_at"), F.col("window_id").alias("mate_id"), F.col("x").alias("mate_x"))
+    return placed.join(sizes, "label").withColumn("_at", (F.col("idx") + 1) % F.col("_n")).join(offered, ["label", "_at"])
+
+
+NEIGHBOURS_SQL = f"""{SHAPES_SQL},
+pr AS (SELECT a.window_id, a.mate_id, a.x, b.x AS y FROM (
+  SELECT window_id, x, coalesce(lead(window_id) OVER w, first_value(window_id) OVER w) AS mate_id FROM shapes WINDOW w AS (PARTITION BY label ORDER BY window_id)) a
+  JOIN shapes b ON b.window_id = a.mate_id)"""
+
+
+def _fronts_sql(cost: str, allowed: str, weight: float = 1.0) -> str:
+    """DTW by anti-diagonals: lists over i (from 1) of the cells (i, t - i), j = t - i + 2 from 1."""
+    j = "(t + 3 - i)"  # of the front being made, t + 1
+    return f"""WITH RECURSIVE {NEIGHBOURS_SQL},
+dtw AS (
+  SELECT window_id, mate_id, x, y, 0 AS t, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN i = 1 THEN {cost.replace("J", "1")} ELSE 'inf'::DOUBLE END) AS f1,
+         list_transform(range(1, {LENGTH + 1}), lambda i: 'inf'::DOUBLE) AS f2 FROM pr
+  UNION ALL
+  SELECT window_id, mate_id, x, y, t + 1, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN {j} BETWEEN 1 AND {LENGTH} AND {allowed.replace("J", j)}
+    THEN {cost.replace("J", j)} + least(coalesce(f2[i - 1], 'inf'), {weight} * f1[i], {weight} * coalesce(f1[i - 1], 'inf')) ELSE 'inf'::DOUBLE END), f1
+  FROM dtw WHERE t < {2 * LENGTH - 2})
+SELECT window_id, mate_id, {rsql(f"f1[{LENGTH}]")} AS distance FROM dtw WHERE t = {2 * LENGTH - 2}"""
+
+
+NEAR = f"least(greatest(i + k, 1), {LENGTH})", f"least(greatest(J + k, 1), {LENGTH})"
+SHAPE_COST = f"sqrt(list_sum(list_transform(range(-3, 2), lambda k: pow(x[{NEAR[0]}] - y[{NEAR[1]}], 2))))"
+ASYMMETRIC_SQL = f"""WITH RECURSIVE {NEIGHBOURS_SQL},
+dtw AS (
+  SELECT window_id, mate_id, x, y, 1 AS i, list_transform(range(1, {LENGTH + 1}), lambda j: CASE WHEN j <= 2 THEN abs(x[1] - y[j]) ELSE 'inf'::DOUBLE END) AS f FROM pr
+  UNION ALL
+  SELECT window_id, mate_id, x, y, i + 1, list_transform(range(1, {LENGTH + 1}), lambda j: abs(x[i + 1] - y[j]) + least(f[j], coalesce(f[j - 1], 'inf'), CASE WHEN j > 2 THEN f[j - 2] ELSE 'inf' END))
+  FROM dtw WHERE i < {LENGTH})
+SELECT window_id, mate_id, {rsql(f"f[{LENGTH}]")} AS distance FROM dtw WHERE i = {LENGTH}"""
+
+# fronts of equal 2 i + j; a cell below that is not known yet stands for its own cost
+WARP_SQL = f"""WITH RECURSIVE {NEIGHBOURS_SQL},
+dtw AS (
+  SELECT window_id, mate_id, x, y, 3 AS t, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN i = 1 THEN pow(x[1] - y[1], 2) ELSE 'inf'::DOUBLE END) AS f1,
+         list_transform(range(1, {LENGTH + 1}), lambda i: 'inf'::DOUBLE) AS f2, list_transform(range(1, {LENGTH + 1}), lambda i: 'inf'::DOUBLE) AS f3 FROM pr
+  UNION ALL
+  SELECT window_id, mate_id, x, y, t + 1, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN t + 1 - 2 * i BETWEEN 1 AND {LENGTH} THEN pow(x[i] - y[t + 1 - 2 * i], 2) + least(
+      coalesce(f3[i - 1], 'inf'), f1[i], CASE WHEN i < {LENGTH} AND t + 1 - 2 * i > 1 THEN pow(x[i + 1] - y[t - 2 * i], 2) ELSE 'inf' END, coalesce(f2[i - 1], 'inf'), coalesce(f1[i - 1], 'inf'))
+    ELSE 'inf'::DOUBLE END), f1, f2
+  FROM dtw WHERE t < {3 * LENGTH})
+SELECT window_id, mate_id, {rsql(f"f1[{LENGTH}]")} AS distance FROM dtw WHERE t = {3 * LENGTH}"""
+
+
 def _mate_counts_sql() -> str:
     return """SELECT e.vec_id AS window_id, CAST(least(2, n - 1) AS BIGINT) AS same, CAST(least(3, t - n) AS BIGINT) AS other
 FROM embeddings e JOIN (SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS t FROM embeddings GROUP BY 1) c ON c.label = e.label"""
@@ -35,15 +88,15 @@ def class_mates(spark: SparkSession, sf: str) -> DataFrame:
     return same.join(other, "window_id")
 
 
-def _distance_query(name: str, **kwargs) -> None:
-    @query(name)
+def _distance_query(name: str, sql: str, **kwargs) -> None:
+    @query(name, sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return dtw.dtw_distance(_pairs(spark, sf), **kwargs).select("window_id", "mate_id", r("distance").alias("distance"))
+        return dtw.dtw_distance(_neighbours(spark, sf), **kwargs).select("window_id", "mate_id", r("distance").alias("distance"))
 
 
-_distance_query("dtw_asymmetric", steps="asymmetric")
-_distance_query("dtw_symmetric_band", steps="symmetric", window=BAND)
-_distance_query("dtw_shape", steps="symmetric", window=BAND, shape=True)
+_distance_query("dtw_asymmetric", ASYMMETRIC_SQL, steps="asymmetric")
+_distance_query("dtw_symmetric_band", _fronts_sql("abs(x[i] - y[J])", f"abs(i - J) <= {BAND}"), steps="symmetric", window=BAND)
+_distance_query("dtw_shape", _fronts_sql(SHAPE_COST, f"J BETWEEN i - {BAND} AND i + {BAND - 1}"), steps="symmetric", window=BAND, shape=True)
 
 
 @query("dtw_paths")
@@ -52,15 +105,15 @@ def dtw_paths(spark: SparkSession, sf: str) -> DataFrame:
     return paths.select("window_id", "mate_id", F.posexplode("path").alias("step", "p")).select("window_id", "mate_id", "step", "p.i", "p.j")
 
 
-@query("dtw_weighted")
+@query("dtw_weighted", _fronts_sql("abs(x[i] - y[J])", f"abs(i - J) <= {BAND}", 1.2))
 def dtw_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    out = dtw.weighted_dtw_distance(_pairs(spark, sf), metric="cityblock", window=BAND, weight=1.2)
+    out = dtw.weighted_dtw_distance(_neighbours(spark, sf), metric="cityblock", window=BAND, weight=1.2)
     return out.select("window_id", "mate_id", r("distance").alias("distance"))
 
 
-@query("dtw_unbanded_squared")
+@query("dtw_unbanded_squared", WARP_SQL)
 def dtw_unbanded_squared(spark: SparkSession, sf: str) -> DataFrame:
-    out = dtw.weighted_dtw_distance(_pairs(spark, sf), metric="sqeuclidean", warp=2)
+    out = dtw.weighted_dtw_distance(_neighbours(spark, sf), metric="sqeuclidean", warp=2)
     return out.select("window_id", "mate_id", r("distance").alias("distance"))
 
 
