@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import carried, stored
-from tidemark.llm.vector_dedup import forest
 
 SHINGLE = 5
 LENGTH = 6
@@ -201,7 +200,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, grams (shingle hashes as bytes) of the wanted (rep, key)."""
+    """rep, grams (shingle hashes as bytes) of the wanted (rep, key); equal rows of documents give equal rows."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,7 +213,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rep": reps, "grams": out})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep")
-    return rows.select("rep", "key", "text").mapInPandas(work, "rep long, grams binary").dropDuplicates(["rep"])
+    return rows.select("rep", "key", "text").mapInPandas(work, "rep long, grams binary")
 
 
 def verified_pairs(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
@@ -281,8 +280,6 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
 
 def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, tile: int) -> DataFrame:
     """(a, b) links between representatives (rep, key, n, sketch), whole up to connectivity."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = reps.select("rep", "n", F.explode("sketch").alias("s"))
     groups = entries.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(entries.join(groups, "s"), "sketches")
@@ -311,8 +308,7 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, t
     columns = ["s", "tile", "other", "reps", "grams", "reps2", "grams2"]
     same = wide.where("other = tile").select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in ("reps2", "grams2")])
     work = same.select(*columns).unionByName(wide.where("other > tile").join(right, ["s", "other"]).select(*columns))
-    dealt = work.repartition(n, "s", "tile", "other").select(*columns[3:])
-    return links.unionByName(tile_links(dealt, threshold))
+    return links.unionByName(tile_links(work.select(*columns[3:]), threshold))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -321,15 +317,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     reps = stored(
         marked.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "reps"
     )
-    # one doc_id may stand for several texts: all its texts are one node
     links = near_links(docs, reps, threshold, small, tile)
-    same_id = marked.where("key IS NOT NULL").join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = marked.where("key IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("a"))
-    extra = same_id.join(repeated, "a", "left_semi")
-    found = components(stored(links.unionByName(extra), "links"))
-    first = marked.join(reps.select("key", "rep"), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    per_id = first.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    out = per_id.join(found, per_id["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    members = marked.join(reps.select("key", "rep"), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    if marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
+        # one doc_id stands for several rows: its texts are one node, and it gets one row
+        links = links.unionByName(members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+        members = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    found = components(links)
+    out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.withColumn("kept", F.col("class_id") == F.col("doc_id"))
 
 

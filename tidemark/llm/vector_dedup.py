@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, forest
 from tidemark.llm.shared import carried, stored
 
 THRESHOLD = 0.98
@@ -72,20 +72,6 @@ def possible_pairs(left: tuple, right: tuple, threshold: float) -> tuple[np.ndar
     return np.nonzero(near + bound >= threshold - 1e-12)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest reachable node of each of n nodes, for links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def linked(tiles: DataFrame, threshold: float) -> DataFrame:
     """id, links, root: partial link counts and forest of every tile pair (ids2 is null within a tile)."""
 
