@@ -71,4 +71,4 @@ def test_columns_nulls_and_seeds(spark):
 def test_query_is_lossless_and_computes_each_function_once(spark):
     out = QUERIES["op2_piece_sampling"](spark, "/root/testdata/sf0.001")
     assert out.where("NOT lossless").count() == 0 and out.count() == 200
-    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2

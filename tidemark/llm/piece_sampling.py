@@ -22,25 +22,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import carried, worker_state
 
 META = 0x2581
 ALPHA = 1.0
-GROUP = 4_000_000
-BLOCK = 500_000
+GROUP = 1_500_000
+BLOCK = 150_000
 """Characters of distinct words whose lattices are held at once."""
 
 
 class Pieces:
-    """Vocabulary tables: a trie over characters, weights, bytes of every piece."""
+    """Vocabulary tables: bytes of every piece and, for encoding, a trie over characters and weights."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encodes: bool = True):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -56,6 +56,11 @@ class Pieces:
             self.raw[i] = names[i].replace(chr(META), " ").encode()
         for b, i in enumerate(byte):
             self.raw[i] = bytes([b])
+        if encodes:
+            self._build(names, real)
+
+    def _build(self, names: list[str], real: list[int]) -> None:
+        n = len(names)
         self.log_rank = np.zeros(n)
         self.log_rank[real] = np.log(1.0 + np.arange(len(real)))
         self.byte_rank = float(np.log(1.0 + len(real)))
@@ -82,11 +87,12 @@ class Pieces:
                 self.ends[inner[names[i][:-1]], self.sign[ord(names[i][-1])]] = i
 
 
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, encodes: bool = True) -> Pieces:
     kept = worker_state()
-    if ("pieces", path) not in kept:
-        kept["pieces", path] = Pieces(path)
-    return kept["pieces", path]
+    key = ("pieces", path, encodes)
+    if key not in kept:
+        kept[key] = Pieces(path, encodes)
+    return kept[key]
 
 
 def utf8(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,6 +266,12 @@ class Lattice:
 
 def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA) -> list[np.ndarray]:
     """Sampled ids of every text."""
+    flat, cuts = sample_flat(p, texts, seeds, alpha)
+    return np.split(flat, cuts[:-1]) if len(texts) else []
+
+
+def sample_flat(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled ids of all texts in a row, and where each text's ids end."""
     words, codes, ends = words_of(texts)
     starts = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else ends
     sizes = ends - starts
@@ -284,35 +296,43 @@ def sample(p: Pieces, texts: list[str], seeds: np.ndarray, alpha: float = ALPHA)
     flat = np.empty(int(counts.sum()), np.int32)
     for own, ids, used in blocks:
         flat[np.repeat(place[own] - (np.cumsum(used) - used), used) + np.arange(len(ids))] = ids
-    cuts = np.append(place, len(flat))[ends]
-    return np.split(flat, cuts[:-1]) if len(texts) else []
+    return flat, np.append(place, len(flat))[ends]
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows with at most ``most`` in all, or one row."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, end
+        at = end
 
 
 def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` plus ``piece_ids``, sampled with the row's ``key`` and ``seed``."""
+    """All columns of ``docs`` plus ``piece_ids``, sampled with the row's ``key`` and ``seed``.
 
-    @F.pandas_udf("array<int>")
-    def draw(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    Arrow batches are cut by the length of their texts, so a task holds the strings
+    and lattices of a few texts at a time, whatever the batch holds.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
-        for texts, seeds in parts:
-            out: list[np.ndarray | None] = [None] * len(texts)
-            known = [i for i, t in enumerate(texts) if isinstance(t, str)]
-            at = 0
-            while at < len(known):
-                end, size = at, 0
-                while end < len(known) and (size == 0 or size + len(texts.iat[known[end]]) <= GROUP):
-                    size += len(texts.iat[known[end]]) + 1
-                    end += 1
-                own = known[at:end]
-                for i, ids in zip(own, sample(p, [texts.iat[i] for i in own], seeds.to_numpy()[own], alpha), strict=True):
-                    out[i] = ids
-                at = end
-            yield pd.Series(out, dtype=object)
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy(zero_copy_only=False) + 1
+            for a, b in slices(sizes, GROUP):
+                part = batch.slice(a, b - a)
+                missing = part["text"].is_null().to_numpy(zero_copy_only=False)
+                flat, ends = sample_flat(p, pc.fill_null(part["text"], "").to_pylist(), part["_seed"].to_numpy(), alpha)
+                offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append(missing, False))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+                columns = [part[n] for n in part.schema.names if n != "_seed"]
+                yield pa.RecordBatch.from_arrays([*columns, ids], names=[*[n for n in part.schema.names if n != "_seed"], "piece_ids"])
 
     inner, finish = carried(docs, *dict.fromkeys(("text", key)))
-    # nondeterministic for the planner, so that it is never computed twice
     row_seed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    return finish(inner.withColumn("piece_ids", draw.asNondeterministic()("text", row_seed)), "piece_ids")
+    out = inner.withColumn("_seed", row_seed).mapInArrow(draw, T.StructType([*inner.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    return finish(out, "piece_ids")
 
 
 def decode_ids(p: Pieces, ids) -> str:
@@ -324,11 +344,18 @@ def decode_ids(p: Pieces, ids) -> str:
 def decode(docs: DataFrame, model: str) -> DataFrame:
     """All columns of ``docs`` plus ``decoded``, the text of ``piece_ids``."""
 
-    @F.pandas_udf("string")
-    def join(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        p = pieces_of(model)
-        for lists in parts:
-            yield pd.Series([None if x is None else decode_ids(p, x) for x in lists], dtype=object)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces_of(model, encodes=False)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch["piece_ids"]), 0).to_numpy(zero_copy_only=False) + 1
+            for a, b in slices(sizes, GROUP // 2):
+                part = batch.slice(a, b - a)
+                ids = part["piece_ids"]
+                values, offsets = pc.fill_null(ids.values, -1).to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                texts = [decode_ids(p, values[x:y]) if k else None for x, y, k in zip(offsets[:-1], offsets[1:], known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     inner, finish = carried(docs, "piece_ids")
-    return finish(inner.withColumn("decoded", join("piece_ids")), "decoded")
+    out = inner.mapInArrow(join, T.StructType([*inner.schema.fields, T.StructField("decoded", T.StringType())]))
+    return finish(out, "decoded")
