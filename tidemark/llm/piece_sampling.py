@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import carried, worker_state
+from tidemark.llm.shared import carried, trim, worker_state
 
 META = 0x2581
 ALPHA = 1.0
-GROUP = 1_500_000
-BLOCK = 150_000
+GROUP = 1_000_000
+BLOCK = 100_000
 """Characters of distinct words whose lattices are held at once."""
 
 
@@ -75,8 +75,9 @@ class Pieces:
             for k in range(1, len(names[i])):
                 inner.setdefault(names[i][:k], len(inner))
         # going on from an inner node: the next inner node, and the piece that ends here
-        self.next = np.full((len(inner), len(signs) + 1), -1, np.int32)
-        self.ends = np.full((len(inner), len(signs) + 1), -1, np.int32)
+        kind = np.int16 if max(n, len(inner)) < 1 << 15 else np.int32
+        self.next = np.full((len(inner), len(signs) + 1), -1, kind)
+        self.ends = np.full((len(inner), len(signs) + 1), -1, kind)
         for name, node in inner.items():
             if name:
                 self.next[inner[name[:-1]], self.sign[ord(name[-1])]] = node
@@ -328,6 +329,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key
                 ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
                 columns = [part[n] for n in part.schema.names if n != "_seed"]
                 yield pa.RecordBatch.from_arrays([*columns, ids], names=[*[n for n in part.schema.names if n != "_seed"], "piece_ids"])
+            trim()
 
     inner, finish = carried(docs, *dict.fromkeys(("text", key)))
     row_seed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -355,6 +357,7 @@ def decode(docs: DataFrame, model: str) -> DataFrame:
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 texts = [decode_ids(p, values[x:y]) if k else None for x, y, k in zip(offsets[:-1], offsets[1:], known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+            trim()
 
     inner, finish = carried(docs, "piece_ids")
     out = inner.mapInArrow(join, T.StructType([*inner.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -78,6 +78,18 @@ def worker_state() -> dict:
     return vars(sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state"))).setdefault("kept", {})
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back to the machine; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def carried(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """The needed columns, all others under names of no meaning, and what turns a result back.
 
