@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from tidemark.llm.shared import worker_state
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 LONG_WORD = 64
 CHUNK = 100_000
 SPACES_IN_A_ROW = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}][\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
@@ -146,7 +146,7 @@ def encoder(vocabulary: str, dtype: str = "<u4") -> Encoder:
     return kept[key]
 
 
-def text_groups(texts: list[str], chars: int = 8_000_000):
+def text_groups(texts: list[str], chars: int = 4_000_000):
     """Index ranges of consecutive texts of about ``chars`` characters."""
     at = 0
     while at < len(texts):

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import carried, worker_state
+from tidemark.llm.shared import carried, trim, worker_state
 
 GRAMS = 3
 BINS = 1 << 14
@@ -178,6 +178,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for texts in parts:
             langs, sure = predict(model, texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": sure})
+            trim()
 
     inner, finish = carried(docs, "text")
     out = inner.withColumn("_judged", judge("text")).withColumns({"lang_pred": F.col("_judged")["lang_pred"], "score": F.col("_judged")["score"]})

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.encoder import encoder, text_groups
 from tidemark.llm.files import listed, read_range, write_whole
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import stored, trim
 
 RANGE_BYTES = 8 << 20
 
@@ -48,6 +48,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end_id: int, dtype
                     yield code.encode_closed(texts[a:b], end_id)[0].tobytes()
                 seen.append(pd.DataFrame({"path": path, "ordinal": np.arange(at, at + len(batch)), "doc_id": batch["doc_id"]}))
                 at += len(batch)
+                trim()
 
         if write_whole(path, chunks()):
             yield from seen

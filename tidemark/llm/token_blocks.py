@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.encoder import encoder, text_groups
 from tidemark.llm.files import listed, located, read_range, write_whole
-from tidemark.llm.shared import text_key
+from tidemark.llm.shared import text_key, trim
 
 BLOCK = 512
 PERCENTILE = 0.95
@@ -213,6 +213,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
                         yield close()
                 if done < len(coded):
                     arrays.append(coded[done:])
+            trim()
         if doc_ids:
             yield close()
 
