@@ -250,11 +250,15 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
                 code = np.unique(np.concatenate(marks), return_inverse=True)[1]
                 sizes = np.array([len(g) for g in grams])
                 home = np.repeat(np.arange(len(grams)), sizes)
+                # a shingle of one text adds to no pair
+                times = np.bincount(code)
+                shared = times[code] > 1
+                code, home = (np.cumsum(times > 1) - 1)[code[shared]], home[shared]
                 common = np.zeros((len(grams), len(grams)), np.float32)
-                step = 1 << 13
+                step = min(1 << 12, int(code.max(initial=0)) + 1)
                 order = np.argsort(code, kind="stable")
                 code, home = code[order], home[order]
-                for a in range(0, int(code[-1]) + 1, step):  # columns in blocks, so the matrix stays small
+                for a in range(0, int(code[-1]) + 1 if len(code) else 0, step):  # columns in blocks, so the matrix stays small
                     lo, hi = np.searchsorted(code, [a, a + step])
                     seen = np.zeros((len(grams), step), np.float32)
                     seen[home[lo:hi], code[lo:hi] - a] = 1
