@@ -88,6 +88,19 @@ def test_against_brute_force(spark, small, tile):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({v for v in got.values()})
 
 
+@pytest.mark.parametrize(("small", "tile"), [(32, 256), (1, 5)])
+def test_short_texts_that_differ_by_one_end_word(spark, small, tile):
+    rows = []
+    for n in range(8, 21):
+        words = [f"t{n}x{k}" for k in range(n)]
+        rows += [(100 * n, " ".join(words)), (100 * n + 1, " ".join([*words, "more"])), (100 * n + 2, " ".join(["else", *words[1:]])), (100 * n + 3, " ".join([*words[:-1], "else"]))]
+    rows += [(9000 + k, f"all rights are reserved by the holder {k} of {k} a{k} b{k} c{k}") for k in range(40)]  # common shingles, not copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in om.near_classes(docs, small=small, tile=tile).collect()}
+    assert got == brute(rows)
+    assert all(got[100 * n + 1] == got[100 * n] for n in range(8, 21))
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text), (5, text + " end"), (5, "other words entirely here now"), (7, "other words entirely here now")], "doc_id long, text string")

@@ -4,10 +4,16 @@ A document is the sequence of its 5-word shingles (fewer words: one shingle). A
 repeated shingle is labelled with its occurrence, so labelled shingles are
 distinct. A sketch takes the LENGTH labelled shingles with the smallest hashes
 under one hash function, in text order, as one value; a document has SKETCHES of
-them. At similarity 0.8 a pair shares a sketch with probability 0.8**6 = 0.26,
-some of 40 with 0.999994.
+them. At similarity 0.8 a pair of long texts shares a sketch with probability
+0.8**6 = 0.26, some of 40 with 0.999994; six are drawn without replacement, so for
+pairs from EXACT shingles on the miss rate is up to 2.6e-5 (30 and 33 shingles).
 
-Documents sharing a sketch are candidates. Their similarity is M / (n + m - M) for
+Pairs with a text of fewer shingles get exact candidates. A pair at the threshold
+has ceil(threshold * n) labelled shingles of each text in common, so both hold a
+common one among their n - ceil(threshold * n) + 1 rarest (ties by hash): these
+prefixes are keys like the sketches.
+
+Documents sharing a sketch or key are candidates. Their similarity is M / (n + m - M) for
 sequences of n and m shingles, M being the longest common subsequence, computed
 inside the band that a similarity of ``threshold`` leaves. Links are exact; their
 connected components are the classes.
@@ -40,6 +46,8 @@ SHINGLE = 5
 LENGTH = 6
 SKETCHES = 40
 THRESHOLD = 0.8
+EXACT = 30
+"""Pairs whose shorter text has fewer shingles are found by exact keys."""
 SMALL = 32
 TILE = 256
 HELD = 1 << 21
@@ -123,12 +131,14 @@ def sketches(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the words, or of a text without words; null for no text), n (shingles), sketch."""
+def sketch_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key (digest of the words, or of a text without words; null for no text), n (shingles), sketch, own (labelled shingles of short texts)."""
+    # a partner of a text under EXACT may be so long; texts whose only partners are equal ones need no keys
+    longest, shortest = EXACT / threshold, threshold / (1 - threshold) - 1e-9 if threshold < 1 else np.inf
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, sizes, values = [], [], []
+            keys, sizes, values, owns = [], [], [], []
             for text in batch["text"]:
                 words = word_hashes(text)
                 grams = shingles(words)
@@ -137,10 +147,11 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 keys.append(digest if text else None)
                 sizes.append(len(grams))
                 values.append(sketches(grams).view(np.int64) if len(words) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "n": sizes, "sketch": values})
+                owns.append(labelled(grams).view(np.int64) if shortest <= len(grams) <= longest else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "n": sizes, "sketch": values, "own": owns})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInPandas(work, "doc_id long, key string, n long, sketch array<long>")
+    return rows.mapInPandas(work, "doc_id long, key string, n long, sketch array<long>, own array<long>")
 
 
 def subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -282,9 +293,20 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
     return tiles.mapInPandas(work, "a long, b long")
 
 
+def short_keys(reps: DataFrame, threshold: float) -> DataFrame:
+    """rep, n, s: of short texts the shingles of the prefix that another short text holds too."""
+    own = reps.where("own IS NOT NULL").select("rep", "n", F.explode("own").alias("s"))
+    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = own.join(often, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("ranked"))
+    # shingles of one text alone come first and fill places of the prefix
+    places = F.size("ranked") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    kept = met.withColumn("places", places).where("places > 0")
+    return kept.select("rep", "n", F.explode(F.slice("ranked", F.lit(1), F.col("places"))).alias("e")).select("rep", "n", F.col("e")["s"].alias("s"))
+
+
 def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, tile: int) -> DataFrame:
-    """(a, b) links between representatives (rep, key, n, sketch), whole up to connectivity."""
-    entries = reps.select("rep", "n", F.explode("sketch").alias("s"))
+    """(a, b) links between representatives (rep, key, n, sketch, own), whole up to connectivity."""
+    entries = reps.select("rep", "n", F.explode("sketch").alias("s")).unionByName(stored(short_keys(reps, threshold), "short-keys"))
     groups = entries.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(entries.join(groups, "s"), "sketches")
     few, many = shared.where(F.col("size") <= small), shared.where(F.col("size") > small)
@@ -317,9 +339,12 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, t
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), kept (it is this document): one row for every doc_id that is not null."""
-    marked = stored(sketch_documents(docs), "marked")
+    marked = stored(sketch_documents(docs, threshold), "marked")
     reps = stored(
-        marked.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "reps"
+        marked.where("key IS NOT NULL").groupBy("key").agg(
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("own").alias("own")
+        ),
+        "reps",
     )
     links = near_links(docs, reps, threshold, small, tile)
     members = marked.join(reps.select("key", "rep"), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
