@@ -101,6 +101,18 @@ def test_short_texts_that_differ_by_one_end_word(spark, small, tile):
     assert all(got[100 * n + 1] == got[100 * n] for n in range(8, 21))
 
 
+def test_tiles_link_pairs_at_exactly_the_threshold(spark):
+    rows, want = [], {}
+    for k, (n, m, common) in enumerate([(13, 14, 12), (49, 50, 44), (27, 27, 24), (200, 205, 180)]):
+        grams = [np.append(np.arange(common), 1000 * j + np.arange(size - common)).astype(np.uint64) for j, size in ((1, n), (2, m))]
+        assert om.similarity(*grams) == 0.8
+        rows.append(([10 * k], [grams[0].tobytes()], [10 * k + 1], [grams[1].tobytes()]))
+        rows.append(([10 * k + 2, 10 * k + 3], [g.tobytes() for g in grams], None, None))
+        want |= {10 * k: 10 * k + 1, 10 * k + 2: 10 * k + 3}
+    tiles = spark.createDataFrame(rows, "reps array<long>, grams array<binary>, reps2 array<long>, grams2 array<binary>")
+    assert {r.a: r.b for r in om.tile_links(tiles, 0.8).collect()} == want
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text), (5, text + " end"), (5, "other words entirely here now"), (7, "other words entirely here now")], "doc_id long, text string")

@@ -275,7 +275,7 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
                     seen[home[lo:hi], code[lo:hi] - a] = 1
                     common += seen @ seen.T
                 both = sizes[:, None] + sizes[None, :]
-                i, j = np.nonzero(np.triu(common * (1 + threshold) >= threshold * both - 1e-6, 1))
+                i, j = np.nonzero(np.triu(common.astype(np.float64) * (1 + threshold) >= threshold * both - 1e-6, 1))
                 if not own:
                     over = (i < cut) & (j >= cut)
                     i, j = i[over], j[over]
