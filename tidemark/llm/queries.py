@@ -120,8 +120,8 @@ FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.
 
 @query("op5_line_templates", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # OP5_SQL takes a leaf as one template or none
-    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), descend=False)
+    # OP5_SQL takes a leaf as one template or none, and leaves short lines out
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), descend=False, short_docs=None)
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
