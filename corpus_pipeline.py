@@ -15,6 +15,8 @@ from tidemark.llm.shared import new_folder
 MIN_SCORE = 0.5
 LINE_DOCS = 10
 """A template must stand in so many documents; fewer copies are left whole to the stage for near copies."""
+PASSAGE_DOCS = 2
+"""Once near copies are gone, a template must stand in so many documents: each class of near copies counts once."""
 PIECES = "piece_bpe_32k.model"
 
 
@@ -29,7 +31,11 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     A document that loses all its text goes: every line of it stands in an earlier one.
     """
-    cleaned = line_templates.drop_recurring(docs, min_docs=LINE_DOCS)
+    return _without_lines(docs, LINE_DOCS)
+
+
+def _without_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+    cleaned = line_templates.drop_recurring(docs, min_docs=min_docs)
     cleaned = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -37,8 +43,8 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that with the smallest doc_id."""
-    return order_minhash.drop_near_copies(docs)
+    """One document of each class of near copies, that with the smallest doc_id, without lines whose template an earlier one of these has."""
+    return _without_lines(order_minhash.drop_near_copies(docs), PASSAGE_DOCS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,22 @@ def test_stages_on_their_own_input(spark):
     assert {r.doc_id: r.piece_ids for r in run.select("doc_id", "piece_ids").collect()} == {k: r.piece_ids for k, r in seen["pieces"].items()}
 
 
+def test_passages_in_few_unlike_documents(spark):
+    """A passage in 2 or 9 unlike documents stays in the first alone; near copies stay whole until one of them is chosen."""
+    text = lambda k, n: " ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+    rows = [(k, text(k, 70) + "\n" + text(90, 55)) for k in range(9)] + [(20 + k, text(20 + k, 70) + "\n" + text(91, 55)) for k in range(2)]
+    whole = "\n".join(text(40 + k, 30) for k in range(5))
+    rows += [(50, whole), (51, whole + " end"), (52, whole)]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        folder = new_folder(spark, name)
+        stage(spark, docs, SF_DIR).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {k: t if k in (0, 20, 50) else t.split("\n")[0] for k, t in rows if k not in (51, 52)}
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+
 def test_odd_rows(spark):
     rows = [
         (None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5), (4, "the cat and the dog", "en", "s", 19),
