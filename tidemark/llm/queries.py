@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat_format,
+    filter_audit,
     language_kernel,
     line_templates,
     order_minhash,
@@ -17,6 +18,8 @@ from tidemark.llm import (
     secret_scan,
     separator_scan,
     token_blocks,
+    topk_search,
+    turn_repair,
     vector_dedup,
 )
 from tidemark.llm.shared import new_folder, stored
@@ -206,3 +209,95 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     back = piece_sampling.decode(piece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
     return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+@query(
+    "op11_topk_search",
+    """WITH u AS (SELECT row_number() OVER () AS rid, vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, c.rid AS cid,
+        CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: CAST(p[1] AS HUGEINT) * p[2])) AS BIGINT) AS score
+      FROM u q JOIN u c ON c.rid <> q.rid AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, cid) AS rank FROM s) WHERE rank <= 10""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL_BLANKS = r"\x20\x09-\x0D"
+SQL_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+@query(
+    "op12_turn_repair",
+    rf"""WITH RECURSIVE src AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {SQL_CRC32} % 20 AS what FROM src),
+dmg AS (SELECT c, conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS cp FROM h WHERE what <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, cp) AS i FROM dmg),
+flt AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{SQL_BLANKS}]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^{SQL_BLANKS}])[{SQL_BLANKS}]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS f, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM num),
+conv AS (SELECT c, conv_id, count(DISTINCT i) AS n FROM (SELECT DISTINCT c, conv_id FROM src) LEFT JOIN (SELECT c, i FROM num) USING (c) GROUP BY ALL),
+ins(s, z, letters, cost, roles) AS (VALUES (0, 0, '', 0, CAST([] AS VARCHAR[])), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []),
+  (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']), (3, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:'])),
+kp(z, f, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+st(c, i, s, best) AS (
+  SELECT c, CAST(0 AS BIGINT), 0, struct_pack(cost := 0, audit := '', made := CAST([] AS VARCHAR[])) FROM conv
+  UNION ALL
+  SELECT c, i, t, min(struct_pack(cost := cost, audit := audit, made := made)) FROM (
+    SELECT st.c, st.i + 1 AS i, m.t AS t, best.cost + ins.cost + m.cost AS cost, best.audit || ins.letters || m.letter AS audit, list_concat(list_concat(best.made, ins.roles), m.made) AS made
+    FROM st JOIN ins ON ins.s = st.s JOIN flt ON flt.c = st.c AND flt.i = st.i + 1 JOIN (
+      SELECT flt.c, flt.i, z, z AS t, 3 AS cost, 'D' AS letter, CAST([] AS VARCHAR[]) AS made FROM flt, (VALUES (0), (1), (2), (3)) AS p(z)
+      UNION ALL SELECT flt.c, flt.i, p.z, p.t, 2 + CAST(fault = 'truncated' AS INT), 'R', [p.r || ':' || text] FROM flt, (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) AS p(z, t, r) WHERE fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT flt.c, flt.i, kp.z, kp.t, CAST(fault = 'truncated' AS INT), 'K', [role || ':' || text] FROM flt JOIN kp USING (f) WHERE fault NOT IN ('blank', 'duplicate')
+    ) m ON m.c = flt.c AND m.i = flt.i AND m.z = ins.z) GROUP BY c, i, t),
+fin AS (SELECT conv.c, min(struct_pack(cost := best.cost + ins.cost, audit := best.audit || ins.letters, made := list_concat(best.made, ins.roles))) AS best
+  FROM conv JOIN st ON st.c = conv.c AND st.i = conv.n JOIN ins ON ins.s = st.s AND ins.z IN (0, 3) GROUP BY 1),
+cnt AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit,
+  sha256(coalesce(array_to_string(best.made, chr(10)), '')) AS repaired_sha256
+FROM conv JOIN fin USING (c) LEFT JOIN cnt USING (c)""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    out = turn_repair.repair_conversations(rows, present)
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.withColumn("repaired_sha256", F.sha2(text, 256)).drop("repaired")
+
+
+SQL_TERMS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op13_filter_audit",
+    f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, part, len(w) < 50 AS A, 100 * len(list_distinct(w)) < 65 * len(w) AS B,
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS C, regexp_matches(t, '[#$%&*|]') AS D, coalesce(doc_id > first, false) AS E
+  FROM (SELECT *, {SQL_TERMS} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d)),
+lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, CAST(A AS INT) + 2 * CAST(B AS INT) + 4 * CAST(C AS INT) + 8 * CAST(D AS INT) + 16 * CAST(E AS INT) AS mask,
+    count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN lab USING (doc_id) GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS prev
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+x AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & own = 0 AND mask & coalesce(prev, 0) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & own <> 0 AND mask & coalesce(prev, 0) = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & coalesce(prev, 0) <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & own <> 0 AND mask & coalesce(prev, 0) = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & coalesce(prev, 0) = 0), 0) AS toxic_lost
+  FROM m, (SELECT filter_order, step, CAST(own AS BIGINT) AS own, CAST(prev AS BIGINT) AS prev FROM s) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM x""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
