@@ -43,7 +43,7 @@ SHARD = (
     "doc_ids array<long>, parts array<string>, digests array<binary>, flags array<int>, "
     "pointers binary, numbers binary, counts binary, words array<string>"
 )
-HOT_SHARE = 4
+HOT_SHARE, LEAST_HOT = 4, 1000
 
 
 def bit(name: str) -> int:
@@ -161,7 +161,7 @@ def with_copies(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = stored(groups, "copies")
-    least = max(1000, rows.count() // (HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    least = max(LEAST_HOT, rows.count() // (HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # fewer than HOT_SHARE * partitions digests have more rows than that
     hot = groups.where(F.col("n") > least).select("digest", F.col("first").alias("hot_first"))
     cold = groups.where(F.col("n") <= least).select("digest", F.col("first").alias("cold_first"))

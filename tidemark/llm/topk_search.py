@@ -21,7 +21,7 @@ Defined cases: vectors that are null or hold null or non-finite components take
 part; vectors of different lengths do not meet; empty vectors score 0; a query passes over
 its own row only, so repeated rows are results of each other; equal scores go by vec_id,
 null last; a null vec_id is never a query; an empty table gives no rows; other columns are left out; a vector
-of any length must fit a task; scores beyond a long stand at its ends.
+of any length must fit a task; scores beyond a long stand at its ends, equal there.
 """
 
 from __future__ import annotations
@@ -122,18 +122,18 @@ class Best:
     def __init__(self, n: int, k: int) -> None:
         self.n, self.k = n, k
         self.query = np.empty(0, np.int64)
-        self.score = np.empty(0, object)
+        self.score = np.empty(0, np.int64)
         self.id = np.empty(0, np.int64)
         self.row = np.empty(0, np.int64)
 
     def offer(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         if not len(query):
             return
-        score = np.fromiter((int(s) for s in score), object, len(score)) if score.dtype == object else score.astype(np.int64)
+        score = np.array([min(max(int(s), LONG[0]), LONG[1]) for s in score], np.int64) if score.dtype == object else score.astype(np.int64)
         if len(self.query):
             query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
             ids, rows = np.concatenate([self.id, ids]), np.concatenate([self.row, rows])
-        order = np.lexsort((rows, ids, -score, query)) if score.dtype != object else np.array(sorted(range(len(query)), key=lambda i: (query[i], -score[i], ids[i], rows[i])), np.int64)
+        order = np.lexsort((rows, ids, ~score, query))  # ~score falls as score rises, for every long
         first = np.searchsorted(query[order], np.arange(self.n))
         rank = np.arange(len(order)) - first[query[order]]
         order = order[rank < self.k]
@@ -168,7 +168,7 @@ def sufficient(local: list[np.ndarray], own: np.ndarray, cutoffs: np.ndarray) ->
     """Phase 2: (query, vector) with a local score of the cutoff's equal share or more in some list."""
     # whole numbers: s >= cutoff / lists is s >= ceil(cutoff / lists)
     kind = local[0].dtype
-    share = np.array([float("-inf") if c is None else -(-c // len(local)) for c in cutoffs], object)
+    share = np.array([float("-inf") if c is None or c == LONG[0] else -(-c // len(local)) for c in cutoffs], object)
     share = share if kind == object else share.astype(np.float64)
     met = np.zeros(local[0].shape, bool)
     for s in local:
@@ -184,10 +184,7 @@ def searched(pairs: DataFrame, k: int, lists: int, second: bool) -> DataFrame:
 
         def leave() -> Iterator[pa.RecordBatch]:
             if best is not None and len(best.query):
-                score = [min(max(int(s), LONG[0]), LONG[1]) for s in best.score]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_rows[best.query]), pa.array(score, pa.int64()), pa.array(best.id), pa.array(best.row)], ["query", "score", "id", "row"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_rows[best.query], best.score, best.id, best.row)], ["query", "score", "id", "row"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -197,7 +194,7 @@ def searched(pairs: DataFrame, k: int, lists: int, second: bool) -> DataFrame:
                     q_rows = np.frombuffer(r["q_rows"], np.int64)
                     q = unpacked(r["q_cells"], r["d"], len(q_rows))
                     best = Best(len(q_rows), k)
-                    bound = np.frombuffer(r["q_ids"], np.int64)
+                    bound = np.frombuffer(r["q_ids"], np.int64)  # vec_ids in phase 1, cutoffs in phase 2
                     given = np.array([int(b) if second and b != NO_ID else None for b in bound], object)
                 rows, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
                 x = unpacked(r["cells"], r["d"], len(rows))
