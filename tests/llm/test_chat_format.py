@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format
@@ -28,6 +30,16 @@ def test_round_trip(spark):
     assert len(got.loss) == sum(r == "assistant" for _, _, r, _ in rows) and "### user" not in cut
 
 
+def test_every_short_mix_of_signs_survives(spark):
+    parts = ["#", "###", "\\", "</turn>", "\n", "x"]
+    texts = ["".join(p) for n in range(6) for p in itertools.product(parts, repeat=n)]
+    rows = [(k // 40, k, "assistant", t) for k, t in enumerate(texts)]
+    out = read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    for r in out.collect():
+        own = texts[40 * r.conv_id : 40 * (r.conv_id + 1)]
+        assert r.faithful and [t.text for t in r.turns] == own and r.learned == "".join(own)
+
+
 def test_plain_texts_stay_plain(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a # b")]
     got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()

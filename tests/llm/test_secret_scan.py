@@ -31,10 +31,13 @@ def spans(t):
             continue
         limit = ss.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", m[0]) else ss.BASE64_BITS
         hot = [i for i in range(len(m[0]) - ss.SIZE + 1) if entropy(m[0][i : i + ss.SIZE]) >= limit]
-        if hot:
-            s, e = m.start() + hot[0], m.start() + hot[-1] + ss.SIZE
-            if not any(a < e and s < b for a, _, b in base(t)):
-                found.append((s, 3, e))
+        hot = [m.start() + i for i in hot if not any(a < m.start() + i + ss.SIZE and m.start() + i < b for a, _, b in base(t))]
+        while hot:
+            end = 0
+            while end + 1 < len(hot) and hot[end + 1] <= hot[end] + ss.SIZE:
+                end += 1
+            found.append((hot[0], 3, hot[end] + ss.SIZE))
+            hot = hot[end + 1 :]
     return sorted(found)
 
 
@@ -58,6 +61,21 @@ def test_against_python(spark):
     assert ss.scan(docs.limit(0)).count() == 0
 
 
+def test_key_beside_hex_and_key_without_digits(spark):
+    hexes = "0123456789abcdef" * 2
+    texts = [hexes + "_Zk3vQ9xW7pL2mN8rT4yB", "ZkvQxWpLmNrTyBcHdJfG", "Some/long-path_of-Plain-words/WITH-CAPITALS", "x" * 300 + "Zk3vQ9xW7pL2mN8rT4yB" + "x" * 300 + "Zk3vQ9xW7pL2mN8rT4yB"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [[tuple(s) for s in r.spans] for r in ss.scan(docs).orderBy("doc_id").collect()]
+    assert got == [spans(t) for t in texts]
+    assert [len(s) for s in got] == [2, 1, 0, 2]
+
+
+def test_very_long_text(spark):
+    text = "word " * 300_000 + "key Zk3vQ9xW7pL2mN8rT4yBqq0 " + "AKIA" + "Z9" * 10
+    got = ss.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got.spans] == spans(text)
+
+
 def test_running_totals(spark):
     df = spark.createDataFrame([([k % 7 for k in range(n)],) for n in (0, 1, 64, 65, 1000)], "v array<int>")
     for r in df.select("v", ss.running_totals(F.col("v")).alias("t")).collect():

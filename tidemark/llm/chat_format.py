@@ -11,7 +11,8 @@ the grammar.
 
 Defined cases: null text and null role are empty; rows of one conversation are
 ordered by turn, then role, then text, nulls first; repeated rows are repeated
-turns; a null conv_id is a conversation; other columns are ignored.
+turns; a null conv_id is a conversation; a conversation of any length is one row and must
+fit a task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from tidemark.functions.arrays import let
 from tidemark.llm.secret_scan import running_totals
 
 CLOSE = "</turn>\n"
+BORDER = r"(?<!\\)</turn>\n"
 ROLE_SIGNS = (("%", "%25"), ("\n", "%0A"), ("#", "%23"), ("<", "%3C"), (":", "%3A"))
 TURNS = "array<struct<role:string,text:string>>"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<!\\)(\\*+)(?<!#)(#{3,}|</turn>)", r"\\$1$2")
+    return F.regexp_replace(text, r"(?<!\\)(\\*+)((?<!#)#{3,}|</turn>)", r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
@@ -70,7 +72,7 @@ def parse(formatted: Column) -> Column:
         whole = (F.element_at(parts, -1) == "") & ~F.exists(found, lambda t: t.isNull())
         return F.when(whole, found)
 
-    return let(F.split(formatted, r"(?<!\\)</turn>\n", -1), turns)
+    return let(F.split(formatted, BORDER, -1), turns)
 
 
 def render(turn: Column) -> Column:
@@ -87,7 +89,7 @@ def render(turn: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss (spans (start, length) of the learned texts, in code points), faithful."""
+    """conv_id, formatted, loss (spans (turn, start, length) of the learned texts, in code points), faithful."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     plain = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
@@ -95,9 +97,8 @@ def format_conversations(rows: DataFrame, learn_from: str = "assistant") -> Data
     def build(pieces: Column) -> Column:
         text = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
         ends = running_totals(F.transform(pieces, lambda p: F.length(p["text"])))
-        spans = F.zip_with(
-            pieces, ends, lambda p, e: F.when(p["role"] == learn_from, F.struct((e - F.length(p["text"]) + p["skip"]).alias("start"), p["length"].cast("long").alias("length")))
-        )
+        placed = F.zip_with(pieces, ends, lambda p, e: F.struct(p["role"].alias("role"), (e - F.length(p["text"]) + p["skip"]).alias("start"), p["length"].cast("long").alias("length")))
+        spans = F.transform(placed, lambda p, i: F.when(p["role"] == learn_from, F.struct(i.alias("turn"), p["start"].alias("start"), p["length"].alias("length"))))
         return F.struct(text.alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss"))
 
     made = plain.withColumn("_made", let(F.transform("turns", render), build))
@@ -108,5 +109,16 @@ def format_conversations(rows: DataFrame, learn_from: str = "assistant") -> Data
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """What stands under the loss mask, unescaped and joined."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """What stands under the loss mask, unescaped and joined; every span is cut from its own turn, so time grows with the text."""
+
+    def cut(parts: Column) -> Column:
+        ends = running_totals(F.transform(parts, lambda p: F.length(p) + len(CLOSE)))
+        begins = F.zip_with(parts, ends, lambda p, e: e - F.length(p) - len(CLOSE))
+
+        def under(starts: Column) -> Column:
+            at = lambda s: F.substring(F.element_at(parts, s["turn"] + 1), (s["start"] - F.element_at(starts, s["turn"] + 1) + 1).cast("int"), s["length"].cast("int"))
+            return F.array_join(F.transform(loss, lambda s: unescape(at(s))), "")
+
+        return let(begins, under)
+
+    return let(F.split(formatted, BORDER, -1), cut)

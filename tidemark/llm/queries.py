@@ -86,10 +86,11 @@ SQL_ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in secret_scan.ALLOW
     f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_sql_spans(0, secret_scan.ASSIGN, "len(v) >= 8")} UNION ALL {_sql_spans(1, secret_scan.ACCESS)} UNION ALL {_sql_spans(2, secret_scan.HEX)}),
 cand AS (SELECT * FROM ({_sql_spans(3, SQL_CANDIDATE)}) WHERE NOT ({SQL_ALLOWED})),
-hot AS (SELECT rid, s, m, w FROM (SELECT rid, s, m, unnest(range(0, len(m) - {secret_scan.SIZE} + 1)) AS w FROM cand)
+hot AS (SELECT rid, s + w AS s FROM (SELECT rid, s, m, unnest(range(0, len(m) - {secret_scan.SIZE} + 1)) AS w FROM cand)
         WHERE list_aggregate(string_split(m[w + 1 : w + {secret_scan.SIZE}], ''), 'entropy') >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.BASE64_BITS} END),
-ent AS (SELECT rid, 3 AS kind, s + min(w) AS s, s + max(w) + {secret_scan.SIZE} AS e FROM hot GROUP BY rid, hot.s),
-al AS (SELECT rid, kind, s, e FROM base UNION ALL SELECT rid, kind, s, e FROM ent WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = ent.rid AND b.s < ent.e AND ent.s < b.e)),
+clear AS (SELECT rid, s FROM hot WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = hot.rid AND b.s < hot.s + {secret_scan.SIZE} AND hot.s < b.e)),
+isl AS (SELECT rid, s, sum(n) OVER (PARTITION BY rid ORDER BY s) AS g FROM (SELECT rid, s, CASE WHEN s > lag(s) OVER (PARTITION BY rid ORDER BY s) + {secret_scan.SIZE} THEN 1 ELSE 0 END AS n FROM clear)),
+al AS (SELECT rid, kind, s, e FROM base UNION ALL SELECT rid, 3, min(s), max(s) + {secret_scan.SIZE} FROM isl GROUP BY rid, g),
 txt AS (SELECT rid, kind, s, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM al),
 agg AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
         string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(x, ',' ORDER BY s, kind) AS x FROM txt GROUP BY rid)
@@ -139,7 +140,7 @@ e AS (SELECT *, regexp_replace(text, '(\\*)(#{{3,}}|</turn>)', '\\\1\2', 'g') AS
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('### ') + length(role) + 2 + length(body) + 1 + length('</turn>') + 1) AS BIGINT) AS formatted_chars, true AS faithful
+  CAST(sum(length('### ') + length(role) + 2 + length(body) + 1 + length('</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +154,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         chat_format.parse(F.col("formatted")).alias("turns"),
         chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("learned"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        "faithful",
     )
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
-        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "faithful",
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
     )
 
 

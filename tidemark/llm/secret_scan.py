@@ -5,10 +5,12 @@ slides over each; per step one character enters the counts and one leaves, so
 sum(c log2 c) changes by four table values. Candidates consisting of hex digits
 are judged by the hex threshold, others by the base-64 threshold. Allow-listed
 strings (plain words, plain numbers, UUIDs, runs of one sign) are passed over, as
-are windows that touch a span of a fixed pattern.
+are windows that overlap a span of a fixed pattern. The hot windows left that overlap or touch
+each other make one span, so what stands beside a fixed pattern is found.
 
-Defined cases: null text is empty; empty text has no span; equal rows give equal
-results; other columns are carried along untouched.
+Defined cases: null text is empty; empty text and an empty table have no span; equal rows give equal
+results; spans of a text are ordered by start, then kind; a text of any length is searched whole and must fit a task; other columns are
+carried along untouched.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ SIZE = 20
 HEX_BITS, BASE64_BITS = 3.05, 3.78
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 ALLOWED = (
-    r"^[A-Za-z=_/+-]+$",  # words, also joined ones
+    r"^[=_/+-]*(?:[A-Za-z](?:[a-z]*|[A-Z]*)[=_/+-]+)*(?:[A-Za-z](?:[a-z]*|[A-Z]*))?$",  # words of one case after the first letter, also joined ones
     r"^[0-9=_/+-]+$",  # numbers and dates
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^(.)\1+$",  # rules and fillers
@@ -88,30 +90,40 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(occurrences(text, ASSIGN, 0, long_enough), occurrences(text, ACCESS, 1), occurrences(text, HEX, 2)))
 
 
-def entropy_hits(candidate: Column, size: int = SIZE, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS) -> Column:
-    """(first, last) start of a window at or above the threshold of the candidate's character class; nulls for none."""
+def entropy_hits(candidate: Column, taken: Column, size: int = SIZE, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS) -> Column:
+    """(first, last) window starts of the stretches of hot windows: at or above the threshold of the candidate's character class, clear of ``taken`` (start, end)."""
     table = [0.0] + [c * math.log2(c) for c in range(1, size + 2)]
     weights = F.array(*[F.lit(v) for v in table])
     codes = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
     limit = F.when(candidate.rlike("^[0-9a-fA-F]+$"), F.lit(hex_bits)).otherwise(F.lit(base64_bits))
     # H = log2(size) - S / size for S = sum of c log2 c, so H >= limit is S <= most
     most = (F.lit(math.log2(size)) - limit) * size
+    stretch = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
 
     def slide(c: Column) -> Column:
         counts = F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda k: F.size(F.filter(F.slice(c, 1, size), lambda x: x == k)))
 
-        def run(first: Column, w: Column, top: Column) -> Column:
+        def run(first: Column, w: Column, top: Column, spans: Column) -> Column:
             weigh = lambda n: F.element_at(w, n + 1)
+            none = F.lit(None).cast("int")
             start = F.struct(
                 first.alias("n"),
                 F.aggregate(first, F.lit(0.0), lambda s, n: s + weigh(n)).alias("s"),
-                F.lit(None).cast("int").alias("first"),
-                F.lit(None).cast("int").alias("last"),
+                F.array().cast("array<struct<first:int,last:int>>").alias("done"),
+                none.alias("first"),
+                none.alias("last"),
             )
 
             def note(acc: Column, n: Column, s: Column, at: Column) -> Column:
-                hot = s <= top + 1e-9
-                return F.struct(n.alias("n"), s.alias("s"), F.coalesce(acc["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"))
+                hot = (s <= top + 1e-9) & ~F.exists(spans, lambda b: (b["start"] < at + size) & (at < b["end"]))
+                apart = hot & (at > acc["last"] + size)
+                return F.struct(
+                    n.alias("n"),
+                    s.alias("s"),
+                    F.when(apart, F.concat(acc["done"], F.array(stretch(acc["first"], acc["last"])))).otherwise(acc["done"]).alias("done"),
+                    F.when(apart, at).otherwise(F.coalesce(acc["first"], F.when(hot, at))).alias("first"),
+                    F.when(hot, at).otherwise(acc["last"]).alias("last"),
+                )
 
             def step(acc: Column, at: Column) -> Column:
                 gone, came = F.element_at(c, at), F.element_at(c, at + size)
@@ -123,15 +135,16 @@ def entropy_hits(candidate: Column, size: int = SIZE, hex_bits: float = HEX_BITS
 
             begun = let(start, lambda acc: note(acc, acc["n"], acc["s"], F.lit(0)))
             steps = F.when(F.size(c) > size, F.sequence(F.lit(1), F.size(c) - size)).otherwise(F.array().cast("array<int>"))
-            return F.aggregate(steps, begun, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+            close = lambda acc: F.when(acc["first"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(stretch(acc["first"], acc["last"]))))
+            return F.aggregate(steps, begun, step, close)
 
-        return let(counts, lambda first: let(weights, lambda w: let(most, lambda top: run(first, w, top))))
+        return let(counts, lambda first: let(weights, lambda w: let(most, lambda top: let(taken, lambda spans: run(first, w, top, spans)))))
 
     return let(codes, slide)
 
 
 def entropy_spans(text: Column, base: Column, size: int = SIZE, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """Spans of high-entropy stretches in candidates that are not allow-listed and touch no base span."""
+    """Spans of high-entropy stretches in candidates that are not allow-listed, clear of base spans."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
     def harmless(c: Column) -> Column:
@@ -141,22 +154,16 @@ def entropy_spans(text: Column, base: Column, size: int = SIZE, hex_bits: float
         return out
 
     def judge(c: Column, at: Column) -> Column:
-        stretch = let(
-            entropy_hits(c, size, hex_bits, base64_bits),
-            lambda h: F.when(
-                h["first"].isNotNull(),
-                F.struct(
-                    (at["start"] + h["first"]).cast("long").alias("start"),
-                    F.lit(len(KINDS) - 1).alias("kind"),
-                    (at["start"] + h["last"] + size).cast("long").alias("end"),
-                ),
-            ),
+        near = F.filter(base, lambda b: (b["start"] < at["end"]) & (at["start"] < b["end"]))
+        taken = F.transform(near, lambda b: F.struct((b["start"] - at["start"]).alias("start"), (b["end"] - at["start"]).alias("end")))
+        spans = F.transform(
+            entropy_hits(c, taken, size, hex_bits, base64_bits),
+            lambda h: F.struct((at["start"] + h["first"]).cast("long").alias("start"), F.lit(len(KINDS) - 1).alias("kind"), (at["start"] + h["last"] + size).cast("long").alias("end")),
         )
-        return F.when(~harmless(c), stretch)
+        return F.when(harmless(c), F.array().cast(f"array<{SPAN}>")).otherwise(spans)
 
     def pick(m: Column) -> Column:
-        hot = F.zip_with(m, occurrences(text, CANDIDATE, len(KINDS) - 1), judge)
-        return F.filter(hot, lambda s: s.isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.flatten(F.zip_with(m, occurrences(text, CANDIDATE, len(KINDS) - 1), judge))
 
     return let(found, lambda m: F.when(F.size(m) > 0, pick(m)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
