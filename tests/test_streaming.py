@@ -20,6 +20,10 @@ def _last_minus_mean():
     return lambda w: (w[:, -1, :] - w.mean(axis=1)).mean(axis=1)
 
 
+def _next_two():
+    return lambda w: w[:, -1:, :] + np.arange(1, 3)[None, :, None]
+
+
 @pytest.fixture
 def inbox(spark, tmp_path):
     box = tmp_path / "in"
@@ -44,16 +48,27 @@ def source(spark, box):
     return spark.readStream.schema(SCHEMA).parquet(str(box))
 
 
+def play(state, stream_df, emit):
+    state.writer(stream_df, emit).trigger(availableNow=True).start().awaitTermination()
+
+
+def plain(wins):
+    return wins.select("series_id", "run", "idx", "ts", "filled", "real", "ready", "x")
+
+
 def test_scores_across_a_restart_equal_the_batch_windows(spark, tmp_path, inbox):
     box, put = inbox
     rng = np.random.default_rng(0)
     rows = [(s, i, float(rng.normal()), False) for s in ("a", "b") for i in range(40)]
-    make = lambda: stream.score_stream(source(spark, box), _last_minus_mean, 6)
-    put([r for r in rows if r[1] < 17])
-    run(make(), tmp_path)
+    state = stream.WindowStream(str(tmp_path / "state"), 6)
+    emit = lambda wins: stream.scores(wins, _last_minus_mean)
+    put([r for r in rows if r[1] < 3])
+    play(state, source(spark, box), emit)
+    put([r for r in rows if 3 <= r[1] < 17])
+    play(state, source(spark, box), emit)
     put(sorted((r for r in rows if r[1] >= 17), key=lambda r: -r[1]))  # unordered inside the batch
-    run(make(), tmp_path)
-    got = spark.read.parquet(str(tmp_path / "out")).toPandas().set_index(["series_id", "idx"])["out"].map(lambda v: v[0])
+    play(state, source(spark, box), emit)
+    got = state.read(spark).toPandas().set_index(["series_id", "idx"])["out"].map(lambda v: v[0])
 
     df = spark.createDataFrame(rows, "series_id string, idx long, x double, reset boolean")
     batch = models.score_windows(windows.sliding_windows(df, 6, 1), _last_minus_mean, "score").toPandas()
@@ -62,12 +77,39 @@ def test_scores_across_a_restart_equal_the_batch_windows(spark, tmp_path, inbox)
     assert all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
+@pytest.mark.parametrize("rows", [4, 7, None])
+def test_many_small_batches_with_compaction(spark, tmp_path, inbox, monkeypatch, rows):
+    monkeypatch.setattr(stream, "COMPACT", 3)
+    box, put = inbox
+    for k in range(8):  # b is silent in most batches
+        put([("a", 10 * k + i, float(10 * k + i), False) for i in range(k % 3 + 1)] + ([("b", k, float(k), False)] if k % 4 == 0 else []))
+    state = stream.WindowStream(str(tmp_path / "state"), 6, rows=rows)
+    play(state, spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(str(box)), plain)
+    assert state.read(spark).select("batch").distinct().count() >= 6
+    got = {(r.series_id, r.idx): list(r.x) for r in state.read(spark).collect()}
+    series = {"a": [float(10 * k + i) for k in range(8) for i in range(k % 3 + 1)], "b": [0.0, 4.0]}
+    assert got == {(s, i): v[max(0, i - 5) : i + 1] for s, v in series.items() for i in range(len(v))}
+
+
+def test_a_batch_that_runs_again_replaces_its_output(spark, tmp_path):
+    state = stream.WindowStream(str(tmp_path / "state"), 3)
+    frame = lambda lo, hi: spark.createDataFrame([("a", i, float(i)) for i in range(lo, hi)], "series_id string, ts long, x double")
+    state.run_batch(frame(0, 5), 0, plain)
+    for _ in range(2):
+        state.run_batch(frame(5, 9), 1, plain)
+    state.run_batch(frame(9, 9), 2, plain)
+    state.run_batch(frame(9, 10), 3, plain)
+    got = state.read(spark).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(10))
+    assert list(got[-1].x) == [7.0, 8.0, 9.0]
+
+
 def test_zero_filled_start_and_status(spark, tmp_path, inbox):
     box, put = inbox
     put([("a", i, float(i + 1), False) for i in range(5)])
-    segments = stream.buffered_segments(source(spark, box), 4, warm_start=True)
-    run(stream.segment_windows(segments, 4), tmp_path)
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("idx").collect()
+    state = stream.WindowStream(str(tmp_path / "state"), 4, warm_start=True)
+    play(state, source(spark, box), plain)
+    got = state.read(spark).orderBy("idx").collect()
     assert [list(r.x) for r in got][:2] == [[0, 0, 0, 1], [0, 0, 1, 2]]
     assert [r.filled for r in got] == [4] * 5
     assert [r.real for r in got] == [1, 2, 3, 4, 4] and [r.ready for r in got] == [False] * 3 + [True] * 2
@@ -75,52 +117,76 @@ def test_zero_filled_start_and_status(spark, tmp_path, inbox):
 
 def test_reset_row_starts_over(spark, tmp_path, inbox):
     box, put = inbox
-    put([("a", i, float(i), i == 5) for i in range(10)])
-    segments = stream.buffered_segments(source(spark, box), 3, control="reset")
-    run(stream.segment_windows(segments, 3), tmp_path)
-    got = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values("ts")
-    assert got["idx"].tolist() == [0, 1, 2, 3, 4, 0, 1, 2, 3]
-    assert [list(w) for w in got["x"]][5:8] == [[6.0], [6.0, 7.0], [6.0, 7.0, 8.0]]
+    state = stream.WindowStream(str(tmp_path / "state"), 3, control="reset")
+    put([("a", i, float(i), i in (0, 5, 6)) for i in range(10)] + [("b", 1, 1.0, False), ("b", 2, 2.0, True)])
+    play(state, source(spark, box), plain)
+    put([("a", 10, 10.0, False), ("b", 3, 3.0, False)])
+    play(state, source(spark, box), plain)
+    got = state.read(spark).orderBy("ts").toPandas()
+    a = got[got.series_id == "a"]
+    assert a["idx"].tolist() == [0, 1, 2, 3, 0, 1, 2, 3]
+    assert [list(w) for w in a["x"]][4:] == [[7.0], [7.0, 8.0], [7.0, 8.0, 9.0], [8.0, 9.0, 10.0]]
+    assert got[got.series_id == "b"]["idx"].tolist() == [0, 0]
+
+
+def test_hot_series_is_no_hot_task(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = 60_000
+        rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 997)).alias("series_id"), F.col("id").alias("ts"), F.rand(1).alias("x"))
+        state = stream.WindowStream(str(tmp_path / "state"), 8, rows=128)
+        tails = spark.createDataFrame([("hot", 100, [(1.0,)] * 7)], "series_id string, next long, tail array<struct<x:double>>")
+        share = lambda df, c: df.groupBy(F.spark_partition_id()).agg(c.alias("n")).agg(F.max("n") / F.sum("n")).first()[0]
+        assert share(state.numbered(rows), F.count("pos")) < 0.1
+        blocks = state.blocks(rows, tails)
+        assert share(blocks, F.sum(F.size("points"))) < 0.1
+        wins = state.windows(blocks)
+        assert share(wins, F.sum(F.size("x"))) < 0.1
+        assert wins.count() == n
+        hot = wins.where("series_id = 'hot'").agg(F.min("idx"), F.max("idx"), F.min("filled")).first()
+        assert tuple(hot) == (100, 100 + n // 3 - 1, 8)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def test_hot_series_leaves_in_bounded_segments(spark, tmp_path, inbox):
+def test_silent_series_starts_over(spark, tmp_path, inbox):
     box, put = inbox
-    n = 2 * stream.SEGMENT + 10
-    put([("a", i, float(i), False) for i in range(n)])
-    segments = stream.buffered_segments(source(spark, box), 5)
-    run(segments, tmp_path)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.select(F.max(F.size("points"))).first()[0] <= stream.SEGMENT + 4
-    cut = stream.segment_windows(got, 5).where("filled = 5").orderBy("idx").collect()
-    assert len(cut) == n - 4 and list(cut[-1].x) == [float(v) for v in range(n - 5, n)]
-
-
-def test_silent_series_is_reset_by_its_timer(spark, tmp_path, inbox):
+    state = stream.WindowStream(str(tmp_path / "state"), 3, silence_ms=60_000)
+    put([("a", i, float(i), False) for i in range(4)])
+    play(state, source(spark, box), plain)
+    put([("a", 50, 50.0, False)])
+    play(state, source(spark, box), plain)
+    time.sleep(1)
+    put([("a", 100, 100.0, False)])
+    play(stream.WindowStream(state.folder, 3, silence_ms=500), source(spark, box), plain)
+    assert [r.idx for r in state.read(spark).orderBy("ts").collect()] == [0, 1, 2, 3, 4, 0]
+
+
+def test_thresholds_are_read_again_by_every_batch(spark, tmp_path, inbox):
     box, put = inbox
-    out = stream.segment_windows(stream.buffered_segments(source(spark, box), 3, ttl_ms=1500), 3)
-    query = (
-        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
-        .trigger(processingTime="500 milliseconds").start()
-    )
-
-    def rows(expected):
-        for _ in range(60):
-            time.sleep(0.5)
-            assert query.isActive, query.exception()
-            got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).orderBy("ts").collect()
-            if len(got) >= expected:
-                return got
-        raise AssertionError("no output in time")
-
-    try:
-        (tmp_path / "out").mkdir(exist_ok=True)
-        put([("a", i, float(i), False) for i in range(4)])
-        rows(4)
-        time.sleep(6)
-        put([("a", 100, 100.0, False)])
-        assert [r.idx for r in rows(5)] == [0, 1, 2, 3, 0]
-    finally:
-        query.stop()
+    limits = str(tmp_path / "limits")
+    limit = lambda v: spark.createDataFrame([("a", v)], "series_id string, threshold double").write.mode("overwrite").parquet(limits)
+    state = stream.WindowStream(str(tmp_path / "state"), 1)
+    emit = lambda wins: stream.alerts(wins.withColumn("score", F.col("x")[0]), limits)
+    limit(2.0)
+    put([("a", i, float(i), False) for i in range(5)])
+    play(state, source(spark, box), emit)
+    limit(6.0)
+    put([("a", i, float(i), False) for i in range(5, 9)])
+    play(state, source(spark, box), emit)
+    assert sorted(r.score for r in state.read(spark).collect()) == [3.0, 4.0, 7.0, 8.0]
+
+
+def test_forecast_rows(spark, tmp_path, inbox):
+    box, put = inbox
+    put([("a", i, float(i), False) for i in range(4)])
+    state = stream.WindowStream(str(tmp_path / "state"), 3)
+    play(state, source(spark, box), lambda wins: stream.forecasts(wins, _next_two))
+    got = sorted((r.idx, r.h, r.pred_x) for r in state.read(spark).collect())
+    assert got == [(2, 1, 3.0), (2, 2, 4.0), (3, 1, 4.0), (3, 2, 5.0)]
 
 
 def test_late_rows_are_dropped(spark, tmp_path, inbox):

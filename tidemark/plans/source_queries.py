@@ -46,7 +46,7 @@ def synthetic_random_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.add_shapes(points(spark, sf)).select("series_id", "idx", r("walk").alias("walk"), r("noise").alias("noise"))
 
 
-def _fresh_folder(spark: SparkSession, name: str) -> str:
+def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the one that driver and executors share."""
     base = shared_folder(spark)
     if not base:
@@ -57,7 +57,7 @@ def _fresh_folder(spark: SparkSession, name: str) -> str:
 @query("csv_round_trip", f"WITH {HOURLY_SQL} SELECT series_id, CAST(epoch(ts) AS BIGINT) AS at, {rsql('x')} AS x FROM hourly")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly series written as `;`-separated CSV with padded names, read back as wide series."""
-    path = _fresh_folder(spark, "csv")
+    path = fresh_folder(spark, "csv")
     out = hourly(spark, sf).select(F.col("ts").alias(" ts"), F.col("x").alias(" x "), F.col("series_id").alias("name"))
     out.write.option("header", True).option("sep", ";").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").option(
         "ignoreLeadingWhiteSpace", False
@@ -78,7 +78,7 @@ SELECT w.series_id, w.w_start, """
 def prediction_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Model scores written as Parquet columns and read back."""
     scored = models.score_windows(windows.sliding_windows(points(spark, sf), 24, 24), _median_model, "score")
-    path = _fresh_folder(spark, "predictions")
+    path = fresh_folder(spark, "predictions")
     sinks.write_predictions(sinks.prediction_columns(scored, "out", 24, "anomaly_detection"), path, "parquet")
     back = spark.read.parquet(path)
     return back.withColumns({f"anomaly_score_{i}": r(f"anomaly_score_{i}") for i in range(24)})
