@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidemark.llm import separator_scan, token_blocks
+from tidemark.llm import encoder, separator_scan, token_blocks
 from tidemark.llm.encoder import Encoder
 from tidemark.llm.files import located, read_range, write_whole
 from tidemark.llm.queries import QUERIES, vocabulary
@@ -27,14 +28,36 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_encoder_equals_library(plain):
-    ids, ends = Encoder(vocabulary("byte_bpe_50k.json")).encode(HARD)
-    for text, got in zip(HARD, np.split(ids, ends[:-1]), strict=True):
-        assert got.tolist() == plain(text), text
+@pytest.mark.parametrize("special", [False, True])
+def test_encoder_equals_library(special):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    plain.encode_special_tokens = not special
+    draw = random.Random(1)
+    signs = [" ", " ", "\n", "a", "b.", ",", "é", "Ġ", "<|endoftext|>", "\t", "1", "'s", "日"]
+    texts = HARD + ["".join(draw.choices(signs, k=draw.randint(0, 12))) for _ in range(2000)]
+    code = Encoder(vocabulary("byte_bpe_50k.json"), special=special)
+    for _ in range(2):  # the second time all units are known
+        ids, ends = code.encode(texts)
+        for text, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_special_strings(plain):
+    assert plain("a<|endoftext|>b") == [64, 50256, 65]
+    assert Encoder(vocabulary("byte_bpe_50k.json"), special=True).encode(["a<|endoftext|>b"])[0].tolist() == [64, 50256, 65]
+
+
+def test_forgotten_units_are_learned_again(monkeypatch):
+    monkeypatch.setattr(encoder, "CACHE_UNITS", 10)
+    code, whole = Encoder(vocabulary("byte_bpe_50k.json")), Encoder(vocabulary("byte_bpe_50k.json"))
+    for k in range(5):
+        texts = [f"w{i} und {i * k}, so.\nEnde{i}" for i in range(20)]
+        assert (code.encode(texts)[0] == whole.encode(texts)[0]).all()
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 20_000])

@@ -1,11 +1,13 @@
-"""Byte-level BPE encoding of whole texts by the tokenizers library, each distinct word once per worker.
+"""Byte-level BPE encoding of whole texts by the tokenizers library, each distinct unit once per worker.
 
 The vocabulary's splitting rule puts a border before every space that stands
 between two other characters, around a line break between two others, and between
 a letter and a full stop or comma. A text is therefore the concatenation of its
-words' encodings: Arrow splits a batch into words and numbers the distinct ones, the
-library encodes those not seen before, and one gather lays the ids out. Texts with
-white space in a row are cut only where a border is certain.
+units' encodings: a unit is a word with the space or line break before it, without the
+stop after it. Arrow cuts a batch into units and numbers the distinct ones, the
+library encodes those not seen before, many in one call, and one gather from a flat
+array lays the ids out. Texts with white space in a row are cut only where a border is
+certain; texts that hold a special token's string are encoded whole.
 """
 
 from __future__ import annotations
@@ -18,107 +20,137 @@ import pyarrow.compute as pc
 
 from tidemark.llm.shared import worker_state
 
-CACHE_WORDS = 500_000
-LONG_WORD = 64
+CACHE_UNITS = 400_000
 CHUNK = 100_000
 SPACES_IN_A_ROW = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}][\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+STOPPED = r"\pL[.,]$"
 
 
 class Encoder:
-    """Encodes to little-endian ids of ``dtype``; special tokens' strings are ordinary text."""
+    """Encodes to little-endian ids of ``dtype``. With ``special`` a special token's string is its id, else ordinary text."""
 
-    def __init__(self, vocabulary: str, dtype: str = "<u4"):
+    def __init__(self, vocabulary: str, dtype: str = "<u4", special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.dtype = np.dtype(dtype)
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(pieces.values()) + 1, bool)
         self.opens[[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
-        self.line_break = self.raw("\n")
-        if len(self.line_break) != self.dtype.itemsize:
-            raise ValueError("not a byte-level vocabulary with its own line break")
-        self.known: dict[str, bytes] = {}  # words with the space before them
-        self.loose: dict[str, bytes] = {}  # units as they stand
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.strings = [t.content for t in added if special or not t.special]
+        single = [self.ids(x) for x in ("\n", ".", ",")]
+        if any(len(x) != 1 for x in single):
+            raise ValueError("not a byte-level vocabulary with its own line break, full stop and comma")
+        self.line_break, self.full_stop, self.comma = (int(x[0]) for x in single)
+        self.forget()
+
+    def forget(self) -> None:
+        """Entries of units: where their ids begin in ``flat``, and how many they are."""
+        self.place: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, self.dtype)
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
-    def raw(self, text: str) -> bytes:
-        return self.ids(text).astype(self.dtype).tobytes()
-
-    def alone(self, unit: str) -> bytes:
-        """A unit as it stands, without a space before it."""
-        out = self.loose.get(unit)
-        if out is None:
-            out = self.raw(unit)
-            if len(unit) <= LONG_WORD:
-                if len(self.loose) >= CACHE_WORDS // 4:
-                    self.loose.clear()
-                self.loose[unit] = out
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        """Encode ' ' + word for many words as one text; an id whose piece begins with a space begins a word."""
-        at = 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and size < CHUNK:
-                size += len(words[end]) + 1
-                end += 1
-            some = words[at:end]
-            ids = self.ids(" " + " ".join(some))
-            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.dtype.itemsize
-            raw, cuts = ids.astype(self.dtype).tobytes(), cuts.tolist()
-            self.known.update(zip(some, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-            at = end
-
-    def entries(self, words: list[str]) -> list[bytes]:
-        """Ids of ' ' + word, for distinct words without white space other than single line breaks."""
-        cut = [w.partition("\n") for w in words]
-        core = [h[:-1] if h[-1:] in (".", ",") and h[-2:-1].isalpha() else h for h, _, _ in cut]
-        missing = set(core) - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = set(core)
-        if "" in missing:
-            self.known[""] = self.raw(" ")
-            missing.discard("")
-        self.learn([w for w in missing if not w[:1].isspace()])
-        self.known.update((w, self.raw(" " + w)) for w in missing if w[:1].isspace())
-        known, brk = self.known, self.line_break
-        stop = {".": self.alone("."), ",": self.alone(",")}
-        out = []
-        for (head, sep, rest), c in zip(cut, core, strict=True):
-            raw = known[c] if len(c) == len(head) else known[c] + stop[head[-1]]
-            if sep:
-                raw += brk + brk.join([self.alone(x) if x else b"" for x in rest.split("\n")])
-            out.append(raw)
-        return out
+    def lay(self, ids: np.ndarray) -> int:
+        """Put ids behind those in ``flat``; returns where they begin."""
+        at, end = self.used, self.used + len(ids)
+        if end >= len(self.flat):
+            grown = np.zeros(max(2 * len(self.flat), end + 1), self.dtype)
+            grown[:at] = self.flat[:at]
+            self.flat = grown
+        self.flat[at:end] = ids
+        self.used = end
+        return at
+
+    def keep(self, units: list[str], ids: np.ndarray, begins: np.ndarray) -> None:
+        """New entries whose ids follow each other."""
+        at, n = self.lay(ids), len(self.place)
+        if n + len(units) > len(self.begin):
+            grow = max(len(self.begin), len(units))
+            self.begin = np.concatenate([self.begin, np.zeros(grow, np.int64)])
+            self.size = np.concatenate([self.size, np.zeros(grow, np.int64)])
+        self.begin[n : n + len(units)] = at + begins
+        self.size[n : n + len(units)] = np.diff(begins, append=len(ids))
+        self.place.update(zip(units, range(n, n + len(units)), strict=True))
+
+    def learn(self, units: list[str]) -> None:
+        """Encode units, those of one kind in one text: an id whose piece opens with a space, or that of a line break, begins a unit."""
+        words, lines, single = [], [], []
+        for u in units:
+            line = u[:1] == "\n"
+            first = u[1:2] if line else u[:1]
+            (single if not first or first.isspace() else lines if line else words).append(u)
+        for u in single:
+            self.keep([u], self.ids(u if u[:1] == "\n" else " " + u), np.zeros(1, np.int64))
+        for some, before, starts in ((words, " ", lambda ids: self.opens[ids]), (lines, "", lambda ids: ids == self.line_break)):
+            at = 0
+            while at < len(some):
+                end, size = at, 0
+                while end < len(some) and size < CHUNK:
+                    size += len(some[end]) + 1
+                    end += 1
+                ids = self.ids(before + before.join(some[at:end]))
+                self.keep(some[at:end], ids, np.flatnonzero(starts(ids)))
+                at = end
+
+    def entries(self, units: list[str]) -> np.ndarray:
+        """Entry numbers of distinct units."""
+        missing = [u for u in units if u not in self.place]
+        if len(self.place) + len(missing) > CACHE_UNITS and len(missing) < len(units):
+            self.forget()
+            missing = units
+        self.learn(missing)
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text ends."""
+        if not texts:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        if len(self.place) > CACHE_UNITS:
+            self.forget()
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, SPACES_IN_A_ROW).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", column)
-        split = pc.split_pattern(plain, " ")
-        offsets = split.offsets.to_numpy()[:-1]
-        coded = split.values.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        # the first unit of a text has no space before it, an odd text is one unit
-        own = [self.pieces(t) if o else self.first_unit(t.split(" ", 1)[0]) for t, o in zip(texts, odd.tolist(), strict=True)]
-        codes[offsets] = len(words) + np.arange(len(texts))
-        raws = self.entries(words) + own
-        lengths = np.array([len(r) for r in raws], np.int64) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(raws), self.dtype)
-        begins = np.cumsum(lengths) - lengths
-        sizes = lengths[codes]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(begins[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[np.append(offsets[1:], len(codes)) - 1] if len(texts) else np.zeros(0, np.int64)
+        whole = np.zeros(len(texts), bool)
+        for string in self.strings:
+            whole |= pc.match_substring(column, string).to_numpy(zero_copy_only=False)
+        apart = odd | whole
+        # a unit ends before a space or a line break
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(apart), "", column), "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy()[:-1]
+        # the first unit of a text has no space before it: like one after a line break, less the break
+        units = cut.values.dictionary_encode()
+        codes = units.indices.to_numpy()
+        first = units.dictionary.take(pa.array(codes[offsets]))
+        names = pa.concat_arrays([units.dictionary, pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), first, pa.scalar("", pa.large_string()))])
+        stopped = pc.match_substring_regex(names, STOPPED)
+        core = pc.if_else(stopped, pc.utf8_slice_codeunits(names, 0, -1), names).dictionary_encode()
+        entry = self.entries(core.dictionary.to_pylist())[core.indices.to_numpy()]
+        stop = np.where(pc.ends_with(names, ".").to_numpy(zero_copy_only=False), self.full_stop, self.comma)
+        has_stop = stopped.to_numpy(zero_copy_only=False)
+
+        n_units = len(units.dictionary)
+        codes = codes.astype(np.int64)
+        codes[offsets] = n_units + np.arange(len(texts))
+        own = entry[codes]
+        begin, size, more = self.begin[own], self.size[own], has_stop[codes]
+        begin[offsets] += 1
+        size[offsets] -= 1
+        kept = self.used
+        for i in np.flatnonzero(apart).tolist():
+            ids = self.ids(texts[i]) if whole[i] else np.concatenate([self.ids(p) for p in SAFE_CUT.split(texts[i])])
+            begin[offsets[i]], size[offsets[i]] = self.lay(ids), len(ids)
+        total = size + more
+        ends = np.cumsum(total)
+        out = self.flat[np.repeat(begin - (ends - total), total) + np.arange(ends[-1])]
+        out[ends[more] - 1] = stop[codes[more]]
+        self.used = kept
+        return out, ends[np.append(offsets[1:], len(codes)) - 1]
 
     def encode_closed(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Like ``encode``, with ``end_id`` after each text."""
@@ -129,20 +161,13 @@ class Encoder:
         out[ends + n] = end_id
         return out, ends + n + 1
 
-    def first_unit(self, unit: str) -> bytes:
-        return self.line_break.join([self.alone(x) if x else b"" for x in unit.split("\n")])
 
-    def pieces(self, text: str) -> bytes:
-        """A text with white space in a row."""
-        return b"".join([self.alone(unit) for unit in SAFE_CUT.split(text)])
-
-
-def encoder(vocabulary: str, dtype: str = "<u4") -> Encoder:
-    """One encoder per Python worker, so its words stay known from task to task."""
+def encoder(vocabulary: str, dtype: str = "<u4", special: bool = False) -> Encoder:
+    """One encoder per Python worker, so its units stay known from task to task."""
     kept = worker_state()
-    key = ("encoder", vocabulary, dtype)
+    key = ("encoder", vocabulary, dtype, special)
     if key not in kept:
-        kept[key] = Encoder(vocabulary, dtype)
+        kept[key] = Encoder(vocabulary, dtype, special)
     return kept[key]
 
 

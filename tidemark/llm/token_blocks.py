@@ -14,7 +14,8 @@ task holds one file's ids. Files are written whole and moved in place.
 
 Defined cases: null text is empty (the end id alone); null doc_ids come first;
 rows with one doc_id are ordered by their text's hash, equal rows are written each; a
-table without rows gives no file. Other columns are ignored.
+table without rows gives no file; a special token's string in a text is that token's id, as the
+library has it; a text of any length is encoded whole, a task holds some 20 bytes per character of it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
     """Encode the documents and write token files to ``folder``. Returns path, part, seq, n_docs, n_tokens of the files; they are written when it is computed."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(vocabulary)
+        code = encoder(vocabulary, special=True)
         part, seq = TaskContext.get().partitionId(), 0
         arrays: list[np.ndarray] = []
         doc_ids: list[int | None] = []
