@@ -19,11 +19,11 @@ def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
 
 
 def pin(df: DataFrame, *cols: str) -> DataFrame:
-    """Compute columns here, below whatever follows.
+    """Compute columns here, once, below whatever follows.
 
-    A vectorized function must see plain columns: nested lambdas merged into its
-    arguments are not extracted by the planner. A one-element explode is a plan
-    node of its own, so nothing is merged across it.
+    The optimizer puts a column's expression wherever the column is used, so one used
+    twice is evaluated twice, and a vectorized function merged with nested lambdas is not
+    planned at all. A one-element explode is a plan node of its own: nothing is merged across it.
     """
     for c in cols:
         df = df.withColumn(c, F.explode(F.array(c)))

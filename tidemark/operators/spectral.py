@@ -14,20 +14,35 @@ from tidemark.functions.fourier import amplitude, circular_correlation, keep_bin
 KEYS = ("series_id",)
 
 
-def spectrum_rows(windows: DataFrame, cols: Sequence[str] = ("x",), keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per window, feature and frequency bin with its amplitude."""
+LONG = 256
+"""Windows from this length on are summed as rows, shorter ones as array expressions."""
+
+
+def spectrum_rows(windows: DataFrame, cols: Sequence[str] = ("x",), keys: Sequence[str] = KEYS, length: int | None = None) -> DataFrame:
+    """One row per window, feature and frequency bin with its amplitude.
+
+    Windows whose ``length`` is LONG or more become (position, bin) rows, which are summed
+    where they are made, so a window leaves its task as its bins.
+    """
     feature = F.explode(
         F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("_a")) for c in cols])
     ).alias("_f")
-    spectra = windows.select(*keys, "w_start", feature).select(
-        *keys, "w_start", "_f.feature", rfft("_f._a").alias("_s")
-    )
+    features = windows.select(*keys, "w_start", feature).select(*keys, "w_start", "_f.feature", "_f._a")
+    if length is not None and length >= LONG:
+        points = features.select(*keys, "w_start", "feature", F.posexplode("_a").alias("_j", "_v"))
+        cells = points.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(length // 2))))
+        turn = F.lit(2 * math.pi) * (F.col("_j") * F.col("bin") % length) / length
+        sums = cells.groupBy(*keys, "w_start", "feature", "bin").agg(F.sum(F.col("_v") * F.cos(turn)).alias("re"), F.sum(F.col("_v") * F.sin(turn)).alias("im"))
+        return sums.select(*keys, "w_start", "feature", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amp"))
+    spectra = features.select(*keys, "w_start", "feature", rfft("_a").alias("_s"))
     return spectra.select(*keys, "w_start", "feature", F.posexplode(amplitude(F.col("_s"))).alias("bin", "amp"))
 
 
-def mean_spectrum(windows: DataFrame, cols: Sequence[str] = ("x",), by: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
+def mean_spectrum(
+    windows: DataFrame, cols: Sequence[str] = ("x",), by: Sequence[str] = (), keys: Sequence[str] = KEYS, length: int | None = None
+) -> DataFrame:
     """Amplitude per bin averaged over windows and features (optionally per key)."""
-    return spectrum_rows(windows, cols, keys).groupBy(*by, "bin").agg(F.avg("amp").alias("amp"))
+    return spectrum_rows(windows, cols, keys, length).groupBy(*by, "bin").agg(F.avg("amp").alias("amp"))
 
 
 def _top(df: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
@@ -40,7 +55,7 @@ def dominant_periods(
     windows: DataFrame, length: int, k: int, cols: Sequence[str] = ("x",), by: Sequence[str] = (), keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The k strongest periods: length div bin, the constant bin excluded."""
-    mean = mean_spectrum(windows, cols, by, keys).withColumn("amp", F.when(F.col("bin") == 0, 0.0).otherwise(F.col("amp")))
+    mean = mean_spectrum(windows, cols, by, keys, length).withColumn("amp", F.when(F.col("bin") == 0, 0.0).otherwise(F.col("amp")))
     top = _top(mean, k, by)
     period = F.when(F.col("bin") > 0, F.floor(F.lit(length) / F.col("bin"))).cast("long")
     return top.select(*by, "rank", "bin", period.alias("period"), "amp")
@@ -56,13 +71,13 @@ def window_period_weights(
 
 def shared_spectrum(windows: DataFrame, length: int, share: float = 0.2, cols: Sequence[str] = ("x",), keys: Sequence[str] = KEYS) -> DataFrame:
     """The strongest share of all bins over every window."""
-    return _top(mean_spectrum(windows, cols, (), keys), int((length // 2 + 1) * share), ()).select("rank", "bin", "amp")
+    return _top(mean_spectrum(windows, cols, (), keys, length), int((length // 2 + 1) * share), ()).select("rank", "bin", "amp")
 
 
 def spectrum_split(windows: DataFrame, bins: Sequence[int], col: str = "x") -> DataFrame:
     """Invariant part (the given bins) and variant part (the rest) of each window."""
     chosen = F.array(*[F.lit(int(b)) for b in bins])
-    out = pin(windows, col).withColumn("invariant", keep_bins(F.col(col), chosen))
+    out = pin(windows.withColumn("invariant", keep_bins(col, chosen)), "invariant")
     return out.withColumn("variant", F.zip_with(col, "invariant", lambda x, y: x - y))
 
 
@@ -71,7 +86,7 @@ def dft_split(windows: DataFrame, k: int, col: str = "x") -> DataFrame:
 
     As in the definition with a strict comparison, the weakest of the k bins is cut too.
     """
-    out = pin(windows, col).withColumn("seasonal", strongest_part(F.col(col), k))
+    out = pin(windows.withColumn("seasonal", strongest_part(col, k)), "seasonal")
     return out.withColumn("trend", F.zip_with(col, "seasonal", lambda x, s: x - s))
 
 
@@ -95,7 +110,7 @@ def autocorrelation(windows: DataFrame, query: str = "x", key: str | None = None
 
     The number of lags is int(factor * ln L). Adds ``corr`` and ``lags`` (array of ``lag, corr, weight``).
     """
-    out = pin(windows, query, *([key] if key else [])).withColumn("corr", circular_correlation(query, key or query))
+    out = pin(windows.withColumn("corr", circular_correlation(query, key or query)), "corr")
     top = F.floor(F.lit(factor) * F.log(F.size("corr").cast("double"))).cast("int")
     ranked = F.slice(
         F.array_sort(F.transform("corr", lambda c, i: F.struct((-c).alias("minus"), i.alias("lag")))), F.lit(1), top
@@ -136,7 +151,7 @@ def delay_aggregation(windows: DataFrame, value: str = "x", lags: str = "lags",
 
 def shared_lags(windows: DataFrame, factor: float = 1.0, length: int = 24, query: str = "x") -> DataFrame:
     """Lags chosen once from the correlation averaged over all windows."""
-    corr = pin(windows, query).select(F.posexplode(circular_correlation(query, query)).alias("lag", "corr"))
+    corr = windows.select(F.posexplode(circular_correlation(query, query)).alias("lag", "corr"))
     mean = corr.groupBy("lag").agg(F.avg("corr").alias("corr"))
     k = int(factor * math.log(length))
     order = Window.orderBy(F.desc("corr"), "lag")  # at most `length` rows
@@ -145,7 +160,7 @@ def shared_lags(windows: DataFrame, factor: float = 1.0, length: int = 24, query
 
 def harmonics(windows: DataFrame, length: int, k: int, col: str = "x") -> DataFrame:
     """Strongest k harmonics of each window as array of ``f, amp, phase`` (constant and Nyquist bins skipped)."""
-    out = pin(windows, col).withColumn("_s", rfft(col))
+    out = pin(windows.withColumn("_s", rfft(col)), "_s")
     last = length // 2 - 1 if length % 2 == 0 else length // 2
     parts = F.zip_with(amplitude(F.col("_s")), phase(F.col("_s")), lambda a, p: F.struct(a.alias("a"), p.alias("p")))
     indexed = F.transform(

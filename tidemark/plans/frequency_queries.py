@@ -245,8 +245,9 @@ def select_modes(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.select_modes(spectral.spectrum_rows(_wins(spark, sf)), 24, 4).withColumn("amp", r("amp", 5))
 
 
-LAG_SQL = f"""{WIN_SQL}, lags AS (SELECT unnest(range(0, 24)) AS lag),
-corr AS (SELECT q.series_id, q.w_start, lag, sum(q.x * k.x) AS c FROM lags, wins q JOIN wins k ON k.series_id = q.series_id AND k.w_start = q.w_start AND q.pos = (k.pos + lag) % 24 GROUP BY 1, 2, 3),
+LAG_SQL = f"""{WIN_SQL}, lags AS (SELECT unnest(range(0, 13)) AS lag),
+half AS (SELECT q.series_id, q.w_start, lag, sum(q.x * k.x) AS c FROM lags, wins q JOIN wins k ON k.series_id = q.series_id AND k.w_start = q.w_start AND q.pos = (k.pos + lag) % 24 GROUP BY 1, 2, 3),
+corr AS (SELECT * FROM half UNION ALL SELECT series_id, w_start, 24 - lag, c FROM half WHERE lag BETWEEN 1 AND 11),
 rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, w_start ORDER BY round(c, 4) DESC, lag) AS rk, max(c) OVER (PARTITION BY series_id, w_start) AS best FROM corr),
 top AS (SELECT *, exp(c - best) / sum(exp(c - best)) OVER (PARTITION BY series_id, w_start) AS weight FROM rk WHERE rk <= 3)"""
 
@@ -256,6 +257,12 @@ def autocorrelation_values(spark: SparkSession, sf: str) -> DataFrame:
     return _long(spectral.autocorrelation(_wins(spark, sf)), "corr", 4)
 
 
+@query("strongest_lags", f"WITH {LAG_SQL} SELECT series_id, w_start, CAST(rk AS INTEGER) AS rank, CAST(lag AS INTEGER) AS lag, {rsql('c', 4)} AS corr, {rsql('weight', 5)} AS weight FROM top")
+def strongest_lags(spark: SparkSession, sf: str) -> DataFrame:
+    out = spectral.autocorrelation(_wins(spark, sf)).select("series_id", "w_start", F.posexplode("lags").alias("k", "s"))
+    return out.select("series_id", "w_start", (F.col("k") + 1).alias("rank"), "s.lag", r("s.corr", 4).alias("corr"), r("s.weight", 5).alias("weight"))
+
+
 @query(
     "delay_aggregation",
     f"""WITH {LAG_SQL}
@@ -267,10 +274,10 @@ def delay_aggregation(spark: SparkSession, sf: str) -> DataFrame:
     return _long(spectral.delay_aggregation(spectral.autocorrelation(_wins(spark, sf))), "aggregated", 5)
 
 
-@query("shared_lags", f"WITH {LAG_SQL}, m AS (SELECT lag, avg(c) AS c, row_number() OVER (ORDER BY round(avg(c), 4) DESC, lag) AS rank FROM corr GROUP BY 1) SELECT CAST(rank AS INTEGER) AS rank, {rsql('c', 3)} AS corr FROM m WHERE rank <= 3")
+@query("shared_lags", f"WITH {LAG_SQL}, m AS (SELECT lag, avg(c) AS c, row_number() OVER (ORDER BY round(avg(c), 4) DESC, lag) AS rank FROM corr GROUP BY 1) SELECT CAST(rank AS INTEGER) AS rank, CAST(lag AS INTEGER) AS lag, {rsql('c', 3)} AS corr FROM m WHERE rank <= 3")
 def shared_lags(spark: SparkSession, sf: str) -> DataFrame:
-    # a lag and its mirror correlate equally, so only rank and value are compared
-    return spectral.shared_lags(_wins(spark, sf)).select("rank", r("corr", 3).alias("corr"))
+    # a lag and its mirror are one sum, so the smaller lag comes first
+    return spectral.shared_lags(_wins(spark, sf)).select("rank", "lag", r("corr", 3).alias("corr"))
 
 
 HARMONIC = "sum(2 * f.amp / 24.0 * cos(2 * pi() * f.bin * t / 24.0 + atan2(f.im, f.re)))"
