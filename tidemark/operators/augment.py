@@ -19,13 +19,14 @@ from pyspark.sql import types as T
 
 from tidemark.functions import warping
 from tidemark.functions.arrays import array_sum, let, pin
-from tidemark.functions.draws import integer, normal, uniform
+from tidemark.functions.draws import cell, integer, normal, uniform
 from tidemark.functions.fourier import DOUBLES
 from tidemark.operators.dtw import as_matrix, packed_distance, packed_path, present, sample_medoids
 from tidemark.operators.mates import gather_mates, with_mates
 from tidemark.session import staged
 
 ID = "window_id"
+ROUND = "round"
 X = ("x",)
 CHANNELS = T.ArrayType(DOUBLES)
 
@@ -34,7 +35,7 @@ CHANNELS = T.ArrayType(DOUBLES)
 
 def jitter(df: DataFrame, cols: Sequence[str] = X, sigma: float = 0.03, seed: int = 0, tag: str = "jitter") -> DataFrame:
     """Add normal noise to every point."""
-    noise = lambda c, i: normal(seed, F.lit(tag), F.col(ID), F.lit(c), i) * sigma
+    noise = lambda c, i: normal(seed, tag, c, F.col(ID), i) * sigma
     return df.withColumns({c: _noisy(c, noise) for c in cols})
 
 
@@ -44,7 +45,7 @@ def _noisy(c: str, noise: Callable[[str, Column], Column]) -> Column:
 
 def scaling(df: DataFrame, cols: Sequence[str] = X, sigma: float = 0.1, seed: int = 0) -> DataFrame:
     """Multiply each channel of a window by one normal factor around 1."""
-    factor = lambda c: 1.0 + normal(seed, F.lit("scaling"), F.col(ID), F.lit(c)) * sigma
+    factor = lambda c: 1.0 + normal(seed, "scaling", c, F.col(ID)) * sigma
     return df.withColumns({c: _each(c, factor(c), lambda v, f: v * f) for c in cols})
 
 
@@ -56,7 +57,7 @@ def rotation(df: DataFrame, cols: Sequence[str] = X, seed: int = 0) -> DataFrame
     """Flip channels at random per window, and shuffle the channels once for all windows."""
     source = list(cols)
     random.Random(seed).shuffle(source)
-    sign = lambda c: F.when(uniform(seed, F.lit("rotation"), F.col(ID), F.lit(c)) < 0.5, -1.0).otherwise(1.0)
+    sign = lambda c: F.when(uniform(seed, "rotation", c, F.col(ID)) < 0.5, -1.0).otherwise(1.0)
     flipped = {c: _each(s, sign(c), lambda v, f: v * f) for c, s in zip(cols, source, strict=True)}
     return df.withColumns(flipped)
 
@@ -66,7 +67,7 @@ def scale_shift_jitter(df: DataFrame, cols: Sequence[str] = X, sigma: float = 0.
 
     Scale and shift are one draw per window and channel, the noise is one per point.
     """
-    draw = lambda name, c, *at: normal(seed, F.lit(name), F.col(ID), F.lit(c), *at) * sigma
+    draw = lambda name, c, *at: normal(seed, name, c, F.col(ID), *at) * sigma
 
     def moved(c: str) -> Column:
         parts = F.struct((draw("scale", c) + 1.0).alias("scale"), draw("shift", c).alias("shift"))
@@ -87,7 +88,7 @@ def permutation(
     """
     if mode not in ("equal", "random"):
         raise ValueError("mode must be 'equal' or 'random'")
-    tag = F.lit(f"permutation_{mode}")
+    tag = f"permutation_{mode}"
     first = cols[0]
     pieces = integer(1, max_segments, seed, tag, F.col(ID)).cast("int")
 
@@ -97,7 +98,7 @@ def permutation(
             q, extra = F.floor(length / n).cast("int"), length % n
             return F.transform(F.sequence(F.lit(0), n), lambda s: s * q + F.least(s, extra))
         places = F.transform(
-            F.sequence(F.lit(0), length - 3), lambda i: F.struct(F.xxhash64(F.lit(seed), tag, F.col(ID), i).alias("h"), i.alias("i"))
+            F.sequence(F.lit(0), length - 3), lambda i: F.struct(cell(seed, tag, "cut", F.col(ID), i).alias("h"), i.alias("i"))
         )
         chosen = F.array_sort(F.transform(F.slice(F.array_sort(places), F.lit(1), n - 1), lambda s: s["i"]))
         return F.concat(F.array(F.lit(0)), chosen, F.array(length))
@@ -106,7 +107,7 @@ def permutation(
         F.array_sort(
             F.transform(
                 F.sequence(F.lit(1), n),
-                lambda s: F.struct(F.xxhash64(F.lit(seed), tag, F.lit("order"), F.col(ID), s).alias("h"), s.alias("s")),
+                lambda s: F.struct(cell(seed, tag, "order", F.col(ID), s).alias("h"), s.alias("s")),
             )
         ),
         lambda s: s["s"],
@@ -153,7 +154,7 @@ def window_slice(
     length = F.size(cols[0])
     share = F.lit(ratio) if isinstance(ratio, float) else ratio
     target = F.ceil(share * length).cast("int")
-    start = integer(0, F.greatest(length - target, F.lit(1)), seed, F.lit("slice"), F.col(ID)).cast("int")
+    start = integer(0, F.greatest(length - target, F.lit(1)), seed, "slice", F.col(ID)).cast("int")
     cut = F.struct(target.alias("target"), start.alias("start"), length.alias("n"))
 
     def stretched(c: str) -> Column:
@@ -174,9 +175,9 @@ def window_warp(
     """Speed up or slow down a random part of a window, then stretch back to full length."""
     length = F.size(cols[0])
     size = F.ceil(F.lit(ratio) * length).cast("int")
-    pick = integer(0, len(scales), seed, F.lit("warp_scale"), F.col(ID)).cast("int")
+    pick = integer(0, len(scales), seed, "warp_scale", F.col(ID)).cast("int")
     scale = F.element_at(F.array(*[F.lit(float(s)) for s in scales]), pick + 1)
-    start = integer(1, length - size - 1, seed, F.lit("warp_start"), F.col(ID)).cast("int")
+    start = integer(1, length - size - 1, seed, "warp_start", F.col(ID)).cast("int")
     plan = F.struct(size.alias("size"), start.alias("start"), F.floor(size * scale).cast("int").alias("count"), length.alias("n"))
 
     def warped(c: str) -> Column:
@@ -221,7 +222,7 @@ def spline_basis(length: int, knots: int) -> np.ndarray:
 
 
 def _knots(c: str, count: int, sigma: float, seed: int, tag: str) -> Column:
-    draw = lambda k: 1.0 + normal(seed, F.lit(tag), F.col(ID), F.lit(c), k) * sigma
+    draw = lambda k: 1.0 + normal(seed, tag, c, F.col(ID), k) * sigma
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), draw)
 
 
@@ -253,15 +254,10 @@ def time_warp(
         curve = F.transform(basis, lambda row: array_sum(F.zip_with(row, f"_k_{c}", lambda b, v: b * v)))
         return let(curve, lambda a: F.transform(a, lambda v: F.least(F.greatest(v * end / F.element_at(a, -1), F.lit(0.0)), F.lit(end))))
 
-    @F.pandas_udf(DOUBLES)
-    def resample(x: pd.Series, at: pd.Series) -> pd.Series:
-        grid = np.arange(length)
-        return pd.Series([np.interp(grid, a, v) for a, v in zip(at, x, strict=True)], dtype=object)
-
     drawn = df.withColumns({f"_k_{c}": _knots(c, knot + 2, sigma, seed, "time") for c in cols})
-    drawn = pin(drawn, *[f"_k_{c}" for c in cols]).withColumns({f"_t_{c}": axis(c) for c in cols})
-    drawn = pin(drawn, *cols, *[f"_t_{c}" for c in cols])
-    return drawn.withColumns({c: resample.asNondeterministic()(c, f"_t_{c}") for c in cols}).drop(*[f"_{k}_{c}" for k in "kt" for c in cols])
+    drawn = pin(drawn, *[f"_k_{c}" for c in cols])
+    moved = lambda c: let(F.col(c), lambda x: F.transform(axis(c), lambda at: _read(x, at)))
+    return drawn.withColumns({c: moved(c) for c in cols}).drop(*[f"_k_{c}" for c in cols])
 
 
 # -- class guided -------------------------------------------------------------------------------------------
@@ -303,9 +299,9 @@ def spawner(
         return pd.Series(out, dtype=object)
 
     pairs = with_mates(df, 1, ID, label, cols, seed)
-    at = integer(1, length - 1, seed, F.lit("spawner"), F.col(ID))
+    at = integer(1, length - 1, seed, "spawner", F.col(ID))
     packed = pairs.withColumns({"_a": F.array(*cols), "_b": F.array(*[f"mate_{c}" for c in cols]), "_t": at})
-    mixed = pin(packed, "_a", "_b", "_t").withColumn("_o", run("_a", "_b", "_t"))
+    mixed = pin(pin(packed, "_a", "_b", "_t").withColumn("_o", run.asNondeterministic()("_a", "_b", "_t")), "_o")
     out = _unpack(mixed, cols, "_o", "_a", "_b", "_t").select(*df.columns)
     return jitter(out, cols, sigma, seed, "spawner_jitter")
 
@@ -430,9 +426,10 @@ def discriminative_warp(
     out = staged(out)
     if not variable_slice:
         return out.drop("warp_amount")
-    # the largest warp of all windows is one row
-    top = out.agg(F.max("warp_amount").alias("_top"))
-    joined = out.crossJoin(F.broadcast(top))
+    # the largest warp of all windows, or of each round of ``augment_rounds``: one row per round
+    by = [ROUND] if ROUND in df.columns else []
+    top = out.groupBy(*by).agg(F.max("warp_amount").alias("_top"))
+    joined = out.join(F.broadcast(top), by) if by else out.crossJoin(F.broadcast(top))
     share = F.when(F.col("_top") > 0, 0.9 + 0.1 * F.col("warp_amount") / F.col("_top")).otherwise(0.9)
     return window_slice(joined.withColumn("_share", share), cols, F.col("_share"), seed).select(*df.columns)
 
@@ -474,21 +471,30 @@ def augment(df: DataFrame, steps: Sequence[str], length: int, cols: Sequence[str
 
 
 def augment_rounds(
-    df: DataFrame, steps: Sequence[str], length: int, rounds: int, cols: Sequence[str] = X, seed: int = 0, extra_tag: str = "", keep: str = "all"
+    df: DataFrame, steps: Sequence[str], length: int, rounds: int, cols: Sequence[str] = X, seed: int = 0, extra_tag: str = "", keep: str = "all", label: str = "label"
 ) -> DataFrame:
     """Originals plus ``rounds`` augmented copies with their labels; ``round`` 0 is the original.
 
-    ``keep='last'`` returns only the last round.
+    Rounds are rows: every window is copied once per round under an id of its own, which all
+    draws depend on, and mates share class and round. So the plan has one scan and one
+    node per step whatever the number of rounds. ``keep='last'`` returns only the last round.
     """
     suffix = f"_{extra_tag}" if extra_tag else ""
-    done = [
-        augment(df, steps, length, cols, seed + n).withColumn("round", F.lit(n))
-        .withColumn("tags", F.concat(F.lit(str(rounds)), "tags", F.lit(suffix)))
-        for n in range(1, rounds + 1)
-    ]
-    if keep == "last" and done:
-        return done[-1]
-    out = df.withColumns({"tags": F.lit(extra_tag), "round": F.lit(0)})
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    whole = dict(df.dtypes)[ID] in ("tinyint", "smallint", "int", "bigint")
+    own_id = F.col(ID) * rounds + F.col(ROUND) - 1 if whole else F.concat_ws(":", ID, ROUND)
+    made = F.sequence(F.lit(1), F.lit(rounds)) if keep == "all" else F.array(F.lit(rounds))
+    hidden = {f"_own_{c}": F.when(F.col(ROUND) == 1, F.col(c)) for c in cols} if keep == "all" else {}
+    copies = df.withColumn(ROUND, F.explode(made)).withColumns({"_id": F.col(ID), **hidden})
+    if label in df.columns:
+        copies = copies.withColumn("_label", F.col(label)).withColumn(label, F.struct(label, ROUND))
+    out = augment(copies.withColumn(ID, own_id), steps, length, cols, seed)
+    out = out.withColumns({ID: F.col("_id"), "tags": F.concat(F.lit(str(rounds)), "tags", F.lit(suffix))})
+    if label in df.columns:
+        out = out.withColumn(label, F.col("_label"))
+    if keep != "all":
+        return out.select(*df.columns, "tags", ROUND)
+    # the first round brings the original along
+    version = lambda n, tags, prefix: F.struct(n.alias(ROUND), tags.alias("tags"), *[F.col(f"{prefix}{c}").alias(c) for c in cols])
+    new, old = version(F.col(ROUND), F.col("tags"), ""), version(F.lit(0), F.lit(extra_tag), "_own_")
+    both = out.withColumn("_v", F.explode(F.when(F.col(ROUND) == 1, F.array(old, new)).otherwise(F.array(new))))
+    return both.select(*[F.col(f"_v.{c}").alias(c) if c in cols else F.col(c) for c in df.columns], "_v.tags", f"_v.{ROUND}")

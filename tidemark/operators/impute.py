@@ -25,7 +25,7 @@ def random_mask(
     """
     out = df
     for c in cols:
-        kept = F.when(uniform(seed, F.lit(c), *keys, idx) < rate, 0).otherwise(1)
+        kept = F.when(uniform(seed, c, *[F.col(k) for k in (*keys, idx)]) < rate, 0).otherwise(1)
         out = out.withColumn(f"{c}_mask", kept).withColumn(f"{c}_seen", F.when(F.col(f"{c}_mask") == 1, F.col(c)))
     return out
 

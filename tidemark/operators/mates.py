@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import integer
+from tidemark.functions.draws import PRIME, cell, integer
 from tidemark.operators.ordering import add_index, shuffle_width
 
 BITS = 12  # 4096 hash ranges per class
@@ -22,8 +22,8 @@ BITS = 12  # 4096 hash ranges per class
 
 def positions(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     """Add ``_pos`` (place in the class), ``_n`` (class size), ``_start`` (rows in earlier classes), ``_all``."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
-    placed = add_index(hashed, [label], ["_h", id_col], F.shiftright("_h", 64 - BITS), "_pos").drop("_h")
+    hashed = df.withColumn("_h", cell(seed, F.col(id_col)))
+    placed = add_index(hashed, [label], ["_h", id_col], F.shiftright("_h", PRIME.bit_length() - BITS), "_pos").drop("_h")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy(label)  # one row per class
     classes = sizes.withColumns(
@@ -63,15 +63,15 @@ def with_mates(
     n, pos = F.col("_n"), F.col("_pos")
     if other_class:
         pool = F.col("_all") - n
-        start = integer(0, pool, seed, F.lit("other"), id_col)
+        start = integer(0, pool, seed, "other", F.col(id_col))
         skip = lambda p: F.when(p < F.col("_start"), p).otherwise(p + n)
         places = F.transform(_spread(k, pool, start), skip)
     elif include_self:
-        start = integer(0, n, seed, F.lit("any"), id_col)
+        start = integer(0, n, seed, "any", F.col(id_col))
         places = F.transform(_spread(k, n, start), lambda p: p + F.col("_start"))
     else:
         pool = n - 1
-        start = integer(0, pool, seed, F.lit("same"), id_col)
+        start = integer(0, pool, seed, "same", F.col(id_col))
         places = F.transform(_spread(k, pool, start), lambda p: (pos + 1 + p) % n + F.col("_start"))
     wanted = placed.withColumn("_places", places).select(
         *df.columns, F.posexplode_outer("_places").alias("mate_no", "_g")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import array_sum, let, pin
+from tidemark.functions.draws import cell
 from tidemark.functions.fourier import amplitude, circular_correlation, keep_bins, phase, rfft, strongest_part
 
 KEYS = ("series_id",)
@@ -99,7 +100,7 @@ def select_modes(spectrum: DataFrame, length: int, modes: int, method: str = "lo
     if method != "random":
         raise ValueError("method must be 'lowest' or 'random'")
     order = F.array_sort(
-        F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda b: F.struct(F.xxhash64(F.lit(seed), b).alias("h"), b.alias("b")))
+        F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda b: F.struct(cell(seed, "mode", b).alias("h"), b.alias("b")))
     )
     chosen = F.transform(F.slice(order, 1, modes), lambda s: s["b"])
     return spectrum.where(F.array_contains(chosen, F.col("bin")))

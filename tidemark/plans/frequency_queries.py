@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import decompose, forecast, ordering, spectral, windows
+from tidemark.plans.draws_sql import Sql, cell
 from tidemark.plans.inputs import HOURLY_SQL, POINTS_SQL, events, hourly, points, windows_sql
 from tidemark.plans.registry import query, r, rsql
 
@@ -245,6 +246,15 @@ def select_modes(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.select_modes(spectral.spectrum_rows(_wins(spark, sf)), 24, 4).withColumn("amp", r("amp", 5))
 
 
+@query(
+    "select_modes_random",
+    f"""WITH {DFT_SQL}, m AS (SELECT b, row_number() OVER (ORDER BY {cell(7, 'mode', Sql('b'))}, b) AS k FROM range(0, 12) r(b))
+SELECT series_id, w_start, 'x' AS feature, CAST(bin AS INTEGER) AS bin, {rsql('amp', 5)} AS amp FROM amps JOIN m ON m.b = amps.bin WHERE k <= 4""",
+)
+def select_modes_random(spark: SparkSession, sf: str) -> DataFrame:
+    return spectral.select_modes(spectral.spectrum_rows(_wins(spark, sf)), 24, 4, "random", 7).withColumn("amp", r("amp", 5))
+
+
 LAG_SQL = f"""{WIN_SQL}, lags AS (SELECT unnest(range(0, 13)) AS lag),
 half AS (SELECT q.series_id, q.w_start, lag, sum(q.x * k.x) AS c FROM lags, wins q JOIN wins k ON k.series_id = q.series_id AND k.w_start = q.w_start AND q.pos = (k.pos + lag) % 24 GROUP BY 1, 2, 3),
 corr AS (SELECT * FROM half UNION ALL SELECT series_id, w_start, 24 - lag, c FROM half WHERE lag BETWEEN 1 AND 11),

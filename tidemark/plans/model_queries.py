@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecast, forecast_metrics, impute, learned, models, scaling, scoring, splits, stationarity, windows
+from tidemark.plans.draws_sql import Sql, uniform
 from tidemark.plans.inputs import DAILY_SQL, POINTS_SQL, daily, points, shapes, windows_sql
 from tidemark.plans.registry import query, r, rsql
 from tidemark.session import staged
@@ -136,7 +137,10 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 # -- imputation ----------------------------------------------------------------------------------------------
 
 
-@query("random_mask")
+HIDDEN = f"{uniform(0, 'x', Sql('series_id'), Sql('idx'))} < 0.25"
+
+
+@query("random_mask", f"WITH {POINTS_SQL} SELECT series_id, CAST(idx AS BIGINT) AS idx, CASE WHEN {HIDDEN} THEN 0 ELSE 1 END AS x_mask, CASE WHEN {HIDDEN} THEN NULL ELSE x END AS x_seen FROM points")
 def random_mask(spark: SparkSession, sf: str) -> DataFrame:
     return impute.random_mask(points(spark, sf), ["x"]).select("series_id", "idx", "x_mask", "x_seen")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import augment, dtw, mates
 from tidemark.operators.ordering import add_index
+from tidemark.plans.draws_sql import Sql, cell, integer, normal, uniform
 from tidemark.plans.inputs import SHAPES_SQL, shapes
 from tidemark.plans.registry import query, r, rsql
 from tidemark.session import staged
@@ -125,8 +127,80 @@ def class_medoids(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("window_id", "label", "medoid.medoid", r(F.element_at("medoid.distances", -1)).alias("farthest"))
 
 
+# -- augmentation ------------------------------------------------------------------------------------------
+
+WID = Sql("window_id")
+POS = f"range(0, {LENGTH}) g(pos)"
+
+
+def _read(values: str, at: str) -> str:
+    """Linear interpolation of a list at a real position from 0 on, held at the end."""
+    lo = f"CAST(floor({at}) AS BIGINT)"
+    return f"({values}[{lo} + 1] + ({at} - {lo}) * ({values}[least({lo} + 2, len({values}))] - {values}[{lo} + 1]))"
+
+
+def _resampled(values: str, n: str) -> str:
+    return f"list_transform(range(0, {n}), lambda i: {_read(values, f'least(i * (len({values}) - 1.0) / greatest({n} - 1, 1), len({values}) - 1.0)')})"
+
+
+def _spline_sql(tag: str, moved: bool) -> str:
+    """curve(window_id, pos, w): the spline through six drawn knots at every position."""
+    basis = augment.spline_basis(LENGTH, 6) * (np.linspace(0, LENGTH - 1.0, num=6) if moved else 1.0)
+    cells = ", ".join(f"({i}, {k}, {float(v)!r}::DOUBLE)" for i, row in enumerate(basis) for k, v in enumerate(row))
+    return f"""{SHAPES_SQL}, basis(pos, k, w) AS (VALUES {cells}),
+knots AS (SELECT window_id, k, 1.0 + {normal(0, tag, "x", WID, Sql("k"))} * 0.2 AS v FROM shapes, range(0, 6) r(k)),
+curve AS (SELECT window_id, pos, sum(w * v) AS w FROM knots JOIN basis USING (k) GROUP BY 1, 2)"""
+
+
+def _order_sql(mode: str, bounds: str) -> str:
+    """Segments in drawn order: b are the borders, s the segment (from 1)."""
+    tag = f"permutation_{mode}"
+    return f"""WITH {SHAPES_SQL}, d AS (SELECT *, {integer(1, 5, 0, tag, WID)} AS n FROM shapes), e AS (SELECT *, {bounds} AS b FROM d),
+seg AS (SELECT window_id, label, x, b, s, row_number() OVER (PARTITION BY window_id ORDER BY {cell(0, tag, "order", WID, Sql("s"))}, s) AS o FROM e, range(1, 5) r(s) WHERE s <= n),
+put AS (SELECT *, b[s + 1] - b[s] AS size, coalesce(sum(b[s + 1] - b[s]) OVER (PARTITION BY window_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM seg)
+SELECT window_id, label, '_{{tag}}' AS tags, CAST(first + k AS INTEGER) AS pos, {rsql("x[b[s] + k + 1]")} AS x FROM put, range(0, {LENGTH}) q(k) WHERE k < size"""
+
+
+def _point_sql(value: str) -> str:
+    return f"WITH {SHAPES_SQL} SELECT window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql(value)} AS x FROM shapes, {POS}"
+
+
+NOISE = normal(0, "jitter", "x", WID, Sql("pos"))
+TARGET, PART = 58, 7  # points of a slice and of a warped part of 64
+SLICED = _read("part", f"least(pos * {TARGET} / {LENGTH - 1.0}, {TARGET - 1.0})")
+
+
+def _slice_sql(source: str, seed: int, wid: Sql = WID) -> str:
+    start = integer(0, LENGTH - TARGET, seed, "slice", wid)
+    return f"SELECT *, x[{start} + 1 : {start} + {TARGET}] AS part FROM {source}"
+
+
+WARPED_SQL = f"""WITH {SHAPES_SQL},
+d AS (SELECT *, CASE WHEN {integer(0, 2, 0, "warp_scale", WID)} = 0 THEN {PART // 2} ELSE {2 * PART} END AS cnt, {integer(1, LENGTH - PART - 1, 0, "warp_start", WID)} AS st FROM shapes),
+p AS (SELECT *, x[st + 1 : st + {PART}] AS part FROM d),
+w AS (SELECT *, list_concat(list_concat(x[1 : st], {_resampled("part", "cnt")}), x[st + {PART} + 1 : {LENGTH}]) AS whole FROM p),
+o AS (SELECT *, {_resampled("whole", str(LENGTH))} AS made FROM w)
+SELECT window_id, label, '_windowwarp' AS tags, CAST(pos AS INTEGER) AS pos, {rsql("made[pos + 1]")} AS x FROM o, {POS}"""
+CUTS = f"""list_concat(list_concat([0], list_sort(list_transform(list_sort(list_transform(range(0, {LENGTH - 2}), lambda c: struct_pack(h := {cell(0, "permutation_random", "cut", WID, Sql("c"))}, i := c)))[1 : n - 1], lambda z: z.i))), [{LENGTH}])"""
+
+STEP_SQL = {
+    "jitter": _point_sql(f"x[pos + 1] + {NOISE} * 0.03"),
+    "scaling": _point_sql(f"x[pos + 1] * (1.0 + {normal(0, 'scaling', 'x', WID)} * 0.1)"),
+    "rotation": _point_sql(f"x[pos + 1] * CASE WHEN {uniform(0, 'rotation', 'x', WID)} < 0.5 THEN -1 ELSE 1 END"),
+    "permutation": _order_sql("equal", f"list_transform(range(0, n + 1), lambda c: c * ({LENGTH} // n) + least(c, {LENGTH} % n))"),
+    "randomperm": _order_sql("random", CUTS),
+    "magwarp": f"WITH {_spline_sql('magnitude', False)} SELECT window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql('x[pos + 1] * w')} AS x FROM shapes JOIN curve USING (window_id)",
+    "timewarp": f"""WITH {_spline_sql('time', True)}, axis AS (SELECT c.window_id, c.pos, least(greatest(c.w * {LENGTH - 1.0} / z.w, 0), {LENGTH - 1.0}) AS p FROM curve c JOIN curve z ON z.window_id = c.window_id AND z.pos = {LENGTH - 1})
+SELECT window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql(_read('x', 'p'))} AS x FROM shapes JOIN axis USING (window_id)""",
+    "windowslice": f"WITH {SHAPES_SQL}, c AS ({_slice_sql('shapes', 0)}) SELECT window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql(SLICED)} AS x FROM c, {POS}",
+    "windowwarp": WARPED_SQL,
+}
+
+
 def _step_query(step: str) -> None:
-    @query(f"augment_{step}")
+    sql = STEP_SQL.get(step)
+
+    @query(f"augment_{step}", sql and sql.replace("{tag}", step))
     def run(spark: SparkSession, sf: str) -> DataFrame:
         out = augment.augment(shapes(spark, sf), [step], LENGTH)
         return out.select("window_id", "label", "tags", F.posexplode("x").alias("pos", "x")).withColumn("x", r("x"))
@@ -136,13 +210,26 @@ for _step in augment.STEPS:
     _step_query(_step)
 
 
-@query("augment_scale_shift_jitter")
+MOVED = f"x[pos + 1] * ({normal(0, 'scale', 'x', WID)} * 0.5 + 1.0) + {normal(0, 'shift', 'x', WID)} * 0.5 + {normal(0, 'jitter', 'x', WID, Sql('pos'))} * 0.5"
+
+
+@query("augment_scale_shift_jitter", f"WITH {SHAPES_SQL} SELECT window_id, CAST(pos AS INTEGER) AS pos, {rsql(MOVED)} AS x FROM shapes, {POS}")
 def augment_scale_shift_jitter(spark: SparkSession, sf: str) -> DataFrame:
     out = augment.scale_shift_jitter(shapes(spark, sf))
     return out.select("window_id", F.posexplode("x").alias("pos", "x")).withColumn("x", r("x"))
 
 
-@query("augment_rounds")
+RID = Sql("rid")
+CHAIN = f"(x[i + 1] + {normal(0, 'jitter', 'x', RID, Sql('i'))} * 0.03) * (1.0 + {normal(0, 'scaling', 'x', RID)} * 0.1)"
+
+
+@query(
+    "augment_rounds",
+    f"""WITH {SHAPES_SQL}, r AS (SELECT *, window_id * 2 + round - 1 AS rid FROM shapes, range(1, 3) q(round)),
+m AS (SELECT * REPLACE (list_transform(range(0, {LENGTH}), lambda i: {CHAIN}) AS x) FROM r), c AS ({_slice_sql('m', 0, RID)})
+SELECT window_id, label, CAST(round AS INTEGER) AS round, '2_jitter_scaling_windowslice' AS tags, CAST(pos AS INTEGER) AS pos, {rsql(SLICED)} AS x FROM c, {POS}
+UNION ALL SELECT window_id, label, 0, '', CAST(pos AS INTEGER), {rsql('x[pos + 1]')} FROM shapes, {POS}""",
+)
 def augment_rounds(spark: SparkSession, sf: str) -> DataFrame:
     out = augment.augment_rounds(shapes(spark, sf), ["jitter", "scaling", "windowslice"], LENGTH, 2)
     return out.select("window_id", "label", "round", "tags", F.posexplode("x").alias("pos", "x")).withColumn("x", r("x"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import models, windows
 from tidemark.operators.ordering import epoch_micros
 from tidemark.plans import flows
+from tidemark.plans.draws_sql import Sql, normal
 from tidemark.plans.inputs import HOURLY_SQL, POINTS_SQL, daily, hourly, points, windows_sql
 from tidemark.plans.model_queries import _median_model
 from tidemark.plans.registry import query, r, rsql
@@ -41,7 +42,14 @@ def synthetic_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("series_id", "idx", r("sine").alias("sine"), r("trend").alias("trend"), r("decay").alias("decay"))
 
 
-@query("synthetic_random_shapes")
+PLACE = (Sql("series_id"), Sql("idx"))
+
+
+@query(
+    "synthetic_random_shapes",
+    f"""WITH {POINTS_SQL}, d AS (SELECT series_id, idx, {normal(0, 'walk', *PLACE)} * 0.5 AS step, {normal(0, 'noise', *PLACE)} * 2 AS noise FROM points)
+SELECT series_id, CAST(idx AS BIGINT) AS idx, {rsql('sum(step) OVER (PARTITION BY series_id ORDER BY idx)')} AS walk, {rsql('noise')} AS noise FROM d""",
+)
 def synthetic_random_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.add_shapes(points(spark, sf)).select("series_id", "idx", r("walk").alias("walk"), r("noise").alias("noise"))
 

@@ -24,13 +24,14 @@ def add_shapes(df: DataFrame, keys: Sequence[str] = ("series_id",), idx: str = "
     Random parts are hashes of (seed, key, index); the walk is a two-level running sum.
     """
     t = F.col(idx).cast("double")
-    step = normal(seed, F.lit("walk"), *keys, idx) * WALK_SIGMA
+    place = [F.col(k) for k in (*keys, idx)]
+    step = normal(seed, "walk", *place) * WALK_SIGMA
     shaped = df.withColumns(
         {
             "sine": SINE_HEIGHT * F.sin(SINE_RATE * t),
             "trend": TREND_RATE * t,
             "decay": DECAY_HEIGHT * F.exp(-DECAY_RATE * t),
-            "noise": normal(seed, F.lit("noise"), *keys, idx) * NOISE_SIGMA,
+            "noise": normal(seed, "noise", *place) * NOISE_SIGMA,
             CHUNK: idx_chunk(idx, block),
         }
     )
@@ -57,4 +58,4 @@ def random_windows(spark: SparkSession, count: int, length: int, features: int,
 
 
 def _feature(steps, f: int, seed: int):
-    return F.transform(steps, lambda i: normal(seed, F.lit("window"), F.col("window_id"), F.lit(f), i)).alias(f"f{f}")
+    return F.transform(steps, lambda i: normal(seed, "window", f, F.col("window_id"), i)).alias(f"f{f}")
