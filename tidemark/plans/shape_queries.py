@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import augment, dtw, mates
+from tidemark.operators import augment, dtw, dtw_search, mates
 from tidemark.operators.ordering import add_index
 from tidemark.plans.draws_sql import Sql, cell, integer, normal, uniform
 from tidemark.plans.inputs import SHAPES_SQL, shapes
@@ -36,17 +36,42 @@ pr AS (SELECT a.window_id, a.mate_id, a.x, b.x AS y FROM (
 
 
 def _fronts_sql(cost: str, allowed: str, weight: float = 1.0) -> str:
-    """DTW by anti-diagonals: lists over i (from 1) of the cells (i, t - i), j = t - i + 2 from 1."""
+    return f"""WITH RECURSIVE {NEIGHBOURS_SQL}, {_fronts_cte(cost, allowed, weight)}
+SELECT window_id, mate_id, {rsql(f"f1[{LENGTH}]")} AS distance FROM dtw WHERE t = {2 * LENGTH - 2}"""
+
+
+def _fronts_cte(cost: str, allowed: str, weight: float = 1.0) -> str:
+    """DTW of pr (window_id, mate_id, x, y) by anti-diagonals: lists f1 over i (from 1) of the cells (i, t - i), j = t - i + 2 from 1."""
     j = "(t + 3 - i)"  # of the front being made, t + 1
-    return f"""WITH RECURSIVE {NEIGHBOURS_SQL},
-dtw AS (
+    return f"""dtw AS (
   SELECT window_id, mate_id, x, y, 0 AS t, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN i = 1 THEN {cost.replace("J", "1")} ELSE 'inf'::DOUBLE END) AS f1,
          list_transform(range(1, {LENGTH + 1}), lambda i: 'inf'::DOUBLE) AS f2 FROM pr
   UNION ALL
   SELECT window_id, mate_id, x, y, t + 1, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN {j} BETWEEN 1 AND {LENGTH} AND {allowed.replace("J", j)}
     THEN {cost.replace("J", j)} + least(coalesce(f2[i - 1], 'inf'), {weight} * f1[i], {weight} * coalesce(f1[i - 1], 'inf')) ELSE 'inf'::DOUBLE END), f1
-  FROM dtw WHERE t < {2 * LENGTH - 2})
-SELECT window_id, mate_id, {rsql(f"f1[{LENGTH}]")} AS distance FROM dtw WHERE t = {2 * LENGTH - 2}"""
+  FROM dtw WHERE t < {2 * LENGTH - 2})"""
+
+
+def _paths_cte(cost: str, allowed: str) -> str:
+    """path(window_id, mate_id, k, i, j): paths of pr walked back from the last cells; of equal costs diagonal, then up, then left."""
+    return f"""{_fronts_cte(cost, allowed)},
+cells AS (SELECT window_id, mate_id, t, f1 AS f FROM dtw),
+path AS (
+  SELECT window_id, mate_id, 0 AS k, CAST({LENGTH} AS BIGINT) AS i, CAST({LENGTH} AS BIGINT) AS j FROM pr
+  UNION ALL
+  SELECT window_id, mate_id, k + 1, i - CASE WHEN d <= u AND d <= l THEN 1 WHEN u <= l THEN 1 ELSE 0 END, j - CASE WHEN d <= u AND d <= l THEN 1 WHEN u <= l THEN 0 ELSE 1 END
+  FROM (SELECT p.window_id, p.mate_id, k, i, j, coalesce(CASE WHEN j > 1 THEN b.f[i - 1] END, 'inf') AS d, coalesce(a.f[i - 1], 'inf') AS u, coalesce(CASE WHEN j > 1 THEN a.f[i] END, 'inf') AS l
+    FROM path p JOIN cells a ON a.window_id = p.window_id AND a.mate_id = p.mate_id AND a.t = i + j - 3 LEFT JOIN cells b ON b.window_id = p.window_id AND b.mate_id = p.mate_id AND b.t = i + j - 4))"""
+
+
+def _mates_sql(k: int, include_self: bool = False) -> str:
+    """mt(window_id, label, x, mate_no, mate_id, y): the drawn class mates of ``mates.with_mates``."""
+    pool, tag = ("d.n", "any") if include_self else ("(d.n - 1)", "same")
+    place = "(start + q.j * step) % d.n" if include_self else "(d.pos + 1 + (start + q.j * step) % (d.n - 1)) % d.n"
+    return f"""{SHAPES_SQL},
+pl AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {cell(0, Sql("window_id"))}, window_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM shapes),
+dr AS (SELECT *, {integer(0, pool, 0, tag, Sql("window_id"))} AS start, greatest({pool} // greatest(least({k}, {pool}), 1), 1) AS step FROM pl d),
+mt AS (SELECT d.window_id, d.label, d.x, q.j AS mate_no, o.window_id AS mate_id, o.x AS y FROM dr d JOIN range(0, {k}) q(j) ON q.j < least({k}, {pool}) JOIN pl o ON o.label = d.label AND o.pos = {place})"""
 
 
 NEAR = f"least(greatest(i + k, 1), {LENGTH})", f"least(greatest(J + k, 1), {LENGTH})"
@@ -101,12 +126,32 @@ _distance_query("dtw_symmetric_band", _fronts_sql("abs(x[i] - y[J])", f"abs(i -
 _distance_query("dtw_shape", _fronts_sql(SHAPE_COST, f"J BETWEEN i - {BAND} AND i + {BAND - 1}"), steps="symmetric", window=BAND, shape=True)
 
 
-@query("dtw_paths")
+ABS_COST, IN_BAND = "abs(x[i] - y[J])", f"abs(i - J) <= {BAND}"
+SHAPE_BAND = f"J BETWEEN i - {BAND} AND i + {BAND - 1}"
+
+
+@query(
+    "dtw_paths",
+    f"""WITH RECURSIVE {_mates_sql(2)}, pr AS (SELECT window_id, mate_id, x, y FROM mt), {_paths_cte(ABS_COST, IN_BAND)}
+SELECT window_id, mate_id, CAST(max(k) OVER (PARTITION BY window_id, mate_id) - k AS INTEGER) AS step, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j FROM path""",
+)
 def dtw_paths(spark: SparkSession, sf: str) -> DataFrame:
     paths = dtw.dtw_path(_pairs(spark, sf), steps="symmetric", window=BAND)
     return paths.select("window_id", "mate_id", F.posexplode("path").alias("step", "p")).select("window_id", "mate_id", "step", "p.i", "p.j")
 
 
+@query(
+    "dtw_nearest",
+    f"""WITH RECURSIVE {SHAPES_SQL}, pr AS (SELECT a.window_id, b.window_id AS mate_id, a.x, b.x AS y FROM shapes a JOIN shapes b ON b.label = a.label AND b.window_id <> a.window_id WHERE a.window_id % 100 = 0),
+{_fronts_cte(ABS_COST, IN_BAND)},
+rk AS (SELECT window_id, mate_id, f1[{LENGTH}] AS d, row_number() OVER (PARTITION BY window_id ORDER BY f1[{LENGTH}], mate_id) AS rank FROM dtw WHERE t = {2 * LENGTH - 2})
+SELECT window_id, CAST(rank AS INTEGER) AS rank, mate_id AS near_id, {rsql("d")} AS distance FROM rk WHERE rank <= 3""",
+)
+def dtw_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries are the windows whose id is divisible by 100, against all windows of their class."""
+    return dtw_search.nearest(shapes(spark, sf), F.col("window_id") % 100 == 0, 3, BAND).withColumn("distance", r("distance"))
+
+
 @query("dtw_weighted", _fronts_sql("abs(x[i] - y[J])", f"abs(i - J) <= {BAND}", 1.2))
 def dtw_weighted(spark: SparkSession, sf: str) -> DataFrame:
     out = dtw.weighted_dtw_distance(_neighbours(spark, sf), metric="cityblock", window=BAND, weight=1.2)
@@ -119,12 +164,24 @@ def dtw_unbanded_squared(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("window_id", "mate_id", r("distance").alias("distance"))
 
 
-@query("class_medoids")
+@query(
+    "class_medoids",
+    f"""WITH RECURSIVE {_mates_sql(6, include_self=True)},
+two AS (SELECT a.window_id AS own, a.mate_no AS p, b.mate_no AS q, a.mate_id AS u, b.mate_id AS v FROM mt a JOIN mt b ON b.window_id = a.window_id),
+pr AS (SELECT w.u AS window_id, w.v AS mate_id, s.x, t.x AS y FROM (SELECT DISTINCT u, v FROM two WHERE u < v) w JOIN shapes s ON s.window_id = w.u JOIN shapes t ON t.window_id = w.v),
+{_fronts_cte(ABS_COST, IN_BAND)},
+dist AS (SELECT window_id, mate_id, f1[{LENGTH}] AS d FROM dtw WHERE t = {2 * LENGTH - 2}),
+each AS (SELECT own, p, q, coalesce(d, 0) AS d FROM two LEFT JOIN dist ON window_id = least(u, v) AND mate_id = greatest(u, v)),
+best AS (SELECT own, p, row_number() OVER (PARTITION BY own ORDER BY round(sum(d), 9), p) AS place FROM each GROUP BY 1, 2)
+SELECT own AS window_id, label, CAST(p AS INTEGER) AS medoid, string_agg(q, ',' ORDER BY d, q) AS nearest, {rsql("max(d)")} AS farthest
+FROM each JOIN best USING (own, p) JOIN shapes ON window_id = own WHERE place = 1 GROUP BY ALL""",
+)
 def class_medoids(spark: SparkSession, sf: str) -> DataFrame:
     pairs = mates.with_mates(shapes(spark, sf), 6, include_self=True)
     rows = mates.gather_mates(pairs, "window_id", ["x"], ["label"])
     out = dtw.medoid(rows, window=BAND)
-    return out.select("window_id", "label", "medoid.medoid", r(F.element_at("medoid.distances", -1)).alias("farthest"))
+    order = F.concat_ws(",", F.transform("medoid.order", lambda q: q.cast("string")))
+    return out.select("window_id", "label", "medoid.medoid", order.alias("nearest"), r(F.element_at("medoid.distances", -1)).alias("farthest"))
 
 
 # -- augmentation ------------------------------------------------------------------------------------------
@@ -197,6 +254,17 @@ SELECT window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql(
 }
 
 
+def _retimed_sql(cost: str, allowed: str) -> str:
+    """A window read along its path to its mate, stretched to full length."""
+    return f"""WITH RECURSIVE {_mates_sql(1)}, pr AS (SELECT window_id, mate_id, y AS x, x AS y FROM mt), {_paths_cte(cost, allowed)},
+along AS (SELECT path.window_id, list(shapes.x[j] ORDER BY k DESC) AS v FROM path JOIN shapes ON shapes.window_id = path.window_id GROUP BY 1),
+made AS (SELECT window_id, {_resampled("v", str(LENGTH))} AS v FROM along)
+SELECT shapes.window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql("coalesce(v, x)[pos + 1]")} AS x FROM shapes LEFT JOIN made ON made.window_id = shapes.window_id, {POS}"""
+
+
+STEP_SQL |= {"rgw": _retimed_sql(ABS_COST, IN_BAND), "rgws": _retimed_sql(SHAPE_COST, SHAPE_BAND)}
+
+
 def _step_query(step: str) -> None:
     sql = STEP_SQL.get(step)
 
