@@ -7,7 +7,7 @@ import random
 import re
 from collections import defaultdict
 
-from tidemark.llm import filter_audit
+from tidemark.llm import filter_audit, shared
 
 DOCS = "doc_id long, text string, source string, kept string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -87,7 +87,7 @@ def test_empty_tables(spark):
 
 
 def test_copies_of_hot_and_rare_texts(spark, monkeypatch):
-    monkeypatch.setattr(filter_audit, "LEAST_HOT", 3)
+    monkeypatch.setattr(shared, "LEAST_HOT", 3)
     rows = [(i, "same text", "a", "x") for i in range(60)] + [(100 + i, f"pair {i // 2}", "a", "x") for i in range(8)]
     assert found(spark, rows, []) == brute(rows, [])
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, trim
+from tidemark.llm.shared import join_classes, stored, trim
 
 FILTERS = "ABCDE"
 ORDERS = list(permutations(FILTERS))
@@ -43,7 +43,6 @@ SHARD = (
     "doc_ids array<long>, parts array<string>, digests array<binary>, flags array<int>, "
     "pointers binary, numbers binary, counts binary, words array<string>"
 )
-HOT_SHARE, LEAST_HOT = 4, 1000
 
 
 def bit(name: str) -> int:
@@ -158,19 +157,9 @@ def row_totals(shards: DataFrame) -> DataFrame:
 
 def with_copies(rows: DataFrame) -> DataFrame:
     """Adds ``copy``: a smaller doc_id has the same digest."""
-    spark = rows.sparkSession
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = stored(groups, "copies")
-    least = max(LEAST_HOT, rows.count() // (HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # fewer than HOT_SHARE * partitions digests have more rows than that
-    hot = groups.where(F.col("n") > least).select("digest", F.col("first").alias("hot_first"))
-    cold = groups.where(F.col("n") <= least).select("digest", F.col("first").alias("cold_first"))
-    met = rows.join(F.broadcast(hot), "digest", "left")
-    # rows of hot digests are dealt by their doc_id: no group of cold_first has their key
-    key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
-    met = met.withColumn("_key", key).join(cold.withColumnRenamed("digest", "_key"), "_key", "left")
-    first = F.coalesce("hot_first", F.when(F.col("hot_first").isNull(), F.col("cold_first")))
-    return met.withColumn("copy", F.coalesce(F.col("doc_id") > first, F.lit(False))).drop("_key", "hot_first", "cold_first")
+    met = join_classes(rows, stored(groups, "copies"), "digest", "doc_id")
+    return met.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first")
 
 
 def failure_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:

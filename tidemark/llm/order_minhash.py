@@ -21,10 +21,12 @@ connected components are the classes.
 Documents with equal word sequences form one representative before anything else. In sketch
 groups of up to SMALL representatives pairs are listed, which is at most SMALL / 2
 times the group. Larger groups are cut into tiles, and each pair of tiles is one
-row of work that returns a spanning forest of its links. No pair is left out.
+row of work that returns a spanning forest of its links. Only pairs whose texts are connected
+already are left out.
 
 Defined cases: null and empty texts are alone in their class; texts without words
-are copies of equal texts only; rows with null doc_id are not compared; rows with one doc_id are one
+are copies of equal texts only; a text of any length is compared whole, a task holds one text's hashes and
+a tile's shingles; an empty table gives no rows; equal similarities need no order, as links have none; rows with null doc_id are not compared; rows with one doc_id are one
 document of the graph, all of them stay if it stays; other columns are carried along.
 """
 
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import carried, stored
+from tidemark.llm.shared import carried, join_classes, stored
 
 SHINGLE = 5
 LENGTH = 6
@@ -50,6 +52,8 @@ EXACT = 30
 """Pairs whose shorter text has fewer shingles are found by exact keys."""
 SMALL = 32
 TILE = 256
+FIRST = 4
+"""Sketches whose large groups are compared first."""
 HELD = 1 << 21
 """Hashes held at once while sketching one document."""
 
@@ -247,7 +251,7 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a spanning forest of the links of every pair of tiles (reps2 null: within a tile).
 
     Counts of common shingles of all pairs come from one matrix product; pairs
-    they do not rule out are aligned unless already connected.
+    they do not rule out are aligned unless already connected (equal ``known``; without that column none are).
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,8 +284,10 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
                     over = (i < cut) & (j >= cut)
                     i, j = i[over], j[over]
                 # most alike first: they connect most, so fewer pairs need an alignment
+                root = np.unique(list(row.known) + ([] if own else list(row.known2)), return_inverse=True)[1]
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
                 rank = np.argsort(-common[i, j] / both[i, j], kind="stable")
-                root = np.arange(len(grams))
                 links = []
                 for p, q in zip(i[rank].tolist(), j[rank].tolist(), strict=True):
                     if root[p] != root[q] and similarity(grams[p], grams[q], threshold) >= threshold:
@@ -290,6 +296,8 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
                 if links:
                     yield pd.DataFrame(links, columns=["a", "b"])
 
+    if "known" not in tiles.columns:
+        tiles = tiles.withColumns({"known": F.col("reps"), "known2": F.col("reps2")})
     return tiles.mapInPandas(work, "a long, b long")
 
 
@@ -304,9 +312,42 @@ def short_keys(reps: DataFrame, threshold: float) -> DataFrame:
     return kept.select("rep", "n", F.explode(F.slice("ranked", F.lit(1), F.col("places"))).alias("e")).select("rep", "n", F.col("e")["s"].alias("s"))
 
 
+def tile_pairs(members: DataFrame, grams: DataFrame, tile: int) -> DataFrame:
+    """Pairs of tiles (known, reps, grams and known2, reps2, grams2) of the members (s, rep, known) of sketch groups.
+
+    A component that fills a tile has tiles of its own; a pair of tiles with one component in both is left out.
+    """
+    sizes = members.groupBy("s", "known").agg(F.count(F.lit(1)).alias("c"))
+    rest = sizes.where(F.col("c") <= tile).groupBy("s").agg(F.ceil(F.sum("c") / tile).cast("int").alias("pooled"))
+    big = sizes.where(F.col("c") > tile)
+    placed = members.join(rest, "s", "left").join(big, ["s", "known"], "left")
+    own = F.xxhash64("known", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / tile)))
+    placed = placed.withColumn("tile", F.when(F.col("c").isNull(), F.pmod(F.xxhash64("known"), F.col("pooled"))).otherwise(own))
+    packed = stored(
+        placed.join(grams, "rep").groupBy("s", "tile").agg(F.collect_list(F.struct("known", "rep", "grams")).alias("m"))
+        .select("s", "tile", F.col("m")["known"].alias("known"), F.col("m")["rep"].alias("reps"), F.col("m")["grams"].alias("grams")),
+        "tiles",
+    )
+    label = F.when(F.array_min("known") == F.array_max("known"), F.array_min("known"))
+    slim = packed.select("s", "tile", label.alias("label"))
+    others = slim.select("s", F.col("tile").alias("other"), F.col("label").alias("label2"))
+    met = slim.join(others, "s").where("tile <= other").where(F.coalesce(F.col("label") != F.col("label2"), F.lit(True)))
+    right = packed.select("s", F.col("tile").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("known", "reps", "grams")])
+    columns = ["known", "reps", "grams", "known2", "reps2", "grams2"]
+    same = packed.join(met.where("tile = other").select("s", "tile"), ["s", "tile"])
+    same = same.select("known", "reps", "grams", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns[3:]])
+    across = packed.join(met.where("tile < other").select("s", "tile", "other"), ["s", "tile"]).join(right, ["s", "other"])
+    return same.unionByName(across.select(*columns))
+
+
 def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, tile: int) -> DataFrame:
-    """(a, b) links between representatives (rep, key, n, sketch, own), whole up to connectivity."""
-    entries = reps.select("rep", "n", F.explode("sketch").alias("s")).unionByName(stored(short_keys(reps, threshold), "short-keys"))
+    """(a, b) links between representatives (rep, key, n, sketch, own), whole up to connectivity.
+
+    Large groups are compared in two rounds: those of the first FIRST sketches, then those of the others whose
+    members are not all connected by then. So texts that share dozens of sketches are compared a few times, not dozens.
+    """
+    keys = stored(short_keys(reps, threshold), "short-keys")
+    entries = reps.select("rep", "n", F.posexplode("sketch").alias("number", "s")).unionByName(keys.withColumn("number", F.lit(SKETCHES)))
     groups = entries.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(entries.join(groups, "s"), "sketches")
     few, many = shared.where(F.col("size") <= small), shared.where(F.col("size") > small)
@@ -323,18 +364,15 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, t
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(many.select("rep")).distinct()
     grams = stored(shingles_of(docs, wanted.join(reps.select("rep", "key"), "rep")), "shingles")
     links = verified_pairs(pairs, grams, threshold)
-    placed = many.withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    packed = stored(
-        placed.join(grams, "rep").groupBy("s", "tile", "tiles").agg(F.collect_list(F.struct("rep", "grams")).alias("m"))
-        .select("s", "tile", "tiles", F.col("m")["rep"].alias("reps"), F.col("m")["grams"].alias("grams")),
-        "tiles",
-    )
-    wide = packed.withColumn("other", F.explode(F.sequence("tile", F.col("tiles") - 1))).drop("tiles")
-    right = packed.select("s", F.col("tile").alias("other"), F.col("reps").alias("reps2"), F.col("grams").alias("grams2"))
-    columns = ["s", "tile", "other", "reps", "grams", "reps2", "grams2"]
-    same = wide.where("other = tile").select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in ("reps2", "grams2")])
-    work = same.select(*columns).unionByName(wide.where("other > tile").join(right, ["s", "other"]).select(*columns))
-    return links.unionByName(tile_links(work.select(*columns[3:]), threshold))
+    if not many.head(1):
+        return links
+    first = many.where(F.col("number") < FIRST).select("s", "rep", F.col("rep").alias("known"))
+    links = stored(links.unionByName(tile_links(tile_pairs(first, grams, tile), threshold)), "links")
+    later = many.where(F.col("number") >= FIRST).select("s", "rep").distinct()
+    later = later.join(components(links), F.col("rep") == F.col("node"), "left").select("s", "rep", F.coalesce("component", "rep").alias("known"))
+    later = stored(later, "later")
+    open_ = later.groupBy("s").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("s")
+    return links.unionByName(tile_links(tile_pairs(later.join(open_, "s"), grams, tile), threshold))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -342,12 +380,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     marked = stored(sketch_documents(docs, threshold), "marked")
     reps = stored(
         marked.where("key IS NOT NULL").groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("own").alias("own")
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.count(F.lit(1)).alias("copies")
         ),
         "reps",
     )
     links = near_links(docs, reps, threshold, small, tile)
-    members = marked.join(reps.select("key", "rep"), "key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    many = reps.where("copies > 1").select("key", "rep", F.col("copies").alias("n"))
+    members = join_classes(marked.select("doc_id", "key"), many, "key", "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     if marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
         # one doc_id stands for several rows: its texts are one node, and it gets one row
         links = links.unionByName(members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

@@ -48,6 +48,27 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+HOT_SHARE, LEAST_HOT = 4, 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, spread: str, total: int | None = None) -> DataFrame:
+    """Left join of stored rows with one row per class (``key``, ``n`` rows of it, values), where one class may hold a third of all rows.
+
+    Fewer than HOT_SHARE * partitions classes can each hold more than 1 / (HOT_SHARE * partitions)
+    of all rows (``total``, else counted): these few are broadcast, and their rows are dealt by ``spread``. The others meet by a shuffle on the key.
+    """
+    values = [c for c in classes.columns if c not in (key, "n")]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(LEAST_HOT, (rows.count() if total is None else total) // (HOT_SHARE * n))
+    hot = classes.where(F.col("n") > least).select(key, F.struct(*values).alias("_hot"))
+    cold = classes.where(F.col("n") <= least).select(F.xxhash64(key).alias("_k"), F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
+    met = rows.join(F.broadcast(hot), key, "left")
+    place = F.when(F.col("_hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("hot"), F.col(spread)))
+    met = met.withColumn("_place", place)
+    joined = met.join(cold, (met["_place"] == cold["_k"]) & (met[key] == cold["_key"]), "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
+
+
 def text_key(text: Column | str) -> Column:
     """Hash of a text (null: empty) that tells rows with one doc_id apart; rows equal in both are one document."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
