@@ -54,14 +54,24 @@ def test_columns_nulls_repeats_and_long_documents(spark):
     assert line_templates.drop_recurring(docs.limit(0)).count() == 0
 
 
-def test_short_lines_need_more_documents(spark):
+def test_shorter_lines_need_more_documents(spark):
     many = "All rights reserved.\n\nPart 1{0} of 9\n4{0}\n77\nI went to {1}"
-    rows = [(k, many.format(k, "abcdefghij"[k])) for k in range(10)] + [(20 + k, "In nine documents only") for k in range(9)]
+    rows = [(k, many.format(k, "abcdefghijklmnop"[k])) for k in range(10)] + [(20 + k, "In three documents only") for k in range(3)] + [(30 + k, "yes") for k in range(15)]
+    rows += [(50 + k, "no") for k in range(16)]
     got = cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got[0] == (rows[0][1], 6, 0)
-    # numbers alone are compared as they are, short lines have no fields besides
-    assert all(got[k] == (f"\n4{k}\nI went to {'abcdefghij'[k]}", 6, 3) for k in range(1, 10))
-    assert all(got[20 + k][2] == 0 for k in range(9))
+    # numbers alone are compared as they are and 77 needs 16 documents; a line just longer than its lead has no field there
+    assert all(got[k] == (f"\n4{k}\n77\nI went to {'abcdefghijklmnop'[k]}", 6, 2) for k in range(1, 10))
+    assert all(got[20 + k][2] == 0 for k in range(3)) and all(got[30 + k][2] == 0 for k in range(15))
+    assert [got[50 + k][2] for k in range(16)] == [0] + [1] * 15
+
+
+def test_many_lines_of_one_leaf_take_few_rounds(spark):
+    lines = [f"user logged in from host {a} at the {b} gate" for a in ("x", "y", "z", "u") for b in ("north", "south", "east")]
+    lines += ["user logged in " + " ".join(f"{c}{'klmnopqrst'[j]}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghij'[i // 26]}" for j, c in enumerate("qwertyu")) for i in range(48)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
+    got = cleaned(docs)
+    assert sorted(k for k, v in got.items() if v[2]) == list(range(1, 12))
 
 
 def test_min_docs(spark):

@@ -1,137 +1,136 @@
 """Line dedup by a log-template tree. DataFrame functions only.
 
 A line's path in the tree is fixed: its token count, then its leading tokens, with
-tokens that hold a digit read as a variable field. A leaf whose lines agree in
-most positions becomes one template with variable fields where they differ. A
-mixed leaf is descended: its lines part by their token at the position where most
-pairs of them agree (not all), until a group agrees in most positions or holds one
-line (digits masked), which is a template of its own. A template
-found in several documents is recurring: its lines stay in the first of these
-documents and are dropped from the others, so nothing is lost from the corpus.
-
-Rows that travel hold hashes and positions; only lines of leaves with differing
-lines are sent as text. Templates are counted after a distinct by document, so a
-line that a third of all documents share is pre-aggregated and never gathered.
-
-Lines under ``min_tokens`` need more documents (``short_docs``), have no fields but
-tokens with digits, and are compared with their digits if they hold nothing else.
+tokens that hold a digit read as a variable field (a line of nothing else is taken as it
+is). A group of lines whose tokens behind the leading ones agree in most positions is one
+template with variable fields where they differ. Any other group is parted by signature: a
+line keeps its frequent tokens, those that enough lines of the group hold at their
+position, and lines with equal frequent tokens go on together. The tree is ROUNDS parts deep;
+lines of groups that do not agree by then are a template each, as they are. So one
+template is found beside any other lines of its leaf.
+
+A template found in several documents is recurring: its lines stay in the first of these
+documents and are dropped from the others, so nothing is lost from the corpus. Short
+templates need more documents, EVIDENCE tokens in all; one rule holds for every length.
+
+Rows that travel hold hashes and positions; only distinct lines of leaves with differing
+lines are sent as tokens. Templates are counted after a distinct by document, so a
+line that a third of all documents share is pre-aggregated and never gathered; what holds
+many rows of a join is few and broadcast (``shared.join_classes``).
 
 Defined cases: null text stays null, empty text stays empty; blank lines
-always stay; rows equal in doc_id and text are one document;
-documents are never dropped, a document may become empty; other columns are kept.
+always stay; rows equal in doc_id and text are one document, of equal ones the first has the smallest doc_id, null before all;
+documents are never dropped, a document may become empty; a text or line of any length is read
+whole, in one task; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
-from tidemark.llm.shared import carried, stored, text_key, upto
+from tidemark.llm.shared import carried, join_classes, stored, text_key, upto
 
-MIN_TOKENS = 8
 MIN_DOCS = 2
-SHORT_DOCS = 10
-"""Lines under MIN_TOKENS recur when they stand in so many documents."""
+EVIDENCE = 16
+"""A recurring template of n tokens stands in at least EVIDENCE / n documents."""
 LEADING = 3
 AGREEMENT = 0.7
+ROUNDS = 2
+FREQUENT, LEAST_LINES = 8, 2
+"""A token is frequent when at least LEAST_LINES lines and one in FREQUENT of the group hold it at its position."""
 FIELD = "<*>"
 NUMBERS = "^(?:[^ 0-9]*+[0-9][^ ]*+(?: |$))+$"
 
 
-def tokenized_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, leading: int = LEADING, with_short: bool = True) -> DataFrame:
-    """doc_id, key, pos, masked, n, short, and two-part hashes of the leaf (l1, l2) and of the masked line (m1, m2)."""
+def pair(*parts) -> Column:
+    """128 bits of hash."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(LEADING), *parts).alias("b"))
+
+
+def tokenized_lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
+    """doc_id, key, pos, masked, n, and hashes of the leaf and of the masked line (line) of every line that is not blank."""
 
     def mask(line):
         plain = F.trim(F.when(line.rlike("[\t\r\f]|  "), F.regexp_replace(line, "[ \t\r\f]+", " ")).otherwise(line))
-        bare = lambda x: F.lit(with_short) & (F.size(F.split(x, " ")) < min_tokens) & x.rlike(NUMBERS)
-        return let(plain, lambda x: F.when(x.rlike("[0-9]") & ~bare(x), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(x))
+        return let(plain, lambda x: F.when(x.rlike("[0-9]") & ~x.rlike(NUMBERS), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(x))
 
     # masked inside the array: each line once, however often it is used below
     masked = F.transform(F.split("text", "\n", -1), mask)
-    rows = docs.select("doc_id", text_key("text").alias("key"), F.posexplode(masked).alias("pos", "masked"))
+    rows = docs.select("doc_id", text_key("text").alias("key"), F.posexplode(masked).alias("pos", "masked")).where("masked <> ''")
     rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
-    rows = rows.withColumn("short", F.col("n") < min_tokens).where("masked <> ''" if with_short else "NOT short")
-    lead = F.substring_index("masked", " ", leading)
-    return rows.withColumns(
-        {
-            "l1": F.xxhash64("n", lead),
-            "l2": F.xxhash64(lead, "n"),
-            "m1": F.xxhash64("masked"),
-            "m2": F.xxhash64(F.lit(leading), "masked"),
-        }
+    return rows.withColumns({"leaf": pair("n", F.substring_index("masked", " ", leading)), "line": pair("masked")})
+
+
+def judged(open_: DataFrame, leading: int) -> DataFrame:
+    """The lines (line, group, tokens) with their group's size, how many positions agree in it, and their frequent tokens as one hash."""
+    sizes = stored(open_.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("lines", F.col("n")), "groups")
+    sized = stored(join_classes(open_, sizes, "group", "line"), "sized")
+    tokens = sized.select("line", "group", "lines", F.posexplode("tokens").alias("at", "token")).select("line", "lines", "at", pair("group", "at", "token").alias("cell"))
+    cells = tokens.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.first("lines").alias("lines"))
+    often = cells.where((F.col("n") * FREQUENT >= F.col("lines")) & ((F.col("n") >= LEAST_LINES) | (F.col("lines") == 1)))
+    kept = stored(often.select("cell", "n", (F.col("n") == F.col("lines")).alias("same")), "cells")
+    met = join_classes(tokens, kept, "cell", "line", sized.agg(F.sum(F.size("tokens"))).first()[0] or 0).where("same IS NOT NULL")
+    per = met.groupBy("line").agg(
+        F.sum((F.col("same") & (F.col("at") >= leading)).cast("int")).alias("agree"),
+        F.struct(F.bit_xor(F.xxhash64("at", "cell")).alias("a"), F.bit_xor(F.xxhash64("cell", "at")).alias("b")).alias("signature"),
     )
+    return sized.join(per, "line")
 
 
-def grouped_lines(slim: DataFrame, lines: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
-    """m1, m2, g1, g2: the group of every distinct line that shares one with others, the leaf or a part of it.
-
-    Only distinct lines of mixed groups go through the rounds; every round parts each of these in two or more.
-    """
-    varied = slim.groupBy("l1", "l2").agg(F.min("m1").alias("lo"), F.max("m1").alias("hi")).where("lo <> hi").select("l1", "l2")
-    one = lines.join(varied, ["l1", "l2"]).groupBy("m1", "m2").agg(F.first("l1").alias("g1"), F.first("l2").alias("g2"), F.first("masked").alias("masked"))
-    open_ = stored(one.select("m1", "m2", "g1", "g2", F.split("masked", " ").alias("tokens")), "mixed")
+def grouped_lines(slim: DataFrame, lines: DataFrame, leading: int = LEADING, agreement: float = AGREEMENT, rounds: int = ROUNDS) -> DataFrame:
+    """line, group: the template of every distinct line of a leaf with differing lines that shares one."""
+    varied = slim.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    varied = stored(varied.select("leaf", "n", F.lit(True).alias("varied")), "varied")
+    own = join_classes(lines, varied, "leaf", "pos").where("varied")
+    open_ = own.groupBy("line").agg(F.first("leaf").alias("group"), F.split(F.first("masked"), " ").alias("tokens"))
+    open_ = stored(open_, "mixed")
     settled = []
-    while open_.head(1):
-        counts = open_.select("g1", "g2", F.posexplode("tokens").alias("at", "token")).groupBy("g1", "g2", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-        places = counts.groupBy("g1", "g2", "at").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("lines"), F.sum(F.col("c") * F.col("c")).alias("pairs"))
-        judged = places.groupBy("g1", "g2").agg(
-            F.avg((F.col("kinds") == 1).cast("int")).alias("share"),
-            F.max("lines").alias("lines"),
-            F.max(F.when(F.col("kinds") > 1, F.struct("pairs", (-F.col("at")).alias("at"))))["at"].alias("at"),
-        )
-        met = stored(open_.join(judged.where("lines > 1"), ["g1", "g2"]), "judged")
-        settled.append(met.where(F.col("share") >= agreement).select("m1", "m2", "g1", "g2"))
-        token = F.element_at("tokens", 1 - F.col("at"))
-        parted = met.where(F.col("share") < agreement).select(
-            "m1", "m2", F.xxhash64("g1", "at", token).alias("g1"), F.xxhash64(token, "g2", "at").alias("g2"), "tokens"
-        )
-        open_ = stored(parted, "mixed")
-    out = slim.select("m1", "m2", F.col("l1").alias("g1"), F.col("l2").alias("g2")).limit(0)
-    for part in settled:
+    for r in range(rounds + 1):
+        met = stored(judged(open_, leading), "judged")
+        # the leading tokens agree by construction
+        behind = F.size("tokens") - leading
+        whole = F.col("agree") / behind >= agreement
+        settled.append(met.where((behind > 0) & whole).select("line", "group"))
+        if r < rounds:
+            parted = met.where((behind > 0) & ~whole)
+            open_ = stored(parted.select("line", pair("group", "signature").alias("group"), "tokens"), "mixed")
+    out = settled[0]
+    for part in settled[1:]:
         out = out.unionByName(part)
-    return stored(out, "groups")
-
+    return out
 
-def general_leaves(lines: DataFrame, slim: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
-    """l1, l2 of the leaves whose differing lines agree in at least ``agreement`` of their positions."""
-    varied = slim.groupBy("l1", "l2").agg(F.min("m1").alias("lo"), F.max("m1").alias("hi")).where("lo <> hi").select("l1", "l2")
-    tokens = lines.join(varied, ["l1", "l2"]).select("l1", "l2", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    places = tokens.groupBy("l1", "l2", "at").agg((F.min("token") == F.max("token")).cast("int").alias("same"))
-    return places.groupBy("l1", "l2").agg(F.avg("same").alias("share")).where(F.col("share") >= agreement).select("l1", "l2")
 
-
-def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, leading: int = LEADING, agreement: float = AGREEMENT, descend: bool = True, short_docs: int | None = SHORT_DOCS) -> DataFrame:
+def recurring_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, agreement: float = AGREEMENT, rounds: int = ROUNDS, evidence: int = EVIDENCE
+) -> DataFrame:
     """doc_id, key, dropped: positions of the lines whose template an earlier document has, for recurring templates."""
-    lines = tokenized_lines(docs, min_tokens, leading, short_docs is not None)
-    slim = stored(lines.select("doc_id", "key", "pos", "short", "l1", "l2", "m1", "m2"), "lines")
-    long_lines, long_slim = lines.where("NOT short"), slim.where("NOT short")
-    if descend:
-        met = slim.join(grouped_lines(long_slim, long_lines, agreement), ["m1", "m2"], "left")
-        template = [F.coalesce("g1", "m1").alias("t1"), F.coalesce("g2", "m2").alias("t2")]
-    else:
-        met = slim.join(general_leaves(long_lines, long_slim, agreement).withColumn("general", F.lit(True)), ["l1", "l2"], "left")
-        template = [F.when(F.col("general"), F.col(f"l{k}")).otherwise(F.col(f"m{k}")).alias(f"t{k}") for k in (1, 2)]
-    placed = stored(met.select("doc_id", "key", "pos", "short", *template), "templates")
-    spread = placed.select("t1", "t2", "short", "doc_id", "key").distinct()
-    needed = F.when(F.col("short"), max(min_docs, short_docs or 0)).otherwise(min_docs)
+    lines = stored(tokenized_lines(docs, leading), "lines")
+    slim = lines.select("doc_id", "key", "pos", "n", "leaf", "line")
+    groups = grouped_lines(slim, lines, leading, agreement, rounds)
+    held = stored(groups.join(slim.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "line"), "held")
+    placed = join_classes(slim.withColumnRenamed("n", "tokens"), held, "line", "pos")
+    placed = stored(placed.select("doc_id", "key", "pos", "tokens", F.coalesce("group", "line").alias("template")), "templates")
+    spread = placed.groupBy("template", "doc_id", "key").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    needed = F.greatest(F.lit(min_docs), F.ceil(F.lit(evidence) / F.col("tokens")))
     recurring = (
-        spread.groupBy("t1", "t2", "short")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "key")).alias("first"))
+        spread.groupBy("template")
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "key")).alias("first"), F.first("tokens").alias("tokens"), F.sum("rows").alias("n"))
         .where(F.col("n_docs") >= needed)
-        .select("t1", "t2", F.col("first")["doc_id"].alias("first_id"), F.col("first")["key"].alias("first_key"))
+        .select("template", "n", "first")
     )
-    later = placed.join(recurring, ["t1", "t2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))))
+    met = join_classes(placed, stored(recurring, "recurring"), "template", "pos").where("first IS NOT NULL")
+    first = F.col("first")
+    later = met.where(~(F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("key") == first["key"])))
     return later.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("dropped"))
 
 
-def drop_recurring(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, leading: int = LEADING, agreement: float = AGREEMENT, descend: bool = True, short_docs: int | None = SHORT_DOCS) -> DataFrame:
-    """All columns of ``docs`` with recurring lines taken out of ``text``, plus n_lines and n_dropped.
-
-    Without ``descend`` a mixed leaf is not parted, each distinct line of it is a template.
-    Lines under ``min_tokens`` always stay if ``short_docs`` is None.
-    """
-    gone = recurring_lines(docs, min_tokens, min_docs, leading, agreement, descend, short_docs).select(
+def drop_recurring(
+    docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, agreement: float = AGREEMENT, rounds: int = ROUNDS, evidence: int = EVIDENCE
+) -> DataFrame:
+    """All columns of ``docs`` with recurring lines taken out of ``text``, plus n_lines and n_dropped."""
+    gone = recurring_lines(docs, min_docs, leading, agreement, rounds, evidence).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("dropped").alias("_gone")
     )
     inner, finish = carried(docs, "doc_id", "text")

@@ -106,15 +106,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op5_rounds() -> str:
+    """Groups of distinct lines, judged and parted by their frequent tokens, round by round."""
+    t = line_templates
+    out = []
+    for r in range(t.ROUNDS + 1):
+        out.append(f"""k{r} AS (SELECT m, g, ts, count(*) OVER (PARTITION BY g) AS size FROM g{r}),
+c{r} AS (SELECT m, g, size, len(ts) AS n, i, x, count(*) OVER (PARTITION BY g, i, x) AS c FROM (SELECT m, g, ts, size, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS x FROM k{r})),
+j{r} AS (SELECT m, g, count(*) FILTER (c = size AND i > {t.LEADING}) / CAST(any_value(n) - {t.LEADING} AS DOUBLE) >= {t.AGREEMENT} AS whole,
+  string_agg(CASE WHEN c * {t.FREQUENT} >= size AND (c >= {t.LEAST_LINES} OR size = 1) THEN x ELSE chr(1) END, ' ' ORDER BY i) AS sig FROM c{r} WHERE n > {t.LEADING} GROUP BY 1, 2),
+s{r} AS (SELECT m, g FROM j{r} WHERE whole),
+g{r + 1} AS (SELECT j{r}.m, j{r}.g || chr(2) || sig AS g, k{r}.ts FROM j{r} JOIN k{r} ON k{r}.m = j{r}.m WHERE NOT whole)""")
+    return ",\n".join(out)
+
+
 OP5_SQL = f"""WITH d AS (SELECT doc_id, text FROM documents),
 ln AS (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT doc_id, text FROM d)),
-tk AS (SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '[^ \t\r\f]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM ln),
-ms AS (SELECT doc_id, text, pos, ts, len(ts) AS n, array_to_string(ts, ' ') AS m, array_to_string(ts[1:{line_templates.LEADING}], ' ') AS lead FROM tk WHERE len(ts) >= {line_templates.MIN_TOKENS}),
-leaf AS (SELECT n, lead FROM ms GROUP BY ALL HAVING count(DISTINCT m) > 1),
-tok AS (SELECT n, lead, unnest(range(1, n + 1)) AS i, unnest(ts) AS t FROM ms JOIN leaf USING (n, lead)),
-gen AS (SELECT n, lead, 1 AS g FROM (SELECT n, lead, i, count(DISTINCT t) AS c FROM tok GROUP BY ALL) GROUP BY n, lead HAVING avg(CASE WHEN c = 1 THEN 1 ELSE 0 END) >= {line_templates.AGREEMENT}),
-tp AS (SELECT doc_id, text, pos, CASE WHEN g = 1 THEN n || '|' || lead ELSE m || '|' END AS t FROM ms LEFT JOIN gen USING (n, lead)),
-rec AS (SELECT t, min(doc_id) AS f FROM tp GROUP BY t HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
+raw AS (SELECT doc_id, text, pos, regexp_extract_all(line, '[^ \t\r\f]+') AS ws FROM ln),
+tk AS (SELECT doc_id, text, pos, CASE WHEN len(list_filter(ws, lambda t: NOT regexp_matches(t, '[0-9]'))) = 0 THEN ws
+  ELSE list_transform(ws, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) END AS ts FROM raw),
+ms AS (SELECT doc_id, text, pos, ts, len(ts) AS n, array_to_string(ts, ' ') AS m, len(ts) || '|' || array_to_string(ts[1:{line_templates.LEADING}], ' ') AS leaf FROM tk WHERE len(ts) > 0),
+varied AS (SELECT leaf FROM ms GROUP BY 1 HAVING count(DISTINCT m) > 1),
+g0 AS (SELECT m, any_value(leaf) AS g, any_value(ts) AS ts FROM ms JOIN varied USING (leaf) GROUP BY 1),
+{_op5_rounds()},
+gr AS ({" UNION ALL ".join(f"SELECT m, {r} || g AS g FROM s{r}" for r in range(line_templates.ROUNDS + 1))}),
+tp AS (SELECT doc_id, text, pos, n, CASE WHEN g IS NOT NULL THEN 'g' || g ELSE 'm' || m END AS t FROM ms LEFT JOIN gr USING (m)),
+rec AS (SELECT t, min(doc_id) AS f FROM tp GROUP BY t HAVING count(DISTINCT doc_id) >= greatest({line_templates.MIN_DOCS}, ceil({line_templates.EVIDENCE} / any_value(n)))),
 gone AS (SELECT doc_id, text, pos FROM tp JOIN rec USING (t) WHERE doc_id <> f),
 agg AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
 kept AS (SELECT ln.doc_id, string_agg(line, chr(10) ORDER BY ln.pos) AS t FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.pos = ln.pos WHERE gone.pos IS NULL GROUP BY 1)
@@ -124,8 +141,7 @@ FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.
 
 @query("op5_line_templates", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # OP5_SQL takes a leaf as one template or none, and leaves short lines out
-    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), descend=False, short_docs=None)
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
