@@ -271,3 +271,36 @@ def test_degenerate_series_give_null_statistics(spark):
     out = {r.series_id: r for r in forecast_metrics.basic_metrics(pairs, ["series_id"]).collect()}
     assert out[0].mae == 1.0 and out[0].rse is None
     assert forecast_metrics.corr(pairs.where("series_id = 0"), ["h"]).first()["corr"] is None
+
+
+def test_dynamics_of_near_collinear_features_equal_lstsq(spark):
+    from tidemark.operators import forecast
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(5):
+        a = rng.normal(size=40).cumsum()
+        b = a + 1e-6 * rng.normal(size=40)  # condition about 1e6, its square would lose all digits
+        rows.append((0, i, a.tolist(), b.tolist(), rng.normal(size=40).tolist()))
+    rows.append((0, 9, [1.0] * 10, [2.0] * 10, [0.0] * 10))  # dependent features: the smallest solution
+    df = spark.createDataFrame(rows, "series_id int, w_start int, a array<double>, b array<double>, c array<double>")
+    for r in forecast.linear_dynamics(df, ["a", "b", "c"], 3).collect():
+        z = np.array([r.a, r.b, r.c]).T
+        k = np.linalg.lstsq(z[:-1], z[1:], rcond=1e-12)[0]
+        # one step: powers of so badly determined a matrix lose their digits in any solver
+        assert np.allclose(np.array(r.dynamics.pred)[:, 0], z[-1] @ k, rtol=1e-8, atol=1e-9)
+        assert np.allclose(np.array(r.dynamics.rec), np.vstack([z[:1], z[:-1] @ k]).T, rtol=1e-9, atol=1e-9)
+
+
+def test_scalers_go_back_with_the_numbers_of_the_way_out(spark):
+    from tidemark.operators import scaling
+
+    df = spark.createDataFrame([(0, i, 5.0 if i < 9 else 7.0) for i in range(10)], "series_id int, idx int, x double")
+    stats = scaling.fit_scaler(df.where("idx < 9"), ["x"])
+    there = scaling.apply_scaler(df, stats, ["x"], "standard_eps")
+    assert [r.x for r in scaling.invert_scaler(there, stats, ["x"], "standard_eps").orderBy("idx").collect()] == pytest.approx([5.0] * 9 + [7.0])
+
+
+def test_detectors_of_both_lists_are_known():
+    assert all(scoring.detection_method(m) == "reconstruction" for m in ("USAD", "VAE", "VTTPAT", "VTTSAT"))
+    assert scoring.detection_method("DLinear") == "prediction"

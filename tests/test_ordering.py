@@ -166,3 +166,38 @@ def test_nulls_in_averages_and_filters(spark):
     assert np.allclose(ma, [4 / 3, 1.5, 3.0, 4.5, 5.0, 17 / 3])
     lagged = decompose.causal_filter(df, [1.0, 0.0, 0.0]).toPandas().sort_values("idx")["filtered"].tolist()
     assert lagged == [0, 0, 1, 2, 0, 4]
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_levels_of_prefix_sums(spark, levels):
+    n = 20_000
+    df = spark.range(n).select(F.lit("s").alias("series_id"), F.col("id").alias("idx"), (F.col("id") % 7).alias("x"))
+    out = ordering.running_totals(df.withColumn(ordering.CHUNK, ordering.idx_chunk("idx", 4)), ["series_id"], ["idx"], {"t": F.col("x")}, levels=levels)
+    got = np.array([r.t for r in out.orderBy("idx").collect()])
+    assert (got == np.cumsum(np.arange(n) % 7)).all()
+
+
+def test_a_level_scans_few_rows(spark):
+    totals = spark.range(25_000).select(F.lit("s").alias("k"), F.col("id").alias("c"), F.lit(1).alias("_sum_t"))
+    cut = totals.withColumn("u", F.floor(F.col("c") / ordering.FAN)).withColumn("uu", F.floor(F.col("u") / ordering.FAN))
+    for level, below in (("u", "c"), ("uu", "u")):
+        most = cut.groupBy("k", level).agg(F.count_distinct(below).alias("n")).agg(F.max("n")).first()[0]
+        assert most <= ordering.FAN
+    off = ordering.totals_before(totals, ["k"], "c", ["t"], 2)
+    assert off.where("_off_t <> c").count() == 0 and off.count() == 25_000
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_fill_across_many_chunks(spark, levels):
+    known = {5: 1.0, 4_000: 2.0, 9_999: 3.0}
+    df = spark.range(10_000).select(F.lit("s").alias("series_id"), F.col("id").alias("idx"))
+    at = F.create_map(*[F.lit(v) for kv in known.items() for v in kv])
+    df = df.withColumn("x", at[F.col("idx").cast("int")]).withColumn(ordering.CHUNK, ordering.idx_chunk("idx", 3))
+    got = [r.x for r in ordering.fill_nearest(df, ["series_id"], ["idx"], ["x"], levels=levels).orderBy("idx").collect()]
+    assert got == [1.0] * 4_000 + [2.0] * 5_999 + [3.0]
+
+
+def test_empty_and_constant_order(spark):
+    df = spark.createDataFrame([("a", 1, 5.0)], "series_id string, ts long, x double")
+    assert [r.idx for r in ordering.add_index(df).collect()] == [0]
+    assert ordering.add_index(df.limit(0)).count() == 0

@@ -266,3 +266,27 @@ def test_medoid(shapes):
         d = np.array([[0 if p is q else warping.dtw_distances(p[None], q[None], "symmetric", 4)[0] for q in s] for p in s])
         assert row.medoid["medoid"] == int(d.sum(1).argmin())
         assert np.allclose(row.medoid["distances"], np.sort(d[row.medoid["medoid"]]))
+
+
+def test_rounds_are_one_scan(spark, tmp_path):
+    df = spark.range(30).select(F.col("id").alias("window_id"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: (i * F.col("id")).cast("double")).alias("x"), (F.col("id") % 3).alias("label"))
+    df.write.parquet(str(tmp_path / "w"))
+    stored = spark.read.parquet(str(tmp_path / "w"))
+    scans = {n: augment.augment_rounds(stored, ["jitter", "permutation", "timewarp"], 12, n)._jdf.queryExecution().executedPlan().toString().count("FileScan") for n in (1, 5)}
+    assert scans == {1: 1, 5: 1}
+    out = augment.augment_rounds(stored, ["jitter", "rgw"], 12, 3)
+    rows = out.collect()
+    assert len(rows) == 120 and {r.label for r in rows} == {0, 1, 2}
+    first = {(r.window_id, r["round"]): list(r.x) for r in rows}
+    assert all(first[w, 0] == [float(i * w) for i in range(1, 13)] for w in range(30))
+    assert first[4, 1] != first[4, 2] and first[4, 2] != first[4, 3]
+    again = {(r.window_id, r["round"]): list(r.x) for r in augment.augment_rounds(stored.repartition(5), ["jitter", "rgw"], 12, 3).collect()}
+    assert again == first
+
+
+def test_windows_without_a_mate_are_no_hot_task(spark):
+    df = spark.range(2_000).select(F.col("id").alias("window_id"), F.array(F.lit(1.0)).alias("x"), F.col("id").alias("label"))
+    out = mates.with_mates(df, 1)
+    spread = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert out.count() == 2_000 and out.where("mate_id IS NOT NULL").count() == 0
+    assert spread < 1_200

@@ -139,3 +139,37 @@ def test_scores_of_overlapping_windows(spark):
     got = {r.idx: r.score for r in windows.windows_to_points(df, "s").collect()}
     assert got == {0: 1.0, 1: 3.0, 2: 8.0}
     assert {r.idx: r.score for r in windows.windows_to_points(df, "s", how="max").collect()}[1] == 4.0
+
+
+def test_many_nested_intervals(spark):
+    n = 3_000
+    points = spark.range(n).select(F.lit("a").alias("series_id"), F.col("id").alias("idx")).unionByName(spark.range(5).select(F.lit("b").alias("series_id"), F.col("id").alias("idx")))
+    spans = [("a", 500 + k, 2_500 - k) for k in range(1_000)] + [("a", 2_990, 2_990), ("a", 10, 5), ("a", -7, 1), ("a", 2_998, 9_999), ("c", 0, 9), ("a", 2_501, 2_600)]
+    got = readers.label_from_intervals(points, spark.createDataFrame(spans, "series_id string, start long, end long"), block=64)
+    on = {r.idx for r in got.where("series_id = 'a' AND label = 1").collect()}
+    assert on == {0, 1, *range(500, 2_601), 2_990, 2_998, 2_999}
+    assert got.count() == n + 5 and got.where("series_id = 'b' AND label = 1").count() == 0
+
+
+def test_stacked_files_are_read_per_header(spark, tmp_path):
+    for k in range(6):
+        lines = ["x, y"] + [f"{k},{j}" for j in range(3)] if k % 2 else ["y ,z"] + [f"{j},{k}" for j in range(2)]
+        (tmp_path / f"f{k}.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    out = readers.read_stacked_csvs(spark, str(tmp_path), types={"z": "int"})
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    assert sorted(out.columns) == ["x", "y", "z"] and dict(out.dtypes)["z"] == "int"
+    assert out.where("z IS NULL").count() == 9 and out.where("x IS NULL").count() == 6
+
+
+def test_labels_join_on_series_and_time(spark, tmp_path):
+    for s in ("a", "b"):
+        for name, col in (("data", "x"), ("labels", "attack")):
+            folder = tmp_path / name / s
+            folder.mkdir(parents=True)
+            rows = [f"2024-01-01 00:0{i}:00,{(i if name == 'data' else int(s == 'b' and i == 2))}" for i in range(4)]
+            (folder / "part.csv").write_text(f"t,{col}\n" + "\n".join(rows) + "\n")
+    key = F.regexp_extract(F.col("_metadata.file_path"), "/([ab])/part", 1)
+    both = readers.read_labelled(spark, f"{tmp_path}/data/*", f"{tmp_path}/labels/*", key=key, schema="t timestamp, x double", label_schema="t timestamp, attack int")
+    assert both.count() == 8
+    assert [(r.series_id, r.x) for r in both.where("label = 1").collect()] == [("b", 2.0)]

@@ -89,7 +89,7 @@ def fill_forward_backward(
     chunk: Column | int | None = None,
 ) -> DataFrame:
     """Forward fill, then backward fill what is still missing at the start."""
-    return fill_nearest(with_chunk(df, order, chunk), keys, order, cols).drop(CHUNK)
+    return fill_nearest(with_chunk(df, order, chunk), keys, order, cols, levels=1 if isinstance(chunk, Column) else 0).drop(CHUNK)
 
 
 class SchemaError(ValueError):

@@ -6,7 +6,7 @@ These are closed-form substitutes for trained networks: linear maps of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,9 +82,9 @@ def fit_linear(
     sums = parts.select(F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
     rows = sums.toPandas().sort_values("pos")["v"].to_numpy().reshape(d, d + pred_len)
     gram, target = rows[:, :d], rows[:, d:]
-    penalty = ridge * np.eye(d)
-    penalty[-1, -1] = 0.0
-    return LinearModel(np.linalg.solve(gram + penalty + 1e-9 * np.trace(gram) / d * np.eye(d), target), kernel, length)
+    penalty = (ridge + 1e-9 * np.trace(gram) / d) * np.eye(d)
+    penalty[-1, -1] = 0.0  # the bias is free
+    return LinearModel(np.linalg.solve(gram + penalty, target), kernel, length)
 
 
 def linear_forecast(windows: DataFrame, model: LinearModel, col: str = "x", name: str = "pred") -> DataFrame:
@@ -143,35 +143,66 @@ def named_steps(windows: DataFrame, col: str = "pred", keys: Sequence[str] = KEY
 TRANSITION = T.StructType([T.StructField("k", DOUBLES), T.StructField("powers", T.ArrayType(DOUBLES))])
 
 
+def triangular(df: DataFrame, left: Sequence[Column], right: Sequence[Column], name: str) -> DataFrame:
+    """Adds ``name``: array<array<double>>, the rows of R and Q'Y of the left columns' QR, by modified Gram-Schmidt.
+
+    The right columns lose their part along each direction as it is found, so the result has
+    the accuracy of an orthogonal factorisation. A column that depends on earlier ones has a zero row.
+    """
+    state = F.struct(F.array(*left, *right).alias("v"), F.array().cast("array<array<double>>").alias("r"))
+    out = pin(df.withColumn(name, state), name)
+    for a in range(len(left)):
+        out = pin(out.withColumn(name, let(F.col(name), _orthogonal_step(a))), name)
+    return out.withColumn(name, F.col(name)["r"])
+
+
+def _orthogonal_step(a: int) -> Callable[[Column], Column]:
+    """Take the direction of column a out of all later columns; their parts along it are one more row of R."""
+
+    def step(s: Column) -> Column:
+        own = s["v"][a]
+        unit = let(F.sqrt(dot(own, own)), lambda n: F.transform(own, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+        def project(q: Column) -> Column:
+            def less(r: Column) -> Column:
+                without = lambda v, c: F.zip_with(v, q, lambda x, y: x - c * y)
+                rest = F.transform(s["v"], lambda v, b: F.when(b <= a, v).otherwise(let(F.get(r, b), lambda c: without(v, c))))
+                return F.struct(rest.alias("v"), F.concat(s["r"], F.array(r)).alias("r"))
+
+            return let(F.transform(s["v"], lambda v, b: F.when(b < a, F.lit(0.0)).otherwise(dot(q, v))), less)
+
+        return let(unit, project)
+
+    return step
+
+
 def linear_dynamics(
     windows: DataFrame, cols: Sequence[str], pred_len: int, multi_step: bool = False, name: str = "dynamics"
 ) -> DataFrame:
     """One-step transition K of each window by least squares, its reconstruction and roll-forward.
 
     The result is a struct (rec, pred) of arrays (feature, time). With Z the window's
-    rows, K solves (X'X) K = X'Y for X all rows but the last and Y all but the first; of
+    rows, K is the least-squares solution of X K = Y for X all rows but the last and Y all but the first; of
     several solutions it is the smallest. ``rec`` is the first row and X K. ``pred`` is
     the last row times K, K**2, ...; with ``multi_step`` the last pred_len rows times
     K**pred_len, or, beyond the window's length n, all rows times K**n, K**2n, ... A
     matrix that is not finite is replaced by identity.
 
-    Sums of products and all applications of matrices are Spark expressions; only the
-    solve of the small system and its powers are done per Arrow batch.
+    The factorisation and all applications of matrices are Spark expressions; only the
+    solve of the small triangular system and its powers are done per Arrow batch.
     """
     size = len(cols)
     n = F.size(cols[0])
     rows, after = {c: F.slice(c, 1, n - 1) for c in cols}, {c: F.slice(c, 2, n - 1) for c in cols}
-    gram = F.array(*[dot(rows[a], rows[b]) for a in cols for b in cols])
-    cross = F.array(*[dot(rows[a], after[b]) for a in cols for b in cols])
 
     @F.pandas_udf(TRANSITION)
-    def solve(g: pd.Series, x: pd.Series, length: pd.Series) -> pd.DataFrame:
+    def solve(g: pd.Series, length: pd.Series) -> pd.DataFrame:
         eye = np.eye(size)
         sound = lambda m: m if np.isfinite(m).all() else eye
         ks, powers = [], []
-        for a, b, m in zip(g, x, length, strict=True):
-            left, right = (np.asarray(v, float).reshape(size, size) for v in (a, b))
-            k = np.linalg.pinv(left, hermitian=True) @ right if np.isfinite(left).all() and np.isfinite(right).all() else eye
+        for a, m in zip(g, length, strict=True):
+            r = np.array([list(v) for v in a], float).reshape(size, 2 * size)
+            k = np.linalg.pinv(r[:, :size], rcond=1e-13) @ r[:, size:] if np.isfinite(r).all() else eye
             if not multi_step:
                 steps = range(1, pred_len + 1)
             else:
@@ -180,8 +211,8 @@ def linear_dynamics(
             powers.append([sound(np.linalg.matrix_power(k, s)).reshape(-1) for s in steps])
         return pd.DataFrame({"k": ks, "powers": powers})
 
-    packed = pin(windows.withColumns({"_g": gram, "_c": cross, "_n": n}), "_g", "_c")
-    solved = pin(packed.withColumn("_t", solve.asNondeterministic()("_g", "_c", "_n")), "_t")
+    packed = triangular(windows.withColumn("_n", n), [rows[c] for c in cols], [after[c] for c in cols], "_g")
+    solved = pin(packed.withColumn("_t", solve.asNondeterministic()("_g", "_n")), "_t")
 
     def moved(at: Column, matrix: Column, to: int) -> Column:
         """Feature ``to`` of row ``at`` times a matrix."""
@@ -203,4 +234,4 @@ def linear_dynamics(
 
     pred = [ahead(i) for i in range(size)]
     out = solved.withColumn(name, F.struct(F.array(*rec).alias("rec"), F.array(*pred).alias("pred")))
-    return out.drop("_g", "_c", "_n", "_t")
+    return out.drop("_g", "_n", "_t")

@@ -80,7 +80,10 @@ def with_mates(
         (F.col("_start") + pos).alias("_g"), F.col(id_col).alias("mate_id"), *[F.col(c).alias(f"mate_{c}") for c in cols]
     )
     # a fixed number of partitions: the solvers behind this join are bound by compute, not bytes
-    return wanted.repartition(shuffle_width(df), "_g").join(offered, "_g", "left").drop("_g")
+    met = wanted.where("_g IS NOT NULL").repartition(shuffle_width(df), "_g").join(offered, "_g")
+    # windows without a partner stay where they are: a null key would gather them in one task
+    alone = wanted.where("_g IS NULL").select("*", *[F.lit(None).cast(offered.schema[c].dataType).alias(c) for c in offered.columns if c != "_g"])
+    return met.unionByName(alone).drop("_g")
 
 
 def gather_mates(

@@ -23,6 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+FAN = 128
+"""Chunks of a level that make one chunk of the level above."""
+OVERSPLIT = 4
+"""Quantile chunks per shuffle partition, so uneven ones even out."""
 
 
 def epoch_micros(col: Column | str) -> Column:
@@ -61,7 +65,7 @@ def _borders(df: DataFrame, number: Column, n: int) -> list[float]:
 
 
 def _bucket(df: DataFrame, number: Column, borders: Sequence[float], name: str) -> DataFrame:
-    splits = [-float("inf"), *sorted(set(borders)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(borders)) or [0.0]), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep")
     out = cutter.transform(df.withColumn("_value", number)).drop("_value")
     # a null sorts first, so it gets the chunk before all others
@@ -78,7 +82,7 @@ def range_chunk(df: DataFrame, order: Sequence[str] | str, chunks: int | None =
     cut further by the second order column (the tie breaker).
     """
     order = [order] if isinstance(order, str) else list(order)
-    n = chunks or shuffle_width(df)
+    n = chunks or OVERSPLIT * shuffle_width(df)
     first = _number(df, order[0])
     if first is None:
         raise ValueError(f"column {order[0]!r} has no numeric order; give a chunk expression")
@@ -102,26 +106,44 @@ def with_chunk(df: DataFrame, order: Sequence[str] | str, chunk: Column | int |
     return range_chunk(df, order, chunk, name)
 
 
+def totals_before(totals: DataFrame, keys: list[str], chunk: str, names: Sequence[str], levels: int) -> DataFrame:
+    """keys, chunk, ``_off_<name>``: the sum of ``_sum_<name>`` over all earlier chunks of the key.
+
+    With ``levels`` the chunk table is itself cut into chunks of FAN, whose totals are summed in the same
+    way, so a task scans FAN rows of a level or what is left of them after the last one.
+    """
+    sums = lambda w: [F.coalesce(F.sum(f"_sum_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in names]
+    if not levels:
+        window = Window.partitionBy(*keys).orderBy(chunk)
+        return totals.select(*keys, chunk, *[s.alias(f"_off_{n}") for s, n in zip(sums(window), names, strict=True)])
+    up = f"{chunk}u"
+    cut = totals.withColumn(up, F.floor(F.col(chunk) / FAN).cast("long"))
+    above = cut.groupBy(*keys, up).agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in names])
+    carried = totals_before(above, keys, up, names, levels - 1).select(*keys, up, *[F.col(f"_off_{n}").alias(f"_up_{n}") for n in names])
+    window = Window.partitionBy(*keys, up).orderBy(chunk)
+    inner = cut.select(*keys, chunk, up, *[s.alias(f"_in_{n}") for s, n in zip(sums(window), names, strict=True)])
+    return inner.join(carried, [*keys, up]).select(*keys, chunk, *[(F.col(f"_in_{n}") + F.col(f"_up_{n}")).alias(f"_off_{n}") for n in names])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     sums: dict[str, Column],
     chunk: str = CHUNK,
+    levels: int = 0,
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` within ``keys``.
 
     ``order`` must be a total order within a chunk. The offset table has one row
-    per (key, chunk); its own prefix sum therefore sees chunks, not data rows.
+    per (key, chunk); its own prefix sum therefore sees chunks, not data rows. Quantile chunks are
+    few; where the number of chunks grows with a series, ``levels`` keeps that table's scan small too.
     """
     keys = list(keys)
     names = list(sums)
     terms = df.select("*", *[c.alias(f"_term_{n}") for n, c in sums.items()])
     totals = terms.groupBy(*keys, chunk).agg(*[F.sum(f"_term_{n}").alias(f"_sum_{n}") for n in names])
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, chunk, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in names]
-    )
+    offsets = totals_before(totals, keys, chunk, names, levels)
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = terms.select(
         *df.columns, *[F.sum(f"_term_{n}").over(inside).alias(f"_run_{n}") for n in names]
@@ -144,12 +166,37 @@ def add_index(
     ``order`` must be unique within a series (add a tie breaker if it is not).
     """
     cut = with_chunk(df, order, chunk)
-    out = running_totals(cut, keys, list(order), {name: F.lit(1).cast("long")})
+    levels = 1 if isinstance(chunk, Column) else 0
+    out = running_totals(cut, keys, list(order), {name: F.lit(1).cast("long")}, levels=levels)
     return out.withColumn(name, F.col(name) - 1).drop(CHUNK)
 
 
+def edges_around(edges: DataFrame, keys: list[str], chunk: str, cols: Sequence[str], levels: int) -> DataFrame:
+    """keys, chunk, ``_before_<c>`` and ``_after_<c>``: the nearest known value in earlier and in later chunks (``levels`` as in ``totals_before``)."""
+
+    def nearest(window) -> list[Column]:
+        before, after = window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(1, Window.unboundedFollowing)
+        return [
+            *[F.last(f"_hi_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in cols],
+            *[F.first(f"_lo_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in cols],
+        ]
+
+    if not levels:
+        return edges.select(*keys, chunk, *nearest(Window.partitionBy(*keys).orderBy(chunk)))
+    up = f"{chunk}u"
+    cut = edges.withColumn(up, F.floor(F.col(chunk) / FAN).cast("long"))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col(chunk))
+    above = cut.groupBy(*keys, up).agg(
+        *[F.max_by(f"_hi_{c}", at(f"_hi_{c}")).alias(f"_hi_{c}") for c in cols], *[F.min_by(f"_lo_{c}", at(f"_lo_{c}")).alias(f"_lo_{c}") for c in cols]
+    )
+    names = [f"_{side}_{c}" for side in ("before", "after") for c in cols]
+    far = edges_around(above, keys, up, cols, levels - 1).select(*keys, up, *[F.col(n).alias(f"{n}_up") for n in names])
+    near = cut.select(*keys, chunk, up, *nearest(Window.partitionBy(*keys, up).orderBy(chunk)))
+    return near.join(far, [*keys, up]).select(*keys, chunk, *[F.coalesce(n, f"{n}_up").alias(n) for n in names])
+
+
 def fill_nearest(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], chunk: str = CHUNK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], chunk: str = CHUNK, levels: int = 0
 ) -> DataFrame:
     """Replace nulls by the nearest earlier non-null value of the series, else by the nearest later one.
 
@@ -157,20 +204,12 @@ def fill_nearest(
     """
     keys = list(keys)
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(chunk)
     position = F.struct(*order)
     at = lambda c: F.when(F.col(c).isNotNull(), position)
     edges = df.groupBy(*keys, chunk).agg(
         *[F.max_by(c, at(c)).alias(f"_hi_{c}") for c in cols], *[F.min_by(c, at(c)).alias(f"_lo_{c}") for c in cols]
     )
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
-    carried = edges.select(
-        *keys,
-        chunk,
-        *[F.last(f"_hi_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in cols],
-        *[F.first(f"_lo_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in cols],
-    )
+    carried = edges_around(edges, keys, chunk, cols, levels)
     back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
     local = df.select(
         "*",

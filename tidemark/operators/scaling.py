@@ -59,7 +59,7 @@ def _backward(c: str, method: str) -> Column:
     if method == "standard":
         return x * _nonzero(std) + mean
     if method == "standard_eps":
-        return x * std + mean
+        return x * (std + EPS) + mean
     if method == "minmax":
         return (x + 1.0) / 2.0 * _nonzero(hi - lo) + lo
     if method == "minmax_square":
@@ -73,19 +73,28 @@ def _with_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))  # keyless: one row
 
 
+Methods = str | dict[str, str]
+"""One method for all columns, or one per column."""
+
+
+def _mapped(df: DataFrame, stats: DataFrame, cols: Sequence[str], method: Methods, keys: Sequence[str], fn) -> DataFrame:
+    out = _with_stats(df, stats, keys)
+    by_col = {c: method if isinstance(method, str) else method[c] for c in cols}
+    return out.select(*[fn(c, by_col[c]).alias(c) if c in by_col else F.col(c) for c in df.columns])
+
+
 def apply_scaler(
-    df: DataFrame, stats: DataFrame, cols: Sequence[str], method: str, keys: Sequence[str] = ("series_id",)
+    df: DataFrame, stats: DataFrame, cols: Sequence[str], method: Methods, keys: Sequence[str] = ("series_id",)
 ) -> DataFrame:
-    out = _with_stats(df, stats, keys)
-    return out.select(*[_forward(c, method).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Scale all columns in one join with their fitted numbers."""
+    return _mapped(df, stats, cols, method, keys, _forward)
 
 
 def invert_scaler(
-    df: DataFrame, stats: DataFrame, cols: Sequence[str], method: str, keys: Sequence[str] = ("series_id",)
+    df: DataFrame, stats: DataFrame, cols: Sequence[str], method: Methods, keys: Sequence[str] = ("series_id",)
 ) -> DataFrame:
-    """Back to the original unit. ``standard_eps`` inverts with x * std + mean (no epsilon on the way back)."""
-    out = _with_stats(df, stats, keys)
-    return out.select(*[_backward(c, method).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Back to the original unit, with the numbers used on the way out (``standard_eps``: deviation plus epsilon)."""
+    return _mapped(df, stats, cols, method, keys, _backward)
 
 
 def scale_splits(

@@ -136,6 +136,8 @@ RECONSTRUCTION_MODELS = (
     "VAE",
     "LSTM_VAE",
     "LSTM_AE",
+    "VTTPAT",
+    "VTTSAT",
 )
 
 

@@ -37,7 +37,7 @@ def block_arrays(
 def sliding_windows(
     df: DataFrame,
     length: int,
-    stride: int = 1,
+    stride: int | Column = 1,
     cols: Sequence[str] = ("x",),
     keys: Sequence[str] = KEYS,
     idx: str = "idx",
@@ -45,22 +45,24 @@ def sliding_windows(
 ) -> DataFrame:
     """All complete windows starting at 0, stride, 2*stride, ... of each series.
 
-    ``idx`` must be dense per series. Series shorter than ``length`` give no window.
+    ``idx`` must be dense per series. Series shorter than ``length`` give no window. The stride
+    may be an expression over the keys.
     """
-    if length < 1 or stride < 1:
+    if length < 1 or (isinstance(stride, int) and stride < 1):
         raise ValueError("length and stride must be positive")
+    stride = F.lit(stride) if isinstance(stride, int) else stride
     rows = rows or max(512, 4 * length)
     blocks = block_arrays(df, cols, keys, idx, rows, length - 1)
     base = F.col("_block") * F.lit(rows)
-    first = (F.ceil(base / F.lit(stride)) * F.lit(stride)).cast("long")
+    first = (F.ceil(base / stride) * stride).cast("long")
     last = F.least(base + F.lit(rows - 1), F.element_at("_i", -1) - F.lit(length - 1)).cast("long")
     starts = blocks.where(first <= last).withColumn(
-        "w_start", F.explode(F.sequence(first, last, F.lit(stride).cast("long")))
+        "w_start", F.explode(F.sequence(first, last, stride.cast("long")))
     )
     offset = (F.col("w_start") - F.element_at("_i", 1) + 1).cast("int")
     return starts.select(
         *keys,
-        F.floor(F.col("w_start") / F.lit(stride)).cast("long").alias("w_no"),
+        F.floor(F.col("w_start") / stride).cast("long").alias("w_no"),
         F.col("w_start"),
         (F.col("w_start") + F.lit(length)).alias("w_end"),
         *[F.slice(F.col(c), offset, F.lit(length)).alias(c) for c in cols],
@@ -99,13 +101,9 @@ def windows_by_split(
     df: DataFrame, length: int, slide: int | None = None, cols: Sequence[str] = ("x",), keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Windows inside each split with the stride of that split; ``idx`` is dense per split."""
-    parts = [
-        sliding_windows(
-            df.where(F.col("split") == name), length, default_stride(name, length, slide), cols, [*keys, "split"]
-        )
-        for name in ("train", "val", "test")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    known = df.where(F.col("split").isin("train", "val", "test"))
+    stride = F.when(F.col("split") == "test", default_stride("test", length, slide)).otherwise(default_stride("train", length, slide))
+    return sliding_windows(known, length, stride, cols, [*keys, "split"])
 
 
 # -- gap checks ---------------------------------------------------------------------------------

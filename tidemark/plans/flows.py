@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import decompose, models, scaling, scoring, splits, windows
@@ -35,9 +35,11 @@ def score_files(
     stride: int = 1,
     task: str = "score",
     schema: str | None = None,
+    key: Column | None = None,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """Files of wide series to one model output per window."""
-    df = read_wide_csv(spark, paths, schema=schema)
+    """Files of wide series to one model output per window; ``key`` and ``drop`` as in ``read_wide_csv``."""
+    df = read_wide_csv(spark, paths, schema=schema, key=key, drop=drop)
     features = discover_features(df)
     wins = windows.sliding_windows(add_index(df), length, stride, features)
     return models.score_windows(wins, load, task, features, length=length)
@@ -53,7 +55,8 @@ def predict_files(
     stride: int = 1,
     schema: str | None = None,
     fmt: str = "csv",
+    key: Column | None = None,
 ) -> None:
     """Files in, scores out, one call."""
-    scored = score_files(spark, paths, load, length, stride, "score", schema)
+    scored = score_files(spark, paths, load, length, stride, "score", schema, key)
     write_predictions(prediction_columns(scored, "out", width, "anomaly_detection"), output, fmt)

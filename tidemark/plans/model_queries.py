@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import forecast, forecast_metrics, impute, learned, models, scaling, scoring, splits, stationarity, windows
+from tidemark.operators import decompose, forecast, forecast_metrics, impute, learned, models, scaling, scoring, splits, stationarity, windows
+from tidemark.operators.ordering import add_index
 from tidemark.plans.draws_sql import Sql, uniform
 from tidemark.plans.inputs import DAILY_SQL, POINTS_SQL, daily, points, shapes, windows_sql
 from tidemark.plans.registry import query, r, rsql
@@ -63,23 +64,19 @@ def model_forecast(spark: SparkSession, sf: str) -> DataFrame:
 # -- fitted forecasts -------------------------------------------------------------------------------------
 
 
-def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    cut = splits.split_train_valid(points(spark, sf))
-    train = windows.forecast_windows(cut.where("split = 'train'"), 24, 0, 6)
-    test = windows.sliding_windows(points(spark, sf), 24, 6)
-    return train, test
-
-
 def _forecast_errors(spark: SparkSession, sf: str, kernel: int | None) -> DataFrame:
-    train, test = _train_test(spark, sf)
-    model = forecast.fit_linear(train, 24, 6, kernel)
-    out = scoring.forecast_error_score(forecast.linear_forecast(test, model), points(spark, sf))
+    cut = staged(splits.split_train_valid(points(spark, sf)))
+    train = windows.forecast_windows(cut.where("split = 'train'"), 6, 0, 2)
+    valid = staged(add_index(cut.where("split = 'val'").withColumnRenamed("idx", "_old"), order=["_old"]).select("series_id", "idx", "x"))
+    model = forecast.fit_linear(train, 6, 2, kernel)
+    out = scoring.forecast_error_score(forecast.linear_forecast(windows.sliding_windows(valid, 6, 1), model), valid)
     return forecast_metrics.basic_metrics(out, ["h"]).select("h", r("mae", 4).alias("mae"), r("mse", 2).alias("mse"))
 
 
 @query("linear_forecast_decomposed")
 def linear_forecast_decomposed(spark: SparkSession, sf: str) -> DataFrame:
-    return _forecast_errors(spark, sf, 7)
+    """Errors on windows of the validation rows, which the fit has not seen."""
+    return _forecast_errors(spark, sf, 3)
 
 
 @query("linear_forecast_direct")
@@ -87,20 +84,65 @@ def linear_forecast_direct(spark: SparkSession, sf: str) -> DataFrame:
     return _forecast_errors(spark, sf, None)
 
 
+def _fit_balance(spark: SparkSession, sf: str, kernel: int | None) -> DataFrame:
+    """Whether the fit's errors are at right angles to every input, which holds for least squares alone."""
+    cut = splits.split_train_valid(points(spark, sf))
+    train = staged(windows.forecast_windows(cut.where("split = 'train'"), 24, 0, 6).withColumn("x", F.col("x_x")))
+    model = forecast.fit_linear(train, 24, 6, kernel, ridge=0.0)
+    parts = decompose.decompose_window(train, kernel) if kernel else train
+    inputs = [F.col(c) for c in (("seasonal", "trend") if kernel else ("x",))]
+    made = forecast.linear_forecast(parts.withColumn("inputs", F.concat(*inputs, F.array(F.lit(1.0)))), model)
+    errors = F.zip_with("x_y", "pred", lambda y, p: y - p)
+    each = made.select("inputs", F.posexplode(errors).alias("h", "e")).select("h", "e", F.posexplode("inputs").alias("input", "v"))
+    sums = each.groupBy("h", "input").agg(F.sum(F.col("e") * F.col("v")).alias("g"), F.sum(F.abs(F.col("e") * F.col("v"))).alias("size"))
+    return sums.select("h", "input", (F.abs("g") <= 1e-6 * F.col("size")).alias("balanced"))
+
+
+def _balance_sql(inputs: int) -> str:
+    return f"SELECT CAST(h AS INTEGER) AS h, CAST(input AS INTEGER) AS input, true AS balanced FROM range(0, 6) a(h), range(0, {inputs}) b(input) WHERE (SELECT count(*) FROM events) > 0"
+
+
+@query("linear_fit_direct", _balance_sql(25))
+def linear_fit_direct(spark: SparkSession, sf: str) -> DataFrame:
+    return _fit_balance(spark, sf, None)
+
+
+@query("linear_fit_decomposed", _balance_sql(49))
+def linear_fit_decomposed(spark: SparkSession, sf: str) -> DataFrame:
+    return _fit_balance(spark, sf, 7)
+
+
+DYNAMICS_SQL = f"""WITH RECURSIVE {DAILY_SQL}, {windows_sql('daily', 28, 14, 'orders, mean')},
+z AS (SELECT series_id, w_start, pos, (orders - avg(orders) OVER w) / sqrt(var_pop(orders) OVER w + 1e-5) AS a, (mean - avg(mean) OVER w) / sqrt(var_pop(mean) OVER w + 1e-5) AS b FROM wins WINDOW w AS (PARTITION BY series_id, w_start)),
+nx AS (SELECT *, lead(a) OVER w AS a2, lead(b) OVER w AS b2 FROM z WINDOW w AS (PARTITION BY series_id, w_start ORDER BY pos)),
+g AS (SELECT series_id, w_start, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * a2) AS ya, sum(a * b2) AS yb, sum(b * a2) AS za, sum(b * b2) AS zb FROM nx WHERE a2 IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT series_id, w_start, CASE WHEN aa = 0 THEN 0 WHEN bb = 0 THEN ya / aa ELSE (bb * ya - ab * za) / d END AS p, CASE WHEN aa = 0 THEN 0 WHEN bb = 0 THEN yb / aa ELSE (bb * yb - ab * zb) / d END AS q,
+  CASE WHEN bb = 0 THEN 0 WHEN aa = 0 THEN za / bb ELSE (aa * za - ab * ya) / d END AS r, CASE WHEN bb = 0 THEN 0 WHEN aa = 0 THEN zb / bb ELSE (aa * zb - ab * yb) / d END AS s FROM (SELECT *, aa * bb - ab * ab AS d FROM g)),
+pw(series_id, w_start, n, p, q, r, s) AS (SELECT series_id, w_start, 1, p, q, r, s FROM k UNION ALL
+  SELECT pw.series_id, pw.w_start, n + 1, pw.p * k.p + pw.q * k.r, pw.p * k.q + pw.q * k.s, pw.r * k.p + pw.s * k.r, pw.r * k.q + pw.s * k.s FROM pw JOIN k ON k.series_id = pw.series_id AND k.w_start = pw.w_start WHERE n < 7),
+rec AS (SELECT z.series_id, z.w_start, 'rec' AS part, z.pos AS h, coalesce(y.a * p + y.b * r, z.a) AS a, coalesce(y.a * q + y.b * s, z.b) AS b
+  FROM z JOIN k ON k.series_id = z.series_id AND k.w_start = z.w_start LEFT JOIN z y ON y.series_id = z.series_id AND y.w_start = z.w_start AND y.pos = z.pos - 1),
+pred AS (SELECT z.series_id, z.w_start, 'pred' AS part, {{h}} AS h, z.a * p + z.b * r AS a, z.a * q + z.b * s AS b FROM z JOIN pw ON pw.series_id = z.series_id AND pw.w_start = z.w_start AND {{on}}),
+alls AS (SELECT * FROM rec UNION ALL SELECT * FROM pred)
+SELECT series_id, w_start, part, 'orders' AS feature, CAST(h AS INTEGER) AS h, {rsql('a', 4)} AS value FROM alls UNION ALL SELECT series_id, w_start, part, 'mean', CAST(h AS INTEGER), {rsql('b', 4)} FROM alls"""
+
+
 def _dynamics(spark: SparkSession, sf: str, multi_step: bool) -> DataFrame:
-    wins = windows.sliding_windows(daily(spark, sf), 28, 14, ["orders", "mean"])
+    cols = ["orders", "mean"]
+    wins = windows.sliding_windows(daily(spark, sf), 28, 14, cols)
     scaled = scaling.normalize_window(scaling.normalize_window(wins, "orders"), "mean")
-    out = forecast.linear_dynamics(scaled, ["orders", "mean"], 7, multi_step)
-    steps = out.select("series_id", "w_start", F.posexplode(F.col("dynamics.pred")[0]).alias("h", "pred"))
-    return steps.withColumn("pred", r("pred", 4))
+    out = forecast.linear_dynamics(scaled, cols, 7, multi_step)
+    pieces = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(c).alias("feature"), F.col(f"dynamics.{p}")[i].alias("v")) for p in ("rec", "pred") for i, c in enumerate(cols)])
+    each = out.select("series_id", "w_start", F.explode(pieces).alias("s"))
+    return each.select("series_id", "w_start", "s.part", "s.feature", F.posexplode("s.v").alias("h", "value")).withColumn("value", r("value", 4))
 
 
-@query("linear_dynamics")
+@query("linear_dynamics", DYNAMICS_SQL.replace("{h}", "n - 1").replace("{on}", "z.pos = 27"))
 def linear_dynamics(spark: SparkSession, sf: str) -> DataFrame:
     return _dynamics(spark, sf, False)
 
 
-@query("linear_dynamics_multi_step")
+@query("linear_dynamics_multi_step", DYNAMICS_SQL.replace("{h}", "z.pos - 21").replace("{on}", "n = 7 AND z.pos >= 21"))
 def linear_dynamics_multi_step(spark: SparkSession, sf: str) -> DataFrame:
     return _dynamics(spark, sf, True)
 
@@ -222,6 +264,14 @@ def unit_root_aic(spark: SparkSession, sf: str) -> DataFrame:
     return stationarity.adf(points(spark, sf)).withColumn("stat", r("stat"))
 
 
-@query("unit_root_mean", f"WITH {DAILY_SQL}, {_adf_sql('daily', 'orders')} SELECT {rsql('avg(CASE WHEN one THEN t1 ELSE t0 END)')} AS mean_stat FROM adf")
+FEATURES_SQL = f"{DAILY_SQL}, long AS (" + " UNION ALL ".join(f"SELECT series_id || '/{c}' AS series_id, idx, {c} AS v FROM daily" for c in ("orders", "total", "mean")) + ")"
+
+
+@query(
+    "unit_root_mean",
+    f"WITH {FEATURES_SQL}, {_adf_sql('long', 'v')} SELECT split_part(series_id, '/', 1) AS series_id, {rsql('avg(CASE WHEN one THEN t1 ELSE t0 END)')} AS mean_stat FROM adf GROUP BY 1",
+)
 def unit_root_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return stationarity.mean_adf(stationarity.adf(daily(spark, sf), ["orders"])).select(r("mean_stat").alias("mean_stat"))
+    """Mean over the features of a series."""
+    stats = stationarity.adf(daily(spark, sf), ["orders", "total", "mean"])
+    return stationarity.mean_adf(stats, ["series_id"]).withColumn("mean_stat", r("mean_stat"))

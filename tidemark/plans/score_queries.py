@@ -419,12 +419,15 @@ def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
 BEST_SQL = "best AS (SELECT *, row_number() OVER (PARTITION BY series_id, k ORDER BY f DESC, i) AS rk FROM ratio)"
 
 
+RANKING_SQL = """auc AS (SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS a FROM scored p, scored n WHERE p.label = 1 AND n.label = 0),
+cum AS (SELECT sum(pos) OVER (ORDER BY score DESC) AS tp, sum(c) OVER (ORDER BY score DESC) AS al, pos FROM (SELECT score, sum(label) AS pos, count(*) AS c FROM scored GROUP BY 1)),
+ap AS (SELECT sum(pos * tp / al) / sum(pos) AS v FROM cum)"""
+
+
 @query(
     "threshold_search",
     f"""WITH {ALL_SQL}, {_grid_sql('SELECT i, 20.0 + (i + 1) * 1.875 AS t FROM range(0, 80) g(i)', '10.0')}, {BEST_SQL},
-auc AS (SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS a FROM scored p, scored n WHERE p.label = 1 AND n.label = 0),
-cum AS (SELECT sum(pos) OVER (ORDER BY score DESC) AS tp, sum(c) OVER (ORDER BY score DESC) AS al, pos FROM (SELECT score, sum(label) AS pos, count(*) AS c FROM scored GROUP BY 1)),
-ap AS (SELECT sum(pos * tp / al) / sum(pos) AS v FROM cum)
+{RANKING_SQL}
 SELECT {GRID_COLS}, {rsql('a')} AS roc_auc, {rsql('v')} AS average_precision FROM best, auc, ap WHERE rk = 1""",
 )
 def threshold_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,15 +452,20 @@ def threshold_search_validation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, *GRID_ROUND)
 
 
+COMBINED = "SELECT value FROM events WHERE event_type <> 'error' UNION ALL SELECT value FROM events"
+
+
 @query(
     "threshold_percentile",
-    f"""WITH {ALL_SQL}, {_grid_sql('SELECT 0 AS i, (SELECT quantile_cont(value, 0.9) FROM events) AS t', '0.0')} SELECT {GRID_COLS} FROM ratio""",
+    f"""WITH {ALL_SQL}, {_grid_sql(f'SELECT 0 AS i, (SELECT quantile_cont(value, 0.9) FROM ({COMBINED})) AS t', '0.0')}, {RANKING_SQL}
+SELECT {GRID_COLS}, {rsql('a')} AS roc_auc, {rsql('v')} AS average_precision FROM ratio, auc, ap""",
 )
 def threshold_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    df = all_events(spark, sf)
-    combined = events(spark, sf).select(F.col("x").alias("score"))
-    out = am.percentile_search(combined, df, 10, keys=[]).drop("roc_auc", "average_precision")
-    return _rounded(out, *GRID_ROUND)
+    """The threshold is a percentile of training scores and tested scores together."""
+    tested = events(spark, sf).select("event_type", F.col("x").alias("score"))
+    combined = tested.where("event_type <> 'error'").unionByName(tested).select("score")
+    out = am.percentile_search(combined, all_events(spark, sf), 10, keys=[])
+    return _rounded(out, *GRID_ROUND, "roc_auc", "average_precision")
 
 
 PA_THRESHOLDS = "SELECT i, lo + (i + 1) * (hi - lo) / 1000 AS t FROM range(0, 1000) g(i), (SELECT quantile_cont(score, 0.5) AS lo, quantile_cont(score, 0.99) AS hi FROM scored)"

@@ -20,6 +20,7 @@ from tidemark.plans.inputs import (
     windows_sql,
 )
 from tidemark.plans.registry import query, r, rsql
+from tidemark.session import staged
 
 # -- index, cleaning -------------------------------------------------------------------------------
 
@@ -202,13 +203,22 @@ query(
 )(_scaled("minmax_m1p1", True))
 
 
-@query("scale_inverse", f"WITH {DAILY_SQL} SELECT series_id, CAST(idx AS BIGINT) AS idx, {rsql('total', 3)} AS standard, {rsql('total', 3)} AS minmax, {rsql('total', 3)} AS square, {rsql('total', 3)} AS top FROM daily")
+INVERSE = {"standard": "standard", "minmax": "minmax", "square": "minmax_square", "top": "minmax_m1p1", "eps": "standard_eps", "flat": "standard_eps"}
+FLAT = "CASE WHEN idx < 100 THEN 5.0 ELSE 7.0 END"  # constant where the scalers are fitted
+
+
+@query(
+    "scale_inverse",
+    f"""WITH {DAILY_SQL} SELECT series_id, CAST(idx AS BIGINT) AS idx, {rsql('total', 3)} AS standard, {rsql('total', 3)} AS minmax, {rsql('CASE WHEN total >= lo THEN total ELSE 2 * lo - total END', 3)} AS square,
+  {rsql('total', 3)} AS top, {rsql('total', 3)} AS eps, {rsql(FLAT, 3)} AS flat FROM daily JOIN (SELECT series_id, min(total) FILTER (idx < 100) AS lo FROM daily GROUP BY 1) USING (series_id)""",
+)
 def scale_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    df = daily(spark, sf).select("series_id", "idx", *[F.col("total").alias(n) for n in ("standard", "minmax", "square", "top")])
-    for name, method in (("standard", "standard"), ("minmax", "minmax"), ("square", "minmax_square"), ("top", "minmax_m1p1")):
-        stats = scaling.fit_scaler(df, [name])
-        df = scaling.invert_scaler(scaling.apply_scaler(df, stats, [name], method), stats, [name], method)
-    return df.select("series_id", "idx", *[r(n, 3).alias(n) for n in ("standard", "minmax", "square", "top")])
+    """All scalers fitted at once on the first rows, applied and taken back on all."""
+    values = [F.when(F.col("idx") < 100, 5.0).otherwise(7.0) if n == "flat" else F.col("total") for n in INVERSE]
+    df = daily(spark, sf).select("series_id", "idx", *[v.alias(n) for v, n in zip(values, INVERSE, strict=True)])
+    stats = staged(scaling.fit_scaler(df.where("idx < 100"), list(INVERSE)))
+    back = scaling.invert_scaler(scaling.apply_scaler(df, stats, list(INVERSE), INVERSE), stats, list(INVERSE), INVERSE)
+    return back.select("series_id", "idx", *[r(n, 3).alias(n) for n in INVERSE])
 
 
 WIN24_SQL = windows_sql("points", 24, 12)

@@ -62,6 +62,57 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+BY_FILE = "series=([^/]+)/"
+
+
+def _series_files(df: DataFrame, name: str) -> str:
+    """One folder of CSV files per series."""
+    path = fresh_folder(df.sparkSession, name)
+    df.withColumnRenamed("series_id", "series").write.partitionBy("series").option("header", True).csv(path)
+    return path
+
+
+@query(
+    "labelled_files",
+    f"WITH {HOURLY_SQL} SELECT series_id, CAST(epoch(ts) AS BIGINT) AS at, {rsql('x')} AS x, CAST(label AS INTEGER) AS label FROM hourly WHERE label IS NOT NULL",
+)
+def labelled_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Features and labels of all series in two sets of files, joined on series and time."""
+    df = hourly(spark, sf)
+    data = _series_files(df.select("series_id", F.col("ts").alias("stamp"), "x"), "data")
+    labels = _series_files(df.select("series_id", F.col("ts").alias("time"), F.col("label").alias("attack")), "labels")
+    both = readers.read_labelled(spark, data, labels, key=F.col("series"), schema="stamp timestamp, x double", label_schema="time timestamp, attack int")
+    return both.select("series_id", F.floor(epoch_micros("stamp") / 1_000_000).cast("long").alias("at"), r("x").alias("x"), F.col("label").cast("int").alias("label"))
+
+
+@query(
+    "stacked_files",
+    f"""WITH {HOURLY_SQL} SELECT series_id AS name, CASE WHEN length(series_id) % 2 = 0 THEN CAST(epoch(ts) AS BIGINT) END AS at, CASE WHEN length(series_id) % 2 = 1 THEN CAST(idx AS BIGINT) END AS idx, {rsql('x')} AS x FROM hourly""",
+)
+def stacked_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two layouts in one folder, stacked by column name."""
+    df = hourly(spark, sf).withColumn("at", F.floor(epoch_micros("ts") / 1_000_000).cast("long"))
+    path = fresh_folder(spark, "stacked")
+    even = F.length("series_id") % 2 == 0
+    df.where(even).select(F.col("series_id").alias(" name"), "at", F.col("x").alias("x ")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/a")
+    df.where(~even).select("x", F.col("series_id").alias("name"), "idx").write.option("header", True).csv(f"{path}/b")
+    out = readers.read_stacked_csvs(spark, path, types={"name": "string", "at": "bigint", "idx": "bigint"})
+    return out.select("name", "at", "idx", r("x").alias("x"))
+
+
+@query(
+    "score_files",
+    f"""WITH {HOURLY_SQL}, {windows_sql('hourly', 24, 12)}, m AS (SELECT series_id, w_start, median(x) AS m FROM wins GROUP BY 1, 2)
+SELECT w.series_id, w.w_start, {rsql('avg(abs(x - m))')} AS score FROM wins w JOIN m ON m.series_id = w.series_id AND m.w_start = w.w_start GROUP BY 1, 2""",
+)
+def score_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in, window scores out, in one call."""
+    path = _series_files(hourly(spark, sf).select("series_id", "ts", "x"), "wide")
+    name = F.regexp_extract(F.col("_metadata.file_path"), BY_FILE, 1)
+    out = flows.score_files(spark, path, _median_model, 24, 12, schema="ts timestamp, x double", key=name, drop=["series"])
+    return out.select("series_id", "w_start", r(F.aggregate("out", F.lit(0.0), lambda a, v: a + v) / F.size("out")).alias("score"))
+
+
 @query("csv_round_trip", f"WITH {HOURLY_SQL} SELECT series_id, CAST(epoch(ts) AS BIGINT) AS at, {rsql('x')} AS x FROM hourly")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly series written as `;`-separated CSV with padded names, read back as wide series."""

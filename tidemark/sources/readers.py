@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 from collections.abc import Iterator, Sequence
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.cleaning import attach_labels, binary_label, label_column
-from tidemark.operators.ordering import shuffle_width
+from tidemark.operators.ordering import CHUNK, running_totals, shuffle_width
 from tidemark.sources.ranges import read_range
 
 FILE_STEM = r"([^/]+?)(\.[A-Za-z0-9]+)?$"
@@ -69,9 +70,35 @@ def read_wide_csv(
     )
 
 
-def read_stacked_csvs(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
-    """Files with differing columns stacked by name; a column a file lacks is null there."""
-    parts = [read_trimmed_csv(spark, p, sep) for p in paths]
+HEADER_READ = 1 << 16
+
+
+def headers(spark: SparkSession, paths: str | Sequence[str], sep: str = ",") -> DataFrame:
+    """path, names: the column names of every CSV file, from its first bytes only."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first = [read_range(p, 0, HEADER_READ).decode("utf-8-sig", "replace").splitlines() for p in batch["path"]]
+            names = [[c.strip() for c in next(csv.reader(lines[:1], delimiter=sep), [])] for lines in first]
+            yield pd.DataFrame({"path": batch["path"], "names": names})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(paths if isinstance(paths, str) else list(paths))
+    return files.where("length > 0").select("path").mapInPandas(read, "path string, names array<string>")
+
+
+def read_stacked_csvs(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", types: dict[str, str] | None = None, default: str = "double") -> DataFrame:
+    """Files with differing columns stacked by name; a column a file lacks is null there.
+
+    One pass reads the headers; files with equal headers are then one typed read, so the number of jobs
+    and of branches of the plan depends on the number of different headers, not of files. Columns have the ``types`` given, others ``default``.
+    """
+    groups = headers(spark, paths, sep).groupBy("names").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("names").collect()
+    if not groups:
+        raise ValueError("no file with a header")
+    parts = []
+    for names, own in groups:
+        schema = T.StructType([T.StructField(c, T._parse_datatype_string((types or {}).get(c, default))) for c in names])
+        parts.append(spark.read.option("header", True).option("sep", sep).option("enforceSchema", True).schema(schema).csv(list(own)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -79,22 +106,39 @@ def read_stacked_csvs(spark: SparkSession, paths: Sequence[str], sep: str = ",")
 
 
 def read_labelled(
-    spark: SparkSession, data: str, labels: str, on: str | None = None, preferred: str = "attack", normal: str | None = None
+    spark: SparkSession,
+    data: str,
+    labels: str,
+    on: str | None = None,
+    preferred: str = "attack",
+    normal: str | None = None,
+    key: Column | None = None,
+    schema: str | None = None,
+    label_schema: str | None = None,
 ) -> DataFrame:
-    """Features and labels from two files, joined on the timestamp, rows with nulls dropped after the join."""
-    left, right = read_trimmed_csv(spark, data), read_trimmed_csv(spark, labels)
-    key = on or left.columns[0]
-    right = right.withColumnRenamed(right.columns[0], key) if key not in right.columns else right
-    named = binary_label(right, label_column(right, preferred), normal, "label").select(key, "label")
-    return attach_labels(left, named, [key]).dropna()
+    """Features and labels from two sets of files, joined on the timestamp, rows with nulls dropped after the join.
+
+    With several series ``key`` names the series of a file, an expression over ``_metadata.file_path``; the join is then on
+    series and timestamp. Schemas avoid a pass over the files that infers them.
+    """
+    left, right = read_trimmed_csv(spark, data, schema=schema), read_trimmed_csv(spark, labels, schema=label_schema)
+    time = on or left.columns[0]
+    own = right.columns
+    right = right.withColumnRenamed(own[0], time) if time not in own else right
+    keys = [time]
+    if key is not None:
+        left, right = left.select(key.alias("series_id"), *left.columns), right.select(key.alias("series_id"), *right.columns)
+        keys = ["series_id", time]
+    named = binary_label(right, label_column(right, preferred), normal, "label").select(*keys, "label")
+    return attach_labels(left, named, keys).dropna()
 
 
 def read_train_test(
-    spark: SparkSession, train: str, train_labels: str, test: str, test_labels: str, on: str | None = None
+    spark: SparkSession, train: str, train_labels: str, test: str, test_labels: str, on: str | None = None, **options
 ) -> DataFrame:
-    """Four files as one frame with a ``part`` column (train or test)."""
+    """Four files, or sets of files, as one frame with a ``part`` column (train or test)."""
     parts = [
-        read_labelled(spark, d, lab, on).withColumn("part", F.lit(name))
+        read_labelled(spark, d, lab, on, **options).withColumn("part", F.lit(name))
         for name, d, lab in (("train", train, train_labels), ("test", test, test_labels))
     ]
     return parts[0].unionByName(parts[1])
@@ -122,23 +166,20 @@ def label_from_intervals(
 ) -> DataFrame:
     """0/1 per point: inside any interval (both ends included) or not.
 
-    Intervals are clipped to the index blocks they touch and kept as a distinct
-    set per block; points meet them by an equi-join on (series, block). Long
-    intervals and hot series are spread over their blocks.
+    A sweep: an interval opens at its start and closes behind its end, and a running total
+    in index order counts the open ones. Work is linear in points plus intervals however
+    these overlap; chunks of the index carry the total, so no series is one task.
     """
     keys = list(keys)
-    first, last = (F.floor(F.col(c) / F.lit(block)).cast("long") for c in ("start", "end"))
-    clipped = intervals.select(*keys, "start", "end", F.explode(F.sequence(first, last)).alias("_block")).select(
-        *keys,
-        "_block",
-        F.greatest(F.col("start"), F.col("_block") * block).alias("s"),
-        F.least(F.col("end"), F.col("_block") * block + (block - 1)).alias("e"),
-    )
-    sets = clipped.groupBy(*keys, "_block").agg(F.collect_set(F.struct("s", "e")).alias("_iv"))
-    cut = df.withColumn("_block", F.floor(F.col(idx) / F.lit(block)).cast("long"))
-    inside = F.exists("_iv", lambda iv: (F.col(idx) >= iv["s"]) & (F.col(idx) <= iv["e"]))
-    joined = cut.join(sets, [*keys, "_block"], "left")
-    return joined.select(*df.columns, F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0).alias(name))
+    edge = lambda at, sign: F.struct(at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+    sound = intervals.where("start <= end")
+    edges = sound.select(*keys, F.explode(F.array(edge(F.col("start"), 1), edge(F.col("end") + 1, -1))).alias("_e"))
+    events = edges.groupBy(*keys, F.col("_e.at").alias("_at")).agg(F.sum("_e.sign").alias("_change")).withColumn("_point", F.lit(0))
+    points = df.withColumns({"_at": F.col(idx).cast("long"), "_change": F.lit(0).cast("long"), "_point": F.lit(1)})
+    both = points.unionByName(events, allowMissingColumns=True).withColumn(CHUNK, F.floor(F.col("_at") / block).cast("long"))
+    # at one place edges come before the point
+    swept = running_totals(both, keys, ["_at", "_point"], {"_open": F.col("_change")}, levels=1)
+    return swept.where("_point = 1").select(*df.columns, F.when(F.col("_open") > 0, 1).otherwise(0).alias(name))
 
 
 # -- array files ---------------------------------------------------------------------------------------
