@@ -347,9 +347,11 @@ def pa_k_table(
     keys: Sequence[str] = KEYS,
     idx: str = "idx",
 ) -> DataFrame:
-    """Best F1 per K over a grid from the 50th to the 99th percentile of all scores."""
+    """Best F1 per K over a grid from the 50th to the 99th percentile of all scores, beside the ROC-AUC of the scores themselves, which no K changes."""
     lo, hi = quantile_values(df, [0.5, 0.99], score)
-    return best_threshold(grid_metrics(df, grid(lo, hi, steps), ks, score, label, keys, idx), keys)
+    best = best_threshold(grid_metrics(df, grid(lo, hi, steps), ks, score, label, keys, idx), keys)
+    ranking = ranking_metrics(df, keys, score, label).drop("average_precision")
+    return best.join(ranking, list(keys), "left") if keys else best.crossJoin(F.broadcast(ranking))  # one row
 
 
 def pa_k_auc(table: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -61,6 +61,57 @@ def model_forecast(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _smooth_model():
+    """Example model: every point halfway to the window mean."""
+    return lambda w: (w + w.mean(axis=1, keepdims=True)) / 2
+
+
+def _ends_model():
+    """Example model: scores of the classes falling, level and rising, from the window's ends."""
+
+    def run(w: np.ndarray) -> np.ndarray:
+        rise = w[:, -1, 0] - w[:, 0, 0]
+        return np.stack([np.maximum(-rise, 0), np.full(len(w), 20.0), np.maximum(rise, 0)], axis=1)
+
+    return run
+
+
+HALFWAY = "(x + avg(x) OVER (PARTITION BY series_id, w_start)) / 2"
+
+
+def _by_point(out: DataFrame) -> DataFrame:
+    return out.select("series_id", "w_start", F.posexplode(F.col("out")[0]).alias("pos", "v")).withColumn("v", r("v"))
+
+
+@query("model_reconstruct", f"WITH {WIN_SQL} SELECT series_id, w_start, CAST(pos AS INTEGER) AS pos, {rsql(HALFWAY)} AS v FROM wins")
+def model_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_point(models.score_windows(_wins(spark, sf), _smooth_model, "reconstruct", length=24))
+
+
+@query("model_impute", f"WITH {WIN_SQL} SELECT series_id, w_start, CAST(pos AS INTEGER) AS pos, {rsql('CASE WHEN pos % 5 = 0 THEN (SELECT avg(y.x) FROM wins y WHERE y.series_id = w.series_id AND y.w_start = w.w_start AND y.pos % 5 <> 0) ELSE x END')} AS v FROM wins w")
+def model_impute(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth point is hidden from the model, which fills it; the others are kept."""
+    hidden = F.transform("x", lambda v, i: F.when(i % 5 != 0, v).otherwise(F.lit(float("nan"))))
+    out = models.score_windows(_wins(spark, sf).withColumn("x", hidden), _fill_model, "impute", length=24)
+    return _by_point(out)
+
+
+def _fill_model():
+    """Example model: the mean of the points that are known."""
+    return lambda w: np.where(np.isnan(w), np.nanmean(w, axis=1, keepdims=True), w)
+
+
+@query(
+    "model_classify",
+    f"""WITH {WIN_SQL}, e AS (SELECT series_id, w_start, max(x) FILTER (pos = 23) - max(x) FILTER (pos = 0) AS rise FROM wins GROUP BY 1, 2)
+SELECT series_id, w_start, CASE WHEN -rise > 20 THEN 0 WHEN rise > 20 THEN 2 ELSE 1 END AS class, {rsql('greatest(abs(rise), 20)')} AS top FROM e""",
+)
+def model_classify(spark: SparkSession, sf: str) -> DataFrame:
+    out = models.score_windows(_wins(spark, sf), _ends_model, "classify", length=24)
+    best = F.array_max("out")
+    return out.select("series_id", "w_start", (F.array_position("out", best) - 1).cast("int").alias("class"), r(best).alias("top"))
+
+
 # -- fitted forecasts -------------------------------------------------------------------------------------
 
 

@@ -472,9 +472,12 @@ PA_THRESHOLDS = "SELECT i, lo + (i + 1) * (hi - lo) / 1000 AS t FROM range(0, 10
 PA_KS = ", ".join(f"{k}.0" for k in am.K_VALUES)
 
 
-@query("pa_k_table", f"WITH {ALL_SQL}, {_grid_sql(PA_THRESHOLDS, PA_KS)}, {BEST_SQL} SELECT {GRID_COLS} FROM best WHERE rk = 1")
+@query(
+    "pa_k_table",
+    f"WITH {ALL_SQL}, {_grid_sql(PA_THRESHOLDS, PA_KS)}, {BEST_SQL}, {RANKING_SQL} SELECT {GRID_COLS}, {rsql('a')} AS roc_auc FROM best, auc WHERE rk = 1",
+)
 def pa_k_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(am.pa_k_table(all_events(spark, sf), keys=[]), *GRID_ROUND)
+    return _rounded(am.pa_k_table(all_events(spark, sf), keys=[]), *GRID_ROUND, "roc_auc")
 
 
 @query(

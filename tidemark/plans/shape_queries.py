@@ -40,28 +40,28 @@ def _fronts_sql(cost: str, allowed: str, weight: float = 1.0) -> str:
 SELECT window_id, mate_id, {rsql(f"f1[{LENGTH}]")} AS distance FROM dtw WHERE t = {2 * LENGTH - 2}"""
 
 
-def _fronts_cte(cost: str, allowed: str, weight: float = 1.0) -> str:
+def _fronts_cte(cost: str, allowed: str, weight: float = 1.0, tag: str = "") -> str:
     """DTW of pr (window_id, mate_id, x, y) by anti-diagonals: lists f1 over i (from 1) of the cells (i, t - i), j = t - i + 2 from 1."""
     j = "(t + 3 - i)"  # of the front being made, t + 1
-    return f"""dtw AS (
+    return f"""dtw{tag} AS (
   SELECT window_id, mate_id, x, y, 0 AS t, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN i = 1 THEN {cost.replace("J", "1")} ELSE 'inf'::DOUBLE END) AS f1,
-         list_transform(range(1, {LENGTH + 1}), lambda i: 'inf'::DOUBLE) AS f2 FROM pr
+         list_transform(range(1, {LENGTH + 1}), lambda i: 'inf'::DOUBLE) AS f2 FROM pr{tag}
   UNION ALL
   SELECT window_id, mate_id, x, y, t + 1, list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN {j} BETWEEN 1 AND {LENGTH} AND {allowed.replace("J", j)}
     THEN {cost.replace("J", j)} + least(coalesce(f2[i - 1], 'inf'), {weight} * f1[i], {weight} * coalesce(f1[i - 1], 'inf')) ELSE 'inf'::DOUBLE END), f1
-  FROM dtw WHERE t < {2 * LENGTH - 2})"""
+  FROM dtw{tag} WHERE t < {2 * LENGTH - 2})"""
 
 
-def _paths_cte(cost: str, allowed: str) -> str:
-    """path(window_id, mate_id, k, i, j): paths of pr walked back from the last cells; of equal costs diagonal, then up, then left."""
-    return f"""{_fronts_cte(cost, allowed)},
-cells AS (SELECT window_id, mate_id, t, f1 AS f FROM dtw),
+def _paths_cte(cost: str, allowed: str, tag: str = "") -> str:
+    """path(window_id, mate_id, k, i, j): paths of pr, windows of up to full length, walked back from the last cells; of equal costs diagonal, then up, then left."""
+    return f"""{_fronts_cte(cost, allowed, tag=tag)},
+cells{tag} AS (SELECT window_id, mate_id, t, f1 AS f FROM dtw{tag}),
 path AS (
-  SELECT window_id, mate_id, 0 AS k, CAST({LENGTH} AS BIGINT) AS i, CAST({LENGTH} AS BIGINT) AS j FROM pr
+  SELECT window_id, mate_id, 0 AS k, CAST(len(x) AS BIGINT) AS i, CAST(len(y) AS BIGINT) AS j FROM pr{tag}
   UNION ALL
   SELECT window_id, mate_id, k + 1, i - CASE WHEN d <= u AND d <= l THEN 1 WHEN u <= l THEN 1 ELSE 0 END, j - CASE WHEN d <= u AND d <= l THEN 1 WHEN u <= l THEN 0 ELSE 1 END
   FROM (SELECT p.window_id, p.mate_id, k, i, j, coalesce(CASE WHEN j > 1 THEN b.f[i - 1] END, 'inf') AS d, coalesce(a.f[i - 1], 'inf') AS u, coalesce(CASE WHEN j > 1 THEN a.f[i] END, 'inf') AS l
-    FROM path p JOIN cells a ON a.window_id = p.window_id AND a.mate_id = p.mate_id AND a.t = i + j - 3 LEFT JOIN cells b ON b.window_id = p.window_id AND b.mate_id = p.mate_id AND b.t = i + j - 4))"""
+    FROM path p JOIN cells{tag} a ON a.window_id = p.window_id AND a.mate_id = p.mate_id AND a.t = i + j - 3 LEFT JOIN cells{tag} b ON b.window_id = p.window_id AND b.mate_id = p.mate_id AND b.t = i + j - 4))"""
 
 
 def _mates_sql(k: int, include_self: bool = False) -> str:
@@ -164,15 +164,18 @@ def dtw_unbanded_squared(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("window_id", "mate_id", r("distance").alias("distance"))
 
 
-@query(
-    "class_medoids",
-    f"""WITH RECURSIVE {_mates_sql(6, include_self=True)},
+MEDOID_CTE = f"""{_mates_sql(6, include_self=True)},
 two AS (SELECT a.window_id AS own, a.mate_no AS p, b.mate_no AS q, a.mate_id AS u, b.mate_id AS v FROM mt a JOIN mt b ON b.window_id = a.window_id),
 pr AS (SELECT w.u AS window_id, w.v AS mate_id, s.x, t.x AS y FROM (SELECT DISTINCT u, v FROM two WHERE u < v) w JOIN shapes s ON s.window_id = w.u JOIN shapes t ON t.window_id = w.v),
 {_fronts_cte(ABS_COST, IN_BAND)},
 dist AS (SELECT window_id, mate_id, f1[{LENGTH}] AS d FROM dtw WHERE t = {2 * LENGTH - 2}),
-each AS (SELECT own, p, q, coalesce(d, 0) AS d FROM two LEFT JOIN dist ON window_id = least(u, v) AND mate_id = greatest(u, v)),
-best AS (SELECT own, p, row_number() OVER (PARTITION BY own ORDER BY round(sum(d), 9), p) AS place FROM each GROUP BY 1, 2)
+each AS (SELECT own, p, q, u, v, coalesce(d, 0) AS d FROM two LEFT JOIN dist ON window_id = least(u, v) AND mate_id = greatest(u, v)),
+best AS (SELECT own, p, row_number() OVER (PARTITION BY own ORDER BY round(sum(d), 9), p) AS place FROM each GROUP BY 1, 2)"""
+
+
+@query(
+    "class_medoids",
+    f"""WITH RECURSIVE {MEDOID_CTE}
 SELECT own AS window_id, label, CAST(p AS INTEGER) AS medoid, string_agg(q, ',' ORDER BY d, q) AS nearest, {rsql("max(d)")} AS farthest
 FROM each JOIN best USING (own, p) JOIN shapes ON window_id = own WHERE place = 1 GROUP BY ALL""",
 )
@@ -262,6 +265,25 @@ made AS (SELECT window_id, {_resampled("v", str(LENGTH))} AS v FROM along)
 SELECT shapes.window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql("coalesce(v, x)[pos + 1]")} AS x FROM shapes LEFT JOIN made ON made.window_id = shapes.window_id, {POS}"""
 
 
+AT = integer(1, LENGTH - 1, 0, "spawner", WID)
+SPAWNER_SQL = f"""WITH RECURSIVE {_mates_sql(1)}, cut AS (SELECT window_id, x, y, {AT} AS c0 FROM mt),
+pr AS (SELECT window_id, 0 AS mate_id, x[1 : c0] AS x, y[1 : c0] AS y FROM cut UNION ALL SELECT window_id, 1, x[c0 + 1 : {LENGTH}], y[c0 + 1 : {LENGTH}] FROM cut),
+{_paths_cte(ABS_COST, IN_BAND)},
+mean AS (SELECT path.window_id, list((pr.x[i] + pr.y[j]) / 2 ORDER BY path.mate_id, k DESC) AS v FROM path JOIN pr ON pr.window_id = path.window_id AND pr.mate_id = path.mate_id GROUP BY 1),
+made AS (SELECT window_id, {_resampled("v", str(LENGTH))} AS v FROM mean)
+SELECT shapes.window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql(f"coalesce(v, x)[pos + 1] + {normal(0, 'spawner_jitter', 'x', Sql('shapes.window_id'), Sql('pos'))} * 0.05")} AS x
+FROM shapes LEFT JOIN made ON made.window_id = shapes.window_id, {POS}"""
+WDBA_SQL = f"""WITH RECURSIVE {MEDOID_CTE},
+near AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY d, q) AS k FROM each JOIN best USING (own, p) WHERE place = 1),
+others AS (SELECT own, q, u, v, pow(0.5, d / dn) AS weight FROM near JOIN (SELECT own, d AS dn FROM near WHERE k = 2 AND d > 0) USING (own) WHERE q <> p),
+pr2 AS (SELECT own AS window_id, q AS mate_id, a.x, b.x AS y FROM others JOIN shapes a ON a.window_id = u JOIN shapes b ON b.window_id = v),
+{_paths_cte(ABS_COST, IN_BAND, "2")},
+met AS (SELECT window_id, mate_id, i, max(j) AS j FROM path GROUP BY 1, 2, 3),
+base AS (SELECT own AS window_id, x AS ux FROM near JOIN shapes ON window_id = u WHERE k = 1),
+took AS (SELECT met.window_id, i, sum(weight) AS w, sum(weight * pr2.y[j]) AS v FROM met JOIN pr2 ON pr2.window_id = met.window_id AND pr2.mate_id = met.mate_id JOIN others ON own = met.window_id AND q = met.mate_id GROUP BY 1, 2)
+SELECT shapes.window_id, label, '_{{tag}}' AS tags, CAST(pos AS INTEGER) AS pos, {rsql("(ux[pos + 1] + coalesce(v, 0)) / (1 + coalesce(w, 0))")} AS x
+FROM shapes JOIN base ON base.window_id = shapes.window_id JOIN {POS} ON true LEFT JOIN took ON took.window_id = shapes.window_id AND took.i = pos + 1"""
+STEP_SQL |= {"spawner": SPAWNER_SQL, "wdba": WDBA_SQL}
 STEP_SQL |= {"rgw": _retimed_sql(ABS_COST, IN_BAND), "rgws": _retimed_sql(SHAPE_COST, SHAPE_BAND)}
 
 
