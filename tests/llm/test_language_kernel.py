@@ -66,3 +66,11 @@ def test_edges(spark):
     nothing = lk.learn(docs.limit(0))
     assert [(r.lang_pred, r.score) for r in lk.identify(docs.limit(1), nothing).collect()] == [("und", 0.0)]
     assert lk.identify(docs.limit(0), model).count() == 0
+
+
+def test_long_texts_are_scored_in_blocks(monkeypatch):
+    model = lk.fit(["aaab abba " * 9, "cddc dccd " * 9] * 4, ["l1", "l2"] * 4)
+    texts = ["aaab abba " * 900 + "cddc dccd " * 700, "x", "cddc " * 30]
+    whole = lk.score(model, texts)
+    monkeypatch.setattr(lk, "PIECES", 3)
+    assert np.allclose(lk.score(model, texts), whole, atol=1e-6)

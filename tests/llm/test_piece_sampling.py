@@ -72,3 +72,10 @@ def test_query_is_lossless_and_computes_each_function_once(spark):
     out = QUERIES["op2_piece_sampling"](spark, "/root/testdata/sf0.001")
     assert out.where("NOT lossless").count() == 0 and out.count() == 200
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+
+
+def test_decoding_in_the_same_pass(spark):
+    docs = spark.createDataFrame([(1, "ein Wort, 日本 und\nmehr"), (2, None), (3, ""), (4, "  x ")], "doc_id long, text string").withColumn("decoded", F.lit(1))
+    got = {r.doc_id: (r.piece_ids, r.decoded) for r in piece_sampling.encode(docs, MODEL, decoded=True).collect()}
+    want = {r.doc_id: (r.piece_ids, r.decoded) for r in piece_sampling.decode(piece_sampling.encode(docs, MODEL), MODEL).collect()}
+    assert got == want and [got[k][1] for k in (1, 2, 3, 4)] == ["ein Wort, 日本 und\nmehr", None, "", "  x "]

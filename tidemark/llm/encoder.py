@@ -164,7 +164,7 @@ class Encoder:
 
 def encoder(vocabulary: str, dtype: str = "<u4", special: bool = False) -> Encoder:
     """One encoder per Python worker, so its units stay known from task to task."""
-    kept = worker_state()
+    kept = worker_state("encoder")
     key = ("encoder", vocabulary, dtype, special)
     if key not in kept:
         kept[key] = Encoder(vocabulary, dtype, special)

@@ -15,7 +15,8 @@ languages numbers, whatever the corpus holds.
 
 Defined cases: null text, or one without any letter, is ``und`` with score 0, as is
 everything when nothing was learned; empty lang strings are languages like others,
-null ones are not learned from; equal texts get equal results; other columns are kept.
+null ones are not learned from; equal texts get equal results, of equal scores the language that sorts first wins; a text of
+any length is scored piece by piece, a task holds some 40 bytes per letter of it; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ LANDMARKS = 256
 RIDGE = 1e-3
 SHARPNESS = 10.0
 GROUP = 400_000
-"""Letters scored at once."""
+"""Letters of the texts taken together."""
+PIECES = 512
+"""Pieces scored at once: 64 KB each."""
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -51,7 +54,7 @@ class Model:
 
 
 def letters() -> np.ndarray:
-    kept = worker_state()
+    kept = worker_state("language")
     if "letters" not in kept:
         kept["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return kept["letters"]
@@ -64,16 +67,20 @@ def code_points(text: str) -> np.ndarray:
     return raw[np.append(True, (raw[1:] != 0) | (raw[:-1] != 0))]
 
 
-def presence(texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 rows (piece x BINS) of the texts' pieces, and the text that each belongs to."""
+def pieces_of(texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts in a row, the piece that each belongs to, and the text that each piece belongs to."""
     codes = [code_points(t) for t in texts]
     counts = np.array([max(1, round(len(c) / piece)) for c in codes])
     first = np.cumsum(counts) - counts
     sizes = np.array([len(c) for c in codes])
-    flat = np.concatenate(codes).astype(np.uint64)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rows = np.repeat(first, sizes) + np.minimum(at * np.repeat(counts, sizes) // np.repeat(sizes, sizes), np.repeat(counts, sizes) - 1)
-    out = np.zeros((int(counts.sum()), BINS), np.float32)
+    rows = [f + np.minimum(np.arange(n) * c // n, c - 1) for f, n, c in zip(first.tolist(), sizes.tolist(), counts.tolist(), strict=True)]
+    return np.concatenate(codes), np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(texts)), counts)
+
+
+def marks_of(points: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """0/1 rows (piece x BINS) of the n-grams of pieces, given as code points and the piece of each."""
+    flat = points.astype(np.uint64)
+    out = np.zeros((n_rows, BINS), np.float32)
     with np.errstate(over="ignore"):
         h = np.zeros(len(flat), np.uint64)
         for n in range(GRAMS):
@@ -84,7 +91,13 @@ def presence(texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarr
             inside = rows[whole] == rows[n:]  # both ends in one piece, hence in one text
             inside &= (flat[whole] != 0) | (flat[n:] != 0) if n else flat != 0
             out[rows[whole][inside], bins[inside].astype(np.int64)] = 1
-    return out, np.repeat(np.arange(len(texts)), counts)
+    return out
+
+
+def presence(texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 rows of all pieces of the texts, and the text that each belongs to."""
+    points, rows, owner = pieces_of(texts, piece)
+    return marks_of(points, rows, len(owner)), owner
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,13 +128,18 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def score(model: Model, texts: list[str]) -> np.ndarray:
-    """Texts x languages, averaged over pieces by their n-grams."""
-    rows, owner = presence(texts)
-    sizes = rows.sum(1)
-    s = (rows @ model.weights) / np.sqrt(np.maximum(sizes, 1))[:, None] + model.bias
-    total = np.zeros((len(texts), s.shape[1]))
-    np.add.at(total, owner, s * sizes[:, None])
-    return total / np.maximum(np.bincount(owner, sizes, len(texts)), 1)[:, None]
+    """Texts x languages, averaged over pieces by their n-grams; pieces are scored some at a time, however many a text has."""
+    points, rows, owner = pieces_of(texts)
+    total, weight = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    for a in range(0, len(owner), PIECES):
+        b = min(a + PIECES, len(owner))
+        lo, hi = np.searchsorted(rows, [a, b])
+        marks = marks_of(points[lo:hi], rows[lo:hi] - a, b - a)
+        sizes = marks.sum(1)
+        s = (marks @ model.weights) / np.sqrt(np.maximum(sizes, 1))[:, None] + model.bias
+        np.add.at(total, owner[a:b], s * sizes[:, None])
+        weight += np.bincount(owner[a:b], sizes, len(texts))
+    return total / np.maximum(weight, 1)[:, None]
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

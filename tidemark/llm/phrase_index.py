@@ -10,7 +10,8 @@ nothing rarer, and a long list is spread by document. DataFrame functions only.
 
 Defined cases: null or empty text has no words and no hit; null item text gives
 no window; a null item_id counts as the item with id ''; equal rows are equally
-judged; an item repeated in the benchmark counts once. Other columns are carried along.
+judged; an item repeated in the benchmark counts once; all matches count, so ties need no order; a text of any
+length is split whole, in one task; without documents there are no rows, without items no hits. Other columns are carried along.
 """
 
 from __future__ import annotations

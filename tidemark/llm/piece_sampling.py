@@ -89,7 +89,7 @@ class Pieces:
 
 
 def pieces_of(path: str, encodes: bool = True) -> Pieces:
-    kept = worker_state()
+    kept = worker_state("pieces")
     key = ("pieces", path, encodes)
     if key not in kept:
         kept[key] = Pieces(path, encodes)
@@ -310,8 +310,8 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` plus ``piece_ids``, sampled with the row's ``key`` and ``seed``.
+def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """All columns of ``docs`` plus ``piece_ids``, sampled with the row's ``key`` and ``seed``; with ``decoded`` also the text these give back, in one pass.
 
     Arrow batches are cut by the length of their texts, so a task holds the strings
     and lattices of a few texts at a time, whatever the batch holds.
@@ -327,14 +327,23 @@ def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key
                 flat, ends = sample_flat(p, pc.fill_null(part["text"], "").to_pylist(), part["_seed"].to_numpy(), alpha)
                 offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append(missing, False))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-                columns = [part[n] for n in part.schema.names if n != "_seed"]
-                yield pa.RecordBatch.from_arrays([*columns, ids], names=[*[n for n in part.schema.names if n != "_seed"], "piece_ids"])
+                names = [n for n in part.schema.names if n != "_seed"]
+                columns, new = [*[part[n] for n in names], ids], ["piece_ids"]
+                if decoded:
+                    columns.append(pa.array(texts_of(p, flat, np.append(0, ends), ~missing), pa.string()))
+                    new.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
             trim()
 
     inner, finish = carried(docs, *dict.fromkeys(("text", key)))
     row_seed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    out = inner.withColumn("_seed", row_seed).mapInArrow(draw, T.StructType([*inner.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
-    return finish(out, "piece_ids")
+    new = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: 2 if decoded else 1]
+    out = inner.withColumn("_seed", row_seed).mapInArrow(draw, T.StructType([*inner.schema.fields, *new]))
+    return finish(out, *[f.name for f in new])
+
+
+def texts_of(p: Pieces, ids: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> list[str | None]:
+    return [decode_ids(p, ids[a:b]) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known, strict=True)]
 
 
 def decode_ids(p: Pieces, ids) -> str:
@@ -355,7 +364,7 @@ def decode(docs: DataFrame, model: str) -> DataFrame:
                 ids = part["piece_ids"]
                 values, offsets = pc.fill_null(ids.values, -1).to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
-                texts = [decode_ids(p, values[x:y]) if k else None for x, y, k in zip(offsets[:-1], offsets[1:], known, strict=True)]
+                texts = texts_of(p, values, offsets, known)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
             trim()
 

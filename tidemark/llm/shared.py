@@ -94,9 +94,16 @@ def same_row(a: DataFrame, b: DataFrame, *cols: str) -> Column:
     return out
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python worker. The functions of this package travel by value, so their own globals end with the task."""
-    return vars(sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state"))).setdefault("kept", {})
+def worker_state(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, or until another operator (``owner``) begins in it.
+
+    The functions of this package travel by value, so their own globals end with the task.
+    """
+    held = vars(sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state")))
+    if held.get("owner") != owner:
+        held["owner"], held["kept"] = owner, {}
+        trim()
+    return held["kept"]
 
 
 def trim() -> None:
