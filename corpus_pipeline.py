@@ -1,6 +1,12 @@
 """A corpus pipeline over documents: language, recurring lines, near copies, benchmark leaks, pieces.
 
 Every stage reads what the one before it wrote as Parquet in the shared folder.
+
+Defined cases, in every stage: a null or empty text is a document without language and goes
+in the first; rows with a null doc_id are never near copies, and come before all others where the first of equal lines
+stays; repeated rows are one document to line dedup, and stay or go together as near copies; ties are broken as
+the operators say; texts of any length are read whole by one task at a time; an empty table gives an empty one;
+further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not ``und`` and a score of MIN_SCORE or more."""
+    """Documents whose language is known: not ``und`` and a score of MIN_SCORE or more; without any labelled text none is known."""
     judged = language_kernel.identify(docs, language_kernel.learn(docs))
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
@@ -48,15 +54,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; an empty benchmark leaves all."""
     judged = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judged.where("n_hit = 0").select(*docs.columns)
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with sampled ``piece_ids``, the text ``decoded`` from them, and whether it is the same."""
-    model = vocabulary(PIECES)
-    back = piece_sampling.decode(piece_sampling.encode(docs, model), model)
+    """Documents with sampled ``piece_ids``, the text ``decoded`` from them, and whether it is the same (null for null)."""
+    back = piece_sampling.encode(docs, vocabulary(PIECES), decoded=True)
     return back.withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text")))
 
 
