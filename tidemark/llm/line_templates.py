@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
-from tidemark.llm.shared import carried, join_classes, stored, text_key, upto
+from tidemark.llm.shared import broadcast_if_small, carried, join_classes, stored, text_key, upto
 
 MIN_DOCS = 2
 EVIDENCE = 16
@@ -41,6 +41,8 @@ ROUNDS = 2
 FREQUENT, LEAST_LINES = 8, 2
 """A token is frequent when at least LEAST_LINES lines and one in FREQUENT of the group hold it at its position."""
 FIELD = "<*>"
+LEAF_BYTES = 64
+"""Generous size of one broadcast leaf."""
 NUMBERS = "^(?:[^ 0-9]*+[0-9][^ ]*+(?: |$))+$"
 
 
@@ -63,39 +65,42 @@ def tokenized_lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     return rows.withColumns({"leaf": pair("n", F.substring_index("masked", " ", leading)), "line": pair("masked")})
 
 
-def judged(open_: DataFrame, leading: int) -> DataFrame:
-    """The lines (line, group, tokens) with their group's size, how many positions agree in it, and their frequent tokens as one hash."""
-    sizes = stored(open_.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("lines", F.col("n")), "groups")
-    sized = stored(join_classes(open_, sizes, "group", "line"), "sized")
-    tokens = sized.select("line", "group", "lines", F.posexplode("tokens").alias("at", "token")).select("line", "lines", "at", pair("group", "at", "token").alias("cell"))
-    cells = tokens.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.first("lines").alias("lines"))
-    often = cells.where((F.col("n") * FREQUENT >= F.col("lines")) & ((F.col("n") >= LEAST_LINES) | (F.col("lines") == 1)))
-    kept = stored(often.select("cell", "n", (F.col("n") == F.col("lines")).alias("same")), "cells")
-    met = join_classes(tokens, kept, "cell", "line", sized.agg(F.sum(F.size("tokens"))).first()[0] or 0).where("same IS NOT NULL")
+def judged(open_: DataFrame, leading: int, total: int) -> DataFrame:
+    """The lines (line, group, tokens) that share their group with others, with the positions that agree in it and their frequent tokens as one hash.
+
+    Every line of a group holds its first token, so the largest count of a group is its size. ``total`` bounds the tokens.
+    """
+    tokens = open_.select("line", "group", F.posexplode("tokens").alias("at", "token")).select("line", "group", "at", pair("group", "at", "token").alias("cell"))
+    cells = stored(tokens.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_LINES), "cells")
+    sizes = cells.groupBy("group").agg(F.max("n").alias("lines"))
+    often = cells.join(sizes, "group").where(F.col("n") * FREQUENT >= F.col("lines"))
+    kept = stored(often.select("cell", "n", (F.col("n") == F.col("lines")).alias("same")), "frequent")
+    met = join_classes(tokens.select("line", "at", "cell"), kept, "cell", "line", total).where("same IS NOT NULL")
     per = met.groupBy("line").agg(
         F.sum((F.col("same") & (F.col("at") >= leading)).cast("int")).alias("agree"),
         F.struct(F.bit_xor(F.xxhash64("at", "cell")).alias("a"), F.bit_xor(F.xxhash64("cell", "at")).alias("b")).alias("signature"),
     )
-    return sized.join(per, "line")
+    return open_.join(per, "line")
 
 
 def grouped_lines(slim: DataFrame, lines: DataFrame, leading: int = LEADING, agreement: float = AGREEMENT, rounds: int = ROUNDS) -> DataFrame:
     """line, group: the template of every distinct line of a leaf with differing lines that shares one."""
-    varied = slim.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    varied = stored(varied.select("leaf", "n", F.lit(True).alias("varied")), "varied")
-    own = join_classes(lines, varied, "leaf", "pos").where("varied")
+    varied = slim.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
+    varied = stored(varied.select("leaf"), "varied")
+    # few leaves: lines are filtered where they are, else they meet by a shuffle
+    own = lines.join(broadcast_if_small(varied, varied.count(), LEAF_BYTES), "leaf")
     open_ = own.groupBy("line").agg(F.first("leaf").alias("group"), F.split(F.first("masked"), " ").alias("tokens"))
     open_ = stored(open_, "mixed")
+    total = open_.agg(F.sum(F.size("tokens"))).first()[0] or 0
     settled = []
     for r in range(rounds + 1):
-        met = stored(judged(open_, leading), "judged")
+        met = stored(judged(open_, leading, total), "judged")
         # the leading tokens agree by construction
         behind = F.size("tokens") - leading
         whole = F.col("agree") / behind >= agreement
         settled.append(met.where((behind > 0) & whole).select("line", "group"))
         if r < rounds:
-            parted = met.where((behind > 0) & ~whole)
-            open_ = stored(parted.select("line", pair("group", "signature").alias("group"), "tokens"), "mixed")
+            open_ = met.where((behind > 0) & ~whole).select("line", pair("group", "signature").alias("group"), "tokens")
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
