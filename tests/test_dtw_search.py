@@ -48,3 +48,15 @@ def test_ties_few_mates_and_other_lengths(spark):
     got = dtw_search.nearest(df, F.col("window_id").isin(0, 3, 4), 2, 1)
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (4, 1, 5, 1.0)]
     assert dtw_search.nearest(df.limit(0), F.lit(True), 2, 1).count() == 0
+
+
+def test_pairs_are_solved_where_their_block_lies(spark):
+    x = walks(60, 10, 1, 2)
+    df = spark.createDataFrame([(i, x[i, :, 0].tolist(), 1) for i in range(60)], "window_id long, x array<double>, label int")
+    solved: list = []
+    got = dtw_search.nearest(df, F.col("window_id") % 10 == 0, 3, 2, block=16, solved=solved)
+    for frame in [got, *solved]:
+        assert "RepartitionByExpression [window_id#" not in (plan := frame._jdf.queryExecution().toString()) and "near_id" not in "".join(
+            line for line in plan.splitlines() if "hashpartitioning" in line
+        )
+    assert sorted((r.window_id, r.rank, r.near_id, round(r.distance, 9)) for r in got.collect()) == brute(list(x), [1] * 60, range(0, 60, 10), 3, 2)
