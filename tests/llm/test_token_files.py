@@ -60,6 +60,19 @@ def test_forgotten_units_are_learned_again(monkeypatch):
         assert (code.encode(texts)[0] == whole.encode(texts)[0]).all()
 
 
+def test_recurring_units_stay_known(monkeypatch):
+    """Units of every batch are encoded once, however many units of one batch come between."""
+    monkeypatch.setattr(encoder, "CACHE_UNITS", 60)
+    code, whole, learned = Encoder(vocabulary("byte_bpe_50k.json")), Encoder(vocabulary("byte_bpe_50k.json")), []
+    learn = code.learn
+    monkeypatch.setattr(code, "learn", lambda units: (learned.extend(units), learn(units)))
+    for k in range(20):
+        texts = [f"now here is what all of them hold and once{k}x{i}, again." for i in range(20)]
+        assert (code.encode(texts)[0] == whole.encode(texts)[0]).all()
+    assert learned.count("what") == learned.count("again") == 1
+    assert len(learned) == len(set(learned)) and len(code.place) <= 60
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 20_000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)

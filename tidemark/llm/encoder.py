@@ -5,14 +5,15 @@ between two other characters, around a line break between two others, and betwee
 a letter and a full stop or comma. A text is therefore the concatenation of its
 units' encodings: a unit is a word with the space or line break before it, without the
 stop after it. Arrow cuts a batch into units and numbers the distinct ones, the
-library encodes those not seen before, many in one call, and one gather from a flat
-array lays the ids out. Texts with white space in a row are cut only where a border is
+library encodes those not known yet, many in one call, and one gather from a flat
+array lays the ids out. When too many units are known, those that several batches held stay so. Texts with white space in a row are cut only where a border is
 certain; texts that hold a special token's string are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 
 from tidemark.llm.shared import worker_state
 
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 CHUNK = 100_000
 SPACES_IN_A_ROW = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}][\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -52,8 +53,22 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, self.dtype)
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.held = np.zeros(1 << 14, np.int64)  # batches that held the unit, halved at each thinning
         self.used = 0
 
+    def thin(self) -> None:
+        """Forget units of one batch, and beyond half of CACHE_UNITS those that the fewest batches held."""
+        kept, most = np.flatnonzero(self.held[: len(self.place)] > 1), CACHE_UNITS // 2
+        if len(kept) > most:
+            kept = np.sort(kept[np.argpartition(self.held[kept], len(kept) - most)[len(kept) - most :]])
+        names = list(self.place)
+        size, held = self.size[kept], self.held[kept] // 2
+        begins = np.cumsum(size) - size
+        ids = self.flat[np.repeat(self.begin[kept] - begins, size) + np.arange(size.sum())]
+        self.forget()
+        self.keep([names[i] for i in kept.tolist()], ids, begins)
+        self.held[: len(kept)] = held
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
@@ -75,6 +90,7 @@ class Encoder:
             grow = max(len(self.begin), len(units))
             self.begin = np.concatenate([self.begin, np.zeros(grow, np.int64)])
             self.size = np.concatenate([self.size, np.zeros(grow, np.int64)])
+            self.held = np.concatenate([self.held, np.zeros(grow, np.int64)])
         self.begin[n : n + len(units)] = at + begins
         self.size[n : n + len(units)] = np.diff(begins, append=len(ids))
         self.place.update(zip(units, range(n, n + len(units)), strict=True))
@@ -83,9 +99,11 @@ class Encoder:
         """Encode units, those of one kind in one text: an id whose piece opens with a space, or that of a line break, begins a unit."""
         words, lines, single = [], [], []
         for u in units:
-            line = u[:1] == "\n"
-            first = u[1:2] if line else u[:1]
-            (single if not first or first.isspace() else lines if line else words).append(u)
+            first = u[:1]
+            if first and not first.isspace():
+                words.append(u)
+            else:
+                (lines if first == "\n" and u[1:2] and not u[1:2].isspace() else single).append(u)
         for u in single:
             self.keep([u], self.ids(u if u[:1] == "\n" else " " + u), np.zeros(1, np.int64))
         for some, before, starts in ((words, " ", lambda ids: self.opens[ids]), (lines, "", lambda ids: ids == self.line_break)):
@@ -101,19 +119,28 @@ class Encoder:
 
     def entries(self, units: list[str]) -> np.ndarray:
         """Entry numbers of distinct units."""
-        missing = [u for u in units if u not in self.place]
-        if len(self.place) + len(missing) > CACHE_UNITS and len(missing) < len(units):
-            self.forget()
-            missing = units
-        self.learn(missing)
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        own = self.known(units)
+        missing = np.flatnonzero(own < 0)
+        if self.place and len(self.place) + len(missing) > CACHE_UNITS:
+            self.thin()
+            own = self.known(units)
+            missing = np.flatnonzero(own < 0)
+        new = [units[i] for i in missing.tolist()]
+        self.learn(new)
+        own[missing] = self.known(new)
+        self.held[own] += 1
+        return own
+
+    def known(self, units: list[str]) -> np.ndarray:
+        """Entry numbers of units, -1 for those not known."""
+        return np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text ends."""
         if not texts:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if len(self.place) > CACHE_UNITS:
-            self.forget()
+            self.thin()
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, SPACES_IN_A_ROW).to_numpy(zero_copy_only=False)
         whole = np.zeros(len(texts), bool)
@@ -130,7 +157,7 @@ class Encoder:
         names = pa.concat_arrays([units.dictionary, pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), first, pa.scalar("", pa.large_string()))])
         stopped = pc.match_substring_regex(names, STOPPED)
         core = pc.if_else(stopped, pc.utf8_slice_codeunits(names, 0, -1), names).dictionary_encode()
-        entry = self.entries(core.dictionary.to_pylist())[core.indices.to_numpy()]
+        entry = self.entries(core.dictionary.to_numpy(zero_copy_only=False).tolist())[core.indices.to_numpy()]
         stop = np.where(pc.ends_with(names, ".").to_numpy(zero_copy_only=False), self.full_stop, self.comma)
         has_stop = stopped.to_numpy(zero_copy_only=False)
 
