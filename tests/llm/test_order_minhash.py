@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import order_minhash as om
+from tidemark.llm import shared
 from tidemark.llm.components import components
 from tidemark.llm.queries import QUERIES
 
@@ -122,6 +123,17 @@ def test_repeated_and_null_ids(spark):
     assert om.near_classes(docs.limit(0)).count() == 0 and om.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_stored_tables_end_once_classes_are_known(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, edited(base, rng, 1)) for k in range(40)] + [(40 + k, f"alone {k} " + " ".join(f"x{k}y{j}" for j in range(60))) for k in range(20)]
+    monkeypatch.setattr(shared, "shared_folder", lambda _: f"{tmp_path}/a b")
+    kept = om.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {name: sum(spark.read.parquet(str(f)).count() for f in (tmp_path / "a b").glob(f"{name}-*")) for name in ("marked", "reps", "sketches", "shingles", "gone")}
+    assert left == {"marked": 0, "reps": 0, "sketches": 0, "shingles": 0, "gone": 39}
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(40, 60)]
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

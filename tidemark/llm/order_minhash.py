@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import carried, join_classes, stored
+from tidemark.llm.shared import broadcast_if_small, carried, emptied, join_classes, stored
 
 SHINGLE = 5
 LENGTH = 6
@@ -54,6 +54,8 @@ SMALL = 32
 TILE = 256
 FIRST = 4
 """Sketches whose large groups are compared first."""
+ID_BYTES = 32
+"""Generous size of one broadcast doc_id."""
 HELD = 1 << 21
 """Hashes held at once while sketching one document."""
 
@@ -340,8 +342,8 @@ def tile_pairs(members: DataFrame, grams: DataFrame, tile: int) -> DataFrame:
     return same.unionByName(across.select(*columns))
 
 
-def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, tile: int) -> DataFrame:
-    """(a, b) links between representatives (rep, key, n, sketch, own), whole up to connectivity.
+def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, tile: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) links between representatives (rep, key, n, sketch, own), whole up to connectivity; and the stored tables they are read from.
 
     Large groups are compared in two rounds: those of the first FIRST sketches, then those of the others whose
     members are not all connected by then. So texts that share dozens of sketches are compared a few times, not dozens.
@@ -365,14 +367,14 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, t
     grams = stored(shingles_of(docs, wanted.join(reps.select("rep", "key"), "rep")), "shingles")
     links = verified_pairs(pairs, grams, threshold)
     if not many.head(1):
-        return links
+        return links, [shared, grams]
     first = many.where(F.col("number") < FIRST).select("s", "rep", F.col("rep").alias("known"))
     links = stored(links.unionByName(tile_links(tile_pairs(first, grams, tile), threshold)), "links")
     later = many.where(F.col("number") >= FIRST).select("s", "rep").distinct()
     later = later.join(components(links), F.col("rep") == F.col("node"), "left").select("s", "rep", F.coalesce("component", "rep").alias("known"))
     later = stored(later, "later")
     open_ = later.groupBy("s").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("s")
-    return links.unionByName(tile_links(tile_pairs(later.join(open_, "s"), grams, tile), threshold))
+    return links.unionByName(tile_links(tile_pairs(later.join(open_, "s"), grams, tile), threshold)), [shared, grams]
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -384,20 +386,26 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
         ),
         "reps",
     )
-    links = near_links(docs, reps, threshold, small, tile)
     many = reps.where("copies > 1").select("key", "rep", F.col("copies").alias("n"))
     members = join_classes(marked.select("doc_id", "key"), many, "key", "doc_id").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    if marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
+    members = stored(members, "members")
+    emptied(marked)
+    links, read = near_links(docs, reps, threshold, small, tile)
+    if members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
         # one doc_id stands for several rows: its texts are one node, and it gets one row
         links = links.unionByName(members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
         members = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = components(links)
+    # from here on only members and components are read
+    emptied(reps, *read)
     out = members.join(found, members["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.withColumn("kept", F.col("class_id") == F.col("doc_id"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class; rows with null doc_id stay."""
-    gone = near_classes(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = stored(near_classes(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "gone")
+    # few ids: texts stay where they are, else they meet them by a shuffle
+    gone = broadcast_if_small(gone, gone.count(), ID_BYTES)
     inner, finish = carried(docs, "doc_id", "text")
     return finish(inner.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"))
