@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_templates
+from tidemark.llm import line_templates, shared
 
 NOTICE = "this work is shared under the terms of version {} of the licence"
 
@@ -84,3 +84,23 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = line_templates.drop_recurring(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_stored_lines_end_once_templates_are_known(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"{NOTICE.format(k)}\nown{k} words of document {k} only") for k in range(5)], "doc_id long, text string")
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    out = line_templates.drop_recurring(docs)
+    assert [spark.read.parquet(str(f)).count() for f in tmp_path.glob("lines-*")] == [0]
+    assert sorted(r.n_dropped for r in out.collect()) == [0, 2, 2, 2, 2]
+
+
+def test_shuffles_of_stored_tables_end_with_the_write(spark, monkeypatch):
+    seen, write = [], type(spark.range(1).write).parquet
+
+    def watched(writer, *args, **options):
+        seen.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None))
+        return write(writer, *args, **options)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", watched)
+    assert shared.stored(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count(), "t").count() == 3
+    assert seen == ["true"] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None

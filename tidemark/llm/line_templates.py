@@ -26,11 +26,14 @@ whole, in one task; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
-from tidemark.llm.shared import broadcast_if_small, carried, join_classes, stored, text_key, upto
+from tidemark.llm.shared import broadcast_if_small, carried, emptied, join_classes, stored, text_key, upto
 
 MIN_DOCS = 2
 EVIDENCE = 16
@@ -55,13 +58,14 @@ def tokenized_lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     """doc_id, key, pos, masked, n, and hashes of the leaf and of the masked line (line) of every line that is not blank."""
 
     def mask(line):
-        plain = F.trim(F.when(line.rlike("[\t\r\f]|  "), F.regexp_replace(line, "[ \t\r\f]+", " ")).otherwise(line))
+        spaced = reduce(or_, [F.contains(line, F.lit(x)) for x in ("\t", "\r", "\f", "  ")])
+        plain = F.trim(F.when(spaced, F.regexp_replace(line, "[ \t\r\f]+", " ")).otherwise(line))
         return let(plain, lambda x: F.when(x.rlike("[0-9]") & ~x.rlike(NUMBERS), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(x))
 
     # masked inside the array: each line once, however often it is used below
     masked = F.transform(F.split("text", "\n", -1), mask)
     rows = docs.select("doc_id", text_key("text").alias("key"), F.posexplode(masked).alias("pos", "masked")).where("masked <> ''")
-    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.withColumn("n", F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
     return rows.withColumns({"leaf": pair("n", F.substring_index("masked", " ", leading)), "line": pair("masked")})
 
 
@@ -117,6 +121,7 @@ def recurring_lines(
     held = stored(groups.join(slim.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "line"), "held")
     placed = join_classes(slim.withColumnRenamed("n", "tokens"), held, "line", "pos")
     placed = stored(placed.select("doc_id", "key", "pos", "tokens", F.coalesce("group", "line").alias("template")), "templates")
+    emptied(lines)
     spread = placed.groupBy("template", "doc_id", "key").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     needed = F.greatest(F.lit(min_docs), F.ceil(F.lit(evidence) / F.col("tokens")))
     recurring = (
