@@ -143,3 +143,14 @@ def test_components(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in QUERIES["op4_order_minhash"](spark, SF_DIR).collect()} == brute(rows)
+
+
+def test_links_are_stored(spark):
+    """What reads the links runs its own Python workers; unstored ones would hold a second one in each task."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, f"{text} end{k}") for k in range(40)] + [(50, "a b c d e f g h i"), (51, "a b c d e f g h j")], "doc_id long, text string")
+    marked = om.sketch_documents(docs).withColumnRenamed("doc_id", "rep")
+    for part in (docs, docs.where("doc_id >= 30")):
+        links, _ = om.near_links(part, marked.join(part, F.col("rep") == F.col("doc_id"), "left_semi"), om.THRESHOLD, om.SMALL, om.TILE)
+        assert "MapInPandas" not in links._jdf.queryExecution().toString()
+        assert links.count() >= part.count() - 3

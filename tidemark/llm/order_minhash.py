@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import broadcast_if_small, carried, emptied, join_classes, stored
+from tidemark.llm.shared import broadcast_if_small, carried, emptied, join_classes, stored, trim, worker_state
 
 SHINGLE = 5
 LENGTH = 6
@@ -56,7 +56,7 @@ FIRST = 4
 """Sketches whose large groups are compared first."""
 ID_BYTES = 32
 """Generous size of one broadcast doc_id."""
-HELD = 1 << 21
+HELD = 1 << 17
 """Hashes held at once while sketching one document."""
 
 _rng = np.random.default_rng(20)
@@ -143,6 +143,7 @@ def sketch_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     longest, shortest = EXACT / threshold, threshold / (1 - threshold) - 1e-9 if threshold < 1 else np.inf
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("near")  # tables of the operator before go
         for batch in batches:
             keys, sizes, values, owns = [], [], [], []
             for text in batch["text"]:
@@ -155,6 +156,7 @@ def sketch_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                 values.append(sketches(grams).view(np.int64) if len(words) else None)
                 owns.append(labelled(grams).view(np.int64) if shortest <= len(grams) <= longest else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "n": sizes, "sketch": values, "own": owns})
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     return rows.mapInPandas(work, "doc_id long, key string, n long, sketch array<long>, own array<long>")
@@ -220,6 +222,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep, grams (shingle hashes as bytes) of the wanted (rep, key); equal rows of documents give equal rows."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("near")  # tables of the operator before go
         for batch in batches:
             reps, out = [], []
             for rep, key, text in zip(batch["rep"], batch["key"], batch["text"], strict=True):
@@ -228,6 +231,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     reps.append(rep)
                     out.append(shingles(words).tobytes())
             yield pd.DataFrame({"rep": reps, "grams": out})
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep")
     return rows.select("rep", "key", "text").mapInPandas(work, "rep long, grams binary")
@@ -237,12 +241,14 @@ def verified_pairs(pairs: DataFrame, grams: DataFrame, threshold: float) -> Data
     """The (a, b) whose alignment reaches the threshold."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("near")  # tables of the operator before go
         for batch in batches:
             ok = [
                 similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) >= threshold
                 for x, y in zip(batch["x"], batch["y"], strict=True)
             ]
             yield batch.loc[ok, ["a", "b"]]
+            trim()
 
     met = pairs.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a")
     met = met.join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b")
@@ -257,6 +263,7 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("near")  # tables of the operator before go
         for batch in batches:
             for row in batch.itertuples(index=False):
                 own = row.reps2 is None
@@ -297,6 +304,7 @@ def tile_links(tiles: DataFrame, threshold: float) -> DataFrame:
                         root[root == root[q]] = root[p]
                 if links:
                     yield pd.DataFrame(links, columns=["a", "b"])
+            trim()
 
     if "known" not in tiles.columns:
         tiles = tiles.withColumns({"known": F.col("reps"), "known2": F.col("reps2")})
@@ -345,6 +353,7 @@ def tile_pairs(members: DataFrame, grams: DataFrame, tile: int) -> DataFrame:
 def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, tile: int) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b) links between representatives (rep, key, n, sketch, own), whole up to connectivity; and the stored tables they are read from.
 
+    Links are stored: one task then runs one Python worker at a time, while what reads the links may run its own.
     Large groups are compared in two rounds: those of the first FIRST sketches, then those of the others whose
     members are not all connected by then. So texts that share dozens of sketches are compared a few times, not dozens.
     """
@@ -367,14 +376,14 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float, small: int, t
     grams = stored(shingles_of(docs, wanted.join(reps.select("rep", "key"), "rep")), "shingles")
     links = verified_pairs(pairs, grams, threshold)
     if not many.head(1):
-        return links, [shared, grams]
+        return stored(links, "links"), [shared, grams]
     first = many.where(F.col("number") < FIRST).select("s", "rep", F.col("rep").alias("known"))
     links = stored(links.unionByName(tile_links(tile_pairs(first, grams, tile), threshold)), "links")
     later = many.where(F.col("number") >= FIRST).select("s", "rep").distinct()
     later = later.join(components(links), F.col("rep") == F.col("node"), "left").select("s", "rep", F.coalesce("component", "rep").alias("known"))
     later = stored(later, "later")
     open_ = later.groupBy("s").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("s")
-    return links.unionByName(tile_links(tile_pairs(later.join(open_, "s"), grams, tile), threshold)), [shared, grams]
+    return stored(links.unionByName(tile_links(tile_pairs(later.join(open_, "s"), grams, tile), threshold)), "links"), [shared, grams]
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, tile: int = TILE) -> DataFrame:
