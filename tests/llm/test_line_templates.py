@@ -104,3 +104,20 @@ def test_shuffles_of_stored_tables_end_with_the_write(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1).write), "parquet", watched)
     assert shared.stored(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count(), "t").count() == 3
     assert seen == ["true"] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_working_tables_are_given_back(spark, monkeypatch):
+    files = {}
+
+    def noted(df, name, *args):
+        out = shared.stored(df, name, *args)
+        files.setdefault(name, []).append((out.schema, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(line_templates, "stored", noted)
+    docs = spark.createDataFrame([(k, f"user {k} logs in from here\nat {k} o'clock a user {'xyz'[k % 3]} leaves") for k in range(12)], "doc_id long, text string")
+    assert sum(r.n_dropped for r in line_templates.drop_recurring(docs).collect()) > 0
+    assert len(files["cells"]) == line_templates.ROUNDS + 1 and files["cells"][0][1]
+    for schema, written in files["cells"] + files["frequent"]:
+        assert not written or spark.read.schema(schema).parquet(written[0].rsplit("/", 1)[0]).count() == 0
+    assert all(f.endswith(".zstd.parquet") for _, written in files["lines"] for f in written)

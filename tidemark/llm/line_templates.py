@@ -70,7 +70,7 @@ def tokenized_lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
 
 
 def judged(open_: DataFrame, leading: int, total: int) -> DataFrame:
-    """The lines (line, group, tokens) that share their group with others, with the positions that agree in it and their frequent tokens as one hash.
+    """The lines (line, group, tokens) that share their group with others, with the positions that agree in it and their frequent tokens as one hash; stored.
 
     Every line of a group holds its first token, so the largest count of a group is its size. ``total`` bounds the tokens.
     """
@@ -79,12 +79,15 @@ def judged(open_: DataFrame, leading: int, total: int) -> DataFrame:
     sizes = cells.groupBy("group").agg(F.max("n").alias("lines"))
     often = cells.join(sizes, "group").where(F.col("n") * FREQUENT >= F.col("lines"))
     kept = stored(often.select("cell", "n", (F.col("n") == F.col("lines")).alias("same")), "frequent")
+    emptied(cells)
     met = join_classes(tokens.select("line", "at", "cell"), kept, "cell", "line", total).where("same IS NOT NULL")
     per = met.groupBy("line").agg(
         F.sum((F.col("same") & (F.col("at") >= leading)).cast("int")).alias("agree"),
         F.struct(F.bit_xor(F.xxhash64("at", "cell")).alias("a"), F.bit_xor(F.xxhash64("cell", "at")).alias("b")).alias("signature"),
     )
-    return open_.join(per, "line")
+    out = stored(open_.join(per, "line"), "judged")
+    emptied(kept)
+    return out
 
 
 def grouped_lines(slim: DataFrame, lines: DataFrame, leading: int = LEADING, agreement: float = AGREEMENT, rounds: int = ROUNDS) -> DataFrame:
@@ -98,7 +101,7 @@ def grouped_lines(slim: DataFrame, lines: DataFrame, leading: int = LEADING, agr
     total = open_.agg(F.sum(F.size("tokens"))).first()[0] or 0
     settled = []
     for r in range(rounds + 1):
-        met = stored(judged(open_, leading, total), "judged")
+        met = judged(open_, leading, total)
         # the leading tokens agree by construction
         behind = F.size("tokens") - leading
         whole = F.col("agree") / behind >= agreement
@@ -115,7 +118,8 @@ def recurring_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, agreement: float = AGREEMENT, rounds: int = ROUNDS, evidence: int = EVIDENCE
 ) -> DataFrame:
     """doc_id, key, dropped: positions of the lines whose template an earlier document has, for recurring templates."""
-    lines = stored(tokenized_lines(docs, leading), "lines")
+    # held through all rounds, and nearly as large as the texts
+    lines = stored(tokenized_lines(docs, leading), "lines", "zstd")
     slim = lines.select("doc_id", "key", "pos", "n", "leaf", "line")
     groups = grouped_lines(slim, lines, leading, agreement, rounds)
     held = stored(groups.join(slim.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "line"), "held")
