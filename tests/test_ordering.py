@@ -201,3 +201,22 @@ def test_empty_and_constant_order(spark):
     df = spark.createDataFrame([("a", 1, 5.0)], "series_id string, ts long, x double")
     assert [r.idx for r in ordering.add_index(df).collect()] == [0]
     assert ordering.add_index(df.limit(0)).count() == 0
+
+
+def test_short_series_are_numbered_without_a_join(spark):
+    df = spark.range(6_000).select((F.col("id") % 300).alias("series_id"), F.col("id").alias("ts"), F.rand(2).alias("x"))
+    out = ordering.add_index(df)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where(F.col("idx") != F.floor(F.col("ts") / 300)).count() == 0 and out.count() == 6_000
+
+
+@pytest.mark.parametrize("rows", [3, 30, 100])
+def test_heavy_series_are_cut_and_others_left_whole(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "LIGHT_ROWS", rows)
+    df, pdf = frame(spark, (1, 7, 40, 200, 0, 60))
+    cut = ordering.series_chunk(df, ["series_id"], ["ts"]).groupBy("series_id").agg(F.count_distinct(ordering.CHUNK).alias("n")).collect()
+    limit = max(rows, len(pdf) // (ordering.OVERSPLIT * ordering.shuffle_width(df)))
+    sizes = pdf.groupby("series_id").size()
+    assert all((r.n > 1) == (sizes[r.series_id] > limit) for r in cut) and len(cut) == 5
+    got = ordering.add_index(df).toPandas().sort_values(["series_id", "ts"])
+    assert got["idx"].tolist() == pdf.sort_values(["series_id", "ts"]).groupby("series_id").cumcount().tolist()

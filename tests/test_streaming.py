@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.operators import models, ordering, windows
+from tidemark.plans import source_queries, stream_queries
 from tidemark.streaming import scoring as stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -206,3 +207,43 @@ def test_alerts(spark):
     assert [(r.series_id, r.score) for r in stream.alerts(df, limits).collect()] == [("a", 3.0)]
     assert stream.alerts(df, 0.0).count() == 3
     assert ordering.series_lengths(df).count() == 2
+
+
+@pytest.fixture
+def events_folder(spark, tmp_path, monkeypatch):
+    """A writer of an events table from its times in hours, with the folder that queries share."""
+    monkeypatch.setattr(source_queries, "shared_folder", lambda _: str(tmp_path / "shared"))
+
+    def put(hours):
+        rows = [(i, int(h * 3600), i % 3, "view", float(i)) for i, h in enumerate(hours)]
+        df = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double")
+        df.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", "value").write.parquet(str(tmp_path / "sf" / "events.parquet"))
+        return str(tmp_path / "sf")
+
+    return put
+
+
+def test_large_spans_are_written_by_more_tasks(spark, tmp_path, events_folder, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 200, raising=False)
+    sf = events_folder([i / 100 for i in range(3_000)])
+    out = stream_queries.stream_buffer_status(spark, sf)
+    files = spark.read.parquet(f"{tmp_path}/shared/events-*").groupBy(F.input_file_name()).agg(F.min("ts").alias("lo"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) == 15 and max(r.n for r in files) < 400
+    assert out.count() == 3_000 and out.where("NOT ready").count() == 33
+
+
+@pytest.mark.parametrize("middle", [[], [50.0]])
+def test_a_span_of_few_rows_does_not_split_the_next(spark, events_folder, middle):
+    hours = [i / 10 for i in range(300)] + middle + [70 + i / 10 for i in range(300)]
+    got = stream_queries.stream_forecast(spark, events_folder(hours)).where("h = 1").collect()
+    series = {s: [float(i) for i in range(len(hours)) if i % 3 == s] for s in range(3)}
+    want = {(s, i): round(v[i] + (v[i] - v[i - 11]) / 11, 6) for s, v in series.items() for i in range(11, len(v))}
+    assert {(r.series_id, r.idx): round(r.pred_x, 6) for r in got} == want
+
+
+def test_short_series_of_a_batch_are_numbered_without_a_join(spark, tmp_path):
+    """Short series take one shuffle to be numbered, and no join with a table as long as the batch."""
+    rows = spark.range(2_000).select((F.col("id") % 100).alias("series_id"), F.col("id").alias("ts"), F.col("id").cast("double").alias("x"))
+    numbered = stream.WindowStream(str(tmp_path / "state"), 4).numbered(rows)
+    assert "Join" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert numbered.where(F.col("pos") != F.floor(F.col("ts") / 100)).count() == 0 and numbered.count() == 2_000

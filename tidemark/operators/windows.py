@@ -29,7 +29,7 @@ def block_arrays(
     hi = F.floor(F.col(idx) / F.lit(rows)).cast("long")
     copied = df.select(*keys, idx, *cols, F.explode(F.sequence(lo, hi)).alias("_block"))
     gathered = copied.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(idx).alias("_i"), *cols))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct(F.col(idx).alias("_i"), *cols))).alias("_rows")
     )
     return gathered.select(*keys, "_block", F.col("_rows._i").alias("_i"), *[F.col(f"_rows.{c}").alias(c) for c in cols])
 

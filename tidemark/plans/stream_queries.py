@@ -16,24 +16,30 @@ from tidemark.plans.registry import query, r, rsql
 from tidemark.plans.source_queries import fresh_folder
 from tidemark.streaming import scoring as stream
 
-ROUNDS, FILES = 3, 2
+ROUNDS, FILES, FILE_ROWS = 3, 2, 250_000
 
 
-def event_files(spark: SparkSession, sf: str) -> str:
-    """The events as files that arrive in ROUNDS spans of time; the rows of a span are dealt in turn to FILES files."""
+def event_files(spark: SparkSession, sf: str) -> tuple[str, int]:
+    """The events as files that arrive in ROUNDS spans of time, and the files of a span.
+
+    The rows of a span are dealt in turn to FILES files, or to more, of FILE_ROWS rows each, where it has many rows.
+    Every span has the same number of files, so a small one sets a limit to it; one without rows has none.
+    """
     df = events(spark, sf)
     lo, hi = df.select(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     span = F.least(F.floor((F.unix_micros("ts") - lo) * ROUNDS / (hi - lo + 1)), F.lit(ROUNDS - 1))
+    rows = dict(df.groupBy(span.alias("span")).count().where("span IS NOT NULL").collect())
+    files = max(1, min(max(FILES, -(-max(rows.values()) // FILE_ROWS)), min(rows.values()) // 100))
     path = fresh_folder(spark, "events")
-    for n in range(ROUNDS):
-        df.where(span == n).repartition(FILES).write.mode("append").parquet(path)
-    return path
+    for n in sorted(rows):
+        df.where(span == n).repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The event files as a stream of one span of time per micro-batch, its rows unordered across files."""
-    path = event_files(spark, sf)
-    return spark.readStream.schema(events(spark, sf).schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    path, files = event_files(spark, sf)
+    return spark.readStream.schema(events(spark, sf).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def play(state: stream.WindowStream, source: DataFrame, emit: Callable[[DataFrame], DataFrame]) -> DataFrame:

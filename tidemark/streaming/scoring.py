@@ -3,8 +3,8 @@
 A keyed stateful operator gives every row of a key to one task, so a series with a
 third of the stream would be scanned in one place. Here every micro-batch is a table:
 
-1. Its rows are numbered along the series in ordered chunks (``operators.ordering``), so
-   neither the order of files nor one hot series matters.
+1. Its rows are numbered along the series, where a series with a large share of them is cut
+   into ordered chunks (``operators.ordering``), so neither the order of files nor one hot series matters.
 2. Points are gathered by (series, block of positions) with the ``length - 1`` points before the
    block. The points before the batch's first one come from the series' tail.
 3. Every new point has its window cut from its block; models and alerts follow, spread
@@ -33,7 +33,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.functions.arrays import let
 from tidemark.operators.models import Model, score_windows
-from tidemark.operators.ordering import fill_nearest, running_totals, shuffle_width, with_chunk
+from tidemark.operators.ordering import LIGHT, fill_nearest, running_totals, series_chunk, series_sizes
 
 COMPACT = 10
 
@@ -60,15 +60,19 @@ class WindowStream:
 
     # -- the steps of one batch -----------------------------------------------------------------------
 
-    def numbered(self, batch: DataFrame) -> DataFrame:
+    def sizes(self, batch: DataFrame) -> DataFrame:
+        """series_id, ``_rows``: the batch's rows of each series."""
+        return series_sizes(batch.select(F.col(self.key).alias("series_id")).dropna(), ["series_id"])
+
+    def numbered(self, batch: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         """series_id, run (resets before the row), pos (points before it in its run; null for a reset), ts, columns."""
         reset = F.coalesce(F.col(self.control), F.lit(False)) if self.control else F.lit(False)
         picked = batch.select(
             F.col(self.key).alias("series_id"), *self.order, *[F.col(c).cast("double").alias(c) for c in self.cols], reset.alias("_reset")
         )
-        cut = with_chunk(picked, list(self.order), None)
+        cut = series_chunk(picked, ["series_id"], list(self.order), self.sizes(batch) if sizes is None else sizes)
         sums = {"_n": (~F.col("_reset")).cast("long"), "run": F.col("_reset").cast("long")}
-        counted = running_totals(cut, ["series_id"], list(self.order), sums)
+        counted = running_totals(cut, ["series_id"], list(self.order), sums, light=LIGHT)
         if self.control:
             # the points before a reset are carried on from it, chunk by chunk
             counted = fill_nearest(counted.withColumn("_base", F.when(F.col("_reset"), F.col("_n"))), ["series_id"], list(self.order), ["_base"])
@@ -78,11 +82,16 @@ class WindowStream:
         pos = F.when(~F.col("_reset"), F.col("_n") - base - 1)
         return counted.select("series_id", "run", pos.cast("long").alias("pos"), F.col(self.order[0]).alias("ts"), *self.cols)
 
-    def blocks(self, batch: DataFrame, state: DataFrame) -> DataFrame:
+    def blocks(self, batch: DataFrame, state: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         """series_id, run, block, next (points before the run's first one here), points (ordered, with those before the block)."""
         rows = self.rows or max(512, 4 * self.length)
-        numbered = self.numbered(batch)
-        seen = numbered.select("series_id", "run", F.floor(F.coalesce("pos", F.lit(0)) / rows).cast("long").alias("block")).distinct()
+        sizes = self.sizes(batch) if sizes is None else sizes
+        numbered = self.numbered(batch, sizes)
+        if self.control:
+            seen = numbered.select("series_id", "run", F.floor(F.coalesce("pos", F.lit(0)) / rows).cast("long").alias("block")).distinct()
+        else:  # every row is a point of run 0, so the number of rows tells the blocks
+            to = F.floor((F.col("_rows") - 1) / rows).cast("long")
+            seen = sizes.select("series_id", F.lit(0).cast("long").alias("run"), F.explode(F.sequence(F.lit(0).cast("long"), to)).alias("block"))
         opened = seen.join(state.select("series_id", "next", "tail"), "series_id", "left")
         goes_on = F.col("run") == 0
         marks = opened.select("series_id", "run", "block", F.when(goes_on, F.coalesce("next", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("next"))
@@ -103,7 +112,7 @@ class WindowStream:
             .unionByName(before.withColumn("next", F.lit(None).cast("long")))
             .unionByName(marks.withColumn("point", F.lit(None).cast(spread.schema["point"].dataType)))
             .groupBy("series_id", "run", "block")
-            .agg(F.max("next").alias("next"), F.array_sort(F.collect_list("point")).alias("points"))
+            .agg(F.max("next").alias("next"), F.sort_array(F.collect_list("point")).alias("points"))
         )
         # a block without a mark holds only points of the block before
         own = F.size(F.filter("points", lambda p: p["pos"] >= F.col("block") * rows))
@@ -111,20 +120,24 @@ class WindowStream:
 
     def windows(self, blocks: DataFrame, partitions: int | None = None) -> DataFrame:
         """One row per new point: run, idx, ts, buffer status (filled, real, required, ready) and its window, one array per column."""
-        at = F.explode(F.sequence(F.size("points") - F.col("own") + 1, F.size("points"))).alias("_at")
-        spread = blocks.where("own > 0").repartition(partitions or shuffle_width(blocks)).select("*", at)
-        last = F.element_at("points", F.col("_at"))
-        idx = F.col("next") + last["pos"]
+        dealt = blocks.where("own > 0").repartition(partitions) if partitions else blocks.where("own > 0")
+        # each column is taken out of the points once a block, below the explode, and windows are cut out of it
+        arrays = [F.col(f"points.{c}").alias(f"_{i}") for i, c in enumerate(("pos", "ts", *self.cols))]
+        at = F.explode(F.sequence(F.size("_0") - F.col("own") + 1, F.size("_0"))).alias("_at")
+        spread = dealt.select("series_id", "run", "next", "own", *arrays).select("*", at)
+        idx = F.col("next") + F.element_at("_0", F.col("_at"))
         real = F.least(idx + 1, F.lit(self.length)).cast("int")
-        out = spread.select("series_id", "run", idx.alias("idx"), last["ts"].alias("ts"), real.alias("real"), F.slice("points", F.col("_at") - real + 1, real).alias("_w"))
+        ts = F.element_at("_1", F.col("_at"))
 
-        def column(c: str) -> Column:
-            values = F.transform("_w", lambda p: p[c])
-            return F.concat(F.array_repeat(F.lit(0.0), self.length - F.col("real")), values) if self.warm_start else values
+        def column(i: int) -> Column:
+            values = F.slice(f"_{i}", F.col("_at") - real + 1, real)
+            return F.concat(F.array_repeat(F.lit(0.0), self.length - real), values) if self.warm_start else values
 
-        filled = F.lit(self.length) if self.warm_start else F.col("real")
-        status = {"filled": filled, "required": F.lit(self.length), "ready": F.col("idx") + 1 >= self.length}
-        return out.withColumns(status | {c: column(c) for c in self.cols}).drop("_w")
+        filled = F.lit(self.length) if self.warm_start else real
+        return spread.select(
+            "series_id", "run", idx.alias("idx"), ts.alias("ts"), real.alias("real"), filled.alias("filled"), F.lit(self.length).alias("required"),
+            (idx + 1 >= self.length).alias("ready"), *[column(i).alias(c) for i, c in enumerate(self.cols, 2)],
+        )
 
     def tails(self, blocks: DataFrame, batch_id: int) -> DataFrame:
         """The new state of every series of the batch."""
@@ -133,7 +146,8 @@ class WindowStream:
         slim = F.transform(tail, lambda p: F.struct(*[p[c].alias(c) for c in self.cols]))
         reached = F.col("next") + F.when(F.col("own") > 0, F.element_at("points", -1)["pos"] + 1).otherwise(F.lit(0))
         state = F.struct(reached.cast("long").alias("next"), slim.alias("tail"))
-        last = blocks.groupBy("series_id").agg(F.max_by(state, F.struct("run", "block")).alias("s"))
+        ends = blocks.select("series_id", "run", "block", state.alias("s"))  # before the aggregation, which sorts its rows
+        last = ends.groupBy("series_id").agg(F.max_by("s", F.struct("run", "block")).alias("s"))
         return last.select("series_id", F.col("s.next").alias("next"), F.col("s.tail").alias("tail"), F.unix_millis(F.current_timestamp()).alias("at"), F.lit(batch_id).cast("long").alias("batch"))
 
     # -- state across batches -------------------------------------------------------------------------
@@ -154,7 +168,7 @@ class WindowStream:
         """One row per series: next, tail, at, batch; of the ``touched`` series only, where these are given."""
         schema, parts = self._schema(key_type), self._parts(batch_id)
         if not parts:
-            return spark.createDataFrame([], schema)
+            return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         found = spark.read.schema(schema).parquet(*parts)
         if touched is not None:
             found = found.join(touched, "series_id", "left_semi")
@@ -166,16 +180,19 @@ class WindowStream:
     def run_batch(self, batch: DataFrame, batch_id: int, emit: Callable[[DataFrame], DataFrame]) -> None:
         spark = batch.sparkSession
         key_type = batch.schema[self.key].dataType
-        if batch.isEmpty():
-            self._save(spark.createDataFrame([], self._schema(key_type)), spark, batch_id, key_type)
-            return
-        touched = batch.select(F.col(self.key).alias("series_id")).distinct()
-        blocks = self.blocks(batch, self.state_before(spark, batch_id, key_type, touched)).persist()
+        sizes = self.sizes(batch).persist()
         try:
-            emit(self.windows(blocks)).write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
-            self._save(self.tails(blocks, batch_id), spark, batch_id, key_type)
+            if sizes.isEmpty():
+                self._save(spark.createDataFrame([], self._schema(key_type)), spark, batch_id, key_type)
+                return
+            blocks = self.blocks(batch, self.state_before(spark, batch_id, key_type, sizes.select("series_id")), sizes).persist()
+            try:
+                emit(self.windows(blocks)).write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
+                self._save(self.tails(blocks, batch_id), spark, batch_id, key_type)
+            finally:
+                blocks.unpersist()
         finally:
-            blocks.unpersist()
+            sizes.unpersist()
 
     def _save(self, new: DataFrame, spark: SparkSession, batch_id: int, key_type: T.DataType) -> None:
         new.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
