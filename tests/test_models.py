@@ -304,3 +304,19 @@ def test_scalers_go_back_with_the_numbers_of_the_way_out(spark):
 def test_detectors_of_both_lists_are_known():
     assert all(scoring.detection_method(m) == "reconstruction" for m in ("USAD", "VAE", "VTTPAT", "VTTSAT"))
     assert scoring.detection_method("DLinear") == "prediction"
+
+
+def test_windows_pass_as_flat_arrow_buffers(spark):
+    """Nulls and NaN inside windows, windows of other lengths and missing ones come out as when each was a Python object."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": pa.array([[1.0, None], [3.0, 4.0]]), "n": pa.array([[1, 2], [3, 4]])})
+    for part, want in ((batch, [[[1, 1], [np.nan, 2]], [[3, 3], [4, 4]]]), (batch.slice(1, 1), [[[3, 3], [4, 4]]])):
+        assert np.array_equal(models.arrow_windows(part, ["x", "n"], 2), np.array(want, float), equal_nan=True)
+    with pytest.raises(models.ShapeError):
+        models.arrow_windows(batch, ["x"], 3)
+    with pytest.raises(ValueError):
+        models.arrow_windows(pa.RecordBatch.from_pydict({"x": pa.array([[1.0], [3.0, 4.0]])}), ["x"], None)
+    assert models.result_lists(np.array([[1, 2], [3, 4]]), False).to_pylist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert models.result_lists(np.arange(6.0).reshape(1, 3, 2), True).to_pylist() == [[[0.0, 2.0, 4.0], [1.0, 3.0, 5.0]]]
+    assert models.result_lists(np.array([np.nan, 1.0]), False).to_pylist() == [[None], [1.0]]
